@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, url_filter
+from . import chat_format, decontaminate, fingerprints, mixing, secret_scan, url_filter
 
 #: Rules of op1: (verdict, host, path).
 URL_RULES = [
@@ -30,12 +30,25 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op6_mix_sources)}
+    listed = (op1_url_filters, op2_chat_formatting, op5_fingerprints, op6_mix_sources, op8_decontaminate, op10_secret_scans)
+    return {f.__name__: f for f in listed}
 
 
 OP1_SQL = r"""
@@ -95,6 +108,22 @@ SELECT doc_id, size, source_size, target,
   least(floor(e) + CASE WHEN draw < e - floor(e) THEN 1 ELSE 0 END, size * 2)::BIGINT AS taken
 FROM exact"""
 
+OP8_SQL = r"""
+WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+wins AS (SELECT DISTINCT coalesce(item_id::VARCHAR, 'null') AS item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+  FROM bw, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS u(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM wins),
+grams AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM dw, lens, unnest(range(1, len(w) - n + 2)) AS u(i)),
+occ AS (SELECT rid, i, n, item FROM grams JOIN wins USING (n, g)),
+hit AS (SELECT rid, count(DISTINCT k) AS n_hit FROM occ, unnest(range(i, i + n)) AS u(k) GROUP BY rid),
+its AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM occ GROUP BY rid)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM dw LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op6_mix_sources": OP6_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op6_mix_sources": OP6_SQL, "op8_decontaminate": OP8_SQL}
