@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, mixing, secret_scan, url_filter
+from . import chat_format, decontaminate, fingerprints, language_id, mixing, quality, secret_scan, url_filter
 
 #: Rules of op1: (verdict, host, path).
 URL_RULES = [
@@ -30,6 +30,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +55,16 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_url_filters, op2_chat_formatting, op5_fingerprints, op6_mix_sources, op8_decontaminate, op10_secret_scans)
+    listed = (
+        op1_url_filters,
+        op2_chat_formatting,
+        op3_language_id,
+        op5_fingerprints,
+        op6_mix_sources,
+        op7_quality,
+        op8_decontaminate,
+        op10_secret_scans,
+    )
     return {f.__name__: f for f in listed}
 
 
