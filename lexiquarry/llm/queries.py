@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, language_id, mixing, quality, secret_scan, url_filter
+from . import chat_format, decontaminate, fingerprints, language_id, mixing, ngram_join, quality, secret_scan, url_filter
 
 #: Rules of op1: (verdict, host, path).
 URL_RULES = [
@@ -50,6 +50,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_ngrams(_table(spark, sf_dir, "documents"), n=4, percent=85).drop("class_id")
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_mix_sources,
         op7_quality,
         op8_decontaminate,
+        op9_ngram_join,
         op10_secret_scans,
     )
     return {f.__name__: f for f in listed}
@@ -141,6 +146,20 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM dw LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
+t AS (SELECT rid, doc_id, len(g) AS n, unnest(g) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS an, any_value(b.n) AS bn
+  FROM t a JOIN t b ON a.g = b.g AND a.rid < b.rid AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rid, b.rid, a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (an + bn - k) UNION SELECT b, a FROM pairs WHERE 100 * k >= 85 * (an + bn - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id
+FROM s LEFT JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op6_mix_sources": OP6_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op6_mix_sources": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_ngram_join": OP9_SQL}
