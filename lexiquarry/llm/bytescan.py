@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text scanned at once; bounds the arrays of a scan (a longer text is one block).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 U = np.uint64
 
@@ -88,7 +88,7 @@ def words(data: np.ndarray, ptr: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, ptr)
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=3)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = U(pow(int(BASE), -1, 1 << 64))
     one = np.ones(1, U)

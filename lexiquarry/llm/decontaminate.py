@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import arrow_rows, arrow_schema, materialise, packed, partitions
+from .common import arrow_rows, arrow_schema, broadcast_if_small, materialise, packed
 
 WINDOW = 13
 #: Words of benchmark items that are asked at once; a longer benchmark goes in blocks.
 BLOCK_WORDS = 2_000_000
+#: Text of a segment.
+SEGMENT_BYTES = 4 << 20
 SEGMENT = "doc_ids array<bigint>, keys array<bigint>, n_words binary, counts binary, postings binary"
 
 
@@ -84,7 +86,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
         for batch in batches:
             data, ptr = bs.text_bytes(batch.column(1))
             ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, j in bs.blocks(ptr):
+            for i, j in bs.blocks(ptr, SEGMENT_BYTES):
                 own = ptr[i : j + 1] - ptr[i]
                 text = bs.lower_ascii(data[ptr[i] : ptr[j]])
                 starts, ends, range_ = bs.words(text, own, sep)
@@ -307,3 +309,11 @@ def _judged_in_blocks(spark: SparkSession, asked: list, parts: int) -> DataFrame
         F.count(F.lit(1)).alias("copies"), F.collect_set("covered").alias("covers"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids")
     )
     return grouped.mapInArrow(merged, RESULT)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, parts: int = 20) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not of a contaminated document; rows without a
+    doc_id can't be told apart and stay."""
+    judged = decontaminate(docs, benchmark, window, parts)
+    bad = judged.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(broadcast_if_small(materialise(bad)), F.col("doc_id") == F.col("__bad"), "left_anti")

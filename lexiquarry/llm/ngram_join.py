@@ -27,58 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import arrow_rows, arrow_schema, by_group, materialise, packed, partitions
+from .chunking import chunks, opened, squeeze, unsqueeze
+from .common import arrow_schema, by_group, materialise, packed, partitions
 from .components import components
 
-#: Bytes of text of a chunk; shingles in a block of a join.
-CHUNK_BYTES, BLOCK_SHINGLES = 12 << 20, 2_000_000
+#: Shingles in a block of a join.
+BLOCK_SHINGLES = 2_000_000
 U = np.uint64
-CHUNK = "chunk long, doc_ids array<bigint>, ptr binary, text binary"
 ASKED = "bucket int, chunk long, hashes binary, counts binary"
 ANSWER = "chunk long, bucket int, classes binary"
 SETS = "doc_id long, n long, hi long, lo long, prefix array<bigint>, shingles binary"
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Documents packed into rows of about ``CHUNK_BYTES`` of text (a longer one alone)."""
-    arrow_rows(docs.sparkSession)
-    schema = arrow_schema(docs.sparkSession, CHUNK)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        from pyspark import TaskContext
-
-        squeeze, first, n = zstandard.ZstdCompressor(1), TaskContext.get().partitionId() << 32, 0
-        ids: list[int] = []
-        sizes: list[np.ndarray] = []
-        texts: list[bytes] = []
-        held = 0
-
-        def row() -> dict:
-            ptr = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
-            return {"chunk": first + n, "doc_ids": list(ids), "ptr": ptr.tobytes(), "text": squeeze.compress(b"".join(texts))}
-
-        for batch in batches:
-            data, ptr = bs.text_bytes(batch.column(1))
-            own = batch.column(0).to_pylist()
-            for i, j in bs.blocks(ptr):
-                if held and held + ptr[j] - ptr[i] > CHUNK_BYTES:
-                    yield row()
-                    ids, sizes, texts, held, n = [], [], [], 0, n + 1
-                ids += own[i:j]
-                sizes.append(np.diff(ptr[i : j + 1]))
-                texts.append(data[ptr[i] : ptr[j]].tobytes())
-                held += int(ptr[j] - ptr[i])
-        if ids:
-            yield row()
-
-    return docs.select("doc_id", "text").mapInArrow(lambda b: packed(rows(b), schema, 2), CHUNK)
-
-
-def opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    ptr = np.frombuffer(row["ptr"], np.int64)
-    return np.frombuffer(zstandard.decompress(row["text"]), np.uint8), ptr
-
-
 def shingle_sets(data: np.ndarray, ptr: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text: ``(hashes, ptr)``. A text with fewer
     than ``n`` words has its whole sequence as one; one without words has none."""
@@ -141,18 +101,6 @@ def _bucket_of(terms: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(terms, (np.arange(buckets + 1) * (1 << 40) // buckets).astype(U))
 
 
-def _squeeze(values: np.ndarray, width: int) -> bytes:
-    """Byte planes of unsigned numbers, compressed."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T).tobytes(), 1)
-
-
-def _unsqueeze(blob: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.reshape(-1).view(U)
-
-
 def ask_frequencies(table: DataFrame, n: int, buckets: int) -> DataFrame:
     """Messages of the chunks to the buckets: sorted 40-bit shingles and their counts."""
     schema = arrow_schema(table.sparkSession, ASKED)
@@ -166,13 +114,13 @@ def ask_frequencies(table: DataFrame, n: int, buckets: int) -> DataFrame:
                     own = terms[cut[b] : cut[b + 1]]
                     deltas = np.diff(own, prepend=U(0))
                     many = np.minimum(counts[cut[b] : cut[b + 1]], 1 << 24).astype(np.uint32)
-                    yield {"bucket": b, "chunk": row["chunk"], "hashes": _squeeze(deltas, 5), "counts": zstandard.compress(many.tobytes(), 1)}
+                    yield {"bucket": b, "chunk": row["chunk"], "hashes": squeeze(deltas, 5), "counts": zstandard.compress(many.tobytes(), 1)}
 
     return table.mapInArrow(lambda b: packed(rows(b), schema, 512), ASKED)
 
 
 def _answers(bucket: int, rows: list[dict]) -> Iterator[dict]:
-    terms = [np.cumsum(_unsqueeze(r["hashes"], 5), dtype=U) for r in rows]
+    terms = [np.cumsum(unsqueeze(r["hashes"], 5), dtype=U) for r in rows]
     counts = np.concatenate([np.frombuffer(zstandard.decompress(r["counts"]), np.uint32) for r in rows])
     _, number = np.unique(np.concatenate(terms), return_inverse=True)
     total = np.bincount(number, counts)

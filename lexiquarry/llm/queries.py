@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, language_id, mixing, ngram_join, quality, secret_scan, url_filter
+from . import chat_format, decontaminate, fingerprints, language_id, mixing, ngram_join, quality, secret_scan, suffix_dedup, url_filter
 
 #: Rules of op1: (verdict, host, path).
 URL_RULES = [
@@ -34,6 +34,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_suffixes(_table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_url_filters,
         op2_chat_formatting,
         op3_language_id,
+        op4_suffix_dedup,
         op5_fingerprints,
         op6_mix_sources,
         op7_quality,
