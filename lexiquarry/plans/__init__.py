@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import result_queries
+    from . import result_queries, text_queries
 
-    return [result_queries]
+    return [result_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
