@@ -11,8 +11,8 @@
    then, with connected classes known, shingles that still join different components are
    joined among all their classes. A join puts the sets into a trie (split in blocks of
    bounded size) and walks it level by level: a node's overlap with the probe is computed
-   once for all sets below it, and subtrees are cut when the words left can't reach the
-   overlap needed.
+   once for all sets below it, and subtrees are cut when what is left can't reach the
+   overlap needed. A pair is compared only under its first common shingle.
 4. Components of the links are found by star contraction.
 """
 
@@ -36,7 +36,7 @@ BLOCK_SHINGLES = 2_000_000
 U = np.uint64
 ASKED = "bucket int, chunk long, hashes binary, counts binary"
 ANSWER = "chunk long, bucket int, classes binary"
-SETS = "doc_id long, n long, hi long, lo long, prefix array<bigint>, shingles binary"
+SETS = "doc_id long, n long, hi long, lo long, prefix array<struct<c:int,token:bigint>>, shingles binary"
 
 
 def shingle_sets(data: np.ndarray, ptr: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +157,10 @@ def ordered_sets(table: DataFrame, answers: DataFrame, n: int, percent: int, par
                     order = np.lexsort((own, of))
                     own, of = own[order], of[order]
                     first = len(own) - needed(len(own), percent) + 1
-                    if (shared := own[:first][of[:first] > 0]).size:
-                        out["prefix"] = shared.view(np.int64).tolist()
+                    if (many := of[:first] > 0).any():
+                        # Flipped signs: signed numbers in the order of the hashes.
+                        signed = (own[:first][many] ^ U(1 << 63)).view(np.int64)
+                        out["prefix"] = [{"c": c, "token": t} for c, t in zip(of[:first][many].tolist(), signed.tolist())]
                         out["shingles"] = own.tobytes() + np.bincount(of, minlength=32).astype(np.uint32).tobytes()
             yield out
 
@@ -172,46 +174,53 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Prefix tree of sets in global order, kept as arrays of its levels."""
+    """Prefix tree of sets in global order, kept as arrays of its levels.
+
+    A set's path ends where no other set shares it any more; what follows is compared at
+    once, when a walk gets there.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
         """``sets``: ascending ranks, distinct within a set."""
         self.sets = sets
         keys = [s.astype(">u4").tobytes() for s in sets]
         order = sorted(range(len(sets)), key=keys.__getitem__)
-        depth_of, token, parent, ends = [], [], [], []
+        shared = np.zeros(len(sets) + 1, np.int64)
+        for k in range(1, len(order)):
+            s, t = sets[order[k - 1]], sets[order[k]]
+            m = min(len(s), len(t))
+            differ = s[:m] != t[:m]
+            at = int(differ.argmax()) if m else 0
+            shared[k] = at if m and differ[at] else m
         path = np.zeros(max(map(len, sets), default=0), np.int64)
-        before, nodes = np.zeros(0, np.int64), 0
-        for i in order:
-            s = sets[i]
-            m = min(len(s), len(before))
-            differ = np.flatnonzero(s[:m] != before[:m])
-            shared = int(differ[0]) if len(differ) else m
-            fresh = np.arange(nodes, nodes + len(s) - shared)
+        depths, tokens, parents, ends, nodes = [], [], [], [], 0
+        for k, i in enumerate(order):
+            s, low = sets[i], int(shared[k])
+            high = min(len(s), max(low, int(shared[k + 1])) + 1)
+            fresh = np.arange(nodes, nodes + high - low)
             nodes += len(fresh)
-            path[shared : len(s)] = fresh
-            depth_of.append(np.arange(shared, len(s)))
-            token.append(s[shared:])
-            parent.append(np.concatenate([path[shared - 1 : shared] if shared else np.full(1, -1), fresh[:-1]])[: len(fresh)])
-            ends.append((path[len(s) - 1], i))
-            before = s
-        depth, token, parent = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (depth_of, token, parent))
+            path[low:high] = fresh
+            depths.append(np.arange(low, high))
+            tokens.append(s[low:high])
+            parents.append(path[low - 1 : high - 1].copy() if low else np.concatenate([[-1], path[: high - 1]]))
+            ends.append((path[high - 1], i))
+        depth, token, parent = (np.concatenate([np.array(y, np.int64) for y in x]) if x else np.zeros(0, np.int64) for x in (depths, tokens, parents))
         by_level = np.argsort(depth, kind="stable")
-        place = np.empty(len(depth), np.int64)
         cut = np.searchsorted(depth[by_level], np.arange((depth.max() if len(depth) else -1) + 2))
+        place = np.empty(len(depth), np.int64)
         place[by_level] = np.arange(len(depth)) - cut[depth[by_level]]
-        self.levels = []
         stops: dict[int, list[tuple[int, int]]] = {}
         for node, i in ends:
             stops.setdefault(int(depth[node]), []).append((int(place[node]), i))
+        self.levels = []
         for d in range(len(cut) - 1):
             at = by_level[cut[d] : cut[d + 1]]
             up = place[parent[at]] if d else np.zeros(len(at), np.int64)
-            stop = np.array(stops.get(d, []), np.int64).reshape(-1, 2)
-            self.levels.append((token[at], up, stop))
+            self.levels.append((token[at], up, np.array(stops.get(d, []), np.int64).reshape(-1, 2)))
 
-    def partners(self, probe: np.ndarray, universe: int, percent: int) -> Iterator[int]:
-        """Numbers of the sets that link with ``probe``."""
+    def partners(self, probe: np.ndarray, universe: int, percent: int, skip, first: int = 0) -> Iterator[int]:
+        """Numbers of the sets that link with ``probe``, but those that ``skip``. Sets with a
+        common shingle before rank ``first`` are another task's and are cut off."""
         inside = np.zeros(universe, np.int64)
         inside[probe] = 1
         passed = np.cumsum(inside)
@@ -222,21 +231,27 @@ class Trie:
         overlap, alive = np.zeros(1, np.int64), np.ones(1, bool)
         for d, (token, up, stop) in enumerate(self.levels):
             overlap = overlap[up] + inside[token]
-            # Words of the probe gone by without a match, and words here that it lacks.
+            # Shingles of the probe gone by without a match, and shingles here that it lacks.
             alive = alive[up] & (passed[token] - overlap <= may_miss) & (d + 1 - overlap <= may_add)
+            if first:
+                alive &= (overlap == 0) | (token >= first)
             if not alive.any():
                 return
-            for at, i in stop[alive[stop[:, 0]]].tolist() if len(stop) else ():
-                both = int(overlap[at])
-                if 100 * both >= percent * (size + len(self.sets[i]) - both):
-                    yield i
+            for i in stop[alive[stop[:, 0]], 1].tolist() if len(stop) else ():
+                other = self.sets[i]
+                if percent * max(size, len(other)) <= 100 * min(size, len(other)) and not skip(i):
+                    both = inside[other]
+                    if not first or not both[: np.searchsorted(other, first)].any():
+                        k = int(both.sum())
+                        if 100 * k >= percent * (size + len(other) - k):
+                            yield i
 
 
-def join_task(rows: list[dict], percent: int) -> Iterator[dict]:
+def join_task(task: str, rows: list[dict], percent: int) -> Iterator[dict]:
     """Links among the sets of a task: of the row marked ``probe`` with the others or,
-    without one, of all rows whose components differ and stay unlinked."""
-    by_id = {r["rep"]: r for r in rows}
-    rows = list(by_id.values())
+    without one, of all rows whose components differ and stay unlinked and whose first
+    common shingle is the task's."""
+    rows = list({r["rep"]: r for r in rows}.values())
     if len(rows) < 2:
         return
     own = [unpacked(r["shingles"]) for r in rows]
@@ -253,7 +268,7 @@ def join_task(rows: list[dict], percent: int) -> Iterator[dict]:
         others = [i for i in range(len(rows)) if i not in probes]
         trie = Trie([sets[i] for i in others])
         for p in probes:
-            for i in trie.partners(sets[p], universe, percent):
+            for i in trie.partners(sets[p], universe, percent, lambda _: False):
                 yield {"a": rows[p]["rep"], "b": rows[others[i]]["rep"]}
         return
     root = {r["component"]: r["component"] for r in rows}
@@ -263,20 +278,20 @@ def join_task(rows: list[dict], percent: int) -> Iterator[dict]:
             root[x] = x = root[root[x]]
         return x
 
+    token = U(int(task.split(":")[0]) % (1 << 64)) ^ U(1 << 63)
+    first = int(rank[np.flatnonzero(h == token)[0]])
     trie = Trie(sets)
     for p, r in enumerate(rows):
-        if len({find(x) for x in root}) == 1:
-            return
-        for i in trie.partners(sets[p], universe, percent):
-            a, b = find(r["component"]), find(rows[i]["component"])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                yield {"a": r["rep"], "b": rows[i]["rep"]}
+        mine = r["component"]
+        for i in trie.partners(sets[p], universe, percent, lambda i: i <= p or find(rows[i]["component"]) == find(mine), first):
+            a, b = find(mine), find(rows[i]["component"])
+            root[max(a, b)] = min(a, b)
+            yield {"a": r["rep"], "b": rows[i]["rep"]}
 
 
 def _tasks(members: DataFrame, percent: int, parts: int) -> DataFrame:
     """Links from rows ``(task, rep, component, probe, shingles)``."""
-    return by_group(members, "task", lambda _, rows: join_task(rows, percent), "a long, b long", parts)
+    return by_group(members, "task", lambda task, rows: join_task(task, rows, percent), "a long, b long", parts)
 
 
 def star_links(active: DataFrame, tokens: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -302,15 +317,15 @@ def star_links(active: DataFrame, tokens: DataFrame, percent: int, parts: int) -
 
 def rest_links(active: DataFrame, tokens: DataFrame, known: DataFrame, percent: int, parts: int) -> DataFrame | None:
     """Links between components through shingles that still join several; None if no
-    shingle does. Shingles with the same classes are joined once."""
+    shingle does. Of shingles with the same classes the first in order stands for all."""
     placed = tokens.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = (
-        placed.groupBy("token")
+        placed.groupBy("c", "token")
         .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("rep")).alias("sig"))
         .where("x <> y")
         .groupBy("sig", "m", "s")
-        .agg(F.min("token").alias("token"))
-        .select("token", F.ceil(F.col("s") / BLOCK_SHINGLES).alias("blocks"))
+        .agg(F.min(F.struct("c", "token")).alias("f"))
+        .select(F.col("f.token").alias("token"), F.ceil(F.col("s") / BLOCK_SHINGLES).alias("blocks"))
     )
     open_ = materialise(open_)
     if open_.isEmpty():
@@ -351,7 +366,7 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     active = materialise(
         sets.where("shingles is not null").join(reps, ["hi", "lo", "n"]).where("doc_id = rep").select("rep", "n", "prefix", "shingles").dropDuplicates(["rep"])
     )
-    tokens = active.select("rep", "n", F.explode("prefix").alias("token"))
+    tokens = active.select("rep", "n", F.inline("prefix"))
     links = materialise(star_links(active, tokens, percent, parts))
     known = materialise(components(links))
     more = rest_links(active, tokens, known, percent, parts)
