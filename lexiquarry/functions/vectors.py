@@ -13,12 +13,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once (a one-element transform binds it)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(v: Column) -> Column:
     """The vector at length one; a zero vector stays zero. Similarities of unit vectors are
     dot products, so norms are computed once a row and not once a pair."""
-    v = v.cast("array<double>")
-    norm = F.sqrt(dot(v, v))
-    return F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))[0]
+
+    def scaled(x: Column) -> Column:
+        return bound(F.sqrt(dot(x, x)), lambda n: F.when(n > 0, F.transform(x, lambda y: y / n)).otherwise(x))
+
+    return bound(v.cast("array<double>"), scaled)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -41,7 +48,8 @@ def encode_text(text: Column) -> Column:
     """The same encoder for a short text in place (lower-cased words)."""
     words = F.filter(F.split(F.lower(text), r"\s+", -1), lambda w: w != "")
     buckets = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 4), 16, 10).cast("int") % DIMENSIONS)
-    return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
+    places = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+    return bound(buckets, lambda found: F.transform(places, lambda k: F.size(F.filter(found, lambda b: b == k)).cast("double")))
 
 
 def masked_mean(tokens: DataFrame, keys: list[str], vector: str, mask: str, floor: float = 1e-9) -> DataFrame:

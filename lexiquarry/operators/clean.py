@@ -54,7 +54,7 @@ def parse_list_text(value: object) -> list[str]:
     return [s for s in (str(x).strip() for x in listed) if s]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def string_lists(values: pd.Series) -> pd.Series:
     """``parse_list_text`` over a column (Python literals have no native reader)."""
     return values.map(parse_list_text)
