@@ -291,7 +291,8 @@ def _covered(p: Phrases, flags: np.ndarray, found: np.ndarray, buckets: int) ->
     plain = np.flatnonzero((flags & COMPETES > 0) & (flags & EARLIER == 0) & (flags & CROWDED == 0))
     first = np.concatenate([[0], np.cumsum(told.size[: told.n_plain])])
     mask = np.zeros(first[-1], bool)
-    mask[(first[owner] + offset)[(found > 0) & ~single] if len(owner) else []] = True
+    hits = (found > 0) & ~single
+    mask[first[owner[hits]] + offset[hits]] = True
     place = np.full(len(flags), -1, np.int64)
     place[plain] = np.arange(len(plain))
     rest = np.flatnonzero(~whole & (place[p.number] >= 0)) if len(p.number) else np.zeros(0, np.int64)
