@@ -412,9 +412,9 @@ def test_grammar_finds_unmarked_credentials():
     key = lambda n: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789", k=n))
     words = ["".join(rng.choices(["tion", "er", "ing", "an", "th"], k=5)) for _ in range(300)]
     grammar = secret_scan.Grammar({"assign": [], "access": ["AKIA" + key(16) for _ in range(200)], "hex": [], "word": words})
-    text = f"see {key(24)} and {words[0]} or internationalization2024"
+    text = f"see ASIA{key(16)} and {words[0]} or internationalization2024"
     base, more = grammar.spans(text)
-    assert not base and [text[s:e] for _, s, e in more] == [text[4:28]]
+    assert not base and [text[s:e] for _, s, e in more] == [text[4:24]]
 
 
 def test_pipeline(spark):
