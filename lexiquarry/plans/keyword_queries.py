@@ -105,7 +105,7 @@ def q_keyword_contrast(spark, sf):
 
 def _batches(spark, sf):
     k = keywords(spark, sf).select("doc_id", (F.col("kw_idx") % 3).alias("batch"), "kw_idx", F.upper("word").alias("word"), "weight")
-    t = texts(spark, sf).where("text_id < 3").select("doc_id", F.col("text_id").alias("batch"), "text")
+    t = texts(spark, sf).select("doc_id", (F.col("text_id") % 3).alias("batch"), "text")
     return k, t
 
 
@@ -124,7 +124,7 @@ def q_kw_join(spark, sf):
 
 
 def q_kw_in_text(spark, sf):
-    k = keywords(spark, sf).join(texts(spark, sf).where("text_id = 0"), "doc_id")
+    k = keywords(spark, sf).join(_docs(spark, sf).select("doc_id", "text"), "doc_id")
     return k.where(F.array_contains(F.split(F.lower("text"), r"\s+", -1), F.lower("word"))).select("doc_id", "word")
 
 
@@ -390,11 +390,11 @@ SQL = {
     "lemma_stem": f"WITH {_KW} SELECT doc_id, 'Task_' || word AS word, 'task_' || word AS lemma, 'task_' || word AS stem FROM kw",
     "keyword_contrast": f"""WITH {_KW}, v AS (SELECT doc_id, word, {_VEC.format('word')} AS u, {_VEC.format("'the task of the text'")} AS p, {_VEC.format("'an answer by a model'")} AS n FROM kw),
       d AS (SELECT doc_id, word, round(round(list_cosine_similarity(u, p), 9) - round(list_cosine_similarity(u, n), 9), 9) AS d FROM v) SELECT doc_id, word, round(d, 6) AS score_diff FROM d WHERE d > 0""",
-    "merge_keywords": rf"""WITH {_KW}, {_TEXTS}, al AS (SELECT DISTINCT doc_id, text_id AS batch, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+')) AS word FROM texts WHERE text_id < 3)
+    "merge_keywords": rf"""WITH {_KW}, {_TEXTS}, al AS (SELECT DISTINCT doc_id, text_id % 3 AS batch, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+')) AS word FROM texts)
       SELECT doc_id, kw.word, round(max(weight), 6) AS weight FROM kw JOIN al USING (doc_id, word) WHERE al.batch = kw_idx % 3 AND kw.word NOT IN ({_STOP}) AND length(kw.word) > 1 GROUP BY 1, 2""",
     "dedup_keywords": f"WITH {_KW} SELECT doc_id, word[1:4] AS word, round(max(weight), 6) AS weight FROM kw GROUP BY 1, 2",
     "kw_join": f"WITH {_KW} SELECT doc_id, word, round(weight, 6) AS weight, stem FROM kw WHERE kw_idx % 2 = 0",
-    "kw_in_text": rf"WITH {_KW}, {_TEXTS} SELECT doc_id, word FROM kw JOIN texts USING (doc_id) WHERE text_id = 0 AND list_contains(regexp_split_to_array(lower(text), '\s+'), word)",
+    "kw_in_text": rf"WITH {_KW} SELECT doc_id, word FROM kw JOIN documents USING (doc_id) WHERE list_contains(regexp_split_to_array(lower(text), '\s+'), word)",
     "kw_stop": f"WITH {_KW} SELECT doc_id, word FROM kw WHERE word NOT IN ({_STOP}) AND length(word) > 1",
     "special_tokens": r"""WITH t AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\s+')) AS token FROM conversations) SELECT conv_id, turn, count(*) AS n FROM t
       WHERE token NOT IN ('', '<s>', '</s>', '<pad>', '[CLS]', '[SEP]', '.', '?', '!', ',', '/', '//', '][') AND token NOT LIKE '<%' AND token NOT LIKE '%>' AND trim(token, '.') <> '' GROUP BY 1, 2""",
