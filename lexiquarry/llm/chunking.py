@@ -20,8 +20,8 @@ U = np.uint64
 CHUNK = "chunk long, doc_ids array<bigint>, ptr binary, text binary"
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Documents packed into rows of about ``CHUNK_BYTES`` of text (a longer one alone)."""
+def chunks(docs: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
+    """Documents packed into rows of about ``most`` bytes of text (a longer one alone)."""
     arrow_rows(docs.sparkSession)
     schema = arrow_schema(docs.sparkSession, CHUNK)
 
@@ -42,7 +42,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             data, ptr = bs.text_bytes(batch.column(1))
             own = batch.column(0).to_pylist()
             for i, j in bs.blocks(ptr):
-                if held and held + ptr[j] - ptr[i] > CHUNK_BYTES:
+                if held and held + ptr[j] - ptr[i] > most:
                     yield row()
                     ids, sizes, texts, held, n = [], [], [], 0, n + 1
                 ids += own[i:j]

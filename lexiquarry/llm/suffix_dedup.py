@@ -34,6 +34,8 @@ from .common import arrow_schema, by_group, materialise, packed, partitions
 
 #: Bytes of a removed string, of an anchor; phrases of an anchor that are sent as windows.
 LENGTH, ANCHOR, MANY = 50, 26, 512
+#: Bytes of text of a chunk; its phrases take some thirty times that.
+CHUNK_BYTES = 5 << 20
 #: Bytes that are scanned at once, to stay in a core's cache.
 SCAN_BYTES = 1 << 18
 U = np.uint64
@@ -326,7 +328,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _removed(docs: DataFrame, length: int, anchor: int, many: int, schema: str, out) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
-    table = materialise(chunks(docs))
+    table = materialise(chunks(docs, CHUNK_BYTES))
     first = materialise(by_group(ask_phrases(table, parts, length, anchor), "bucket", lambda b, rows: _judge_phrases(b, rows, many), ANSWER, parts))
     told = tell_contexts(table, first, parts, length, anchor, parts)
     second = by_group(told, "bucket", lambda b, rows: _judge_contexts(b, rows, length), ANSWER, parts)
