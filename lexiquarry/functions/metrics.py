@@ -74,16 +74,22 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 _ROUGE = re.compile(r"[a-z0-9]+")
 
 
+def _rouge(p: str | None, g: str | None) -> float:
+    a, b = _ROUGE.findall((g or "").lower()), _ROUGE.findall((p or "").lower())
+    k = common_subsequence(a, b)
+    return 2 * k / (len(a) + len(b)) if k else 0.0
+
+
 @F.pandas_udf(DoubleType())
 def rouge_l(pred: pd.Series, gold: pd.Series) -> pd.Series:
     """F-measure of the longest common subsequence of lower-case ASCII tokens."""
+    return pd.Series([_rouge(p, g) for p, g in zip(pred, gold)], dtype="float64")
 
-    def one(p: str | None, g: str | None) -> float:
-        a, b = _ROUGE.findall((g or "").lower()), _ROUGE.findall((p or "").lower())
-        k = common_subsequence(a, b)
-        return 2 * k / (len(a) + len(b)) if k else 0.0
 
-    return pd.Series([one(p, g) for p, g in zip(pred, gold)], dtype="float64")
+@F.pandas_udf(DoubleType())
+def best_rouge_l(pred: pd.Series, golds: pd.Series) -> pd.Series:
+    """Greatest ``rouge_l`` over an array of references; 0 without any."""
+    return pd.Series([max((_rouge(p, g) for g in (() if gs is None else gs)), default=0.0) for p, gs in zip(pred, golds)], dtype="float64")
 
 
 def text_metrics(reference: Column, answer: Column) -> Column:

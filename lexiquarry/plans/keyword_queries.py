@@ -277,13 +277,16 @@ def q_rouge_l(spark, sf):
 
 
 def q_metrics_rowwise(spark, sf):
-    golds = F.array("gold", "pred")
-    return pairs(spark, sf).select(
+    """The golds of a user's turn are the assistant's next turn and, if there is one, the one
+    before."""
+    before = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    golds = F.array("gold", "before")
+    return pairs(spark, sf).join(before, ["conv_id", "turn"], "left").select(
         "conv_id",
         "turn",
-        F.round(M.best_over(golds, lambda g: M.char_f1(F.substring("pred", 1, 80), g)), 4).alias("char_f1"),
-        F.round(M.token_f1(F.col("pred"), F.col("gold")), 4).alias("token_f1"),
-        M.rouge_l("pred", "gold").alias("rouge_l_f1"),
+        F.round(M.best_over(golds, lambda g: M.char_f1(F.col("pred"), g)), 4).alias("char_f1"),
+        F.round(M.best_over(golds, lambda g: M.token_f1(F.col("pred"), g)), 4).alias("token_f1"),
+        M.best_rouge_l("pred", golds).alias("rouge_l_f1"),
     )
 
 

@@ -12,6 +12,7 @@ from lexiquarry.operators import keywords as K
 from lexiquarry.operators import qa as Q
 from lexiquarry.operators import results as R
 from lexiquarry.operators import stats as S
+from lexiquarry.plans import keyword_queries
 from lexiquarry.sources import files
 
 
@@ -145,6 +146,43 @@ def test_common_subsequence():
         assert M.common_subsequence(a, b) == plain(a, b)
 
 
+def test_metrics_rowwise(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    def f1(p, g):
+        k = sum((Counter(p) & Counter(g)).values())
+        return 2 * k / (len(p) + len(g)) if k else 0.0
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return 2 * row[-1] / (len(a) + len(b)) if row[-1] else 0.0
+
+    def squad(t):
+        return re.sub(r"\b(a|an|the)\b", " ", re.sub(r"[!-/:-@\[-`{-~]", "", t.lower())).split()
+
+    long = "an answer of many words, " * 6
+    turns = [("user", "first"), ("assistant", "The tail of it."), ("user", long + "and the tail of it"), ("assistant", long), ("user", "the tail, of"), ("assistant", " "), ("user", " "), ("assistant", "x"), ("user", "unanswered")]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    expected = {}
+    for i in range(0, 8, 2):
+        p, golds = turns[i][1], [t for _, t in turns[max(i - 1, 0) : i + 2 : 2 if i else 1] if t.strip()]
+        golds = [g for g in golds if g != p] if i == 0 else golds
+        best = lambda m: max((m(g) for g in golds if p.strip()), default=0.0)  # noqa: E731, B023
+        words = lambda t: re.findall("[a-z0-9]+", t.lower())
+        expected[i] = (best(lambda g: f1(p.lower(), g.lower())), 100 * best(lambda g: f1(squad(p), squad(g))), best(lambda g: lcs(words(p), words(g))))
+    found = {r.turn: (r.char_f1, r.token_f1, r.rouge_l_f1) for r in keyword_queries.q_metrics_rowwise(spark, str(tmp_path)).collect()}
+    assert found.keys() == expected.keys()
+    for i, e in expected.items():
+        assert found[i] == pytest.approx(e, abs=6e-5)
+
+
 def test_chi2():
     assert abs(S.chi2_survival(3.841458820694124, 1) - 0.05) < 1e-9
     assert abs(S.chi2_survival(38.885138659830055, 26) - 0.05) < 1e-9
