@@ -88,11 +88,11 @@ def thresholds(initial: float = 1.5, least: float = 0.5, step: float = 0.2) -> l
     return out
 
 
-def dynamic_idf(texts: DataFrame, each: int = 3, enough: float = 0.8) -> DataFrame:
+def dynamic_idf(texts: DataFrame, each: int = 3, enough: float = 0.8, initial: float = 1.5) -> DataFrame:
     """``(doc_id, threshold, coverage)``: the first threshold whose share of texts with at
     least ``each`` kept words is greatest, going no further than the first share of
     ``enough``. The thresholds do not depend on the data, so all are tried in one pass."""
-    steps = thresholds()
+    steps = thresholds(initial)
     counts = _weighed(texts).groupBy("doc_id", "text_id").agg(*(F.count_if(F.round("idf", 9) >= round(t, 9)).alias(f"t{i}") for i, t in enumerate(steps)))
     counts = texts.select("doc_id", "text_id").join(counts, ["doc_id", "text_id"], "left")
     shares = counts.groupBy("doc_id").agg(
@@ -102,6 +102,16 @@ def dynamic_idf(texts: DataFrame, each: int = 3, enough: float = 0.8) -> DataFra
     return shares.select("doc_id", F.array_max(tried).alias("b")).select("doc_id", F.round("b.threshold", 6).alias("threshold"), F.round("b.coverage", 6).alias("coverage"))
 
 
+def dynamic_idf_filter(texts: DataFrame, initial: float = 1.5) -> DataFrame:
+    """``(doc_id, text_id, kept)``: the words that reach their document's dynamic threshold.
+    Texts of a document without any term stay whole, in lower case."""
+    kept = _weighed(texts).join(dynamic_idf(texts, initial=initial).select("doc_id", "threshold"), "doc_id").where(F.round("idf", 9) >= F.col("threshold"))
+    kept = kept.groupBy("doc_id", "text_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("kept"))
+    has_terms = F.max(F.size(terms(F.col("text"))) > 0).over(Window.partitionBy("doc_id"))
+    rows = texts.select("doc_id", "text_id", "text", has_terms.alias("_t")).join(kept, ["doc_id", "text_id"], "left")
+    return rows.select("doc_id", "text_id", F.when(F.col("_t"), F.coalesce("kept", F.lit(""))).otherwise(F.array_join(words(F.col("text")), " ")).alias("kept"))
+
+
 def characteristic(texts: DataFrame, share: float = 0.8, least_df: int = 2, weight: float = 0.1) -> DataFrame:
     """``(doc_id, text_id, word, tfidf)``: terms in at least ``least_df`` and at most ``share``
     of a document's texts whose normalised weight in a text reaches ``weight``."""

@@ -172,6 +172,11 @@ def attention(docs: DataFrame, keywords: DataFrame, references: DataFrame, quest
     return base.join(final, "doc_id", "left").select("doc_id", F.coalesce("final_text", "base_text").alias("text"), F.col("final_text").isNotNull().alias("reranked"))
 
 
+#: The strategies and answer of documents that can't be re-ranked, and a missing answer.
+NO_VALID = "--No valid answers--"
+NONE = "--None--"
+
+
 def experiment(
     docs: DataFrame,
     keywords: DataFrame,
@@ -182,14 +187,37 @@ def experiment(
     answer_strategies: list[str],
     config: PipelineConfig = PipelineConfig(),
     answerer: Answerer = rule_answerer,
+    aspect: str | None = None,
 ) -> DataFrame:
     """A row for every document, scoring mode, cluster and answer strategy with the final
-    answer and its metrics against the reference. Chunks are answered once for all modes.
+    answer and its metrics against the reference, besides the baseline's (``first_answer``,
+    ``base_cosine_sim``, ``base_lev_dist``). Chunks are answered once for all modes.
+
+    ``keywords (doc_id, kw_idx, word, weight)`` come from attention and are the batch of each
+    chunk of their document with a valid answer: they count if the chunk's words after the
+    dynamic idf filter have them, and if they are nearer to ``aspect`` (or the question) than
+    to the reference. Documents without a valid answer, a keyword or a reference have one row
+    of fillers; where no chunk has a keyword, the final answers are ``NONE``.
 
     ``modes`` maps names to the share of the attention weight in a keyword's score.
     """
-    chunks = C.build_chunks(docs, config.chunk_max_tokens, config.overlap_tokens)
-    answered = K.matched_chunks(chunks, keywords).withColumn("_a", answerer(F.lit(question), F.col("text")))
+    chunks = staged(C.build_chunks(docs, config.chunk_max_tokens, config.overlap_tokens))
+    first = staged(with_vectors(find_answers(chunks, F.lit(question), answerer)))
+    base = A.medoid(first).select(F.col("doc").alias("doc_id"), F.nullif(F.col("text"), F.lit("")).alias("first"))
+    base = docs.select("doc_id").distinct().join(base, "doc_id", "left").join(references, "doc_id", "left")
+    base = staged(base.withColumn("b", F.when(F.col("first").isNotNull() & F.col("reference").isNotNull(), M.text_metrics(F.col("reference"), F.col("first")))))
+
+    vectors = references.select("doc_id", V.unit(V.encode_text(F.col("reference"))).alias("r"))
+    valid = A.validate(first, vectors.withColumnRenamed("doc_id", "doc"), config.strict_answer_threshold, config.min_answer_threshold)
+    valid = chunks.join(valid.select(F.col("doc").alias("doc_id"), "chunk_idx"), ["doc_id", "chunk_idx"], "left_semi")
+    valid = staged(valid.select("doc_id", F.col("chunk_idx").alias("text_id"), "text"))
+    batches = keywords.select("doc_id", "kw_idx", "word", "weight").join(valid.select("doc_id", F.col("text_id").alias("batch")), "doc_id")
+    filtered = K.dynamic_idf_filter(valid, config.keyword_idf_threshold).select("doc_id", F.col("text_id").alias("batch"), F.col("kept").alias("text"))
+    merged = K.merge_batches(batches, filtered).join(vectors, "doc_id")
+    wanted = K.contrast(merged, V.unit(V.encode_text(F.lit(aspect or question))), F.col("r"))
+    wanted = staged(K.add_lemma_and_stem(wanted).select("doc_id", "kw_idx", "word", "weight", "lemma", "stem", "score_diff"))
+
+    answered = K.matched_chunks(chunks, wanted).withColumn("_a", answerer(F.lit(question), F.col("text")))
     mode = F.explode(F.array(*(F.struct(F.lit(k).alias("mode"), F.lit(float(r)).alias("ratio")) for k, r in modes.items())))
     scored = K.score_chunks(answered.withColumn("_m", mode).select("*", "_m.*"), F.col("ratio"))
     # A document in a mode is a group of its own; its number keeps the mode.
@@ -204,13 +232,28 @@ def experiment(
         V.unit(V.encode_text(F.col("_a.answer"))).alias("u"),
     ))
     chosen = A.select_clustered(rows, staged(A.greedy_clusters(rows, config.answer_cluster_threshold)), cluster_strategies, answer_strategies)
-    out = chosen.select(
+    chosen = chosen.select(
         F.floor(F.col("doc") / len(names)).alias("doc_id"),
-        F.element_at(F.array(*map(F.lit, names)), (F.col("doc") % len(names) + 1).cast("int")).alias("score_chunk_strategy"),
-        F.col("cluster_strategy").alias("choose_cluster_strategy"),
-        F.col("answer_strategy").alias("choose_answer_strategy"),
-        F.col("text").alias("final_answer"),
-    ).join(references, "doc_id")
-    return out.withColumn("m", M.text_metrics(F.col("reference"), F.col("final_answer"))).select(
-        *out.columns[:5], F.round("m.cosine_sim", 6).alias("cosine_sim"), F.col("m.lev_dist").alias("lev_dist")
+        F.element_at(F.array(*map(F.lit, names)), (F.col("doc") % len(names) + 1).cast("int")).alias("mode"),
+        "cluster_strategy",
+        "answer_strategy",
+        F.col("text").alias("chosen"),
+    )
+    each = lambda values, name: F.explode(F.array(*map(F.lit, values))).alias(name)
+    aimed = wanted.select("doc_id").distinct()
+    grid = aimed.select("doc_id", each(names, "mode")).select("*", each(cluster_strategies, "cluster_strategy")).select("*", each(answer_strategies, "answer_strategy"))
+    grid = grid.join(chosen, ["doc_id", "mode", "cluster_strategy", "answer_strategy"], "left").withColumn("known", F.lit(True))
+    out = base.join(grid, "doc_id", "left")
+    filled = lambda c: F.when(F.col("known"), F.col(c)).otherwise(NO_VALID)
+    return out.withColumn("m", F.when(F.col("chosen").isNotNull(), M.text_metrics(F.col("reference"), F.col("chosen")))).select(
+        "doc_id",
+        filled("mode").alias("score_chunk_strategy"),
+        filled("cluster_strategy").alias("choose_cluster_strategy"),
+        filled("answer_strategy").alias("choose_answer_strategy"),
+        F.when(F.col("known"), F.coalesce("chosen", F.lit(NONE))).otherwise(NO_VALID).alias("final_answer"),
+        F.round("m.cosine_sim", 6).alias("cosine_sim"),
+        F.col("m.lev_dist").alias("lev_dist"),
+        F.coalesce("first", F.lit(NONE)).alias("first_answer"),
+        F.round("b.cosine_sim", 6).alias("base_cosine_sim"),
+        F.col("b.lev_dist").alias("base_lev_dist"),
     )

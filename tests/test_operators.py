@@ -91,6 +91,26 @@ def test_baseline_and_attention(spark):
     assert row.text == "semantic segmentation"
 
 
+def test_experiment_has_all_documents(spark):
+    text = "We study images for semantic segmentation. "
+    docs = spark.createDataFrame([(1, text), (2, "Other words stand here. More follow."), (3, ""), (4, text), (5, text), (6, text)], "doc_id long, text string")
+    # 1 is re-ranked; 2 fails validation; 3 is blank; 4 has no keyword, 5 none in its text, 6 no reference.
+    kws = spark.createDataFrame([(d, 0, "Images" if d != 5 else "absent", 1.0) for d in (1, 2, 3, 5, 6)] + [(1, 1, "study", 0.5)], "doc_id long, kw_idx int, word string, weight double")
+    refs = spark.createDataFrame([(d, "semantic segmentation") for d in range(1, 6)], "doc_id long, reference string")
+    modes = {"a": 0.0, "b": 1.0}
+    rows = Q.experiment(docs, kws, refs, "images?", modes, ["largest"], ["highest_chunk_score", "combined_score"], Q.PipelineConfig(20, 2), aspect="images").collect()
+    of = {d: [r for r in rows if r.doc_id == d] for d in range(1, 7)}
+    assert {d: len(x) for d, x in of.items()} == {1: 4, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+    assert all((r.final_answer, r.cosine_sim, r.lev_dist, r.base_cosine_sim, r.base_lev_dist) == ("semantic segmentation", 1.0, 0.0, 1.0, 0.0) for r in of[1])
+    assert {(r.score_chunk_strategy, r.choose_answer_strategy) for r in of[1]} == {(m, a) for m in modes for a in ("highest_chunk_score", "combined_score")}
+    for d in range(2, 7):
+        r = of[d][0]
+        assert {r.score_chunk_strategy, r.choose_cluster_strategy, r.choose_answer_strategy, r.final_answer} == {Q.NO_VALID} and r.lev_dist is None
+    assert of[2][0].first_answer == "Other words stand here" and of[2][0].base_lev_dist > 0
+    assert (of[3][0].first_answer, of[3][0].base_lev_dist) == (Q.NONE, None)
+    assert of[6][0].first_answer == "semantic segmentation" and of[6][0].base_lev_dist is None
+
+
 def test_config():
     for bad in ({"chunk_max_tokens": 3}, {"overlap_tokens": 200}, {"min_answer_threshold": 0.95}, {"language": "de"}, {"answer_cluster_threshold": 2}):
         with pytest.raises(ValueError):
