@@ -4,8 +4,9 @@ Patterns of fixed form find the base secrets. Their values, as labelled credenti
 one prefix tree for each kind over character classes; states whose outgoing frequencies
 are statistically compatible (Hoeffding bound, checked down the subtrees) are merged, in
 breadth-first order, into a probabilistic automaton. Every other candidate token is scored
-by its likelihood under the automata against one learned from ordinary tokens; tokens that
-a credential automaton explains better by a margin are reported too.
+by its likelihood under the automata against a chain over character classes, counted from
+the ordinary tokens of all documents; tokens that a credential automaton explains better by
+a margin are reported too.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{32,}")
 HINTS = ("passw", "secret", "token", "api_key", "apikey")
-#: Tokens that the automata judge.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Tokens that the automata judge: the values that ``ASSIGN`` takes, without outer dots.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{6,}[A-Za-z0-9+/_=-]")
+#: What is judged of a token with dots that is no secret as a whole.
+PIECE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
-#: Labelled credentials of a kind, and ordinary tokens, that are learned from at most.
+#: Labelled credentials of a kind that are learned from at most.
 SAMPLE = 2000
 #: Nats by which a credential automaton must explain a token better, and that per character.
 MARGIN, MARGIN_EACH = 12.0, 0.75
@@ -65,6 +68,19 @@ def symbol(c: str) -> str:
     return "-" if c in "-_" else "+"
 
 
+CLASSES = str.maketrans({chr(i): symbol(chr(i)) for i in range(128)})
+
+
+def steps(tokens: dict[str, int]) -> Counter[str]:
+    """Steps ``class, next class`` of tokens with their numbers; a token starts at ``^``."""
+    found: Counter[str] = Counter()
+    for token, n in tokens.items():
+        of = "^" + token.translate(CLASSES) + "$"
+        for a, b in zip(of, of[1:]):
+            found[a + b] += n
+    return found
+
+
 class Automaton:
     """A probabilistic automaton merged from the prefix tree of ``samples``."""
 
@@ -141,6 +157,32 @@ class Automaton:
         return total
 
 
+class Chain:
+    """Likelihood of ordinary tokens: prefix trees merged by the last class, so that counts
+    of steps add up over documents."""
+
+    def __init__(self, counts: Counter[str]):
+        total: Counter[str] = Counter()
+        for step, n in counts.items():
+            total[step[0]] += n
+        self.cost = {a + b: math.log((counts[a + b] + 0.1) / (total[a] + 0.7) / Automaton.WIDTH[b]) for a in "^9haA-+" for b in "9haA-+"}
+
+    def score(self, token: str) -> float:
+        of = "^" + token.translate(CLASSES)
+        return sum(self.cost[a + b] for a, b in zip(of, of[1:]))
+
+
+def candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """Tokens that overlap no span."""
+    ordered, at, end = sorted((s, e) for _, s, e in spans), 0, 0
+    for m in CANDIDATE.finditer(text):
+        while at < len(ordered) and ordered[at][0] < m.end():
+            end = max(end, ordered[at][1])
+            at += 1
+        if end <= m.start():
+            yield m
+
+
 def value_of(kind: str, matched: str) -> str:
     return ASSIGN.match(matched)[2] if kind == "assign" else matched
 
@@ -170,16 +212,18 @@ class Least:
         return list(self.held.items())
 
 
-def labelled_tokens(docs: DataFrame) -> dict[str, list[str]]:
-    """Values of base matches by kind, and ordinary tokens under ``word``, from all
-    documents; of each, the ``SAMPLE`` first in order of a hash."""
+def labelled_tokens(docs: DataFrame) -> dict[str, list[str] | Counter[str]]:
+    """Values of base matches by kind, of each the ``SAMPLE`` first in order of a hash, and
+    the ``steps`` of all ordinary tokens of all documents under ``word``."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    kind = "kind string, h string, value string"
+    kind = "kind string, h string, value string, n long"
     schema = arrow_schema(spark, kind)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        least = {k: Least(SAMPLE) for k in (*KINDS, "word")}
+        least = {k: Least(SAMPLE) for k in KINDS}
+        words: Counter[str] = Counter()
+        walked: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text:
@@ -187,33 +231,37 @@ def labelled_tokens(docs: DataFrame) -> dict[str, list[str]]:
                 spans = base_spans(text)
                 for k, s, e in spans:
                     least[k].add(value_of(k, text[s:e])[:256])
-                for m in CANDIDATE.finditer(text):
-                    if not any(s < m.end() and m.start() < e for _, s, e in spans):
-                        least["word"].add(m[0][:256])
+                words.update(m[0] for m in candidates(text, spans))
+                if len(words) > 50_000:
+                    walked += steps(words)
+                    words.clear()
+        walked += steps(words)
         for k, x in least.items():
-            yield from ({"kind": k, "h": f"{h:016x}", "value": v} for v, h in x.items())
+            yield from ({"kind": k, "h": f"{h:016x}", "value": v, "n": 1} for v, h in x.items())
+        yield from ({"kind": "word", "h": "", "value": v, "n": n} for v, n in walked.items())
 
-    # The least of all are among the least of each task: a few thousand rows a task.
+    # The least of all are among the least of each task: a few thousand rows a task. Steps
+    # are a few dozen.
     tokens = materialise(docs.select("text").mapInArrow(lambda b: packed(rows(b), schema), kind))
-    found: dict[str, list[str]] = {}
-    for k in (*KINDS, "word"):
+    found: dict[str, list[str] | Counter[str]] = {}
+    for k in KINDS:
         part = tokens.where(F.col("kind") == k).distinct()
         found[k] = [r.value for r in part.orderBy("h", "value").limit(SAMPLE).collect()]
+    found["word"] = Counter({r.value: r.n for r in tokens.where("kind = 'word'").groupBy("value").agg(F.sum("n").alias("n")).collect()})
     return found
 
 
 class Grammar:
-    """Automata of all kinds with data, and of ordinary tokens."""
+    """Automata of all kinds with data, and the chain of ordinary tokens (from these, or
+    from their steps)."""
 
-    def __init__(self, tokens: dict[str, list[str]]):
+    def __init__(self, tokens: dict[str, list[str] | Counter[str]]):
         self.kinds = {k: Automaton(sorted(tokens[k])) for k in KINDS if len(tokens[k]) >= 10}
-        self.words = Automaton(sorted(tokens["word"]))
+        word = tokens["word"]
+        self.words = Chain(word if isinstance(word, Counter) else steps(Counter(word)))
         self.seen: dict[str, bool] = {}
 
     def is_secret(self, token: str) -> bool:
-        """Mixed classes only: a word of one class is never told from prose."""
-        if token.isalpha() or not any(c.isdigit() for c in token):
-            return False
         if token not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
@@ -225,9 +273,11 @@ class Grammar:
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Base spans and added ones (kind ``format``), which overlap no base span."""
         base, more = base_spans(text), []
-        for m in CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for _, s, e in base) and self.is_secret(m[0]):
+        for m in candidates(text, base):
+            if self.is_secret(m[0]):
                 more.append(("format", *m.span()))
+            elif "." in m[0]:
+                more += (("format", *p.span()) for p in PIECE.finditer(text, *m.span()) if self.is_secret(p[0]))
         return base, more
 
 

@@ -417,6 +417,28 @@ def test_grammar_finds_unmarked_credentials():
     assert not base and [text[s:e] for _, s, e in more] == [text[4:24]]
 
 
+@pytest.mark.parametrize("form", ["AA99AA99A", "AA9A.A99A.9AAA9A9A", "AAAA-AAAA-AAAA"])
+def test_grammar_finds_short_dotted_and_digit_free_credentials(form):
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choice({"A": "GHJKLMNPQRSTUVWXYZ", "9": "0123456789"}.get(c, c)) for c in form)
+    words = ["".join(rng.choices(["tion", "er", "ing", "an", "th", "ed"], k=5)) for _ in range(300)]
+    grammar = secret_scan.Grammar({"assign": [key() for _ in range(200)], "access": [], "hex": [], "word": words})
+    secret = key()
+    text = f"It was {secret}. Then {words[0]} and {words[1]}.{words[2]} came"
+    base, more = grammar.spans(text)
+    assert not base and [text[s:e] for _, s, e in more] == [secret]
+    # Glued to a word by a dot, a secret is found as a piece.
+    if "." not in form:
+        text = f"{words[0]}{words[1]}{words[2]}{words[3]}.{secret}"
+        assert [text[s:e] for _, s, e in grammar.spans(text)[1]] == [secret] or grammar.is_secret(text)
+
+
+def test_ordinary_tokens_are_learned_from_all_documents(spark):
+    rows = [(i, f"ordinary{i:05d} and token = abcdefgh{i:05d}", "en", "s") for i in range(3000)]
+    found = secret_scan.labelled_tokens(frame(spark, rows))["word"]
+    assert isinstance(found, dict) and found["^a"] == 3000 and found["9$"] == 3000 and found["99"] == 12000
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
