@@ -7,6 +7,10 @@ breadth-first order, into a probabilistic automaton. Every other candidate token
 by its likelihood under the automata against a chain over character classes, counted from
 the ordinary tokens of all documents; tokens that a credential automaton explains better by
 a margin are reported too.
+
+The margin follows from a stated rate of false finds: of tokens that the ordinary model
+makes, at most ``exp(-margin)`` reach it under one automaton (Markov's inequality for the
+likelihood ratio), and no more than the sum of these under several.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_rows, arrow_schema, materialise, packed
 
@@ -36,10 +41,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{6,}[A-Za-z0-9+/_=-]")
 #: What is judged of a token with dots that is no secret as a whole.
 PIECE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
-#: Labelled credentials of a kind that are learned from at most.
-SAMPLE = 2000
-#: Nats by which a credential automaton must explain a token better, and that per character.
-MARGIN, MARGIN_EACH = 12.0, 0.75
+#: Labelled credentials of a kind that are learned from at most, and characters of each.
+SAMPLE, VALUE_CHARS = 2000, 256
+#: Ordinary tokens that may be found, as a share, if the model of them holds.
+FALSE_RATE = 1e-6
+#: What an automaton must gain for each character, in nats, as the model of ordinary tokens
+#: (one class of context) is a rough one and its errors add up over long tokens.
+MARGIN_EACH = 0.75
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -230,7 +238,7 @@ def labelled_tokens(docs: DataFrame) -> dict[str, list[str] | Counter[str]]:
                     continue
                 spans = base_spans(text)
                 for k, s, e in spans:
-                    least[k].add(value_of(k, text[s:e])[:256])
+                    least[k].add(value_of(k, text[s:e])[:VALUE_CHARS])
                 words.update(m[0] for m in candidates(text, spans))
                 if len(words) > 50_000:
                     walked += steps(words)
@@ -259,15 +267,19 @@ class Grammar:
         self.kinds = {k: Automaton(sorted(tokens[k])) for k in KINDS if len(tokens[k]) >= 10}
         word = tokens["word"]
         self.words = Chain(word if isinstance(word, Counter) else steps(Counter(word)))
+        self.margin = math.log(max(len(self.kinds), 1) / FALSE_RATE)
         self.seen: dict[str, bool] = {}
 
+    def gain(self, token: str) -> float:
+        """Nats by which the best automaton explains a token better than the chain."""
+        return max((a.score(token) for a in self.kinds.values()), default=-math.inf) - self.words.score(token)
+
     def is_secret(self, token: str) -> bool:
         if token not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            plain = self.words.score(token)
-            gain = max((a.score(token) for a in self.kinds.values()), default=-math.inf) - plain
-            self.seen[token] = gain > MARGIN and gain > MARGIN_EACH * len(token)
+            gain = self.gain(token)
+            self.seen[token] = gain > self.margin and gain > MARGIN_EACH * len(token)
         return self.seen[token]
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -319,8 +331,14 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with all found spans replaced by ``mark`` in ``text``; ``n_chars``, where
-    there is such a column, follows. Other columns and rows stay as they are."""
+    there is such a column of whole numbers, follows. Spans that overlap are one.
+
+    Null and empty texts, other columns (whatever their names) and all rows stay as they
+    are; repeated rows are treated alike; long texts go through whole; an empty table gives
+    an empty result.
+    """
     spark = docs.sparkSession
+    counted = dict(docs.dtypes).get("n_chars") in ("tinyint", "smallint", "int", "bigint")
     grammar = spark.sparkContext.broadcast(Grammar(labelled_tokens(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,12 +346,14 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             at = batch.schema.get_field_index("text")
             texts = [_redacted(grammar.value, t, mark) for t in batch.column(at).to_pylist()]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            if (n := batch.schema.get_field_index("n_chars")) >= 0:
+            if counted:
+                n = batch.schema.get_field_index("n_chars")
                 lengths = [None if t is None else len(t) for t in texts]
                 batch = batch.set_column(n, batch.schema.field(n), pa.array(lengths, batch.schema.field(n).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    # Null texts have no length, whatever the column allowed before.
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name == "n_chars", f.metadata) for f in docs.schema]))
 
 
 def _redacted(grammar: Grammar, text: str | None, mark: str) -> str | None:
