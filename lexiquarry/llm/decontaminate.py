@@ -2,7 +2,8 @@
 
 The index is cut by documents, as in search engines: a segment holds the postings of some
 whole documents (positions of each benchmark term, ascending), written to the shared
-folder. The benchmark, in blocks of bounded size, is asked of all segments. A window of
+folder. It is built once, for the terms of the whole benchmark; the benchmark's windows, in
+blocks of bounded size, are then asked of all segments. A window of
 benchmark words is looked up from its rarest term, by term counts over all segments: the
 list of that term, shifted by the term's offset, is intersected with the other terms'
 shifted lists until it is empty or only phrase occurrences are left. With ``slop`` a term
@@ -12,13 +13,14 @@ may stand that many words from its place (proximity matches).
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
@@ -27,9 +29,11 @@ from .common import arrow_rows, arrow_schema, broadcast_if_small, materialise, p
 WINDOW = 13
 #: Words of benchmark items that are asked at once; a longer benchmark goes in blocks.
 BLOCK_WORDS = 2_000_000
+#: Distinct words of a benchmark at most.
+MOST_TERMS = 50_000_000
 #: Text of a segment.
 SEGMENT_BYTES = 4 << 20
-SEGMENT = "doc_ids array<bigint>, keys array<bigint>, n_words binary, counts binary, postings binary"
+SEGMENT = "segment long, doc_ids array<bigint>, n_words binary, counts binary, postings binary"
 
 
 def item_windows(text: str | None, window: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -41,25 +45,22 @@ def item_windows(text: str | None, window: int = WINDOW) -> list[tuple[bytes, ..
 
 
 class Questions:
-    """Windows of a block of benchmark items as term numbers."""
+    """Windows of a block of benchmark items as numbers in the benchmark's vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str, str | None]], window: int, vocabulary: np.ndarray, counts: np.ndarray):
         owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item_id, text in items:
             for w in item_windows(text, window):
                 owners[w].add(item_id)
-        hashes = {w: int(h) for w, h in _hashes({t for win in owners for t in win}).items()}
-        self.vocabulary = np.array(sorted(set(hashes.values())), np.uint64)
-        number = {int(h): i for i, h in enumerate(self.vocabulary)}
-        self.windows = [np.array([number[hashes[t]] for t in win]) for win in owners]
+        hashes = _hashes({t for win in owners for t in win})
+        number = {t: int(np.searchsorted(vocabulary, h)) for t, h in hashes.items()}
+        self.windows = [np.array([number[t] for t in win]) for win in owners]
         self.owners = [tuple(sorted(x)) for x in owners.values()]
-        self.width = max([window, *map(len, self.windows)])
-
-    def order(self, counts: np.ndarray) -> None:
-        """Rarest terms first, by their counts over all segments."""
+        # Rarest terms first, by their counts over all segments.
         self.orders = [np.argsort(counts[w], kind="stable") for w in self.windows]
-        self.by_width = {n: (np.flatnonzero([len(w) == n for w in self.windows])) for n in {len(w) for w in self.windows}}
-        self.matrix = {n: np.stack([self.windows[i] for i in at]) for n, at in self.by_width.items()}
+        by_width = {n: (np.flatnonzero([len(w) == n for w in self.windows])) for n in {len(w) for w in self.windows}}
+        self.by_width = by_width
+        self.matrix = {n: np.stack([self.windows[i] for i in at]) for n, at in by_width.items()}
 
 
 def _hashes(terms: set[bytes]) -> dict[bytes, np.uint64]:
@@ -70,6 +71,26 @@ def _hashes(terms: set[bytes]) -> dict[bytes, np.uint64]:
     return dict(zip(listed, bs.word_hashes(data, np.concatenate([[0], ends[:-1]]), ends)))
 
 
+def benchmark_terms(benchmark: DataFrame) -> np.ndarray:
+    """Sorted hashes of the distinct words of all items. A benchmark's vocabulary grows slowly with it; the hashes are eight bytes a
+    word, up to ``MOST_TERMS``."""
+    arrow_rows(benchmark.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ptr = bs.text_bytes(batch.column(0))
+            for i, j in bs.blocks(ptr):
+                text = bs.lower_ascii(data[ptr[i] : ptr[j]])
+                starts, ends, _ = bs.words(text, ptr[i : j + 1] - ptr[i], bs.separators("plain"))
+                yield pa.RecordBatch.from_pydict({"term": np.unique(bs.word_hashes(text, starts, ends)).view(np.int64)})
+
+    found = benchmark.select("text").mapInArrow(rows, "term long").distinct()
+    listed = [r.term for r in found.limit(MOST_TERMS + 1).toLocalIterator()]
+    if len(listed) > MOST_TERMS:
+        raise ValueError(f"the benchmark has over {MOST_TERMS} distinct words; ask it in parts")
+    return np.unique(np.array(listed, np.int64).view(np.uint64))
+
+
 def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
     """Segments of the positional index of ``docs`` over the terms of ``vocabulary``.
 
@@ -82,10 +103,12 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
     schema = arrow_schema(spark, SEGMENT)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        terms, sep = shared.value, bs.separators("plain")
+        from pyspark import TaskContext
+
+        terms, sep, segment = shared.value, bs.separators("plain"), TaskContext.get().partitionId() << 32
         for batch in batches:
             data, ptr = bs.text_bytes(batch.column(1))
-            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids = batch.column(0).to_pylist()
             for i, j in bs.blocks(ptr, SEGMENT_BYTES):
                 own = ptr[i : j + 1] - ptr[i]
                 text = bs.lower_ascii(data[ptr[i] : ptr[j]])
@@ -99,17 +122,18 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
                 by_term = np.argsort(term, kind="stable")
                 listed = np.diff(position[by_term], prepend=np.uint32(0)).astype(np.uint32)
                 yield {
+                    "segment": segment,
                     "doc_ids": ids[i:j],
-                    "keys": keys[i:j],
                     "n_words": np.diff(range_).astype(np.int32).tobytes(),
                     "counts": zstandard.compress(np.bincount(term, minlength=len(terms)).astype(np.uint32).tobytes(), 1),
                     "postings": zstandard.compress(listed.view(np.uint8).reshape(-1, 4).T.tobytes(), 1),
                 }
+                segment += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed(rows(batches), schema, 4)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, SEGMENT)
+    return docs.select("doc_id", "text").mapInArrow(run, SEGMENT)
 
 
 def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -159,53 +183,83 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n_words, counts, np.cumsum(deltas, dtype=np.uint32).astype(np.int64)
 
 
-def _blocks(benchmark: DataFrame, window: int) -> Iterator[Questions]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
     """The benchmark in blocks of at most ``BLOCK_WORDS`` words, or one longer item."""
     held, size = [], 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text").toLocalIterator():
         held.append((row.id, row.text))
         size += len(row.text or "") // 4
         if size >= BLOCK_WORDS:
-            yield Questions(held, window)
+            yield held
             held, size = [], 0
-    yield Questions(held, window)
+    if held:
+        yield held
 
 
-def _asked(docs: DataFrame, benchmark: DataFrame, window: int, slop: int) -> Iterator[tuple[DataFrame, Questions, int]]:
-    for ask in _blocks(benchmark, window):
-        gap = ask.width + slop + 1
-        vocabulary = ask.vocabulary if len(ask.vocabulary) else np.zeros(1, np.uint64)
-        index = materialise(build_index(docs, vocabulary, gap))
-        ask.order(term_counts(index, len(vocabulary)))
-        yield index, ask, gap
+def _asked(docs: DataFrame, benchmark: DataFrame, window: int, slop: int) -> tuple[DataFrame, Iterator[Questions], int]:
+    """The index, the blocks of questions (one at a time) and the gap between documents."""
+    gap = window + slop + 1
+    vocabulary = benchmark_terms(benchmark)
+    vocabulary = vocabulary if len(vocabulary) else np.zeros(1, np.uint64)
+    index = materialise(build_index(docs, vocabulary, gap))
+    counts = term_counts(index, len(vocabulary))
+    return index, (Questions(items, window, vocabulary, counts) for items in _blocks(benchmark)), gap
+
+
+def _each_block(index: DataFrame, asked: Iterator[Questions], answer, schema: str) -> DataFrame:
+    """``answer(row, questions)`` over all segments, block by block. With several blocks
+    each one's answers are written before the next is read, so the driver holds one."""
+    spark, fields = index.sparkSession, arrow_schema(index.sparkSession, schema)
+
+    def part(ask: Questions):
+        shared = spark.sparkContext.broadcast(ask)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from packed((x for batch in batches for row in batch.to_pylist() for x in answer(row, shared.value)), fields)
+
+        return index.mapInArrow(run, schema), shared
+
+    first = next(asked, None)
+    if first is None:
+        first = Questions([], 1, np.zeros(1, np.uint64), np.zeros(1, np.int64))
+    second = next(asked, None)
+    if second is None:
+        return part(first)[0]
+    out: DataFrame | None = None
+    for ask in itertools.chain([first, second], asked):
+        found, shared = part(ask)
+        found = materialise(found)
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """All occurrences of benchmark windows: ``(doc_id, item_id, start, n)`` by words.
 
-    ``slop`` 0 gives exact phrases; otherwise each word may stand up to ``slop`` words from
-    its place relative to the window's rarest word. ``item_id`` is a string.
+    ``slop`` 0 gives exact phrases. Else these are proximity matches: at each place of the
+    window's rarest word (by all documents; the first of equally rare ones), every other
+    word must stand up to ``slop`` words from its own place. ``start`` is where the window
+    starts if the rarest word is in place; it can lie before the document.
+    ``item_id`` is a string, ``null`` for none.
+
+    Null and empty texts match nothing; items without words ask nothing. Repeated rows give
+    their matches each, items with equal id and windows one. Empty tables give an empty
+    result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    out: DataFrame | None = None
-    for index, ask, gap in _asked(docs, benchmark, window, slop):
-        shared = spark.sparkContext.broadcast(ask)
-        schema = arrow_schema(spark, "doc_id long, item_id string, start long, n int")
-
-        def rows(batches, shared=shared, gap=gap):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    n_words, counts, postings = _open(row)
-                    base = np.concatenate([[0], np.cumsum(n_words + gap)])
-                    for w, starts in segment_matches(shared.value, counts, postings, slop):
-                        for s in starts.tolist():
-                            d = int(np.searchsorted(base, s + slop, "right")) - 1
-                            for item in shared.value.owners[w]:
-                                yield {"doc_id": row["doc_ids"][d], "item_id": item, "start": s - int(base[d]), "n": len(shared.value.windows[w])}
-
-        part = index.mapInArrow(lambda b, rows=rows, schema=schema: packed(rows(b), schema), "doc_id long, item_id string, start long, n int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    index, asked, gap = _asked(docs, benchmark, window, slop)
+
+    def answer(row: dict, ask: Questions) -> Iterator[dict]:
+        n_words, counts, postings = _open(row)
+        base = np.concatenate([[0], np.cumsum(n_words.astype(np.int64) + gap)])
+        for w, starts in segment_matches(ask, counts, postings, slop):
+            # The rarest word is inside the document, whatever the start.
+            of = np.searchsorted(base, starts + int(ask.orders[w][0]), "right") - 1
+            for s, d in zip(starts.tolist(), of.tolist()):
+                for item in ask.owners[w]:
+                    yield {"doc_id": row["doc_ids"][d], "item_id": item, "start": s - int(base[d]), "n": len(ask.windows[w])}
+
+    return _each_block(index, asked, answer, "doc_id long, item_id string, start long, n int")
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -224,12 +278,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     row, repeated ids too; empty tables give empty results or no hits; other columns are
     ignored.
     """
-    spark = docs.sparkSession
-    asked = list(_asked(docs, benchmark, window, 0))
-    if len(asked) == 1:
-        index, ask, gap = asked[0]
-        return _judged(spark, index, ask, gap, parts)
-    return _judged_in_blocks(spark, asked, parts)
+    index, asked, gap = _asked(docs, benchmark, window, 0)
+    first = next(asked, None)
+    second = next(asked, None)
+    asked = itertools.chain((x for x in (first, second) if x is not None), asked)
+    if second is None:
+        return _judged(index, asked, gap, parts)
+    return _judged_in_blocks(index, asked, gap, parts)
 
 
 def _hits(row: dict, ask: Questions, gap: int) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
@@ -257,63 +312,59 @@ def _verdict(doc_id: int | None, n_words: int, n_hit: int, items: set[str], part
     }
 
 
-def _judged(spark: SparkSession, index: DataFrame, ask: Questions, gap: int, parts: int) -> DataFrame:
-    shared, schema = spark.sparkContext.broadcast(ask), arrow_schema(spark, RESULT)
+def _judged(index: DataFrame, asked: Iterator[Questions], gap: int, parts: int) -> DataFrame:
+    def answer(row: dict, ask: Questions) -> Iterator[dict]:
+        n_words, covered, items = _hits(row, ask, gap)
+        base = np.concatenate([[0], np.cumsum(n_words.astype(np.int64) + gap)])
+        sums = np.concatenate([[0], np.cumsum(covered)])
+        n_hit = sums[base[1:]] - sums[base[:-1]]
+        for d, doc_id in enumerate(row["doc_ids"]):
+            yield _verdict(doc_id, int(n_words[d]), int(n_hit[d]), items.get(d, set()), parts)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n_words, covered, items = _hits(row, shared.value, gap)
-                base = np.concatenate([[0], np.cumsum(n_words.astype(np.int64) + gap)])
-                sums = np.concatenate([[0], np.cumsum(covered)])
-                n_hit = sums[base[1:]] - sums[base[:-1]]
-                for d, doc_id in enumerate(row["doc_ids"]):
-                    yield _verdict(doc_id, int(n_words[d]), int(n_hit[d]), items.get(d, set()), parts)
+    return _each_block(index, asked, answer, RESULT)
 
-    return index.mapInArrow(lambda batches: packed(rows(batches), schema), RESULT)
 
+def _judged_in_blocks(index: DataFrame, asked: Iterator[Questions], gap: int, parts: int) -> DataFrame:
+    """With several blocks of items: documents without a hit are settled by the index; hits
+    of the others meet, packed, under their number, segment and place."""
+    kind = "segment long, place int, covered binary, items array<string>"
 
-def _judged_in_blocks(spark: SparkSession, asked: list, parts: int) -> DataFrame:
-    """With several blocks of items: hits of a document meet, packed, under a hash of it."""
-    kind = "doc_id long, key long, n_words long, covered binary, items array<string>"
-    schema, out = arrow_schema(spark, kind), None
-    for index, ask, gap in asked:
-        shared = spark.sparkContext.broadcast(ask)
+    def answer(row: dict, ask: Questions) -> Iterator[dict]:
+        n_words, covered, items = _hits(row, ask, gap)
+        base = np.concatenate([[0], np.cumsum(n_words.astype(np.int64) + gap)])
+        for d in sorted(items):
+            own = np.packbits(covered[base[d] : base[d] + n_words[d]]).tobytes()
+            yield {"segment": row["segment"], "place": d, "covered": own, "items": sorted(items[d])}
 
-        def rows(batches, shared=shared, gap=gap):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    n_words, covered, items = _hits(row, shared.value, gap)
-                    base = np.concatenate([[0], np.cumsum(n_words.astype(np.int64) + gap)])
-                    for d, doc_id in enumerate(row["doc_ids"]):
-                        own = np.packbits(covered[base[d] : base[d] + n_words[d]]).tobytes() if d in items else None
-                        yield {"doc_id": doc_id, "key": row["keys"][d], "n_words": int(n_words[d]), "covered": own, "items": sorted(items.get(d, ()))}
-
-        part = index.mapInArrow(lambda b, rows=rows: packed(rows(b), schema), kind)
-        out = part if out is None else out.unionByName(part)
-    # Equal doc_id and text in one block are repeated documents.
-    final, n_blocks = arrow_schema(spark, RESULT), len(asked)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[dict]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    bits = [np.frombuffer(x, np.uint8) for x in row["covers"]]
-                    covered = np.bitwise_or.reduce(bits) if bits else np.zeros(0, np.uint8)
-                    for _ in range(row["copies"] // n_blocks):
-                        yield _verdict(row["doc_id"], row["n_words"], int(np.unpackbits(covered).sum()), set(row["ids"]), parts)
-
-        yield from packed(each(), final)
-
-    grouped = out.groupBy("doc_id", "key", "n_words").agg(
-        F.count(F.lit(1)).alias("copies"), F.collect_set("covered").alias("covers"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids")
-    )
-    return grouped.mapInArrow(merged, RESULT)
+    out = _each_block(index, asked, answer, kind)
+    hit = out.groupBy("segment", "place").agg(F.collect_list("covered").alias("covers"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("ids"))
+    words = "segment long, place int, doc_id long, n_words long"
+    schema, final = arrow_schema(index.sparkSession, words), arrow_schema(index.sparkSession, RESULT)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for d, (doc_id, n) in enumerate(zip(row["doc_ids"], np.frombuffer(row["n_words"], np.int32).tolist())):
+                    yield {"segment": row["segment"], "place": d, "doc_id": doc_id, "n_words": n}
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bits = [np.frombuffer(x, np.uint8) for x in row["covers"] or ()]
+                covered = np.bitwise_or.reduce(bits) if bits else np.zeros(0, np.uint8)
+                yield _verdict(row["doc_id"], row["n_words"], int(np.unpackbits(covered).sum()), set(row["ids"] or ()), parts)
+
+    docs = index.select("segment", "doc_ids", "n_words").mapInArrow(lambda b: packed(listed(b), schema), words)
+    return docs.join(hit, ["segment", "place"], "left").select("doc_id", "n_words", "covers", "ids").mapInArrow(lambda b: packed(merged(b), final), RESULT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, parts: int = 20) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not of a contaminated document; rows without a
-    doc_id can't be told apart and stay."""
+    """The rows of ``docs`` whose doc_id is not of a contaminated document.
+
+    Rows without a doc_id can't be told apart and stay. Null and empty texts are clean. Of
+    repeated ids all rows go if one is contaminated; else all stay. Empty tables give an
+    empty result, or all rows; columns stay as they are, whatever their names.
+    """
     judged = decontaminate(docs, benchmark, window, parts)
     bad = judged.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(broadcast_if_small(materialise(bad)), F.col("doc_id") == F.col("__bad"), "left_anti")
