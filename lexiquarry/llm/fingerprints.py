@@ -10,17 +10,21 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, arrow_schema, materialise, packed, partitions
 
 
+#: Digests of several texts that are handled as literals; more are joined.
+FEW_CLASHES = 1000
+
+
 def canonical(text: str | None) -> bytes:
     """NFKC, case-folded, NFKC again (folding can undo it), white space folded."""
     text = text or ""
@@ -35,7 +39,10 @@ def digest(form: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(form)
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+Digest = Callable[[bytes], str]
+
+
+def exact_groups(docs: DataFrame, digest: Digest = digest) -> DataFrame:
     """Buckets of equal canonical texts: ``(digest, form, n_docs, first_doc)``.
 
     ``form`` is the compressed canonical text; grouping by digest and form compares bytes,
@@ -65,7 +72,7 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 _INNER = RESULT + ", form_sha string, edited_form_sha string, edge int, text string"
 
 
-def _judge(doc_id: int, text: str, following: str) -> dict:
+def _judge(doc_id: int, text: str, following: str, digest: Digest) -> dict:
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
     forms = [canonical(x) for x in (text, edited, following)]
@@ -82,7 +89,7 @@ def _judge(doc_id: int, text: str, following: str) -> dict:
     }
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, digest: Digest = digest) -> DataFrame:
     """Fingerprints of every document, of its text with the last half replaced by the start
     of the next document's, and their likenesses (columns of ``RESULT``).
 
@@ -92,8 +99,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     Repeated rows stand next to each other and give a row each; an empty table gives an
     empty result; other columns are ignored.
 
-    Texts are shuffled once, by ranges of doc_id. The last document of a range finds its
-    successor among the first ones of the ranges (two rows a partition).
+    Texts are shuffled once, by ranges of doc_id. The last document of a range meets the
+    first one of the next range in a join by the ranges' numbers (two rows a partition).
+    Where different canonical texts have one digest, all fingerprints of that digest are
+    lengthened by the text's SHA-256.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -107,7 +116,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 if held is None:
                     yield {"doc_id": doc_id, "edge": 1, "text": text}
                 else:
-                    yield _judge(*held, text) | {"edge": 0}
+                    yield _judge(*held, text, digest) | {"edge": 0}
                 held = doc_id, text
         if held is not None:
             yield {"doc_id": held[0], "edge": 2, "text": held[1]}
@@ -116,18 +125,25 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     ordered = ordered.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     part = ordered.mapInArrow(lambda b: packed(rows(b), schema), _INNER)
     stored = materialise(part.withColumn("part", F.spark_partition_id()))
-    inner = stored.where("edge = 0")
     # Ids are not split between ranges, so partition numbers order the edges.
-    edges = [r for r in stored.where("edge > 0").select("part", "edge", "doc_id", "text").orderBy("part", "edge").toLocalIterator()]
-    firsts, lasts = [r for r in edges if r.edge == 1], [r for r in edges if r.edge == 2]
-    joins = [_judge(last.doc_id, last.text, firsts[(i + 1) % len(firsts)].text) for i, last in enumerate(lasts)]
+    ranges = Window.orderBy("part")
+    numbers = stored.where("edge = 1").select("part").withColumn("next", F.coalesce(F.lead("part").over(ranges), F.min("part").over(Window.partitionBy())))
+    lasts = stored.where("edge = 2").select("part", "doc_id", "text")
+    firsts = stored.where("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    met = lasts.join(numbers, "part").join(firsts, "next").select("doc_id", "text", "following")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _judge(row["doc_id"], row["text"], row["following"], digest) | {"edge": 0}
+
     columns = [*arrow_schema(spark, RESULT).names, "form_sha", "edited_form_sha"]
-    kind = RESULT + ", form_sha string, edited_form_sha string"
-    found = inner.select(columns).unionByName(spark.createDataFrame([tuple(j[c] for c in columns) for j in joins], kind))
+    joins = met.mapInArrow(lambda b: packed(judged(b), schema), _INNER)
+    found = stored.where("edge = 0").select(columns).unionByName(joins.select(columns))
 
-    clash = collisions(exact_groups(docs)).withColumn("clash", F.lit(True))
-    digests = [r.digest for r in clash.limit(1001).collect()]
-    if len(digests) > 1000:  # no longer a proven bound
+    clash = collisions(exact_groups(docs, digest)).withColumn("clash", F.lit(True))
+    digests = [r.digest for r in clash.limit(FEW_CLASHES + 1).collect()]
+    if len(digests) > FEW_CLASHES:  # no longer a proven bound
         for name, sha in (("fingerprint", "form_sha"), ("edited_fingerprint", "edited_form_sha")):
             found = found.join(clash.withColumnRenamed("digest", name), name, "left").withColumn(
                 name, F.when(F.col("clash"), F.concat_ws("-", name, sha)).otherwise(F.col(name))
