@@ -33,7 +33,7 @@ def _against_best(spark, sf) -> DataFrame:
 
 
 def _tests(spark, sf) -> DataFrame:
-    return S.wilcoxon(_against_best(spark, sf)).select("combo", F.round(S.normal_p(F.col("w"), F.col("n")), 9).alias("p"))
+    return S.wilcoxon(_against_best(spark, sf)).select("combo", F.round("p", 9).alias("p"))
 
 
 def q_parse_metrics(spark, sf):
@@ -158,11 +158,11 @@ def q_nemenyi_ranks(spark, sf):
 
 
 def q_wilcoxon_w(spark, sf):
-    return S.wilcoxon(_against_best(spark, sf))
+    return S.wilcoxon(_against_best(spark, sf)).withColumn("p", F.round("p", 6))
 
 
 def q_wilcoxon_zero(spark, sf):
-    return S.wilcoxon(_samples(spark, sf).select("combo", F.col("x").alias("d")))
+    return S.wilcoxon(_samples(spark, sf).select("combo", F.col("x").alias("d"))).withColumn("p", F.round("p", 6))
 
 
 def q_effect_r(spark, sf):
@@ -213,11 +213,21 @@ _X = """x AS (SELECT doc_id, score_chunk_strategy || '_' || choose_cluster_strat
 _R = """, r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS ties, count(*) OVER (PARTITION BY doc_id) AS k,
   rank() OVER (PARTITION BY doc_id ORDER BY x) + (count(*) OVER (PARTITION BY doc_id, x) - 1) / 2 AS r FROM x)"""
 _DIFF = f""", diff AS (SELECT o.combo, b.x - o.x AS d FROM x o JOIN x b USING (doc_id) WHERE b.combo = '{BEST}' AND o.combo <> '{BEST}')"""
-_W = """, sr AS (SELECT combo, d, rank() OVER (PARTITION BY combo ORDER BY abs(d)) + (count(*) OVER (PARTITION BY combo, abs(d)) - 1) / 2 AS r
-  FROM diff WHERE d <> 0),
-w AS (SELECT combo, count(*)::BIGINT AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus,
-  least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM sr GROUP BY combo)"""
-_P = """, t AS (SELECT combo, round(exp(-pow(abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 2) / 2), 9) AS p FROM w)"""
+# Areas under curves by Simpson's rule, where the operators sum series.
+_SIMPSON = "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {})) / 3"
+_NORMAL = "(1 - 2 / sqrt(2 * pi()) * " + _SIMPSON.format("exp(-pow(i * least(abs(z), 9) / 2000, 2) / 2)") + " * least(abs(z), 9) / 2000)"
+_STUDENT = (
+    "(1 - 2 * " + _SIMPSON.format("pow(cos(i * atan(abs(t) / sqrt(freedom)) / 2000), freedom - 1)") + " * atan(abs(t) / sqrt(freedom)) / 2000 * "
+    "exp(lgamma((freedom + 1) / 2) - lgamma(freedom / 2)) / sqrt(pi()))"
+)
+_CHI2 = "list_sum(list_transform(range(0, ((k - 1) // 2)::BIGINT), lambda i: exp(i * ln(statistic / 2) - statistic / 2 - lgamma(i + 1))))"
+_W = f""", sr AS (SELECT combo, d, rank() OVER (PARTITION BY combo ORDER BY abs(d)) + (count(*) OVER (PARTITION BY combo, abs(d)) - 1) / 2 AS r,
+    count(*) OVER (PARTITION BY combo, abs(d)) AS tied FROM diff WHERE d <> 0),
+w0 AS (SELECT combo, count(*)::BIGINT AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus,
+  least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w, sum(tied * tied - 1) AS ties FROM sr GROUP BY combo),
+w1 AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w0),
+w AS (SELECT combo, n, w_plus, w_minus, w, {_NORMAL} AS p FROM w1)"""
+_P = """, t AS (SELECT combo, round(p, 9) AS p FROM w)"""
 _STATS = f"{_WITH}, {_X}"
 
 SQL = {
@@ -271,26 +281,28 @@ SQL = {
     "strategy_filters": f"""{_WITH} SELECT doc_id, score_chunk_strategy FROM e WHERE corrected_metrics <> '--None--' AND score_chunk_strategy IN
       ('only_weight', 'equal_weight_score_diff') AND overall_improved AND choose_cluster_strategy = 'weighted_score' AND choose_answer_strategy = 'combined_score'""",
     "friedman_stat": f"""{_STATS} {_R}, f AS (SELECT * FROM r WHERE k = (SELECT max(k) FROM r)), b AS (SELECT combo, sum(r) AS rs, count(*) AS n, any_value(k) AS k FROM f GROUP BY 1),
-      u AS (SELECT sum(rs * rs) AS ss, max(n) AS n, max(k) AS k FROM b), g AS (SELECT sum(ties * ties - 1) AS t FROM f)
-      SELECT n, k, round((12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - t / (n * (k * k * k - k))), 6) AS statistic FROM u, g""",
+      u AS (SELECT sum(rs * rs) AS ss, max(n) AS n, max(k) AS k FROM b), g AS (SELECT sum(ties * ties - 1) AS t FROM f),
+      v AS (SELECT n, k, round((12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - t / (n * (k * k * k - k))), 6) AS statistic FROM u, g)
+      SELECT n, k, statistic, round({_CHI2}, 6) AS p FROM v""",
     "nemenyi_ranks": f"""{_STATS} {_R}, m AS (SELECT combo, avg(r) AS m FROM r GROUP BY 1)
       SELECT combo, round(m, 6) AS mean_rank, round(max(m) OVER () - m, 6) AS behind_best FROM m""",
-    "wilcoxon_w": f"{_STATS} {_DIFF} {_W} SELECT * FROM w",
-    "wilcoxon_zero": f"{_STATS}, diff AS (SELECT combo, x AS d FROM x) {_W} SELECT * FROM w",
+    "wilcoxon_w": f"{_STATS} {_DIFF} {_W} SELECT * REPLACE (round(p, 6) AS p) FROM w",
+    "wilcoxon_zero": f"{_STATS}, diff AS (SELECT combo, x AS d FROM x) {_W} SELECT * REPLACE (round(p, 6) AS p) FROM w",
     "effect_r": f"""{_STATS} {_DIFF} {_W}, v AS (SELECT combo, n, w, abs(w / sqrt(n * (n + 1) * (2 * n + 1) / 6)) / sqrt(n) AS r FROM w)
       SELECT combo, n, w, round(r, 6) AS r, CASE WHEN r < 0.1 THEN 'negligible' WHEN r < 0.3 THEN 'small' WHEN r < 0.5 THEN 'medium' ELSE 'large' END AS effect FROM v""",
     "fdr_bh": f"""{_STATS} {_DIFF} {_W} {_P}, q AS (SELECT *, row_number() OVER (ORDER BY p, combo) AS k, count(*) OVER () AS m FROM t)
       SELECT combo, round(least(min(p * m / k) OVER (ORDER BY k DESC), 1), 6) AS p_adjusted FROM q""",
     "bonferroni": f"{_STATS} {_DIFF} {_W} {_P} SELECT combo, round(p * count(*) OVER (), 6) AS p_adjusted FROM t",
     "cliffs_delta": f"""{_STATS}, v AS (SELECT o.combo, round(avg(sign(b.x - o.x)), 9) AS delta FROM x o, x b WHERE b.combo = '{BEST}' AND o.combo <> '{BEST}' GROUP BY 1)
-      SELECT *, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM v""",
+      SELECT *, CASE WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM v""",
     "practical_sig": f"""{_STATS} SELECT combo, round(count(*) FILTER (x > 0.05) / count(x) * 100, 6) AS gain_pct, round(count(*) FILTER (x < -0.05) / count(x) * 100, 6) AS loss_pct,
       round(count(*) FILTER (abs(x) <= 0.05) / count(x) * 100, 6) AS same_pct, round(quantile_cont(x, 0.5), 6) AS median,
       round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr FROM x GROUP BY 1""",
     "welch_t": f"""{_STATS}, m AS (SELECT avg(x) FILTER (combo = '{BEST}') AS m0, avg(x) FILTER (combo = '{OTHERS[0]}') AS m1,
       var_samp(x) FILTER (combo = '{BEST}') / count(*) FILTER (combo = '{BEST}') AS a, var_samp(x) FILTER (combo = '{OTHERS[0]}') / count(*) FILTER (combo = '{OTHERS[0]}') AS b,
-      count(*) FILTER (combo = '{BEST}') AS n0, count(*) FILTER (combo = '{OTHERS[0]}') AS n1 FROM x)
-      SELECT round((m0 - m1) / sqrt(a + b), 6) AS t, round(pow(a + b, 2) / (a * a / (n0 - 1) + b * b / (n1 - 1)), 4) AS freedom FROM m""",
+      count(*) FILTER (combo = '{BEST}') AS n0, count(*) FILTER (combo = '{OTHERS[0]}') AS n1 FROM x),
+      s AS (SELECT (m0 - m1) / sqrt(a + b) AS t, pow(a + b, 2) / (a * a / (n0 - 1) + b * b / (n1 - 1)) AS freedom FROM m)
+      SELECT round(t, 6) AS t, round(freedom, 4) AS freedom, round({_STUDENT}, 6) AS p FROM s""",
     "strategy_moments": f"""{_STATS} SELECT combo, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(quantile_cont(x, 0.5), 6) AS median,
       min(x) AS least, max(x) AS greatest, count(x) AS n FROM x GROUP BY 1""",
 }
