@@ -3,6 +3,8 @@ overlapping chunks. Nothing leaves the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,14 +70,25 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.replace(text, F.lit("."), F.lit("")), r"\s+", -1), lambda w: w != "")
 
 
+#: A text's sentences, and its tokens, as column functions or pandas UDFs.
+Splitter = Callable[[Column], Column]
+Tokenizer = Callable[[Column], Column]
 PART = "struct<number:int,text:string,n:int>"
 
 
-def sentence_parts(sents: Column, max_tokens: int) -> Column:
+def sentence_parts(sents: Column, max_tokens: int, tokenize: Tokenizer = tokens) -> Column:
     """Array of ``PART``: sentences with their token counts; one over ``max_tokens`` is cut
-    in parts of ``max_tokens - 2`` tokens, which keep its number."""
+    in parts of ``max_tokens - 2`` tokens, which keep its number.
+
+    ``tokenize`` is a column function; one made of a model has an attribute ``sentences``,
+    which takes the whole array (a UDF can't be applied inside one).
+    """
     usable = max(1, max_tokens - 2)
-    tokened = F.transform(sents, lambda s, i: F.struct(i.alias("number"), s.alias("text"), tokens(s).alias("t")))
+    if hasattr(tokenize, "sentences"):
+        both = F.zip_with(sents, tokenize.sentences(sents), lambda s, t: F.struct(s.alias("text"), t.alias("t")))
+        tokened = F.transform(both, lambda x, i: F.struct(i.alias("number"), x["text"].alias("text"), x["t"].alias("t")))
+    else:
+        tokened = F.transform(sents, lambda s, i: F.struct(i.alias("number"), s.alias("text"), tokenize(s).alias("t")))
 
     def parts(s: Column) -> Column:
         n = F.size(s["t"])
@@ -130,32 +143,30 @@ def chunk_ranges(counts: Column, max_tokens: int, overlap: int) -> Column:
     return F.aggregate(counts, start, step, finish)
 
 
+# The older English rules, in order (their order is what they mean).
+LEGACY_RULES = [
+    (r"(Mr|St|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|Mt)[.]", "$1<prd>"),
+    (r"[.](com|net|org|io|gov|me|edu)", "<prd>$1"),
+    (r"Ph\.D\.", "Ph<prd>D<prd>"),
+    (r"\s([A-Za-z])[.] ", " $1<prd> "),
+    (r"([A-Z][.][A-Z][.](?:[A-Z][.])?) (Mr|Mrs|Ms|Dr|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever)", "$1<stop> $2"),
+    (r"([A-Za-z])[.]([A-Za-z])[.]([A-Za-z])[.]", "$1<prd>$2<prd>$3<prd>"),
+    (r"([A-Za-z])[.]([A-Za-z])[.]", "$1<prd>$2<prd>"),
+    (r" (Inc|Ltd|Jr|Sr|Co)[.] (Mr|Mrs|Ms|Dr|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever)", " $1<stop> $2"),
+    (r" (Inc|Ltd|Jr|Sr|Co)[.]", " $1<prd>"),
+    (r" ([A-Za-z])[.]", " $1<prd>"),
+    (r"([0-9])[.]([0-9])", "$1<prd> $2 "),
+    (r"\.\"", "\"."),
+    ("!\"", "\"!"),
+    (r"\?\"", "\"?"),
+]
+
+
 def legacy_sentences(text: Column) -> Column:
     """The older English rules: acronyms before sentence starters, name suffixes, a space
     put after a decimal dot; what follows the last stop is dropped."""
-    # Fixed values.
-    starters = r"(Mr|Mrs|Ms|Dr|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever)"
-    suffixes = "(Inc|Ltd|Jr|Sr|Co)"
-    titles, sites = "(Mr|St|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|Mt)[.]", "[.](com|net|org|io|gov|me|edu)"
-    letter, digit = "([A-Za-z])", "([0-9])"
-    acronyms = "([A-Z][.][A-Z][.](?:[A-Z][.])?)"
     t = F.replace(F.concat(F.lit(" "), text, F.lit("  ")), F.lit("\n"), F.lit(" "))
-    for pattern, to in (
-        (titles, "$1<prd>"),
-        (sites, "<prd>$1"),
-        (r"Ph\.D\.", "Ph<prd>D<prd>"),
-        (rf"\s{letter}[.] ", " $1<prd> "),
-        (f"{acronyms} {starters}", "$1<stop> $2"),
-        (f"{letter}[.]{letter}[.]{letter}[.]", "$1<prd>$2<prd>$3<prd>"),
-        (f"{letter}[.]{letter}[.]", "$1<prd>$2<prd>"),
-        (f" {suffixes}[.] {starters}", " $1<stop> $2"),
-        (f" {suffixes}[.]", " $1<prd>"),
-        (f" {letter}[.]", " $1<prd>"),
-        (f"{digit}[.]{digit}", "$1<prd> $2 "),
-        (r"\.\"", "\"."),
-        ("!\"", "\"!"),
-        (r"\?\"", "\"?"),
-    ):
+    for pattern, to in LEGACY_RULES:
         t = F.regexp_replace(t, pattern, to)
     for mark in ".?!":
         t = F.replace(t, F.lit(mark), F.lit(mark + _STOP))

@@ -9,18 +9,18 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 
-def split_sentences(docs: DataFrame, splitter=X.sentences) -> DataFrame:
+def split_sentences(docs: DataFrame, splitter: X.Splitter = X.sentences) -> DataFrame:
     """``(doc_id, sent_pos, text)``: one row a sentence."""
     return docs.select("doc_id", F.posexplode(splitter(F.col("text"))).alias("sent_pos", "text"))
 
 
-def split_long(docs: DataFrame, max_tokens: int = 384) -> DataFrame:
+def split_long(docs: DataFrame, max_tokens: int = 384, splitter: X.Splitter = X.sentences, tokenize: X.Tokenizer = X.tokens) -> DataFrame:
     """``(doc_id, part_pos, number, text, n)``: sentences and parts of long ones."""
-    parts = X.sentence_parts(X.sentences(F.col("text")), max_tokens)
+    parts = X.sentence_parts(splitter(F.col("text")), max_tokens, tokenize)
     return docs.select("doc_id", F.posexplode(parts).alias("part_pos", "p")).select("doc_id", "part_pos", "p.number", "p.text", "p.n")
 
 
-def build_chunks(docs: DataFrame, max_tokens: int = 384, overlap: int = 50) -> DataFrame:
+def build_chunks(docs: DataFrame, max_tokens: int = 384, overlap: int = 50, splitter: X.Splitter = X.sentences, tokenize: X.Tokenizer = X.tokens) -> DataFrame:
     """``(doc_id, chunk_idx, text, token_count, start_sentence, end_sentence)``.
 
     Requires ``overlap`` under half of ``max_tokens``. One document is one row until its
@@ -28,7 +28,7 @@ def build_chunks(docs: DataFrame, max_tokens: int = 384, overlap: int = 50) -> D
     """
     if not 0 <= overlap < max_tokens / 2:
         raise ValueError("overlap must be at least 0 and less than half of max_tokens")
-    parts = docs.select("doc_id", X.sentence_parts(X.sentences(F.col("text")), max_tokens).alias("parts"))
+    parts = docs.select("doc_id", X.sentence_parts(splitter(F.col("text")), max_tokens, tokenize).alias("parts"))
     rows = parts.withColumn("counts", F.transform("parts", lambda p: p["n"])).select(
         "doc_id", "parts", F.posexplode(X.chunk_ranges(F.col("counts"), max_tokens, overlap)).alias("chunk_idx", "r")
     )
@@ -106,3 +106,13 @@ def long_sentences(docs: DataFrame, limit: int = 512) -> DataFrame:
     """Sentences with more than ``limit`` tokens."""
     rows = split_sentences(docs).withColumn("n", F.size(X.tokens(F.col("text"))))
     return rows.where(F.col("n") > limit)
+
+
+def token_summary(docs: DataFrame, splitter: X.Splitter = X.sentences, tokenize: X.Tokenizer = X.tokens) -> DataFrame:
+    """One row of figures of sentences' token counts: ``(n, mean, std, least, q1, median, q3,
+    greatest)``."""
+    n = split_sentences(docs, splitter).select(F.size(tokenize(F.col("text"))).alias("n"))
+    quarters = [F.percentile("n", q).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    return n.agg(
+        F.count("n").alias("n"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("std"), F.min("n").alias("least"), *quarters, F.max("n").alias("greatest")
+    )
