@@ -56,16 +56,14 @@ def validate(answers: DataFrame, references: DataFrame, strict: float = 0.9, lea
 
 def medoid(answers: DataFrame) -> DataFrame:
     """``(doc, idx, text, confidence, support)``: the answer most similar to all of its
-    document's, itself included; the mean confidence of all; how many have its text."""
-    self_sim = F.when(V.dot(F.col("u"), F.col("u")) > 0, 1.0).otherwise(0.0)
-    sums = pairs(answers).groupBy("doc", F.col("i").alias("idx")).agg(F.sum("sim").alias("s"))
-    w = Window.partitionBy("doc")
-    rows = answers.join(sums, ["doc", "idx"], "left").withColumns(
-        {
-            "closeness": F.round((F.coalesce("s", F.lit(0.0)) + self_sim) / F.count(F.lit(1)).over(w), 9),
-            "mean_confidence": F.avg("confidence").over(w),
-            "support": F.count(F.lit(1)).over(Window.partitionBy("doc", "text")),
-        }
+    document's, itself included; the mean confidence of all; how many have its text.
+
+    The sum of similarities to all is the similarity to the sum of all unit vectors, so no
+    pairs are made.
+    """
+    sums = answers.groupBy("doc").agg(V.total(F.collect_list("u")).alias("s"), F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
+    rows = answers.join(sums, "doc").withColumns(
+        {"closeness": F.round(V.dot(F.col("u"), F.col("s")) / F.col("n"), 9), "support": F.count(F.lit(1)).over(Window.partitionBy("doc", "text"))}
     )
     best = first_by(rows, ["doc"], F.col("closeness"), F.col("idx"))
     return best.select("doc", "idx", "text", F.round("mean_confidence", 6).alias("confidence"), "support")
@@ -98,8 +96,12 @@ def consensus_weighted(answers: DataFrame, chunk_weight: float = 0.6, similarity
 
 
 def consensus_simple(answers: DataFrame) -> DataFrame:
-    """0.7 of the own score, 0.3 of the mean over all peers of similarity times score."""
-    support = pairs(answers).groupBy("doc", "i").agg(F.sum(F.col("sim") * _base("j_chunk_score", "j_confidence")).alias("s"))
+    """0.7 of the own score, 0.3 of the mean over all peers of similarity times score; the
+    sum over peers is the similarity to the sum of scored vectors, less the own part."""
+    scored = F.transform("u", lambda x: x * F.col("_b"))
+    sums = answers.withColumn("_b", _base()).withColumn("_v", scored).groupBy("doc").agg(V.total(F.collect_list("_v")).alias("v"))
+    own = V.dot(F.col("u"), F.col("u")) * _base()
+    support = answers.join(sums, "doc").select("doc", F.col("idx").alias("i"), (V.dot(F.col("u"), F.col("v")) - own).alias("s"))
     return _consensus(answers, support, _base() * 0.7 + F.coalesce("s", F.lit(0.0)) / (F.col("n") - 1) * 0.3)
 
 

@@ -96,7 +96,7 @@ def q_agglomerative_answer(spark, sf):
 
 
 def q_dbscan(spark, sf):
-    return A.dbscan(answers(spark, sf))
+    return A.dbscan(answers(spark, sf), 1 - NEAR, 4)
 
 
 def q_percentile_groups(spark, sf):
@@ -138,7 +138,7 @@ def q_chunk_cosine_filter(spark, sf):
 
 
 def q_retrieve_topk(spark, sf):
-    found = A.validate(answers(spark, sf), _references(spark, sf), 2.0, 0.0005, 10)
+    found = A.validate(answers(spark, sf), _references(spark, sf), 2.0, 0.0005, 100)
     return found.select("doc", "idx", "place")
 
 
@@ -246,7 +246,18 @@ SQL = {
     "final_ensemble": f"""{_CLUSTERED} {_ROLL}, z AS (SELECT doc, text, round(sum(combined_score * coherence * confidence * chunk_score), 9) AS s, min([place, idx]) AS f
         FROM mem JOIN roll USING (doc, cluster) GROUP BY 1, 2) {_first('z', 'doc', 's DESC, f', 'doc, f[2] AS idx, text, round(s, 6) AS score')}""",
     "chunk_cosine_filter": f"{_WITH} {_REF} SELECT doc, idx, round(similarity, 6) AS similarity FROM sc WHERE similarity >= 0.3",
-    "retrieve_topk": f"{_WITH} {_REF} SELECT doc, idx, place FROM ({_validated(2.0, 0.0005, 10)})",
+    "retrieve_topk": f"{_WITH} {_REF} SELECT doc, idx, place FROM ({_validated(2.0, 0.0005, 100)})",
+    "dbscan": f"""{_WITH}, ne AS (SELECT doc, i, j FROM pr WHERE 1 - sim <= {1 - NEAR} UNION ALL SELECT doc, idx, idx FROM ans),
+      co AS (SELECT doc, i FROM ne GROUP BY 1, 2 HAVING count(*) >= 4), st AS (SELECT ne.* FROM ne JOIN co USING (doc, i) WHERE (doc, j) IN (SELECT (doc, i) FROM co)),
+      re AS (SELECT doc, i, i AS r FROM co UNION SELECT re.doc, st.j, re.r FROM re JOIN st ON re.doc = st.doc AND re.i = st.i),
+      lb AS (SELECT doc, i, min(r) AS label FROM re GROUP BY 1, 2)
+      SELECT ne.doc, ne.j AS idx, min(label) AS cluster FROM ne JOIN lb USING (doc, i) GROUP BY 1, 2""",
+    "percentile_groups": f"""{_WITH}, bo AS (SELECT doc, quantile_cont(round(1 - sim, 9), 0.75) AS bound FROM pr WHERE i < j GROUP BY 1),
+      ne AS (SELECT doc, i, list(j) AS js FROM (SELECT doc, i, j FROM pr JOIN bo USING (doc) WHERE round(1 - sim, 9) <= bound UNION ALL SELECT doc, idx, idx FROM ans) GROUP BY 1, 2),
+      wk AS (SELECT doc, 0::BIGINT AS i, []::BIGINT[] AS used, []::BIGINT[] AS own FROM bo
+        UNION ALL SELECT wk.doc, wk.i + 1, CASE WHEN list_contains(used, wk.i) THEN used ELSE list_concat(used, js) END, CASE WHEN list_contains(used, wk.i) THEN [] ELSE js END
+        FROM wk JOIN ne ON wk.doc = ne.doc AND wk.i = ne.i)
+      SELECT doc, unnest(own) AS idx, i - 1 AS cluster FROM wk""",
     "mean_pool": f"""WITH t AS (SELECT vec_id // {EACH} AS doc, (vec_id % 5 > 0)::INT AS m, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
       SELECT doc, k::INT AS k, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS x FROM t GROUP BY 1, 2""",
     "hash_embed": r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents),
