@@ -4,19 +4,30 @@ UDF (the recurrence has no built-in form)."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import vectors as V
 
 
+def _numbered(words: Column) -> Column:
+    """The words with the number of their occurrence, so that repeats differ."""
+    start = F.struct(F.lit(None).cast("string").alias("before"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, w: Column) -> Column:
+        k = F.when(acc["before"] == w, acc["k"] + 1).otherwise(F.lit(0))
+        return V.bound(k, lambda k: F.struct(w.alias("before"), k.alias("k"), F.concat(acc["out"], F.array(F.concat_ws("\0", w, k.cast("string")))).alias("out")))
+
+    return F.aggregate(F.array_sort(words), start, step, lambda acc: acc["out"])
+
+
 def _overlap(p: Column, g: Column) -> Column:
     """Size of the common multiset of two arrays."""
-    count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    return F.aggregate(F.array_distinct(p), F.lit(0), lambda s, x: s + F.least(count(p, x), count(g, x)))
+    return F.size(F.array_intersect(_numbered(p), _numbered(g)))
 
 
 def _f1(common: Column, n: Column, m: Column) -> Column:
@@ -92,7 +103,52 @@ def best_rouge_l(pred: pd.Series, golds: pd.Series) -> pd.Series:
     return pd.Series([max((_rouge(p, g) for g in (() if gs is None else gs)), default=0.0) for p, gs in zip(pred, golds)], dtype="float64")
 
 
-def text_metrics(reference: Column, answer: Column) -> Column:
+def letter_vectors(text: Column) -> Column:
+    """The built-in vectors of a text's words: counts of their letters. Contextual vectors of
+    a model take their place."""
+    words = F.filter(F.split(F.lower(text), r"\s+", -1), lambda w: w != "")
+    return F.transform(words, lambda w: V.unit(V.encode_text(F.regexp_replace(w, "(.)", "$1 "))))
+
+
+def greedy_match(pred: Column, gold: Column) -> Column:
+    """Struct (p, r, f1) of two arrays of unit vectors: the mean over one side's vectors of
+    the greatest similarity to the other side's; zeros if either is empty."""
+    rows = F.transform(pred, lambda u: F.transform(gold, lambda v: V.similarity(u, v)))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+    def scores(m: Column) -> Column:
+        best = F.aggregate(F.slice(m, F.lit(2), F.size(m) - 1), m[0], lambda a, r: F.zip_with(a, r, lambda x, y: F.greatest(x, y)))
+        return V.bound(
+            F.struct(mean(F.transform(m, F.array_max)).alias("p"), mean(best).alias("r")),
+            lambda s: F.struct(s["p"].alias("p"), s["r"].alias("r"), F.when(s["p"] + s["r"] > 0, 2 * s["p"] * s["r"] / (s["p"] + s["r"])).otherwise(0.0).alias("f1")),
+        )
+
+    zeros = F.struct(*(F.lit(0.0).alias(x) for x in ("p", "r", "f1")))
+    return F.when((F.size(pred) > 0) & (F.size(gold) > 0), V.bound(rows, scores)).otherwise(zeros)
+
+
+def metrics_rowwise(rows: DataFrame, pred: str = "pred", golds: str = "golds", embed: Callable[[Column], Column] = letter_vectors) -> DataFrame:
+    """``rows`` with six metrics of ``pred`` against an array of references, of each the
+    greatest over them: ``char_f1``, ``token_f1`` (0 to 100), ``rouge_l_f1`` and, by the
+    vectors of ``embed``, ``bertscore_p``, ``bertscore_r`` and ``bertscore_f1``. All but
+    ``rouge_l_f1`` have four places. Null and blank references do not count; without any,
+    and for a blank ``pred``, all are 0."""
+    p = F.col(pred)
+    kept = F.filter(F.coalesce(F.col(golds), F.array().cast("array<string>")), lambda g: ~_blank(g))
+    bert = F.transform("_g", lambda g: greedy_match(F.col("_p"), embed(g)))
+    out = rows.withColumns({"_g": F.when(_blank(p), F.array().cast("array<string>")).otherwise(kept), "_p": embed(p)}).withColumn("_b", bert)
+    of = lambda k: F.round(F.coalesce(F.array_max(F.transform("_b", lambda b: b[k])), F.lit(0.0)), 4)
+    return out.withColumns(
+        {
+            "char_f1": F.round(best_over(F.col("_g"), lambda g: char_f1(p, g)), 4),
+            "token_f1": F.round(best_over(F.col("_g"), lambda g: token_f1(p, g)), 4),
+            "rouge_l_f1": best_rouge_l(p, F.col("_g")),
+            **{f"bertscore_{k}": of(k) for k in ("p", "r", "f1")},
+        }
+    ).drop("_g", "_p", "_b")
+
+
+def text_metrics(reference: Column, answer: Column, encode: V.Encoder = V.encode_text) -> Column:
     """Struct (cosine_sim, lev_dist) of two short texts."""
-    u, v = V.unit(V.encode_text(reference)), V.unit(V.encode_text(answer))
+    u, v = V.unit(encode(reference)), V.unit(encode(answer))
     return F.struct(V.similarity(u, v).alias("cosine_sim"), F.levenshtein(reference, answer).cast("double").alias("lev_dist"))

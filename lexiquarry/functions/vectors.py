@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A text's vector as a column function or a pandas UDF; models take the place of the built-in one.
+Encoder = Callable[[Column], Column]
 #: Buckets of the built-in bag-of-words encoder.
 DIMENSIONS = 16
 
@@ -33,25 +37,34 @@ def similarity(a: Column, b: Column) -> Column:
     return F.round(dot(a, b), 9)
 
 
+def bucket_of(word: Column) -> Column:
+    """The bucket of a word in the built-in encoder."""
+    return F.conv(F.substring(F.sha2(word, 256), 1, 4), 16, 10).cast("int") % DIMENSIONS
+
+
 def encode_words(words: DataFrame, keys: list[str], word: str = "word") -> DataFrame:
     """``(*keys, vector)``: counts of words in ``DIMENSIONS`` buckets of a SHA-256 hash.
 
     Words are counted before they are hashed; buckets are summed as sixteen aggregates.
     """
     counted = words.groupBy(*keys, word).agg(F.count(F.lit(1)).alias("m"))
-    bucket = F.conv(F.substring(F.sha2(F.col(word), 256), 1, 4), 16, 10).cast("int") % DIMENSIONS
     sums = [F.coalesce(F.sum(F.when(F.col("_b") == k, F.col("m"))), F.lit(0)).cast("double") for k in range(DIMENSIONS)]
-    return counted.withColumn("_b", bucket).groupBy(*keys).agg(F.array(*sums).alias("vector"))
+    return counted.withColumn("_b", bucket_of(F.col(word))).groupBy(*keys).agg(F.array(*sums).alias("vector"))
 
 
 def encode_text(text: Column) -> Column:
     """The same encoder for a short text in place (lower-cased words)."""
     words = F.filter(F.split(F.lower(text), r"\s+", -1), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 4), 16, 10).cast("int") % DIMENSIONS)
+    buckets = F.transform(words, bucket_of)
     places = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
     return bound(buckets, lambda found: F.transform(places, lambda k: F.size(F.filter(found, lambda b: b == k)).cast("double")))
 
 
+def total(vectors: Column) -> Column:
+    """The sum of an array of vectors."""
+    return F.aggregate(F.slice(vectors, F.lit(2), F.greatest(F.size(vectors) - 1, F.lit(0))), F.get(vectors, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+
+
 def masked_mean(tokens: DataFrame, keys: list[str], vector: str, mask: str, floor: float = 1e-9) -> DataFrame:
     """``(*keys, vector)``: mean of token vectors whose ``mask`` is one."""
     parts = tokens.select(*keys, F.col(mask).cast("double").alias("_m"), F.posexplode(vector).alias("_i", "_x"))
