@@ -11,7 +11,6 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chunks as C
 from .operators import qa as Q
 from .sources.files import read_text
 
@@ -36,17 +35,16 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> dict:
         raise SystemExit("attention mode is not for Russian texts")
     config = Q.PipelineConfig(args.max_tokens, args.overlap, language=args.language)
     docs = read_text(spark, args.file).select(F.lit(0).cast("long").alias("doc_id"), "text")
-    n = C.build_chunks(docs, args.max_tokens, args.overlap).count()
     metadata: dict[str, object] = {"mode": args.mode}
-    base = Q.baseline(docs, args.question, config).first()
-    text, confidence = (base.text, base.confidence) if base else (None, None)
-    if args.mode == "attention" and base:
-        words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+", -1), lambda w: F.length(w) > 1)
-        kws = docs.select("doc_id", F.posexplode(F.array_distinct(words)).alias("kw_idx", "word"), F.lit(1.0).alias("weight"))
-        refs = docs.select("doc_id", F.lit(args.reference_answer).alias("reference"))
-        found = Q.attention(docs, kws, refs, args.question, config).first()
-        text, metadata["reranked"] = found.text, found.reranked
-    return {"answer": text, "confidence": confidence, "chunks_used": n, "metadata": metadata}
+    if args.mode == "attention":
+        references = docs.select("doc_id", F.lit(args.reference_answer).alias("reference"))
+        found = Q.attention(docs, references, args.question, config).first()
+        used = found.chunks_used if found else 0
+        metadata["reranked"] = bool(found and found.reranked)
+    else:
+        found, used = Q.baseline(docs, args.question, config).first(), Q.Models().chunks(docs, config).count()
+    text, confidence = (found.text, found.confidence) if found else (None, None)
+    return {"answer": text, "confidence": confidence, "chunks_used": used, "metadata": metadata}
 
 
 def main() -> None:

@@ -7,13 +7,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-
-# Function words left out of candidates; a parameter of every operator.
-STOP_WORDS = [
-    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being",
-    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "i", "you", "he", "she", "it",
-    "we", "they", "me", "him", "her", "us", "them", "this", "that", "these", "those", "my", "your", "his", "its", "our", "their", "as", "from",
-]
+from ..sources.staging import staged
+
+# Words without a meaning of their own, left out of candidates and keywords.
+STOP_WORDS = """
+the a an and or but in on at to for of with by
+is are was were be been being have has had do does did will would could should may might must can
+i you he she it we they me him her us them this that these those my your his its our their
+as from into upon about against between through during before after above below up down off over under again further then once
+here there when where why how all any both each few more most other some such no nor not only own same so than too very
+often early unlikely usually always never sometimes frequently rarely seldom generally normally typically occasionally constantly
+continuously regularly daily weekly monthly yearly annually soon late later earlier recently currently presently immediately
+quickly slowly suddenly gradually rapidly easily hardly barely scarcely clearly obviously evidently apparently possibly probably
+likely certainly definitely absolutely completely totally entirely fully partially mostly mainly chiefly primarily
+especially particularly specifically exactly precisely accurately
+who whom whose which what
+therefore however thus hence consequently accordingly furthermore moreover additionally besides also likewise similarly
+conversely instead rather otherwise nevertheless nonetheless although though while whereas despite regardless notwithstanding
+quite fairly pretty somewhat almost nearly just even still yet already else indeed surely maybe perhaps
+one two three first second third last next previous many much less least several various
+well back out now ever
+""".split()
+# The same for Russian texts.
+RUSSIAN_STOP_WORDS = """
+а без более бы был была были было быть в вам вас весь во вот все всего всех вы где да даже для до его ее если есть
+еще же за здесь и из или им их к как ко когда который ли либо мне может мы на над надо наш не него нее нет ни них но
+ну о об однако он она они оно от очень по под при про с сам себя со так также такой там те тем то того тоже той только
+том тот у уже чем что чтобы эта эти это этого этой этот я
+""".split()
 # Tokens that are no words.
 SPECIAL = ["<s>", "</s>", "<pad>", "[CLS]", "[SEP]", ".", "?", "!", ",", "/", "//", "]["]
 
@@ -42,21 +63,57 @@ def ngrams(text: Column, n: int, stop_words: list[str] = STOP_WORDS) -> Column:
     )[0]
 
 
-def extract(docs: DataFrame, limit: int = 20, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """``(doc_id, place, word, similarity)``: terms without digits nearest to their document's
-    vector. A word's vector has one bucket, so its cosine is that bucket's share. Of equal
-    similarities the last in alphabetical order comes first."""
-    grams = docs.select("doc_id", F.explode(ngrams(F.col("text"), 1, stop_words)).alias("word")).where(~F.col("word").rlike(r"\p{Nd}"))
-    whole = V.encode_words(docs.select("doc_id", F.explode(words(F.col("text"))).alias("word")), ["doc_id"])
-    bucket = F.conv(F.substring(F.sha2("word", 256), 1, 4), 16, 10).cast("int") % V.DIMENSIONS
-    scored = grams.join(whole, "doc_id").select("doc_id", "word", F.round(F.col("vector")[bucket] / F.sqrt(V.dot(F.col("vector"), F.col("vector"))), 9).alias("similarity"))
+def kept_candidate(gram: Column, n: int) -> Column:
+    """No digit anywhere; n-grams of three or four words may have one inside."""
+    digit = gram.rlike(r"\p{Nd}")
+    if n not in (3, 4):
+        return ~digit
+    ends = F.concat_ws(" ", F.substring_index(gram, " ", 1), F.substring_index(gram, " ", -1))
+    return ~digit | ~ends.rlike(r"\p{Nd}")
+
+
+def extract(
+    docs: DataFrame, limit: int = 20, stop_words: list[str] = STOP_WORDS, n: int = 1, references: DataFrame | None = None, encode: V.Encoder = V.encode_text
+) -> DataFrame:
+    """``(doc_id, place, word, similarity)``: the n-grams nearest to their document's text or
+    to that of ``references (doc_id, text)``. Of equal similarities the last in alphabetical
+    order comes first.
+
+    With the built-in encoder a single word's vector has one bucket, so its cosine is that
+    bucket's share of the text's vector.
+    """
+    grams = docs.select("doc_id", F.explode(ngrams(F.col("text"), n, stop_words)).alias("word")).where(kept_candidate(F.col("word"), n))
+    of = references if references is not None else docs
+    if encode is V.encode_text:
+        whole = V.encode_words(of.select("doc_id", F.explode(words(F.col("text"))).alias("word")), ["doc_id"])
+    else:
+        whole = of.select("doc_id", encode(F.col("text")).alias("vector"))
+    if encode is V.encode_text and n == 1:
+        similarity = F.round(F.col("vector")[V.bucket_of(F.col("word"))] / F.sqrt(V.dot(F.col("vector"), F.col("vector"))), 9)
+    else:
+        whole, similarity = whole.withColumn("vector", V.unit(F.col("vector"))), V.similarity(V.unit(encode(F.col("word"))), F.col("vector"))
+    scored = grams.join(whole, "doc_id").select("doc_id", "word", similarity.alias("similarity"))
     w = Window.partitionBy("doc_id").orderBy(F.col("similarity").desc(), F.col("word").desc())
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
+def by_cosine(words: DataFrame, texts: DataFrame, encode: V.Encoder = V.encode_text) -> DataFrame:
+    """``(doc_id, place, word, similarity)``: given words ``(doc_id, word)`` in order of their
+    cosine to the document's text ``(doc_id, text)``, then of the alphabet; blank texts give
+    no rows."""
+    whole = texts.where(F.regexp_replace("text", r"(?U)\s+", "") != "").select("doc_id", V.unit(encode(F.col("text"))).alias("v"))
+    scored = words.join(whole, "doc_id").select("doc_id", "word", V.similarity(V.unit(encode(F.col("word"))), F.col("v")).alias("similarity"))
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("similarity").desc(), "word")))
+
+
 def idf(texts: DataFrame) -> DataFrame:
     """``(doc_id, word, df, idf)`` over the texts ``(doc_id, text_id, text)`` of a document:
     ln(n / df) + 1, unsmoothed."""
+    texts = staged(texts)
+    return _idf(texts)
+
+
+def _idf(texts: DataFrame) -> DataFrame:
     seen = texts.select("doc_id", "text_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("word"))
     sizes = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return seen.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, "doc_id").select(
@@ -67,11 +124,12 @@ def idf(texts: DataFrame) -> DataFrame:
 def _weighed(texts: DataFrame) -> DataFrame:
     """Words of texts with their place and idf; words with attached marks have none."""
     placed = texts.select("doc_id", "text_id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    return placed.join(idf(texts).select("doc_id", "word", "idf"), ["doc_id", "word"])
+    return placed.join(_idf(texts).select("doc_id", "word", "idf"), ["doc_id", "word"])
 
 
 def idf_filter(texts: DataFrame, threshold: float = 1.5) -> DataFrame:
     """``(doc_id, text_id, kept)``: the words with an idf of at least ``threshold``."""
+    texts = staged(texts)
     kept = _weighed(texts).where(F.round("idf", 9) >= threshold).groupBy("doc_id", "text_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("kept")
     )
@@ -92,8 +150,13 @@ def dynamic_idf(texts: DataFrame, each: int = 3, enough: float = 0.8, initial: f
     """``(doc_id, threshold, coverage)``: the first threshold whose share of texts with at
     least ``each`` kept words is greatest, going no further than the first share of
     ``enough``. The thresholds do not depend on the data, so all are tried in one pass."""
+    texts = staged(texts)
+    return _dynamic_idf(texts, _weighed(texts), each, enough, initial)
+
+
+def _dynamic_idf(texts: DataFrame, weighed: DataFrame, each: int = 3, enough: float = 0.8, initial: float = 1.5) -> DataFrame:
     steps = thresholds(initial)
-    counts = _weighed(texts).groupBy("doc_id", "text_id").agg(*(F.count_if(F.round("idf", 9) >= round(t, 9)).alias(f"t{i}") for i, t in enumerate(steps)))
+    counts = weighed.groupBy("doc_id", "text_id").agg(*(F.count_if(F.round("idf", 9) >= round(t, 9)).alias(f"t{i}") for i, t in enumerate(steps)))
     counts = texts.select("doc_id", "text_id").join(counts, ["doc_id", "text_id"], "left")
     shares = counts.groupBy("doc_id").agg(
         *((F.count_if(F.coalesce(f"t{i}", F.lit(0)) >= each) / F.count(F.lit(1))).alias(f"t{i}") for i in range(len(steps)))
@@ -105,18 +168,24 @@ def dynamic_idf(texts: DataFrame, each: int = 3, enough: float = 0.8, initial: f
 def dynamic_idf_filter(texts: DataFrame, initial: float = 1.5) -> DataFrame:
     """``(doc_id, text_id, kept)``: the words that reach their document's dynamic threshold.
     Texts of a document without any term stay whole, in lower case."""
-    kept = _weighed(texts).join(dynamic_idf(texts, initial=initial).select("doc_id", "threshold"), "doc_id").where(F.round("idf", 9) >= F.col("threshold"))
+    texts = staged(texts)
+    weighed = staged(_weighed(texts))
+    kept = weighed.join(_dynamic_idf(texts, weighed, initial=initial).select("doc_id", "threshold"), "doc_id").where(F.round("idf", 9) >= F.col("threshold"))
     kept = kept.groupBy("doc_id", "text_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("kept"))
     has_terms = F.max(F.size(terms(F.col("text"))) > 0).over(Window.partitionBy("doc_id"))
     rows = texts.select("doc_id", "text_id", "text", has_terms.alias("_t")).join(kept, ["doc_id", "text_id"], "left")
     return rows.select("doc_id", "text_id", F.when(F.col("_t"), F.coalesce("kept", F.lit(""))).otherwise(F.array_join(words(F.col("text")), " ")).alias("kept"))
 
 
-def characteristic(texts: DataFrame, share: float = 0.8, least_df: int = 2, weight: float = 0.1) -> DataFrame:
-    """``(doc_id, text_id, word, tfidf)``: terms in at least ``least_df`` and at most ``share``
-    of a document's texts whose normalised weight in a text reaches ``weight``."""
+def characteristic(texts: DataFrame, share: float = 0.8, least_df: int = 2, weight: float = 0.1, lemma=lambda term: term) -> DataFrame:
+    """``(doc_id, text_id, word, tfidf)``: terms and pairs of terms in at least ``least_df``
+    and at most ``share`` of a document's texts whose normalised weight in a text reaches
+    ``weight``. ``lemma`` is a column function of a term."""
+    texts = staged(texts.select("doc_id", "text_id", F.transform(terms(F.col("text")), lemma).alias("t")))
     n = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    tf = texts.select("doc_id", "text_id", F.explode(terms(F.col("text"))).alias("word")).groupBy("doc_id", "text_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    couples = F.when(F.size("t") > 1, F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    grams = F.concat("t", F.coalesce(couples, F.array().cast("array<string>")))
+    tf = texts.select("doc_id", "text_id", F.explode(grams).alias("word")).groupBy("doc_id", "text_id", "word").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("df")).join(n, "doc_id").where((F.col("df") >= least_df) & (F.col("df") <= share * F.col("n")))
     w = tf.join(df, ["doc_id", "word"]).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id", "text_id")))
@@ -126,13 +195,56 @@ def characteristic(texts: DataFrame, share: float = 0.8, least_df: int = 2, weig
 def characteristic_contrast(texts: DataFrame, targets: int = 1) -> DataFrame:
     """``(doc_id, word, score)``: idf times the ratio of target texts (the first ``targets``
     of a document) to background texts with the word, each plus one."""
+    return _contrasted(staged(texts), targets).select("doc_id", "word", F.round("score", 6).alias("score"))
+
+
+def _contrasted(texts: DataFrame, targets: int) -> DataFrame:
     seen = texts.select("doc_id", "text_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("word"))
     n = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     counts = seen.groupBy("doc_id", "word").agg(
         F.count(F.lit(1)).alias("df"), F.count_if(F.col("text_id") < targets).alias("t"), F.count_if(F.col("text_id") >= targets).alias("b")
     )
     score = (F.log(F.col("n") / F.col("df")) + 1) * (F.col("t") + 1) / (F.col("b") + 1)
-    return counts.join(n, "doc_id").select("doc_id", "word", F.round(score, 6).alias("score"))
+    return counts.join(n, "doc_id").select("doc_id", "word", score.alias("score"))
+
+
+def characteristic_filter(texts: DataFrame, targets: int = 1, each: int = 3, enough: float = 0.8, initial: float = 1.5, least: float = 0.5) -> DataFrame:
+    """``(doc_id, text_id, kept, threshold, coverage)`` of the target texts: their words whose
+    contrast score reaches a threshold that falls until enough texts keep ``each`` words.
+
+    The threshold falls by a fifth of the share of texts without enough words, by 0.05 at
+    least; the first one of greatest coverage counts. A text has enough words at every
+    threshold up to its ``each``-th greatest score, so the walk needs one number a text.
+    """
+    texts = staged(texts)
+    scores = _contrasted(texts, targets)
+    aims = texts.where(F.col("text_id") < targets)
+    placed = staged(aims.select("doc_id", "text_id", F.posexplode(words(F.col("text"))).alias("pos", "word")).join(scores, ["doc_id", "word"]))
+    reach = placed.groupBy("doc_id", "text_id").agg(F.get(F.reverse(F.sort_array(F.collect_list(F.round("score", 9)))), F.lit(each - 1)).alias("reach"))
+    reach = aims.select("doc_id", "text_id").join(reach, ["doc_id", "text_id"], "left").groupBy("doc_id").agg(F.collect_list("reach").alias("reach"), F.count(F.lit(1)).alias("n"))
+
+    def step(acc: Column, _: Column) -> Column:
+        cover = F.size(F.filter(F.col("reach"), lambda x: x >= F.round(acc["t"], 9))) / F.col("n")
+
+        def moved(c: Column) -> Column:
+            better = c > acc["best"]
+            return F.struct(
+                (acc["t"] - F.greatest(0.2 * (1 - c), F.lit(0.05))).alias("t"),
+                F.when(better, c).otherwise(acc["best"]).alias("best"),
+                F.when(better, acc["t"]).otherwise(acc["at"]).alias("at"),
+                (c >= enough).alias("done"),
+            )
+
+        return F.when(acc["done"] | (acc["t"] < least), acc).otherwise(V.bound(cover, moved))
+
+    begin = F.struct(F.lit(initial).alias("t"), F.lit(-1.0).alias("best"), F.lit(initial).alias("at"), F.lit(False).alias("done"))
+    most = F.sequence(F.lit(0), F.lit(round((initial - least) / 0.05) + 1))
+    walked = reach.select("doc_id", F.aggregate(most, begin, step).alias("w")).select("doc_id", F.col("w.at").alias("threshold"), F.col("w.best").alias("coverage"))
+    kept = placed.join(walked, "doc_id").where(F.round("score", 9) >= F.round("threshold", 9)).groupBy("doc_id", "text_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("kept")
+    )
+    rows = aims.select("doc_id", "text_id").join(walked, "doc_id").join(kept, ["doc_id", "text_id"], "left")
+    return rows.select("doc_id", "text_id", F.coalesce("kept", F.lit("")).alias("kept"), F.round("threshold", 6).alias("threshold"), F.round("coverage", 6).alias("coverage"))
 
 
 def add_lemma_and_stem(keywords: DataFrame, lemma=F.lower, stem=F.lower) -> DataFrame:
@@ -140,9 +252,9 @@ def add_lemma_and_stem(keywords: DataFrame, lemma=F.lower, stem=F.lower) -> Data
     return keywords.withColumns({"lemma": lemma(F.col("word")), "stem": stem(F.col("word"))})
 
 
-def contrast(keywords: DataFrame, positive: Column, negative: Column) -> DataFrame:
+def contrast(keywords: DataFrame, positive: Column, negative: Column, encode: V.Encoder = V.encode_text) -> DataFrame:
     """Keywords nearer to ``positive`` than to ``negative`` (unit vectors), with the difference."""
-    u = V.unit(V.encode_text(F.col("word")))
+    u = V.unit(encode(F.col("word")))
     near, far = V.similarity(u, positive), V.similarity(u, negative)
     return keywords.withColumn("score_diff", F.round(near - far, 9)).where("score_diff > 0")
 
@@ -153,11 +265,11 @@ def deduplicate(keywords: DataFrame, keys: list[str]) -> DataFrame:
     return keywords.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def merge_batches(batches: DataFrame, chunks: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+def merge_batches(batches: DataFrame, chunks: DataFrame, stop_words: list[str] = STOP_WORDS, word: str = r"[\p{L}\p{N}_-]+") -> DataFrame:
     """Keywords ``(doc_id, batch, kw_idx, word, weight)`` that occur in their batch's text
     ``(doc_id, batch, text)``, are no stop words and longer than one character; the greatest
-    weight of each word of a document."""
-    allowed = chunks.select("doc_id", "batch", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0)))).alias("word"))
+    weight of each word of a document. ``word`` matches a word of the text."""
+    allowed = chunks.select("doc_id", "batch", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("word"))
     low = batches.withColumn("word", F.lower("word")).where(~F.col("word").isin(*stop_words) & (F.length("word") > 1))
     kept = low.join(allowed, ["doc_id", "batch", "word"], "left_semi")
     w = Window.partitionBy("doc_id", "word").orderBy(F.col("weight").desc(), "batch", "kw_idx")
@@ -172,11 +284,27 @@ def is_word_token(token: Column) -> Column:
     return ~token.isin(*SPECIAL) & ~token.startswith("<") & ~token.endswith(">") & (F.regexp_replace(token, r"^\.+|\.+$", "") != "")
 
 
-def word_scheme(tokens: Column) -> Column:
+def word_scheme(tokens: Column, tokenizer: str = "") -> Column:
+    """How sub-tokens make words: ``wordpiece`` if one is marked ``##`` or the tokenizer's
+    class is named after BERT but not RoBERTa, else ``sentencepiece``."""
+    name = tokenizer.lower()
+    if "bert" in name and "roberta" not in name:
+        return F.lit("wordpiece")
     return F.when(F.exists(tokens, lambda t: t.startswith("##")), "wordpiece").otherwise("sentencepiece")
 
 
-def attention_words(rows: DataFrame, keys: list[str]) -> DataFrame:
+def reduced_attention(weights: Column, segments: Column, context: int = 1) -> Column:
+    """The weight of each context token from an attention tensor (layers x heads x from x to):
+    the mean over layers, heads and from-positions. ``segments`` has each position's segment
+    (null for special tokens); the others' weights go. Array of (pos, weight)."""
+    rows = F.flatten(F.flatten(weights))
+    share = lambda total, k: F.struct(k.alias("pos"), (total / F.size(rows)).alias("weight"))
+    zeros = F.transform(segments, lambda _: F.lit(0.0))
+    sums = F.aggregate(rows, zeros, lambda acc, row: F.zip_with(acc, row, lambda x, y: x + y))
+    return F.filter(F.transform(sums, share), lambda p: F.coalesce(F.get(segments, p["pos"]) == context, F.lit(False)))
+
+
+def attention_words(rows: DataFrame, keys: list[str], tokenizer: str = "") -> DataFrame:
     """``(*keys, word_pos, word, weight)``: words put together from sub-tokens ``(*keys,
     tokens, weights)``, with the mean weight of an occurrence.
 
@@ -184,7 +312,7 @@ def attention_words(rows: DataFrame, keys: list[str]) -> DataFrame:
     are stripped, tokens without anything left are passed over; a first token without a
     mark starts a word too.
     """
-    t = rows.where(F.size("tokens") == F.size("weights")).withColumn("scheme", word_scheme(F.col("tokens")))
+    t = rows.where(F.size("tokens") == F.size("weights")).withColumn("scheme", word_scheme(F.col("tokens"), tokenizer))
     t = t.select(*keys, "scheme", F.posexplode(F.arrays_zip("tokens", "weights")).alias("pos", "x")).select(*keys, "scheme", "pos", "x.tokens", "x.weights")
     token = F.col("tokens")
     starts = F.when(F.col("scheme") == "wordpiece", ~token.startswith("##")).otherwise(token.startswith("Ġ") | token.startswith("▁"))
@@ -278,8 +406,9 @@ def filter_chunks_raw(chunks: DataFrame, keywords: DataFrame, minimum: int = 3)
 
 
 def score_chunks(matched: DataFrame, ratio: Column | float = 0.5, minimum: int = 1, position: float = 0.3, frequency: float = 0.7) -> DataFrame:
-    """``score`` and ``matched`` of chunks: weights of the distinct keywords, raised by early
-    matches, their number and the share of keywords. A chunk without a match has no score."""
+    """``score`` of chunks: weights of the distinct keywords, raised by early matches, their
+    number and the share of keywords; ``matched``, the keywords in order, and
+    ``keyword_scores``, each with its number of matches. A chunk without a match has no score."""
     if isinstance(ratio, (int, float)):
         if not 0 <= ratio <= 1:
             raise ValueError("ratio must be between 0 and 1")
@@ -290,7 +419,8 @@ def score_chunks(matched: DataFrame, ratio: Column | float = 0.5, minimum: int =
     early = F.aggregate("hits", F.lit(0.0), lambda s, h: s + 1 - h["start"] / F.greatest(F.lit(1), F.length("text"))) / n
     score = base * (1 + position * early) * (1 + frequency * F.log1p(n)) * (1 + F.size("own") / F.size("kws") * 0.5)
     rows = matched.withColumn("own", own).where((n > 0) & (F.size("own") >= minimum))
-    return rows.withColumn("score", F.round(score, 6)).withColumn("matched", F.array_sort(F.transform("own", lambda k: F.col("kws")[k]["word"]))).drop("own", "hits", "kws")
+    named = F.array_sort(F.transform("own", lambda k: F.struct(F.col("kws")[k]["word"].alias("word"), F.size(F.filter("hits", lambda h: h["k"] == k)).alias("n"))))
+    return rows.withColumn("score", F.round(score, 6)).withColumn("keyword_scores", named).withColumn("matched", F.transform("keyword_scores", lambda x: x["word"])).drop("own", "hits", "kws")
 
 
 def score_density(matched: DataFrame, ratio: float = 0.5, minimum: int = 1) -> DataFrame:

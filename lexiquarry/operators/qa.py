@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions import text as X
 from ..functions import vectors as V
 from ..sources.staging import staged
 from . import answers as A
@@ -64,23 +65,58 @@ def find_scored_answers(scored: DataFrame, question: Column, answerer: Answerer
         F.col("_a.score").alias("confidence"),
         F.col("score").alias("chunk_score"),
         "combined_score",
+        *(c for c in ("matched", "keyword_scores") if c in found.columns),
     )
 
 
 def span_search(logits: DataFrame, key: str = "doc_id", most: int = 64) -> DataFrame:
     """``(key, start, end, probability)`` of the best answer span of ``(key, s, e)``, arrays
     of start and end logits: greatest sum with start <= end < start + ``most``, the first
-    among equals; the probability is over all positions."""
+    among equals; the probability is over all positions.
+
+    With a column ``segments`` (the segment of each position, null for special tokens) a
+    span starts and ends in segment 1 (the context). With ``offsets`` (array of (from, to),
+    characters of each position) and ``context`` besides, ``start`` and ``end`` are
+    characters and ``answer`` the text between; rows without a position of the context have
+    an empty answer with probability 0.
+    """
     n = F.size("s")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.transform(F.slice("e", i + 1, F.lit(most)), lambda x, k: F.struct((F.get("s", i) + x).alias("sum"), (-i).alias("i"), (-(i + k)).alias("j"))),
-        )
-    )
-    share = lambda c, at: F.exp(F.get(c, at) - F.array_max(c)) / F.aggregate(c, F.lit(0.0), lambda t, x: t + F.exp(x - F.array_max(c)))
-    best = logits.where(n > 0).withColumn("b", F.array_max(spans)).withColumns({"start": -F.col("b.i"), "end": -F.col("b.j")})
-    return best.select(key, "start", "end", F.round(share("s", F.col("start")) * share("e", F.col("end")), 9).alias("probability"))
+    inside = lambda x, i: F.when(F.get("segments", i) == 1, x) if "segments" in logits.columns else x
+    # The best end of each start is the greatest of the next ends; nulls count for nothing.
+    ends = logits.where(n > 0).withColumn("_e", F.transform("e", inside))
+    sums = F.transform(F.transform("s", inside), lambda x, i: x + F.array_max(F.slice("_e", i + 1, F.lit(most))))
+    best = ends.withColumn("_s", sums).withColumn("_from", F.array_position("_s", F.array_max("_s")).cast("int") - 1)
+    window = F.slice("_e", F.col("_from") + 1, F.lit(most))
+    best = best.withColumn("_to", F.col("_from") + F.array_position(window, F.array_max(window)).cast("int") - 1)
+
+    def share(c: str, at: str) -> Column:
+        top = F.array_max(c)
+        return V.bound(top, lambda t: F.exp(F.get(c, F.col(at)) - t) / F.aggregate(c, F.lit(0.0), lambda total, x: total + F.exp(x - t)))
+
+    probability = F.coalesce(F.round(share("s", "_from") * share("e", "_to"), 9), F.lit(0.0)).alias("probability")
+    if "offsets" not in logits.columns:
+        return best.where("_from >= 0").select(key, F.col("_from").alias("start"), F.col("_to").alias("end"), probability)
+    start, end = F.coalesce(F.get("offsets", F.col("_from"))["from"], F.lit(0)), F.coalesce(F.get("offsets", F.col("_to"))["to"], F.lit(0))
+    return best.select(key, start.alias("start"), end.alias("end"), probability, F.substring("context", start + 1, end - start).alias("answer"))
+
+
+def stride_windows(docs: DataFrame, tokens: Column, size: int = 512, stride: int = 128) -> DataFrame:
+    """``(doc_id, window, first, tokens)``: windows of ``size`` tokens, each with the last
+    ``stride`` of the one before; the last one ends with the text. Blank texts have none."""
+    if not 0 <= stride < size:
+        raise ValueError("stride must be at least 0 and less than size")
+    step = size - stride
+    cut = docs.select("doc_id", tokens.alias("t")).where(F.size("t") > 0)
+    windows = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("t") - size) / step)).cast("int"))
+    return cut.select("doc_id", F.explode(windows).alias("window"), "t").select("doc_id", "window", (F.col("window") * step).alias("first"), F.slice("t", F.col("window") * step + 1, F.lit(size)).alias("tokens"))
+
+
+def long_context_answer(docs: DataFrame, question: str, tokens: Column, answerer: Answerer = rule_answerer, size: int = 512, stride: int = 128) -> DataFrame:
+    """``(doc_id, answer)``: the answer of greatest score over the windows of a document,
+    checked; blank texts have the marker."""
+    windows = stride_windows(docs, tokens, size, stride).withColumn("_a", answerer(F.lit(question), F.array_join("tokens", " ")))
+    best = A.first_by(windows, ["doc_id"], F.col("_a.score"), F.col("window")).select("doc_id", checked_answer(F.trim("_a.answer"), F.col("_a.score")).alias("answer"))
+    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("answer", F.lit(NOT_FOUND)).alias("answer"))
 
 
 def checked_answer(answer: Column, score: Column, most: int = 150, least: float = 0.001) -> Column:
@@ -110,6 +146,16 @@ def strategy_diagnostics(answers: DataFrame) -> DataFrame:
     return out.withColumn("strategy_applicable", F.col("distinct_answer_count") > 1)
 
 
+#: What a limit or threshold may be: least and greatest value.
+BOUNDS = {
+    "chunk_max_tokens": (4, float("inf")),
+    "answer_cluster_threshold": (0, 1),
+    "strict_answer_threshold": (0, 1),
+    "min_answer_threshold": (0, 1),
+}
+SPLITTERS = {"en": X.sentences, "ru": X.russian_sentences}
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     """Limits and thresholds, checked when made."""
@@ -123,53 +169,112 @@ class PipelineConfig:
     language: str = "en"
 
     def __post_init__(self) -> None:
-        if self.language not in ("en", "ru"):
-            raise ValueError("language must be 'en' or 'ru'")
-        if self.chunk_max_tokens < 4:
-            raise ValueError("chunk_max_tokens must be at least 4")
-        if not 0 <= self.overlap_tokens < self.chunk_max_tokens / 2:
-            raise ValueError("overlap_tokens must be at least 0 and less than half of chunk_max_tokens")
-        for name in ("answer_cluster_threshold", "strict_answer_threshold", "min_answer_threshold"):
-            if not 0 <= getattr(self, name) <= 1:
-                raise ValueError(f"{name} must be between 0 and 1")
-        if self.min_answer_threshold > self.strict_answer_threshold:
-            raise ValueError("min_answer_threshold must not exceed strict_answer_threshold")
-
-
-def with_vectors(found: DataFrame, score: str = "confidence") -> DataFrame:
+        wrong = [f"{k}={getattr(self, k)} is not in {low}..{high}" for k, (low, high) in BOUNDS.items() if not low <= getattr(self, k) <= high]
+        if self.language not in SPLITTERS:
+            wrong.append(f"language={self.language!r} is not one of {sorted(SPLITTERS)}")
+        if not 0 <= 2 * self.overlap_tokens < self.chunk_max_tokens:
+            wrong.append(f"overlap_tokens={self.overlap_tokens} is not under half of chunk_max_tokens={self.chunk_max_tokens}")
+        if self.strict_answer_threshold < self.min_answer_threshold:
+            wrong.append("strict_answer_threshold is under min_answer_threshold")
+        if wrong:
+            raise ValueError("; ".join(wrong))
+
+
+def word_shares(question: Column, context: Column) -> Column:
+    """The built-in source of attention: each word of two or more characters with its share
+    of the context's words, in order of the text."""
+    found = K.words(F.regexp_replace(context, r"[^\p{L}\p{N}_\s]+", " "))
+    weigh = lambda ws: F.transform(
+        F.filter(F.array_distinct(ws), lambda w: F.length(w) > 1),
+        lambda w: F.struct(w.alias("word"), F.round(F.size(F.filter(ws, lambda x: x == w)) / F.size(ws), 9).alias("weight")),
+    )
+    return V.bound(found, weigh)
+
+
+@dataclass(frozen=True)
+class Models:
+    """What models can take the place of: column functions or pandas UDFs (see
+    ``functions.models``). ``splitter`` None is the configured language's."""
+
+    answerer: Answerer = rule_answerer
+    encode: V.Encoder = V.encode_text
+    tokenize: X.Tokenizer = X.tokens
+    splitter: X.Splitter | None = None
+    lemma: Callable[[Column], Column] = F.lower
+    stem: Callable[[Column], Column] = F.lower
+    attention: Callable[[Column, Column], Column] = word_shares
+
+    def chunks(self, docs: DataFrame, config: PipelineConfig) -> DataFrame:
+        splitter = self.splitter or SPLITTERS[config.language]
+        return C.build_chunks(docs, config.chunk_max_tokens, config.overlap_tokens, splitter, self.tokenize)
+
+    def unit(self, text: Column) -> Column:
+        return V.unit(self.encode(text))
+
+
+def with_vectors(found: DataFrame, encode: V.Encoder = V.encode_text) -> DataFrame:
     """Answers in the form of the aggregation operators, with unit vectors of their texts."""
     chunk_score = F.col("chunk_score") if "chunk_score" in found.columns else F.lit(0.0)
     return found.select(
-        F.col("doc_id").alias("doc"), F.col("answer_idx").alias("idx"), "text", "confidence", chunk_score.alias("chunk_score"), V.unit(V.encode_text(F.col("text"))).alias("u"), "chunk_idx"
+        F.col("doc_id").alias("doc"), F.col("answer_idx").alias("idx"), "text", "confidence", chunk_score.alias("chunk_score"), V.unit(encode(F.col("text"))).alias("u"), "chunk_idx"
     )
 
 
-def baseline(docs: DataFrame, question: str, config: PipelineConfig = PipelineConfig(), answerer: Answerer = rule_answerer) -> DataFrame:
-    """``(doc_id, idx, text, confidence, support)``: chunks, an answer of each, the medoid."""
-    chunks = C.build_chunks(docs, config.chunk_max_tokens, config.overlap_tokens)
-    found = A.medoid(with_vectors(find_answers(chunks, F.lit(question), answerer)))
+def baseline(docs: DataFrame, question: str, config: PipelineConfig = PipelineConfig(), models: Models = Models()) -> DataFrame:
+    """``(doc_id, idx, text, confidence, support)``: chunks in the configured language, an
+    answer of each, the medoid."""
+    found = A.medoid(with_vectors(find_answers(models.chunks(docs, config), F.lit(question), models.answerer), models.encode))
     return found.withColumnRenamed("doc", "doc_id")
 
 
-def attention(docs: DataFrame, keywords: DataFrame, references: DataFrame, question: str, config: PipelineConfig = PipelineConfig(), answerer: Answerer = rule_answerer) -> DataFrame:
-    """``(doc_id, text, reranked)``: the baseline's answer, or the consensus of answers from
-    chunks scored by keywords where a baseline answer is near the reference.
+def attention_keywords(chunks: DataFrame, question: str, models: Models = Models(), limit: int = 100) -> DataFrame:
+    """``(doc_id, kw_idx, word, weight)``: the words of each chunk that the source of
+    attention ranks first, up to ``limit``; of each word of a document the greatest weight,
+    the first among equals."""
+    asked = chunks.select("doc_id", "chunk_idx", F.posexplode(models.attention(F.lit(question), F.col("text"))).alias("pos", "k"))
+    w = Window.partitionBy("doc_id", "chunk_idx").orderBy(F.col("k.weight").desc(), "pos")
+    ranked = asked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    # One number orders the words of all chunks: chunk by chunk, then by rank.
+    rows = ranked.select("doc_id", (F.col("chunk_idx").cast("long") * limit + F.col("place")).alias("kw_idx"), F.lower("k.word").alias("word"), F.col("k.weight").alias("weight"))
+    return K.deduplicate(rows, ["doc_id"])
+
 
-    ``keywords (doc_id, kw_idx, word, weight)`` come from attention; ``references (doc_id,
-    reference)`` hold a known answer. Keywords nearer to the question than to the reference
-    count. The chunk table is written once and used by both passes.
+def attention(
+    docs: DataFrame, references: DataFrame, question: str, config: PipelineConfig = PipelineConfig(), models: Models = Models(), keywords: DataFrame | None = None, aspect: str | None = None
+) -> DataFrame:
+    """``(doc_id, text, confidence, reranked, chunks_used)``: the baseline's answer or, where
+    an answer of its is near the reference, the consensus of answers from chunks scored by
+    the keywords of those answers' chunks.
+
+    ``references (doc_id, reference)`` hold a known answer. Keywords come from
+    ``models.attention``, or are given as ``(doc_id, kw_idx, word, weight)``; those nearer
+    to the aspect (or the question) than to the reference count. ``chunks_used`` counts the
+    chunks that the answer was chosen from. The chunk table is written once.
     """
-    chunks = staged(C.build_chunks(docs, config.chunk_max_tokens, config.overlap_tokens))
-    first = staged(with_vectors(find_answers(chunks, F.lit(question), answerer)))
-    base = A.medoid(first).select(F.col("doc").alias("doc_id"), F.col("text").alias("base_text"))
-    vectors = references.select(F.col("doc_id").alias("doc"), V.unit(V.encode_text(F.col("reference"))).alias("r"))
-    valid = A.validate(first, vectors, config.strict_answer_threshold, config.min_answer_threshold).select(F.col("doc").alias("doc_id")).distinct()
-    aimed = keywords.join(valid, "doc_id", "left_semi").join(vectors.withColumnRenamed("doc", "doc_id"), "doc_id")
-    wanted = K.add_lemma_and_stem(K.contrast(K.deduplicate(aimed, ["doc_id"]), V.unit(V.encode_text(F.lit(question))), F.col("r")))
+    chunks = staged(models.chunks(docs, config))
+    first = staged(with_vectors(find_answers(chunks, F.lit(question), models.answerer), models.encode))
+    used = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    base = A.medoid(first).select(F.col("doc").alias("doc_id"), F.col("text").alias("base_text"), F.col("confidence").alias("base_confidence")).join(used, "doc_id")
+    vectors = references.select("doc_id", models.unit(F.col("reference")).alias("r"))
+    valid = A.validate(first, vectors.withColumnRenamed("doc_id", "doc"), config.strict_answer_threshold, config.min_answer_threshold)
+    valid = staged(valid.select(F.col("doc").alias("doc_id"), "chunk_idx"))
+    if keywords is None:
+        found = attention_keywords(chunks.join(valid, ["doc_id", "chunk_idx"], "left_semi"), question, models)
+    else:
+        found = K.deduplicate(keywords.join(valid.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"])
+    aimed = K.contrast(found.join(vectors, "doc_id"), models.unit(F.lit(aspect or question)), F.col("r"), models.encode)
+    wanted = staged(K.add_lemma_and_stem(aimed, models.lemma, models.stem).select("doc_id", "kw_idx", "word", "weight", "lemma", "stem", "score_diff"))
     scored = K.score_chunks(K.matched_chunks(chunks, wanted))
-    again = staged(with_vectors(find_scored_answers(scored, F.lit(question), answerer)))
-    final = A.consensus(again).select(F.col("doc").alias("doc_id"), F.col("text").alias("final_text"))
-    return base.join(final, "doc_id", "left").select("doc_id", F.coalesce("final_text", "base_text").alias("text"), F.col("final_text").isNotNull().alias("reranked"))
+    again = staged(with_vectors(find_scored_answers(scored, F.lit(question), models.answerer), models.encode))
+    final = A.consensus(again).join(again.select("doc", "idx", "confidence"), ["doc", "idx"]).select(F.col("doc").alias("doc_id"), F.col("text").alias("final_text"), "confidence")
+    final = final.join(again.groupBy(F.col("doc").alias("doc_id")).agg(F.count(F.lit(1)).alias("m")), "doc_id")
+    return base.join(final, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("final_text", "base_text").alias("text"),
+        F.coalesce("confidence", "base_confidence").alias("confidence"),
+        F.col("final_text").isNotNull().alias("reranked"),
+        F.coalesce("m", "n").alias("chunks_used"),
+    )
 
 
 #: The strategies and answer of documents that can't be re-ranked, and a missing answer.
@@ -186,7 +291,7 @@ def experiment(
     cluster_strategies: list[str],
     answer_strategies: list[str],
     config: PipelineConfig = PipelineConfig(),
-    answerer: Answerer = rule_answerer,
+    models: Models = Models(),
     aspect: str | None = None,
 ) -> DataFrame:
     """A row for every document, scoring mode, cluster and answer strategy with the final
@@ -201,23 +306,23 @@ def experiment(
 
     ``modes`` maps names to the share of the attention weight in a keyword's score.
     """
-    chunks = staged(C.build_chunks(docs, config.chunk_max_tokens, config.overlap_tokens))
-    first = staged(with_vectors(find_answers(chunks, F.lit(question), answerer)))
+    chunks = staged(models.chunks(docs, config))
+    first = staged(with_vectors(find_answers(chunks, F.lit(question), models.answerer), models.encode))
     base = A.medoid(first).select(F.col("doc").alias("doc_id"), F.nullif(F.col("text"), F.lit("")).alias("first"))
     base = docs.select("doc_id").distinct().join(base, "doc_id", "left").join(references, "doc_id", "left")
-    base = staged(base.withColumn("b", F.when(F.col("first").isNotNull() & F.col("reference").isNotNull(), M.text_metrics(F.col("reference"), F.col("first")))))
+    base = staged(base.withColumn("b", F.when(F.col("first").isNotNull() & F.col("reference").isNotNull(), M.text_metrics(F.col("reference"), F.col("first"), models.encode))))
 
-    vectors = references.select("doc_id", V.unit(V.encode_text(F.col("reference"))).alias("r"))
+    vectors = references.select("doc_id", models.unit(F.col("reference")).alias("r"))
     valid = A.validate(first, vectors.withColumnRenamed("doc_id", "doc"), config.strict_answer_threshold, config.min_answer_threshold)
     valid = chunks.join(valid.select(F.col("doc").alias("doc_id"), "chunk_idx"), ["doc_id", "chunk_idx"], "left_semi")
     valid = staged(valid.select("doc_id", F.col("chunk_idx").alias("text_id"), "text"))
     batches = keywords.select("doc_id", "kw_idx", "word", "weight").join(valid.select("doc_id", F.col("text_id").alias("batch")), "doc_id")
     filtered = K.dynamic_idf_filter(valid, config.keyword_idf_threshold).select("doc_id", F.col("text_id").alias("batch"), F.col("kept").alias("text"))
-    merged = K.merge_batches(batches, filtered).join(vectors, "doc_id")
-    wanted = K.contrast(merged, V.unit(V.encode_text(F.lit(aspect or question))), F.col("r"))
-    wanted = staged(K.add_lemma_and_stem(wanted).select("doc_id", "kw_idx", "word", "weight", "lemma", "stem", "score_diff"))
+    merged = K.merge_batches(batches, filtered, K.RUSSIAN_STOP_WORDS if config.language == "ru" else K.STOP_WORDS).join(vectors, "doc_id")
+    wanted = K.contrast(merged, models.unit(F.lit(aspect or question)), F.col("r"), models.encode)
+    wanted = staged(K.add_lemma_and_stem(wanted, models.lemma, models.stem).select("doc_id", "kw_idx", "word", "weight", "lemma", "stem", "score_diff"))
 
-    answered = K.matched_chunks(chunks, wanted).withColumn("_a", answerer(F.lit(question), F.col("text")))
+    answered = K.matched_chunks(chunks, wanted).withColumn("_a", models.answerer(F.lit(question), F.col("text")))
     mode = F.explode(F.array(*(F.struct(F.lit(k).alias("mode"), F.lit(float(r)).alias("ratio")) for k, r in modes.items())))
     scored = K.score_chunks(answered.withColumn("_m", mode).select("*", "_m.*"), F.col("ratio"))
     # A document in a mode is a group of its own; its number keeps the mode.
@@ -229,7 +334,7 @@ def experiment(
         F.col("_a.answer").alias("text"),
         F.col("_a.score").alias("confidence"),
         F.col("score").alias("chunk_score"),
-        V.unit(V.encode_text(F.col("_a.answer"))).alias("u"),
+        models.unit(F.col("_a.answer")).alias("u"),
     ))
     chosen = A.select_clustered(rows, staged(A.greedy_clusters(rows, config.answer_cluster_threshold)), cluster_strategies, answer_strategies)
     chosen = chosen.select(
@@ -245,7 +350,7 @@ def experiment(
     grid = grid.join(chosen, ["doc_id", "mode", "cluster_strategy", "answer_strategy"], "left").withColumn("known", F.lit(True))
     out = base.join(grid, "doc_id", "left")
     filled = lambda c: F.when(F.col("known"), F.col(c)).otherwise(NO_VALID)
-    return out.withColumn("m", F.when(F.col("chosen").isNotNull(), M.text_metrics(F.col("reference"), F.col("chosen")))).select(
+    return out.withColumn("m", F.when(F.col("chosen").isNotNull(), M.text_metrics(F.col("reference"), F.col("chosen"), models.encode))).select(
         "doc_id",
         filled("mode").alias("score_chunk_strategy"),
         filled("cluster_strategy").alias("choose_cluster_strategy"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -9,10 +11,11 @@ from ..operators import chunks as C
 from ..operators import keywords as K
 from ..operators import qa as Q
 from .fixtures import ANSWER, CLUSTER, table
-from .text_queries import CHUNKS_SQL, MAX_TOKENS, OVERLAP, SENTENCES, TOKENS, _exploded
+from .text_queries import CHUNKS_SQL, MAX_TOKENS, OVERLAP, RUSSIAN, SENTENCES, TOKENS, _exploded
 
 QUESTION = "Which task does the text describe?"
 MODES = {"only_score_diff": 0.0, "only_weight": 1.0, "equal_weight_score_diff": 0.5}
+ASPECT = "of the and is to in"
 CONFIG = Q.PipelineConfig(chunk_max_tokens=MAX_TOKENS, overlap_tokens=OVERLAP)
 
 
@@ -93,6 +96,10 @@ def q_characteristic_contrast(spark, sf):
     return K.characteristic_contrast(texts(spark, sf))
 
 
+def q_characteristic_filter(spark, sf):
+    return K.characteristic_filter(texts(spark, sf), targets=5)
+
+
 def q_lemma_stem(spark, sf):
     return K.add_lemma_and_stem(keywords(spark, sf).select("doc_id", F.concat(F.lit("Task_"), "word").alias("word")))
 
@@ -119,8 +126,16 @@ def q_dedup_keywords(spark, sf):
 
 
 def q_kw_join(spark, sf):
-    k = keywords(spark, sf)
-    return k.select("doc_id", "word", F.round("weight", 6).alias("weight")).join(k.where("kw_idx % 2 = 0").select("doc_id", "word", "stem"), ["doc_id", "word"])
+    """Keywords with the stem and the number of documents of their word, of all words."""
+    every = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))
+    words = _docs(spark, sf).select(F.explode(F.array_distinct(every)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
+    stems = words.withColumn("stem", F.substring("word", 1, 6))
+    return keywords(spark, sf).select("doc_id", "word", F.round("weight", 6).alias("weight")).join(stems, "word")
+
+
+def q_kw_by_cosine(spark, sf):
+    found = K.by_cosine(keywords(spark, sf).select("doc_id", "word"), _docs(spark, sf))
+    return found.select("doc_id", "place", "word", F.round("similarity", 6).alias("similarity"))
 
 
 def q_kw_in_text(spark, sf):
@@ -149,7 +164,7 @@ def q_attention_wordpiece(spark, sf):
 
 def q_attention_rank(spark, sf):
     w = K.attention_words(pieces(spark, sf), ["conv_id", "turn"])
-    return K.attention_rank(w, ["conv_id", "turn"], 20).select("conv_id", "turn", "place", "word", F.round("weight", 6).alias("weight"))
+    return K.attention_rank(w, ["conv_id", "turn"]).select("conv_id", "turn", "place", "word", F.round("weight", 6).alias("weight"))
 
 
 def q_attention_words_legacy(spark, sf):
@@ -225,9 +240,18 @@ def _references(spark, sf):
     return texts(spark, sf).where("text_id = 0").select("doc_id", F.col("text").alias("reference"))
 
 
+def q_baseline_ru(spark, sf):
+    return Q.baseline(_docs(spark, sf), QUESTION, replace(CONFIG, language="ru"))
+
+
+def q_attention_keywords(spark, sf):
+    found = Q.attention_keywords(chunks(spark, sf), QUESTION)
+    return found.select("doc_id", "kw_idx", "word", F.round("weight", 6).alias("weight"))
+
+
 def q_attention_pipeline(spark, sf):
-    kws = keywords(spark, sf).select("doc_id", "kw_idx", "word", "weight")
-    return Q.attention(_docs(spark, sf), kws, _references(spark, sf), QUESTION, CONFIG)
+    found = Q.attention(_docs(spark, sf), _references(spark, sf), QUESTION, CONFIG, aspect=ASPECT)
+    return found.select("doc_id", "text", F.round("confidence", 6).alias("confidence"), "reranked", "chunks_used")
 
 
 def q_experiment(spark, sf):
@@ -236,9 +260,9 @@ def q_experiment(spark, sf):
 
 def q_span_search(spark, sf):
     k = F.col("doc_id") % 13 + 1
-    at = F.sequence(F.lit(0), F.lit(39))
+    at = F.sequence(F.lit(0), F.lit(99))
     logits = _docs(spark, sf).select("doc_id", F.transform(at, lambda p: (p * k) % 17 / 4.0).alias("s"), F.transform(at, lambda p: (p * (k + 3)) % 19 / 4.0).alias("e"))
-    return Q.span_search(logits, most=8).select("doc_id", "start", "end", F.round("probability", 6).alias("probability"))
+    return Q.span_search(logits).select("doc_id", "start", "end", F.round("probability", 6).alias("probability"))
 
 
 def q_post_rules(spark, sf):
@@ -280,14 +304,9 @@ def q_metrics_rowwise(spark, sf):
     """The golds of a user's turn are the assistant's next turn and, if there is one, the one
     before."""
     before = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    golds = F.array("gold", "before")
-    return pairs(spark, sf).join(before, ["conv_id", "turn"], "left").select(
-        "conv_id",
-        "turn",
-        F.round(M.best_over(golds, lambda g: M.char_f1(F.col("pred"), g)), 4).alias("char_f1"),
-        F.round(M.best_over(golds, lambda g: M.token_f1(F.col("pred"), g)), 4).alias("token_f1"),
-        M.best_rouge_l("pred", golds).alias("rouge_l_f1"),
-    )
+    rows = pairs(spark, sf).join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "pred", F.array("gold", "before").alias("golds"))
+    found = M.metrics_rowwise(rows).drop("pred", "golds")
+    return found.withColumns({c: F.round(c, 4) for c in found.columns[2:]})
 
 
 _TEXTS = f"texts AS (SELECT doc_id, sent_pos AS text_id, text FROM ({_exploded(SENTENCES)}))"
@@ -300,13 +319,14 @@ _IDF = f"""{_TEXTS}, tn AS (SELECT doc_id, count(*) AS n FROM texts GROUP BY 1),
 _KW = r"""kc AS (SELECT doc_id, word, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS word FROM documents) GROUP BY 1, 2),
   kw AS (SELECT doc_id, kw_idx, word, 1 / (1 + kw_idx) AS weight, word AS lemma, word[1:6] AS stem, (length(word) % 5) / 4.0::DOUBLE AS score_diff
     FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, word) - 1 AS kw_idx FROM kc) WHERE kw_idx < 8)"""
-_HIT = CHUNKS_SQL + ", " + _KW + r""", tk AS (SELECT doc_id, chunk_idx, unnest(w) AS word, generate_subscripts(w, 1) AS p, g FROM
+_HIT_ONLY = r"""tk AS (SELECT doc_id, chunk_idx, unnest(w) AS word, generate_subscripts(w, 1) AS p, g FROM
     (SELECT doc_id, chunk_idx, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w, regexp_split_to_array(lower(text), '[\p{L}\p{N}_]+') AS g FROM chunks)),
   ts AS (SELECT doc_id, chunk_idx, word, p, sum(length(g[p])) OVER o + coalesce(sum(length(word)) OVER b, 0) AS start FROM tk
     WINDOW o AS (PARTITION BY doc_id, chunk_idx ORDER BY p ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY doc_id, chunk_idx ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   tm AS (SELECT doc_id, term, max(kw_idx) AS k FROM (SELECT doc_id, kw_idx, lower(lemma) AS term FROM kw UNION ALL SELECT doc_id, kw_idx, lower(stem) FROM kw) GROUP BY 1, 2),
   hit AS (SELECT ts.doc_id, chunk_idx, word, start, k FROM ts JOIN tm ON ts.doc_id = tm.doc_id AND ts.word = tm.term),
   hk AS (SELECT DISTINCT doc_id, chunk_idx, k FROM hit), kn AS (SELECT doc_id, count(*) AS kn FROM kw GROUP BY 1)"""
+_HIT = f"{CHUNKS_SQL}, {_KW}, {_HIT_ONLY}"
 
 
 def _score(ratio: str) -> str:
@@ -366,6 +386,69 @@ _COS = "coalesce(CASE WHEN list_sum({a}) = 0 OR list_sum({b}) = 0 THEN 0 ELSE ro
 _CHUNKS = f"WITH RECURSIVE {CHUNKS_SQL}"
 _HITS = f"WITH RECURSIVE {_HIT}"
 
+# Longest common subsequences of token lists, row by row: a row is the greatest so far of the
+# row before and of its matches.
+def _lcs(frame: str) -> str:
+    tokens = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
+    return f"""{frame}, lt AS (SELECT conv_id, turn, {tokens.format('gold')} AS a, {tokens.format('pred')} AS b FROM qa),
+      lr AS (SELECT conv_id, turn, a, b, 0::BIGINT AS j, list_transform(range(0, len(a)), lambda k: 0::BIGINT) AS r FROM lt
+        UNION ALL SELECT conv_id, turn, a, b, j + 1, list_transform(range(1, len(a) + 1), lambda n: list_max(list_transform(range(1, n + 1),
+          lambda k: greatest(r[k], CASE WHEN a[k] = b[j + 1] THEN (CASE WHEN k > 1 THEN r[k - 1] ELSE 0 END) + 1 ELSE 0 END)))) FROM lr WHERE j < len(b)),
+      lv AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 2 * r[-1] / (len(a) + len(b)) END::DOUBLE AS rouge FROM lr WHERE j = len(b))"""
+
+
+_PAIRS2 = """qa AS (SELECT u.conv_id, u.turn * 2 + (a.turn > u.turn)::INT AS turn, u.text AS pred, a.text AS gold FROM conversations u JOIN conversations a
+    ON u.conv_id = a.conv_id AND abs(a.turn - u.turn) = 1 JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND n.role = 'assistant')"""
+_LETTERS = _VEC.format("regexp_replace(w, '(.)', '\\1 ', 'g')")
+_BERT = f"""bw AS (SELECT conv_id, turn, side, w, p, {_LETTERS} AS v FROM (SELECT conv_id, turn, side, unnest(l) AS w, generate_subscripts(l, 1) AS p FROM
+      (SELECT conv_id, turn, 'p' AS side, {_WORDS.format('pred')} AS l FROM qa UNION ALL SELECT conv_id, turn, 'g', {_WORDS.format('gold')} FROM qa))),
+    bp AS (SELECT x.conv_id, x.turn, x.p AS i, y.p AS j, {_COS.format(a='x.v', b='y.v')} AS sim FROM bw x JOIN bw y USING (conv_id, turn) WHERE x.side = 'p' AND y.side = 'g'),
+    bs AS (SELECT conv_id, turn, (SELECT avg(m) FROM (SELECT max(sim) AS m FROM bp b WHERE b.conv_id = qa.conv_id AND b.turn = qa.turn GROUP BY i)) AS p,
+      (SELECT avg(m) FROM (SELECT max(sim) AS m FROM bp b WHERE b.conv_id = qa.conv_id AND b.turn = qa.turn GROUP BY j)) AS r FROM qa)"""
+
+
+def _rowwise() -> str:
+    char, token = _f1(_PAIRS2, _CHARS, "1"), _f1(_PAIRS2, _SQUAD, "100")
+    best = lambda frame, last: f"(WITH RECURSIVE {frame} SELECT conv_id, turn // 2 AS turn, {last} GROUP BY 1, 2)"
+    return f"""SELECT conv_id, turn, round(char_f1, 4) AS char_f1, round(token_f1, 4) AS token_f1, round(rouge_l_f1, 4) AS rouge_l_f1,
+        round(bertscore_p, 4) AS bertscore_p, round(bertscore_r, 4) AS bertscore_r, round(bertscore_f1, 4) AS bertscore_f1
+      FROM {best(char, 'max(f1)::DOUBLE AS char_f1 FROM v')} JOIN {best(token, 'max(f1)::DOUBLE AS token_f1 FROM v')} USING (conv_id, turn)
+      JOIN {best(_lcs(_PAIRS2), 'max(rouge) AS rouge_l_f1 FROM lv')} USING (conv_id, turn)
+      JOIN {best(f'{_PAIRS2}, {_BERT}', "max(coalesce(p, 0)) AS bertscore_p, max(coalesce(r, 0)) AS bertscore_r, max(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) AS bertscore_f1 FROM bs")} USING (conv_id, turn)"""
+
+
+_MEDOID = f"""av AS (SELECT doc_id, answer_idx, chunk_idx, answer, {_VEC.format('answer')} AS v FROM fa),
+      ap AS (SELECT a.doc_id, a.answer_idx, a.answer, sum({_COS.format(a='a.v', b='b.v')}) AS s, count(*) AS n, count(*) FILTER (a.answer = b.answer) AS support
+        FROM av a JOIN av b USING (doc_id) GROUP BY ALL),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s / n, 9) DESC, answer_idx) AS rn FROM ap)"""
+# Words of a chunk with their shares, ranked; and of those of valid chunks the keywords.
+_SHARES = r"""sw AS (SELECT doc_id, chunk_idx, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\p{L}\p{N}_\s]+', ' ', 'g')), '\s+'), lambda w: w <> '') AS w FROM chunks),
+      sx AS (SELECT doc_id, chunk_idx, word, min(p) AS p, round(count(*) / any_value(n), 9) AS weight FROM (SELECT doc_id, chunk_idx, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n FROM sw)
+        WHERE length(word) > 1 GROUP BY 1, 2, 3),
+      sr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY weight DESC, p) AS place FROM sx)"""
+
+
+def _best_words(where: str) -> str:
+    return f"""sk AS (SELECT doc_id, word, weight, chunk_idx * 100 + place AS kw_idx, row_number() OVER (PARTITION BY doc_id, word ORDER BY weight DESC, chunk_idx * 100 + place) AS rn
+        FROM sr WHERE place <= 100 AND {where}), kb AS (SELECT doc_id, kw_idx, word, weight FROM sk WHERE rn = 1)"""
+
+
+_PIPELINE = f"""{_CHUNKS}, {_ANSWERS}, {_MEDOID}, rf AS (SELECT doc_id, l[1] AS reference FROM (SELECT doc_id, {SENTENCES} AS l FROM documents) WHERE len(l) > 0),
+      vs AS (SELECT av.*, {_COS.format(a='av.v', b='r')} AS similarity FROM av JOIN (SELECT doc_id, {_VEC.format('reference')} AS r FROM rf) USING (doc_id)),
+      vr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, answer_idx) AS place, max(similarity) OVER (PARTITION BY doc_id) AS best FROM vs),
+      va AS (SELECT doc_id, chunk_idx FROM vr WHERE (best >= 0.9 AND similarity >= 0.9) OR (best < 0.9 AND similarity >= 0.7 AND place <= 1)),
+      {_SHARES}, {_best_words('(doc_id, chunk_idx) IN (SELECT (doc_id, chunk_idx) FROM va)')},
+      kd AS (SELECT kb.*, round({_COS.format(a=_VEC.format('word'), b=_VEC.format(f"'{ASPECT}'"))} - {_COS.format(a=_VEC.format('word'), b=_VEC.format('reference'))}, 9) AS score_diff FROM kb JOIN rf USING (doc_id)),
+      kw AS (SELECT *, word AS lemma, word AS stem FROM kd WHERE score_diff > 0), {_HIT_ONLY},
+      ag AS (SELECT s.doc_id, s.chunk_idx, fa.answer, round(raw, 6) AS score, (row_number() OVER (PARTITION BY s.doc_id ORDER BY round(raw, 6) DESC, s.chunk_idx) - 1) AS idx, {_VEC.format('fa.answer')} AS v
+        FROM {_score('0.5::DOUBLE')} s JOIN fa USING (doc_id, chunk_idx)),
+      an AS (SELECT a.doc_id, a.idx, avg(sim) FILTER (sim >= 0.7) AS s FROM (SELECT a.doc_id, a.idx, {_COS.format(a='a.v', b='b.v')} AS sim FROM ag a JOIN ag b ON a.doc_id = b.doc_id AND a.idx <> b.idx) a GROUP BY 1, 2),
+      ac AS (SELECT ag.doc_id, ag.idx, answer, CASE WHEN count(*) OVER (PARTITION BY ag.doc_id) > 1 THEN round((score + 0.9::DOUBLE) / 2 * 0.6::DOUBLE + coalesce(s, 0) * 0.4::DOUBLE, 9) ELSE 0 END AS c,
+        count(*) OVER (PARTITION BY ag.doc_id) AS m FROM ag LEFT JOIN an ON ag.doc_id = an.doc_id AND ag.idx = an.idx),
+      fi AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, idx) AS rn FROM ac)
+      SELECT rk.doc_id, coalesce(fi.answer, rk.answer) AS text, 0.9::DOUBLE AS confidence, fi.answer IS NOT NULL AS reranked, coalesce(m, rk.n) AS chunks_used
+      FROM rk LEFT JOIN fi ON rk.doc_id = fi.doc_id AND fi.rn = 1 WHERE rk.rn = 1"""
+
 SQL = {
     "ngrams": f"""WITH k AS (SELECT doc_id, list_filter({_TERMS.format('text')}, lambda w: w NOT IN ({_STOP})) AS k FROM documents)
       SELECT DISTINCT doc_id, k[i] || ' ' || k[i + 1] AS gram FROM k, unnest(range(1, len(k))) AS u(i)""",
@@ -383,11 +466,21 @@ SQL = {
       cv AS (SELECT x.doc_id, x.i, x.t, avg((coalesce(n, 0) >= 3)::INT) AS c FROM (SELECT doc_id, text_id, i, t FROM texts, th) x LEFT JOIN kc USING (doc_id, text_id, i) GROUP BY 1, 2, 3),
       r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY least(c, 0.8) DESC, i) AS rn FROM cv)
       SELECT doc_id, round(t, 6) AS threshold, round(c, 6) AS coverage FROM r WHERE rn = 1""",
-    "characteristic": f"""WITH {_TEXTS}, tn AS (SELECT doc_id, count(*) AS n FROM texts GROUP BY 1),
-      tf AS (SELECT doc_id, text_id, word, count(*) AS tf FROM (SELECT doc_id, text_id, unnest({_TERMS.format('text')}) AS word FROM texts) GROUP BY 1, 2, 3),
+    "characteristic": f"""WITH {_TEXTS}, tn AS (SELECT doc_id, count(*) AS n FROM texts GROUP BY 1), tl AS (SELECT doc_id, text_id, {_TERMS.format('text')} AS t FROM texts),
+      tf AS (SELECT doc_id, text_id, word, count(*) AS tf FROM (SELECT doc_id, text_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS word FROM tl) GROUP BY 1, 2, 3),
       df AS (SELECT doc_id, word, count(*) AS df, any_value(n) AS n FROM tf JOIN tn USING (doc_id) GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) <= 0.8::DOUBLE * any_value(n)),
       x AS (SELECT doc_id, text_id, word, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (doc_id, word)),
       y AS (SELECT doc_id, text_id, word, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, text_id)), 6) AS tfidf FROM x) SELECT * FROM y WHERE tfidf >= 0.1""",
+    "characteristic_filter": f"""WITH RECURSIVE {_IDF}, sc AS (SELECT doc_id, word, (ln(any_value(n) / count(*)) + 1) * (count(*) FILTER (text_id < 5) + 1) / (count(*) FILTER (text_id >= 5) + 1) AS score
+        FROM seen JOIN tn USING (doc_id) GROUP BY 1, 2),
+      pl AS (SELECT doc_id, text_id, pos, word, score FROM pw JOIN sc USING (doc_id, word) WHERE text_id < 5), tg AS (SELECT doc_id, count(*) AS m FROM texts WHERE text_id < 5 GROUP BY 1),
+      rc AS (SELECT doc_id, text_id, list(round(score, 9) ORDER BY score DESC)[3] AS reach FROM pl GROUP BY 1, 2), rl AS (SELECT doc_id, list(reach) FILTER (reach IS NOT NULL) AS l FROM rc GROUP BY 1),
+      wk AS (SELECT doc_id, m, coalesce(l, []) AS l, 0 AS i, 1.5::DOUBLE AS t, -1.0::DOUBLE AS best, 1.5::DOUBLE AS best_t, false AS done FROM tg LEFT JOIN rl USING (doc_id)
+        UNION ALL SELECT doc_id, m, l, i + 1, t - greatest(0.2::DOUBLE * (1 - c), 0.05::DOUBLE), greatest(c, best), CASE WHEN c > best THEN t ELSE best_t END, c >= 0.8
+        FROM (SELECT *, len(list_filter(l, lambda x: x >= round(t, 9))) / m AS c FROM wk) WHERE NOT done AND t >= 0.5),
+      la AS (SELECT doc_id, arg_max(best_t, i) AS threshold, arg_max(best, i) AS coverage FROM wk GROUP BY 1),
+      kp AS (SELECT doc_id, text_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM pl JOIN la USING (doc_id) WHERE round(score, 9) >= round(threshold, 9) GROUP BY 1, 2)
+      SELECT doc_id, text_id, coalesce(kept, '') AS kept, round(threshold, 6) AS threshold, round(coverage, 6) AS coverage FROM texts JOIN la USING (doc_id) LEFT JOIN kp USING (doc_id, text_id) WHERE text_id < 5""",
     "characteristic_contrast": f"""WITH {_IDF} SELECT doc_id, word, round((ln(any_value(n) / count(*)) + 1) * (count(*) FILTER (text_id < 1) + 1) / (count(*) FILTER (text_id >= 1) + 1), 6) AS score
       FROM seen JOIN tn USING (doc_id) GROUP BY 1, 2""",
     "lemma_stem": f"WITH {_KW} SELECT doc_id, 'Task_' || word AS word, 'task_' || word AS lemma, 'task_' || word AS stem FROM kw",
@@ -396,7 +489,11 @@ SQL = {
     "merge_keywords": rf"""WITH {_KW}, {_TEXTS}, al AS (SELECT DISTINCT doc_id, text_id % 3 AS batch, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+')) AS word FROM texts)
       SELECT doc_id, kw.word, round(max(weight), 6) AS weight FROM kw JOIN al USING (doc_id, word) WHERE al.batch = kw_idx % 3 AND kw.word NOT IN ({_STOP}) AND length(kw.word) > 1 GROUP BY 1, 2""",
     "dedup_keywords": f"WITH {_KW} SELECT doc_id, word[1:4] AS word, round(max(weight), 6) AS weight FROM kw GROUP BY 1, 2",
-    "kw_join": f"WITH {_KW} SELECT doc_id, word, round(weight, 6) AS weight, stem FROM kw WHERE kw_idx % 2 = 0",
+    "kw_join": rf"""WITH {_KW}, wd AS (SELECT word, word[1:6] AS stem, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}{{4,}}')) AS word FROM documents) GROUP BY 1)
+      SELECT doc_id, word, round(weight, 6) AS weight, wd.stem, documents FROM kw JOIN wd USING (word)""",
+    "kw_by_cosine": f"""WITH {_KW}, v AS (SELECT doc_id, word, {_VEC.format('word')} AS u, {_VEC.format('text')} AS p FROM kw JOIN documents USING (doc_id) WHERE {_BLANK.format('text')} IS FALSE),
+      d AS (SELECT doc_id, word, {_COS.format(a='u', b='p')} AS similarity FROM v)
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, word))::INT AS place, word, round(similarity, 6) AS similarity FROM d""",
     "kw_in_text": rf"WITH {_KW} SELECT doc_id, word FROM kw JOIN documents USING (doc_id) WHERE list_contains(regexp_split_to_array(lower(text), '\s+'), word)",
     "kw_stop": f"WITH {_KW} SELECT doc_id, word FROM kw WHERE word NOT IN ({_STOP}) AND length(word) > 1",
     "special_tokens": r"""WITH t AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\s+')) AS token FROM conversations) SELECT conv_id, turn, count(*) AS n FROM t
@@ -408,7 +505,7 @@ SQL = {
       UNION ALL SELECT conv_id, turn, 0, word, round(total / m, 6) FROM alt JOIN sch USING (conv_id, turn) WHERE NOT wp""",
     "attention_rank": f"""WITH {_attention('▁', '', chr(39).join(['starts_with(token, ', 'Ġ', ') OR starts_with(token, ', '▁', ')']))},
       mn AS (SELECT conv_id, turn, word, round(sum(total) / sum(m), 9) AS weight, min(word_pos) AS fst FROM occ WHERE length(word) > 1 GROUP BY 1, 2, 3),
-      r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY weight DESC, fst) AS place FROM mn) SELECT conv_id, turn, place, word, round(weight, 6) AS weight FROM r WHERE place <= 20""",
+      r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY weight DESC, fst) AS place FROM mn) SELECT conv_id, turn, place, word, round(weight, 6) AS weight FROM r WHERE place <= 100""",
     "attention_words_legacy": f"""WITH {_pieces('Ġ', '')}, a AS (SELECT * FROM tokw WHERE token NOT IN ('<s>', '</s>', '<pad>', '[CLS]', '[SEP]', '.', '?', '!', ',', '/', '//', '][')
         AND token NOT LIKE '<%' AND token NOT LIKE '%>' AND trim(token, '.') <> ''),
       b AS (SELECT *, trim(replace(token, 'Ġ', ' ')) AS c0, starts_with(token, 'Ġ')::INT AS s FROM a),
@@ -434,14 +531,15 @@ SQL = {
       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, chunk_idx) - 1)::INT AS answer_idx, chunk_idx, round(c, 3) AS combined_score FROM sc""",
     "strategy_diag": f"""{_CHUNKS}, {_ANSWERS} SELECT doc_id, count(*) AS answer_candidate_count, count(DISTINCT nullif(trim(answer), '')) AS distinct_answer_count,
       count(DISTINCT nullif(trim(answer), '')) > 1 AS strategy_applicable FROM fa GROUP BY 1""",
-    "baseline": f"""{_CHUNKS}, {_ANSWERS}, av AS (SELECT doc_id, answer_idx, answer, {_VEC.format('answer')} AS v FROM fa),
-      ap AS (SELECT a.doc_id, a.answer_idx, a.answer, sum({_COS.format(a='a.v', b='b.v')}) AS s, count(*) AS n, count(*) FILTER (a.answer = b.answer) AS support
-        FROM av a JOIN av b USING (doc_id) GROUP BY ALL),
-      rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s / n, 9) DESC, answer_idx) AS rn FROM ap)
-      SELECT doc_id, answer_idx AS idx, answer AS text, 0.9::DOUBLE AS confidence, support FROM rk WHERE rn = 1""",
-    "span_search": """WITH l AS (SELECT doc_id, p, (p * (doc_id % 13 + 1)) % 17 / 4.0::DOUBLE AS s, (p * (doc_id % 13 + 4)) % 19 / 4.0::DOUBLE AS e FROM documents, unnest(range(0, 40)) AS u(p)),
+    "baseline": f"{_CHUNKS}, {_ANSWERS}, {_MEDOID} SELECT doc_id, answer_idx AS idx, answer AS text, 0.9::DOUBLE AS confidence, support FROM rk WHERE rn = 1",
+    "baseline_ru": f"WITH RECURSIVE {CHUNKS_SQL.replace(SENTENCES, RUSSIAN)}, {_ANSWERS}, {_MEDOID} SELECT doc_id, answer_idx AS idx, answer AS text, 0.9::DOUBLE AS confidence, support FROM rk WHERE rn = 1",
+    "attention_keywords": f"{_CHUNKS}, {_SHARES}, {_best_words('true')} SELECT doc_id, kw_idx, word, round(weight, 6) AS weight FROM kb",
+    "attention_pipeline": _PIPELINE,
+    "rouge_l": f"WITH RECURSIVE {_lcs(_PAIRS)} SELECT conv_id, turn, round(rouge, 6) AS rouge_l FROM lv",
+    "metrics_rowwise": _rowwise(),
+    "span_search": """WITH l AS (SELECT doc_id, p, (p * (doc_id % 13 + 1)) % 17 / 4.0::DOUBLE AS s, (p * (doc_id % 13 + 4)) % 19 / 4.0::DOUBLE AS e FROM documents, unnest(range(0, 100)) AS u(p)),
       z AS (SELECT doc_id, sum(exp(s)) AS zs, sum(exp(e)) AS ze FROM l GROUP BY 1), b AS (SELECT a.doc_id, a.p AS i, b.p AS j, a.s, b.e,
-        row_number() OVER (PARTITION BY a.doc_id ORDER BY a.s + b.e DESC, a.p, b.p) AS rn FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 7)
+        row_number() OVER (PARTITION BY a.doc_id ORDER BY a.s + b.e DESC, a.p, b.p) AS rn FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 63)
       SELECT doc_id, i::INT AS start, j::INT AS "end", round(exp(s) / zs * exp(e) / ze, 6) AS probability FROM b JOIN z USING (doc_id) WHERE rn = 1""",
     "post_rules": f"SELECT conv_id, turn, CASE WHEN turn / 4.0 > 0.001 AND length(text) >= 2 THEN substr(text, 1, 150) ELSE '{Q.NOT_FOUND}' END AS answer FROM conversations",
     "ctx_tail": r"SELECT doc_id, array_to_string(w[greatest(1, len(w) - 49):], ' ') AS tail FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents)",
