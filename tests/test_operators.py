@@ -87,8 +87,115 @@ def test_baseline_and_attention(spark):
     assert Q.baseline(docs, "task?", config).first().text == "semantic segmentation"
     kws = spark.createDataFrame([(1, 0, "semantic", 1.0)], "doc_id long, kw_idx int, word string, weight double")
     refs = spark.createDataFrame([(1, "unrelated reference")], "doc_id long, reference string")
-    row = Q.attention(docs, kws, refs, "semantic", config).first()
-    assert row.text == "semantic segmentation"
+    row = Q.attention(docs, refs, "semantic", config, keywords=kws).first()
+    assert (row.text, row.reranked, row.chunks_used) == ("semantic segmentation", True, 1)
+    own = Q.attention(docs, refs, "semantic", config).first()
+    assert (own.text, own.reranked) == ("semantic segmentation", True)
+    none = Q.attention(docs, refs, "semantic", Q.PipelineConfig(20, 2)).first()
+    assert (none.text, none.reranked, none.confidence, none.chunks_used) == ("semantic segmentation", False, 0.9, 1)
+
+
+def test_attention_keywords(spark):
+    """The greatest weight of a word over all chunks; ranks up to the limit."""
+    chunks = spark.createDataFrame([(1, 0, "aa bb bb"), (1, 1, "bb cc cc cc"), (2, 0, "x"), (3, 0, "")], "doc_id long, chunk_idx int, text string")
+    found = sorted((r.doc_id, r.kw_idx, r.word, round(r.weight, 6)) for r in Q.attention_keywords(chunks, "q").collect())
+    assert found == [(1, 1, "bb", 0.666667), (1, 2, "aa", 0.333333), (1, 101, "cc", 0.75)]
+    assert {r.word for r in Q.attention_keywords(chunks, "q", limit=1).collect()} == {"bb", "cc"}
+
+
+def test_russian_path(spark):
+    text = "Мы решаем задачу, т.е. ищем слова. Это г. Москва… Конец."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ru, en = (Q.Models().chunks(docs, Q.PipelineConfig(5, 1, language=x)).collect() for x in ("ru", "en"))
+    assert [r.text for r in ru] != [r.text for r in en] and ru[0].text == "Мы решаем задачу, т.е. ищем"[: len(ru[0].text)]
+    assert Q.baseline(docs, "?", Q.PipelineConfig(8, 1, language="ru")).count() == 1
+    diagnostics = Q.strategy_diagnostics(spark.createDataFrame([(1, "анализ текстов"), (1, "классификация текстов")], "doc_id long, text string")).first()
+    assert (diagnostics.strategy_applicable, diagnostics.distinct_answer_count, diagnostics.answer_candidate_count) == (True, 2, 2)
+
+
+def test_model_seams(spark):
+    """Models take the place of encoder, tokenizer, answerer, splitter and attention."""
+    from lexiquarry.functions import models
+
+    seams = Q.Models(
+        answerer=models.answerer("answer", lambda: lambda q, c: {"answer": c[:3], "score": len(c) / 100, "start": 0, "end": 3}),
+        encode=models.encoder("length", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]),
+        tokenize=models.tokenizer("letters", lambda: list),
+        splitter=lambda text: F.split(text, ";", -1),
+        attention=models.attention("first", lambda: lambda q, c: [(c[:2], 0.5)]),
+    )
+    docs = spark.createDataFrame([(1, "ab;cdef;gh"), (2, "zz")], "doc_id long, text string")
+    config = Q.PipelineConfig(4, 0, min_answer_threshold=0.0)
+    chunks = seams.chunks(docs, config).orderBy("doc_id", "chunk_idx").collect()
+    assert [(r.text, r.token_count) for r in chunks] == [("ab", 2), ("cdef", 4), ("gh", 2), ("zz", 2)]
+    assert {r.doc_id: r.text for r in Q.baseline(docs, "q", config, seams).collect()} == {1: "ab", 2: "zz"}
+    refs = spark.createDataFrame([(1, "abc")], "doc_id long, reference string")
+    assert Q.attention(docs, refs, "q", config, seams).count() == 2
+    loads = []
+    assert models.once("n", lambda: loads.append(1) or "m") == models.once("n", lambda: loads.append(1) or "m") == "m" and loads == [1]
+
+
+def test_span_search(spark):
+    rows = [(1, [0.0, 1.0, 2.0, 0.0], [0.0, 3.0, 1.0, 9.0], [None, 1, 1, None], [(0, 0), (0, 2), (3, 6), (0, 0)], "ab cde"), (2, [1.0], [1.0], [0], [(0, 1)], "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, s array<double>, e array<double>, segments array<int>, offsets array<struct<from:int,to:int>>, context string")
+    plain = {r.doc_id: (r.start, r.end) for r in Q.span_search(frame.drop("segments", "offsets", "context")).collect()}
+    assert plain == {1: (2, 3), 2: (0, 0)}
+    assert {r.doc_id: (r.start, r.end) for r in Q.span_search(frame.drop("segments", "offsets", "context"), most=1).collect()} == {1: (3, 3), 2: (0, 0)}
+    found = {r.doc_id: (r.start, r.end, r.answer) for r in Q.span_search(frame).collect()}
+    assert found == {1: (0, 2, "ab"), 2: (0, 0, "")}
+    shares = np.exp([0.0, 1.0, 2.0, 0.0]) / np.exp([0.0, 1.0, 2.0, 0.0]).sum(), np.exp([0.0, 3.0, 1.0, 9.0]) / np.exp([0.0, 3.0, 1.0, 9.0]).sum()
+    probability = {r.doc_id: r.probability for r in Q.span_search(frame).collect()}
+    assert probability == {1: pytest.approx(shares[0][1] * shares[1][1], abs=1e-9), 2: 0.0}
+
+
+def test_stride_windows(spark):
+    rng = np.random.default_rng(1)
+    for n, size, stride in ((0, 4, 1), (3, 4, 1), (4, 4, 1), (5, 4, 3), (11, 4, 1), (10, 4, 0)):
+        words = [f"w{k}" for k in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+        tokens = F.filter(F.split("text", " "), lambda w: w != "")
+        found = [(r.first, r.tokens) for r in Q.stride_windows(docs, tokens, size, stride).orderBy("window").collect()]
+        want, at = [], 0
+        while n and (not want or at - (size - stride) + size < n):
+            want.append((at, words[at : at + size]))
+            at += size - stride
+        assert found == want
+    docs = spark.createDataFrame([(1, "one. two semantic segmentation"), (2, "  ")], "doc_id long, text string")
+    tokens = F.filter(F.split("text", " "), lambda w: w != "")
+    found = {r.doc_id: r.answer for r in Q.long_context_answer(docs, "q", tokens, size=2, stride=1).collect()}
+    assert found == {1: "one", 2: Q.NOT_FOUND} and rng is not None
+
+
+def test_scored_answers_carry_keywords(spark):
+    chunks = spark.createDataFrame([(1, 0, "Task about data data. x"), (1, 1, "none")], "doc_id long, chunk_idx int, text string")
+    kws = spark.createDataFrame([(1, 0, "Data", 1.0, "data", "dat", 0.5), (1, 1, "task", 0.5, "task", "task", 0.1)], "doc_id long, kw_idx int, word string, weight double, lemma string, stem string, score_diff double")
+    row = Q.find_scored_answers(K.score_chunks(K.matched_chunks(chunks, kws)), F.lit("q")).collect()
+    assert len(row) == 1 and row[0].matched == ["Data", "task"] and [tuple(x) for x in row[0].keyword_scores] == [("Data", 2), ("task", 1)]
+
+
+def test_keyword_parameters(spark):
+    docs = spark.createDataFrame([(1, "deep learning model 3d deep learning nets")], "doc_id long, text string")
+    grams = [r.word for r in K.extract(docs, n=2).collect()]
+    assert set(grams) == {"deep learning", "learning model", "learning nets"}
+    refs = spark.createDataFrame([(1, "nets nets")], "doc_id long, text string")
+    assert K.extract(docs, references=refs).first().word == "nets"
+    assert K.extract(docs, stop_words=["deep", "learning"]).count() == 2
+    words = spark.createDataFrame([(1, "nets"), (1, "absent"), (2, "x")], "doc_id long, word string")
+    found = K.by_cosine(words, spark.createDataFrame([(1, "nets"), (2, " ")], "doc_id long, text string")).orderBy("place").collect()
+    assert [(r.doc_id, r.word) for r in found] == [(1, "nets"), (1, "absent")]
+    assert len(K.STOP_WORDS) == len(set(K.STOP_WORDS)) and len(K.RUSSIAN_STOP_WORDS) == len(set(K.RUSSIAN_STOP_WORDS))
+
+
+def test_reduced_attention(spark):
+    """Mean over layers, heads and from-positions, of context tokens."""
+    rng = np.random.default_rng(3)
+    tensor = rng.random((2, 3, 4, 4))
+    frame = spark.createDataFrame([(tensor.tolist(), [None, 0, 1, 1])], "w array<array<array<array<double>>>>, s array<int>")
+    found = frame.select(K.reduced_attention(F.col("w"), F.col("s")).alias("r")).first().r
+    assert [r.pos for r in found] == [2, 3] and [r.weight for r in found] == pytest.approx(tensor.mean(axis=(0, 1, 2))[2:].tolist())
+    rows = spark.createDataFrame([(["ab", "c"], [1.0, 2.0])], "tokens array<string>, weights array<double>")
+    assert K.attention_words(rows.withColumn("k", F.lit(1)), ["k"], "BertTokenizerFast").count() == 2
+    assert K.attention_words(rows.withColumn("k", F.lit(1)), ["k"], "RobertaTokenizerFast").count() == 1
 
 
 def test_experiment_has_all_documents(spark):
@@ -203,9 +310,43 @@ def test_metrics_rowwise(spark, tmp_path):
         assert found[i] == pytest.approx(e, abs=6e-5)
 
 
-def test_chi2():
-    assert abs(S.chi2_survival(3.841458820694124, 1) - 0.05) < 1e-9
-    assert abs(S.chi2_survival(38.885138659830055, 26) - 0.05) < 1e-9
+def test_p_values(spark):
+    """Against tabled quantiles and closed forms."""
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("p")).first().p
+    for x, k, p in ((3.841458820694124, 1, 0.05), (38.885138659830055, 26, 0.05), (11.344866730144373, 3, 0.01), (0.0, 4, 1.0), (2.0, 2, np.exp(-1.0))):
+        assert value(S.chi2_survival(F.lit(x), F.lit(k))) == pytest.approx(p, abs=1e-8)
+    for z, p in ((1.959963984540054, 0.05), (2.5758293035489004, 0.01), (0.0, 1.0), (6.0, 1.973175290075e-9)):
+        assert value(S.normal_two_sided(F.lit(z))) == pytest.approx(p, rel=2e-7)
+    for t, v, p in ((2.2281388519649385, 10.0, 0.05), (1.0, 1.0, 0.5), (0.0, 3.0, 1.0), (12.706204736432095, 1.0, 0.05)):
+        assert value(S.t_two_sided(F.lit(t), F.lit(v))) == pytest.approx(p, abs=1e-7)
+
+
+def test_clusterings_against_definitions():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(1, 14))
+        m = rng.normal(size=(n, 3))
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        sim = np.round(m @ m.T, 9)
+        # Average linkage by its definition: means over all pairs of two clusters.
+        groups = [[i] for i in range(n)]
+        while len(groups) > 1:
+            apart = {(a, b): np.mean([1 - sim[i, j] for i in groups[a] for j in groups[b]]) for a in range(len(groups)) for b in range(a + 1, len(groups))}
+            (a, b), least = min(apart.items(), key=lambda x: x[1])
+            if least >= 0.5:
+                break
+            groups[a] += groups.pop(b)
+        assert sorted(A.agglomerative_labels(sim)) == sorted((p, min(g)) for g in groups for p in g)
+        # Density clusters: cores joined by nearness; a border point goes to its first core's.
+        near = 1 - sim <= 0.4
+        core = [i for i in range(n) if near[i].sum() >= 3]
+        label = {i: i for i in core}
+        for _ in core:
+            for i in core:
+                label[i] = min(label[j] for j in core if near[i, j])
+        want = label | {i: min(label[j] for j in core if near[i, j]) for i in range(n) if i not in label and any(near[i, j] for j in core)}
+        assert dict(A.dbscan_labels(sim, 0.4, 3)) == want
 
 
 def test_files(spark, tmp_path):
@@ -233,7 +374,9 @@ def test_cli(spark, tmp_path):
 
     (tmp_path / "t.txt").write_text("We study semantic segmentation. We propose a model.")
     args = cli.parser().parse_args([str(tmp_path / "t.txt"), "--question", "task?"])
-    assert cli.answer(spark, args)["answer"] == "semantic segmentation"
+    assert cli.answer(spark, args) == {"answer": "semantic segmentation", "confidence": 0.9, "chunks_used": 1, "metadata": {"mode": "baseline"}}
+    args = cli.parser().parse_args([str(tmp_path / "t.txt"), "--question", "q", "--mode", "attention", "--reference-answer", "r"])
+    assert cli.answer(spark, args) == {"answer": "semantic segmentation", "confidence": 0.9, "chunks_used": 1, "metadata": {"mode": "attention", "reranked": False}}
     args = cli.parser().parse_args([str(tmp_path / "t.txt"), "--question", "q", "--mode", "attention"])
     with pytest.raises(SystemExit):
         cli.answer(spark, args)
