@@ -54,6 +54,20 @@ def validate(answers: DataFrame, references: DataFrame, strict: float = 0.9, lea
     return ranked.where(sure | rest).drop("best")
 
 
+def near_reference(answers: DataFrame, references: DataFrame, least: float = 0.3) -> DataFrame:
+    """Rows with a similarity of ``least`` or more to their document's reference, and the
+    similarity; ``references (doc, r)`` has unit vectors."""
+    scored = answers.join(references, "doc").withColumn("similarity", V.similarity(F.col("u"), F.col("r"))).drop("r")
+    return scored.where(F.col("similarity") >= least)
+
+
+def retrieve(answers: DataFrame, references: DataFrame, least: float = 0.0005, top_k: int = 100) -> DataFrame:
+    """The ``top_k`` rows of a document nearest to its reference, of those with a similarity
+    of ``least`` or more, with their ``place``; the first by ``idx`` among equals."""
+    w = Window.partitionBy("doc").orderBy(F.col("similarity").desc(), "idx")
+    return near_reference(answers, references, least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top_k)
+
+
 def medoid(answers: DataFrame) -> DataFrame:
     """``(doc, idx, text, confidence, support)``: the answer most similar to all of its
     document's, itself included; the mean confidence of all; how many have its text.

@@ -259,6 +259,18 @@ def contrast(keywords: DataFrame, positive: Column, negative: Column, encode: V.
     return keywords.withColumn("score_diff", F.round(near - far, 9)).where("score_diff > 0")
 
 
+def in_text(keywords: DataFrame, texts: DataFrame) -> DataFrame:
+    """Keywords that are a word of their document's text ``(doc_id, text)``, without case,
+    words being parted by white space."""
+    found = keywords.join(texts.select("doc_id", F.split(F.lower("text"), r"\s+", -1).alias("_w")), "doc_id")
+    return found.where(F.array_contains("_w", F.lower("word"))).drop("_w")
+
+
+def without_stop_words(keywords: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """Keywords of two or more characters that are no stop words."""
+    return keywords.where(~F.col("word").isin(*stop_words) & (F.length("word") > 1))
+
+
 def deduplicate(keywords: DataFrame, keys: list[str]) -> DataFrame:
     """The record of greatest weight of every word, the first among equals."""
     w = Window.partitionBy(*keys, "word").orderBy(F.col("weight").desc(), "kw_idx")

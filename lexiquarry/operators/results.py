@@ -94,6 +94,16 @@ FLAGS = [f"{m}_{k}" for m in ("cosine", "lev") for k in ("improved", "worsened",
 ]
 
 
+def legacy_distance_change(before: Column, after: Column) -> Column:
+    """The older sign of a distance's change: what it fell by."""
+    return before - after
+
+
+def append(results: DataFrame, *more: DataFrame) -> DataFrame:
+    """Rows of further results at the end; columns that one side lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), more, results)
+
+
 def change_bin(difference: Column, margin: float = 1e-4) -> Column:
     """Right-closed bins: worse up to -margin, same up to margin, better above."""
     return F.when(difference <= -margin, "worse").when(difference <= margin, "same").when(difference > margin, "better")

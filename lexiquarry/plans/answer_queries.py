@@ -133,13 +133,12 @@ def q_final_ensemble(spark, sf):
 
 
 def q_chunk_cosine_filter(spark, sf):
-    a = answers(spark, sf).join(_references(spark, sf), "doc").withColumn("similarity", V.similarity(F.col("u"), F.col("r")))
-    return a.where("similarity >= 0.3").select("doc", "idx", F.round("similarity", 6).alias("similarity"))
+    found = A.near_reference(answers(spark, sf), _references(spark, sf))
+    return found.select("doc", "idx", F.round("similarity", 6).alias("similarity"))
 
 
 def q_retrieve_topk(spark, sf):
-    found = A.validate(answers(spark, sf), _references(spark, sf), 2.0, 0.0005, 100)
-    return found.select("doc", "idx", "place")
+    return A.retrieve(answers(spark, sf), _references(spark, sf)).select("doc", "idx", "place")
 
 
 def q_mean_pool(spark, sf):
@@ -246,7 +245,8 @@ SQL = {
     "final_ensemble": f"""{_CLUSTERED} {_ROLL}, z AS (SELECT doc, text, round(sum(combined_score * coherence * confidence * chunk_score), 9) AS s, min([place, idx]) AS f
         FROM mem JOIN roll USING (doc, cluster) GROUP BY 1, 2) {_first('z', 'doc', 's DESC, f', 'doc, f[2] AS idx, text, round(s, 6) AS score')}""",
     "chunk_cosine_filter": f"{_WITH} {_REF} SELECT doc, idx, round(similarity, 6) AS similarity FROM sc WHERE similarity >= 0.3",
-    "retrieve_topk": f"{_WITH} {_REF} SELECT doc, idx, place FROM ({_validated(2.0, 0.0005, 100)})",
+    "retrieve_topk": f"""{_WITH} {_REF} SELECT doc, idx, place FROM (SELECT doc, idx, similarity, row_number() OVER (PARTITION BY doc ORDER BY similarity DESC, idx)::INT AS place FROM sc WHERE similarity >= 0.0005)
+      WHERE place <= 100""",
     "dbscan": f"""{_WITH}, ne AS (SELECT doc, i, j FROM pr WHERE 1 - sim <= {1 - NEAR} UNION ALL SELECT doc, idx, idx FROM ans),
       co AS (SELECT doc, i FROM ne GROUP BY 1, 2 HAVING count(*) >= 4), st AS (SELECT ne.* FROM ne JOIN co USING (doc, i) WHERE (doc, j) IN (SELECT (doc, i) FROM co)),
       re AS (SELECT doc, i, i AS r FROM co UNION SELECT re.doc, st.j, re.r FROM re JOIN st ON re.doc = st.doc AND re.i = st.i),

@@ -139,12 +139,13 @@ def q_kw_by_cosine(spark, sf):
 
 
 def q_kw_in_text(spark, sf):
-    k = keywords(spark, sf).join(_docs(spark, sf).select("doc_id", "text"), "doc_id")
-    return k.where(F.array_contains(F.split(F.lower("text"), r"\s+", -1), F.lower("word"))).select("doc_id", "word")
+    return K.in_text(keywords(spark, sf), _docs(spark, sf)).select("doc_id", "word")
 
 
 def q_kw_stop(spark, sf):
-    return keywords(spark, sf).where(~F.col("word").isin(*K.STOP_WORDS) & (F.length("word") > 1)).select("doc_id", "word")
+    """All words of a document with their numbers, without stop words."""
+    every = _docs(spark, sf).select("doc_id", F.explode(K.words(F.col("text"))).alias("word"))
+    return K.without_stop_words(every).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_special_tokens(spark, sf):
@@ -495,7 +496,7 @@ SQL = {
       d AS (SELECT doc_id, word, {_COS.format(a='u', b='p')} AS similarity FROM v)
       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, word))::INT AS place, word, round(similarity, 6) AS similarity FROM d""",
     "kw_in_text": rf"WITH {_KW} SELECT doc_id, word FROM kw JOIN documents USING (doc_id) WHERE list_contains(regexp_split_to_array(lower(text), '\s+'), word)",
-    "kw_stop": f"WITH {_KW} SELECT doc_id, word FROM kw WHERE word NOT IN ({_STOP}) AND length(word) > 1",
+    "kw_stop": f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents) WHERE word NOT IN ({_STOP}) AND length(word) > 1 GROUP BY 1, 2",
     "special_tokens": r"""WITH t AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\s+')) AS token FROM conversations) SELECT conv_id, turn, count(*) AS n FROM t
       WHERE token NOT IN ('', '<s>', '</s>', '<pad>', '[CLS]', '[SEP]', '.', '?', '!', ',', '/', '//', '][') AND token NOT LIKE '<%' AND token NOT LIKE '%>' AND trim(token, '.') <> '' GROUP BY 1, 2""",
     "attention_words": f"WITH {_attention('▁', '', chr(39).join(['starts_with(token, ', 'Ġ', ') OR starts_with(token, ', '▁', ')']))} SELECT conv_id, turn, word_pos::BIGINT AS word_pos, word, round(total / m, 6) AS weight FROM occ",

@@ -62,7 +62,7 @@ def q_enrich_metrics(spark, sf):
 
 def q_change_bins(spark, sf):
     e = _enriched(spark, sf)
-    return e.groupBy(R.change_bin(F.col("cosine_sim_diff")).alias("cosine"), R.change_bin(-F.col("lev_dist_diff")).alias("lev")).agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy(R.change_bin(F.col("cosine_sim_diff")).alias("cosine"), R.change_bin(R.legacy_distance_change(F.col("lev_dist_base"), F.col("lev_dist_corrected"))).alias("lev")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_applicability(spark, sf):

@@ -59,16 +59,32 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, RESULTS)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """CSV with a header and quoted fields over several lines; a byte order mark is dropped."""
+def read_csv(spark: SparkSession, path: str, sep: str = ";", index: bool = False) -> DataFrame:
+    """CSV with a header and quoted fields over several lines; a byte order mark is dropped,
+    and with ``index`` the first column, too."""
     frame = spark.read.option("quote", '"').option("escape", '"').csv(path, sep=sep, header=True, multiLine=True)
-    return frame.toDF(*(c.lstrip("﻿") for c in frame.columns))
+    frame = frame.toDF(*(c.lstrip("﻿") for c in frame.columns))
+    return frame.drop(frame.columns[0]) if index else frame
 
 
 def write_csv(frame: DataFrame, path: str, sep: str = ";") -> None:
     frame.write.mode("overwrite").csv(path, sep=sep, header=True)
 
 
+def export_csv(frame: DataFrame, path: str, sep: str = ";", index: str | None = None) -> None:
+    """One local CSV file with a header and a byte order mark, for spreadsheets; rows stream
+    one by one. ``index`` names a first column with the rows' numbers from 0."""
+    import csv
+    from pathlib import Path
+
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", encoding="utf-8-sig", newline="") as out:
+        rows = csv.writer(out, delimiter=sep)
+        rows.writerow([*([] if index is None else [index]), *frame.columns])
+        for i, row in enumerate(frame.toLocalIterator()):
+            rows.writerow([*([] if index is None else [i]), *("" if x is None else x for x in row)])
+
+
 def read_error_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, original_text, tasks_cleaned)`` of a ``;`` CSV with ``id``, ``text_clean`` and
     ``Task_aspects`` (a Python list as text); ``text`` stands in for missing clean text. Rows
