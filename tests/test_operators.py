@@ -349,6 +349,17 @@ def test_clusterings_against_definitions():
         assert dict(A.dbscan_labels(sim, 0.4, 3)) == want
 
 
+def test_prune_append_results(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a", "x")], "doc_id long, t string, gone string")
+    pruned = P.with_nulls(frame, ["doc_id", "t"], ["note"])
+    assert pruned.columns == ["doc_id", "t", "note"] and tuple(pruned.first()) == (1, "a", None)
+    assert sorted(str(tuple(r)) for r in R.append(pruned, frame.drop("gone")).collect()) == ["(1, 'a', None)"] * 2
+    lines = [{"doc_id": "1", "final_answer": "x", "base_metrics": "{'cosine_sim': 0.5}", "strategy_applicable": True}, {"doc_id": "2", "corrected_metrics": "--None--"}]
+    (tmp_path / "results.json").write_text("\n".join(map(json.dumps, lines)))
+    found = files.read_results(spark, str(tmp_path / "results.json")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.final_answer, r.corrected_metrics, r.strategy_applicable) for r in found] == [("1", "x", None, True), ("2", None, "--None--", None)]
+
+
 def test_files(spark, tmp_path):
     rows = [{"doc_id": "1", "original_text": "a", "tasks": ["t"]}, {"doc_id": "2", "original_text": "б", "tasks": []}]
     (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
@@ -362,6 +373,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "e.csv").write_text("﻿id;text;text_clean;Task_aspects\n1;raw;;\"['x', 'y']\"\n2;raw;clean;[]\n", encoding="utf-8")
     found = files.read_error_corpus(spark, str(tmp_path / "e.csv")).collect()
     assert [tuple(r) for r in found] == [("1", "raw", ["x", "y"])]
+    files.export_csv(files.read_json(spark, str(tmp_path / "lines.json"), files.DOCUMENTS).select("doc_id", "original_text"), str(tmp_path / "out/x.csv"), index="n")
+    assert (tmp_path / "out/x.csv").read_bytes().startswith(b"\xef\xbb\xbfn;doc_id;original_text")
+    back = files.read_csv(spark, str(tmp_path / "out/x.csv"), index=True)
+    assert back.columns == ["doc_id", "original_text"] and [tuple(r) for r in back.orderBy("doc_id").collect()] == [("1", "a"), ("2", "б")]
     (tmp_path / "m.json").write_text(json.dumps({"fields": [{"field_id": "f", "field_name": "n", "questions": ["q"], "keywords": []}]}))
     assert files.read_field(spark, str(tmp_path / "m.json"))["questions"] == ["q"]
     files.append_done(spark.createDataFrame([(1, "a")], "doc_id long, x string"), str(tmp_path / "done"))
