@@ -271,14 +271,20 @@ def peer_similarity(answers: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def cluster_metrics(answers: DataFrame, clusters: DataFrame) -> DataFrame:
     """``(doc, cluster, size, average, weighted, cohesion, greatest)`` of chunk scores and
-    of pairwise similarities (0 for a single answer)."""
-    sims = peer_similarity(answers, clusters).groupBy("doc", "cluster").agg((F.sum("total") / F.sum("peers")).alias("c"))
-    sizes = members(answers, clusters).groupBy("doc", "cluster").agg(
-        F.count(F.lit(1)).alias("size"), F.round(F.avg("chunk_score"), 9).alias("average"), F.round(F.sum("chunk_score"), 9).alias("weighted"), F.max("chunk_score").alias("greatest")
-    )
-    return sizes.join(sims, ["doc", "cluster"], "left").select(
-        "doc", "cluster", "size", "average", "weighted", F.round(F.coalesce("c", F.lit(0.0)), 9).alias("cohesion"), "greatest"
+    of pairwise similarities (0 for a single answer). The sum of all pairs' similarities is
+    the squared length of the sum of vectors, less the own parts."""
+    u = V.dot(F.col("u"), F.col("u"))
+    sizes = members(answers, clusters).withColumn("_l", u).groupBy("doc", "cluster").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.round(F.avg("chunk_score"), 9).alias("average"),
+        F.round(F.sum("chunk_score"), 9).alias("weighted"),
+        F.max("chunk_score").alias("greatest"),
+        V.total(F.collect_list("u")).alias("v"),
+        F.sum("_l").alias("l"),
     )
+    n = F.col("size")
+    cohesion = F.when(n > 1, (V.dot(F.col("v"), F.col("v")) - F.col("l")) / (n * (n - 1))).otherwise(0.0)
+    return sizes.select("doc", "cluster", "size", "average", "weighted", F.round(cohesion, 9).alias("cohesion"), "greatest")
 
 
 def choose_cluster(metrics: DataFrame, strategy: str) -> DataFrame:

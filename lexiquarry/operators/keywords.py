@@ -367,25 +367,25 @@ def normalised(weights: DataFrame, keys: list[str]) -> DataFrame:
 # Chunks by keywords
 
 
-def grouped_keywords(keywords: DataFrame) -> DataFrame:
-    """``(doc_id, terms, kws)``: a document's keywords as an array and a map from terms to
-    positions in it. Of a term with several keywords the last stands."""
-    w = Window.partitionBy("doc_id").orderBy("kw_idx")
-    placed = keywords.withColumn("k", F.row_number().over(w) - 1)
-    term = placed.select("doc_id", "k", F.explode(F.array(F.lower("lemma"), F.lower("stem"))).alias("term")).groupBy("doc_id", "term").agg(F.max("k").alias("k"))
-    maps = term.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("terms"))
-    lists = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "word", "weight", "score_diff"))).alias("kws"))
-    return maps.join(lists, "doc_id")
-
-
-def matched_chunks(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
+def grouped_keywords(keywords: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """``(doc_id, terms, kws)``: a document's keywords as an array and a map from terms
+    (lemmas and stems) to positions in it. Of a term with several keywords the last stands."""
+    fold = (lambda c: c) if case_sensitive else F.lower
+    listed = F.sort_array(F.collect_list(F.struct("kw_idx", "word", "weight", "score_diff", fold(F.col("lemma")).alias("lemma"), fold(F.col("stem")).alias("stem"))))
+    terms = F.array_distinct(F.flatten(F.transform("kws", lambda k: F.array(k["lemma"], k["stem"]))))
+    last = lambda t: F.aggregate(F.sequence(F.lit(0), F.size("kws") - 1), F.lit(-1), lambda at, i: F.when((F.get("kws", i)["lemma"] == t) | (F.get("kws", i)["stem"] == t), i).otherwise(at))
+    grouped = keywords.where("lemma is not null and stem is not null").groupBy("doc_id").agg(listed.alias("kws")).withColumn("_t", terms)
+    return grouped.select("doc_id", F.map_from_arrays("_t", F.transform("_t", last)).alias("terms"), "kws")
+
+
+def matched_chunks(chunks: DataFrame, keywords: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """Chunks with ``hits``: array of (start, word, k) for every word of the text that is a
     term, ``k`` being its keyword. Terms of one word each; a word is a run of letters,
     digits and underscores.
 
     Positions come from the lengths of the words and of what parts them.
     """
-    low = F.lower("text")
+    low = F.col("text") if case_sensitive else F.lower("text")
     pieces = F.arrays_zip(F.split(low, WORD, -1).alias("gap"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("word"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string,k:int>>").alias("hits"))
 
@@ -397,7 +397,7 @@ def matched_chunks(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
             F.when(F.map_contains_key("terms", F.coalesce(p["word"], F.lit(""))), F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"]).alias("hits"),
         )
 
-    return chunks.join(grouped_keywords(keywords), "doc_id").withColumn("_p", pieces).withColumn("hits", F.aggregate("_p", start, step, lambda a: a["hits"])).drop("_p", "terms")
+    return chunks.join(grouped_keywords(keywords, case_sensitive), "doc_id").withColumn("_p", pieces).withColumn("hits", F.aggregate("_p", start, step, lambda a: a["hits"])).drop("_p", "terms")
 
 
 def filter_chunks(matched: DataFrame, minimum: int = 1) -> DataFrame:
@@ -417,7 +417,7 @@ def filter_chunks_raw(chunks: DataFrame, keywords: DataFrame, minimum: int = 3)
     return chunks.join(terms_of, "doc_id").withColumn("found", F.size(found)).where(F.col("found") >= minimum).drop("terms")
 
 
-def score_chunks(matched: DataFrame, ratio: Column | float = 0.5, minimum: int = 1, position: float = 0.3, frequency: float = 0.7) -> DataFrame:
+def score_chunks(matched: DataFrame, ratio: Column | float = 0.5, minimum: int = 1, position: float = 0.3, frequency: float = 0.7, total: Column | None = None) -> DataFrame:
     """``score`` of chunks: weights of the distinct keywords, raised by early matches, their
     number and the share of keywords; ``matched``, the keywords in order, and
     ``keyword_scores``, each with its number of matches. A chunk without a match has no score."""
@@ -429,12 +429,24 @@ def score_chunks(matched: DataFrame, ratio: Column | float = 0.5, minimum: int =
     own = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["k"])))
     base = F.aggregate("own", F.lit(0.0), lambda s, k: s + F.col("kws")[k]["weight"] * ratio + F.col("kws")[k]["score_diff"] * (1 - ratio))
     early = F.aggregate("hits", F.lit(0.0), lambda s, h: s + 1 - h["start"] / F.greatest(F.lit(1), F.length("text"))) / n
-    score = base * (1 + position * early) * (1 + frequency * F.log1p(n)) * (1 + F.size("own") / F.size("kws") * 0.5)
+    score = base * (1 + position * early) * (1 + frequency * F.log1p(n)) * (1 + F.size("own") / (F.size("kws") if total is None else total) * 0.5)
     rows = matched.withColumn("own", own).where((n > 0) & (F.size("own") >= minimum))
     named = F.array_sort(F.transform("own", lambda k: F.struct(F.col("kws")[k]["word"].alias("word"), F.size(F.filter("hits", lambda h: h["k"] == k)).alias("n"))))
     return rows.withColumn("score", F.round(score, 6)).withColumn("keyword_scores", named).withColumn("matched", F.transform("keyword_scores", lambda x: x["word"])).drop("own", "hits", "kws")
 
 
+def score_advanced(chunks: DataFrame, keywords: DataFrame, ratio: float = 0.5, minimum: int = 1, case_sensitive: bool = False) -> DataFrame:
+    """``score_chunks`` with keywords told apart by their words: of several with one word the
+    last one's weights count, and all count in the share of keywords found. Terms and texts
+    are compared as written with ``case_sensitive``."""
+    w = Window.partitionBy("doc_id", "word")
+    last = keywords.withColumns({"_n": F.row_number().over(w.orderBy(F.col("kw_idx").desc())), "_all": F.count(F.lit(1)).over(Window.partitionBy("doc_id"))})
+    own = last.where("_n = 1")
+    counts = own.groupBy("doc_id").agg(F.max("_all").alias("_all"))
+    matched = matched_chunks(chunks, own.drop("_n", "_all"), case_sensitive).join(counts, "doc_id")
+    return score_chunks(matched, ratio, minimum, total=F.col("_all")).drop("_all")
+
+
 def score_density(matched: DataFrame, ratio: float = 0.5, minimum: int = 1) -> DataFrame:
     """``score`` of chunks: weights of distinct keywords, raised by their number against
     tokens and words."""

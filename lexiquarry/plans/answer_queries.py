@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import answers as A
+from ..sources.staging import staged
 from .fixtures import ANSWER, CLUSTER, table
 
 #: Answers of a document in the fixture; the threshold of its clusters.
@@ -30,7 +31,7 @@ def _references(spark, sf):
 
 def _greedy(spark, sf):
     a = answers(spark, sf)
-    return a, A.greedy_clusters(a, NEAR)
+    return a, staged(A.greedy_clusters(a, NEAR))
 
 
 def q_cosine_pairs(spark, sf):

@@ -198,7 +198,9 @@ def q_score_chunks(spark, sf):
 
 
 def q_score_advanced(spark, sf):
-    return _scored(K.score_chunks(_matched(spark, sf), 0.7, minimum=2))
+    """Keywords under the first three letters of their words, which several may share."""
+    k = keywords(spark, sf).withColumn("word", F.substring("word", 1, 3))
+    return _scored(K.score_advanced(chunks(spark, sf), k, 0.7, minimum=2, case_sensitive=True))
 
 
 def q_score_density(spark, sf):
@@ -328,6 +330,9 @@ _HIT_ONLY = r"""tk AS (SELECT doc_id, chunk_idx, unnest(w) AS word, generate_sub
   hit AS (SELECT ts.doc_id, chunk_idx, word, start, k FROM ts JOIN tm ON ts.doc_id = tm.doc_id AND ts.word = tm.term),
   hk AS (SELECT DISTINCT doc_id, chunk_idx, k FROM hit), kn AS (SELECT doc_id, count(*) AS kn FROM kw GROUP BY 1)"""
 _HIT = f"{CHUNKS_SQL}, {_KW}, {_HIT_ONLY}"
+# Keywords under the first three letters of their words; of several the last.
+_KW3 = _KW.replace("kw AS (SELECT doc_id, kw_idx, word, ", "k0 AS (SELECT doc_id, kw_idx, word[1:3] AS word, ") + """,
+  kw AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY kw_idx DESC) AS rn FROM k0) WHERE rn = 1)"""
 
 
 def _score(ratio: str) -> str:
@@ -519,7 +524,8 @@ SQL = {
     "filter_chunks_raw": rf"""{_HITS}, rw AS (SELECT doc_id, chunk_idx, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS w FROM chunks)
       SELECT rw.doc_id, chunk_idx, count(DISTINCT w)::INT AS found FROM rw JOIN kw ON rw.doc_id = kw.doc_id AND lower(w) = kw.word GROUP BY 1, 2 HAVING count(DISTINCT w) >= 3""",
     "score_chunks": f"{_HITS} SELECT doc_id, chunk_idx, round(raw, 6) AS score FROM {_score('0.5::DOUBLE')}",
-    "score_advanced": f"{_HITS} SELECT doc_id, chunk_idx, round(raw, 6) AS score FROM {_score('0.7::DOUBLE')} WHERE m >= 2",
+    "score_advanced": f"""{_CHUNKS}, {_KW3}, {_HIT_ONLY.replace("lower(text)", "text").replace("lower(lemma)", "lemma").replace("lower(stem)", "stem")}, na AS (SELECT doc_id, count(*) AS na FROM k0 GROUP BY 1)
+      SELECT doc_id, chunk_idx, round(raw / (1 + m / kn * 0.5::DOUBLE) * (1 + m / na * 0.5::DOUBLE), 6) AS score FROM {_score('0.7::DOUBLE')} JOIN na USING (doc_id) JOIN kn USING (doc_id) WHERE m >= 2""",
     "score_density": f"{_HITS} SELECT doc_id, chunk_idx, score FROM {_density('0.5::DOUBLE')}",
     "filter_and_score": f"{_HITS} SELECT doc_id, chunk_idx, score FROM {_density('0.5::DOUBLE')} WHERE m >= 2 AND score >= 2",
     "scoring_modes": f"{_HITS} " + " UNION ALL ".join(f"SELECT '{k}' AS mode, doc_id, chunk_idx, round(raw, 6) AS score FROM {_score(f'{r}::DOUBLE')}" for k, r in MODES.items()),

@@ -157,6 +157,10 @@ def q_nemenyi_ranks(spark, sf):
     return S.mean_ranks(_samples(spark, sf))
 
 
+def q_nemenyi(spark, sf):
+    return S.nemenyi(_samples(spark, sf)).withColumn("p", F.round("p", 6))
+
+
 def q_wilcoxon_w(spark, sf):
     return S.wilcoxon(_against_best(spark, sf)).withColumn("p", F.round("p", 6))
 
@@ -216,6 +220,7 @@ _DIFF = f""", diff AS (SELECT o.combo, b.x - o.x AS d FROM x o JOIN x b USING (d
 # Areas under curves by Simpson's rule, where the operators sum series.
 _SIMPSON = "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {})) / 3"
 _NORMAL = "(1 - 2 / sqrt(2 * pi()) * " + _SIMPSON.format("exp(-pow(i * least(abs(z), 9) / 2000, 2) / 2)") + " * least(abs(z), 9) / 2000)"
+_PHI = "(0.5 + sign({x}) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 201), lambda j: (CASE WHEN j IN (0, 200) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(j * least(abs({x}), 9) / 200, 2) / 2))) * least(abs({x}), 9) / 600)"
 _STUDENT = (
     "(1 - 2 * " + _SIMPSON.format("pow(cos(i * atan(abs(t) / sqrt(freedom)) / 2000), freedom - 1)") + " * atan(abs(t) / sqrt(freedom)) / 2000 * "
     "exp(lgamma((freedom + 1) / 2) - lgamma(freedom / 2)) / sqrt(pi()))"
@@ -286,6 +291,11 @@ SQL = {
       SELECT n, k, statistic, round({_CHI2}, 6) AS p FROM v""",
     "nemenyi_ranks": f"""{_STATS} {_R}, m AS (SELECT combo, avg(r) AS m FROM r GROUP BY 1)
       SELECT combo, round(m, 6) AS mean_rank, round(max(m) OVER () - m, 6) AS behind_best FROM m""",
+    "nemenyi": f"""{_STATS} {_R}, m AS (SELECT combo, avg(r) AS m, count(*) AS n, max(k) AS k FROM r WHERE k = (SELECT max(k) FROM r) GROUP BY 1),
+      pr AS (SELECT a.combo AS "left", b.combo AS "right", abs(a.m - b.m) / sqrt(a.k * (a.k + 1) / (6 * a.n)) * sqrt(2) AS q, a.k FROM m a JOIN m b ON a.combo < b.combo),
+      st AS (SELECT i, -9 + i * 0.018::DOUBLE AS z, (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 0.018::DOUBLE / 3 AS w FROM range(0, 1001) AS t(i)),
+      nd AS (SELECT z, w, exp(-z * z / 2) / sqrt(2 * pi()) AS d FROM st)
+      SELECT "left", "right", round(greatest(0, least(1, 1 - any_value(k) * sum(nd.w * d * pow({_PHI.format(x='z + q')} - {_PHI.format(x='z')}, k - 1)))), 6) AS p FROM pr, nd GROUP BY 1, 2""",
     "wilcoxon_w": f"{_STATS} {_DIFF} {_W} SELECT * REPLACE (round(p, 6) AS p) FROM w",
     "wilcoxon_zero": f"{_STATS}, diff AS (SELECT combo, x AS d FROM x) {_W} SELECT * REPLACE (round(p, 6) AS p) FROM w",
     "effect_r": f"""{_STATS} {_DIFF} {_W}, v AS (SELECT combo, n, w, abs(w / sqrt(n * (n + 1) * (2 * n + 1) / 6)) / sqrt(n) AS r FROM w)
