@@ -1,16 +1,16 @@
 """N-gram Jaccard join over prefix trees.
 
-1. Documents are packed into chunks, written once. Each chunk asks, in as many messages as
-   there are buckets of hashes, how many documents have each of its shingles; the answers
-   (a logarithmic class for each) return in the order asked. The shingles of a set are then
-   ordered by class and hash: one global order, rarest first.
+1. Documents are packed into chunks, written once. Groups of chunks ask buckets of hashes
+   how many documents have each of their shingles; the answers (a logarithmic class for
+   each) return in the order asked. The shingles of a set are then ordered by class and
+   hash: one global order, rarest first.
 2. Equal sets are one class. A set's candidates share one of its first
    ``n - ceil(s n) + 1`` shingles. Shingles of a single document are never sent, so sets
    without a possible partner end here.
 3. In stars, each class is joined with the least class of each of its prefix shingles;
    then, with connected classes known, shingles that still join different components are
    joined among all their classes. A join puts the sets into a trie (split in blocks of
-   bounded size) and walks it level by level: a node's overlap with the probe is computed
+   bounded shingles and rows) and walks it level by level: a node's overlap with the probe is computed
    once for all sets below it, and subtrees are cut when what is left can't reach the
    overlap needed. A pair is compared only under its first common shingle.
 4. Components of the links are found by star contraction.
@@ -18,25 +18,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytescan as bs
-from .chunking import chunks, opened, squeeze, unsqueeze
-from .common import arrow_schema, by_group, materialise, packed, partitions
+from .chunking import ANSWER, CHUNK_BYTES, TEXT, Inbox, Outbox, answered, bucket_count, by_groups, chunks, group_parts, opened, squeeze, unsqueeze, with_answers
+from .common import arrow_rows, arrow_schema, by_group, join_spread, materialise, packed, partitions, release
 from .components import components
 
-#: Shingles in a block of a join.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles and sets in a block of a star; of a join of all sets, whose blocks meet in pairs.
+BLOCK_SHINGLES, STAR_SETS, BLOCK_SETS = 500_000, 256, 256
 U = np.uint64
-ASKED = "bucket int, chunk long, hashes binary, counts binary"
-ANSWER = "chunk long, bucket int, classes binary"
+ASKED = "bucket int, group long, chunks array<bigint>, counts array<int>, hashes binary, many binary"
 SETS = "doc_id long, n long, hi long, lo long, prefix array<struct<c:int,token:bigint>>, shingles binary"
+#: What names a class of equal sets outside of the join: its least doc_id and the set's key.
+CLASS = "struct<rep:bigint,hi:bigint,lo:bigint>"
+#: Bytes of sets for a task of a join.
+TASK_BYTES = 4 << 20
+KEY, SET = ["hi", "lo", "n"], "struct<hi:bigint,lo:bigint,n:bigint>"
 
 
 def shingle_sets(data: np.ndarray, ptr: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,30 +110,27 @@ def ask_frequencies(table: DataFrame, n: int, buckets: int) -> DataFrame:
     """Messages of the chunks to the buckets: sorted 40-bit shingles and their counts."""
     schema = arrow_schema(table.sparkSession, ASKED)
 
+    def fill(box: Outbox, row: dict) -> None:
+        *_, terms, counts = _own_terms(row, n)
+        cut = _bucket_of(terms, buckets)
+        box.add(row["chunk"], cut, np.diff(cut), terms=terms, many=np.minimum(counts, 1 << 24).astype(np.uint32))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                *_, terms, counts = _own_terms(row, n)
-                cut = _bucket_of(terms, buckets)
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    own = terms[cut[b] : cut[b + 1]]
-                    deltas = np.diff(own, prepend=U(0))
-                    many = np.minimum(counts[cut[b] : cut[b + 1]], 1 << 24).astype(np.uint32)
-                    yield {"bucket": b, "chunk": row["chunk"], "hashes": squeeze(deltas, 5), "counts": zstandard.compress(many.tobytes(), 1)}
+        for head, x in by_groups((row for batch in batches for row in batch.to_pylist()), fill):
+            # Chunk by chunk in order of hashes: wrapping differences.
+            yield head | {"hashes": squeeze(np.diff(x["terms"], prepend=U(0)), 8), "many": zstandard.compress(x["many"].tobytes(), 1)}
 
-    return table.mapInArrow(lambda b: packed(rows(b), schema, 512), ASKED)
+    return table.select("group", "chunk", "doc_ids", "ptr", "text").mapInArrow(lambda b: packed(rows(b), schema, 512), ASKED)
 
 
-def _answers(bucket: int, rows: list[dict]) -> Iterator[dict]:
-    terms = [np.cumsum(unsqueeze(r["hashes"], 5), dtype=U) for r in rows]
-    counts = np.concatenate([np.frombuffer(zstandard.decompress(r["counts"]), np.uint32) for r in rows])
+def _answers(rows: list[dict]) -> Iterator[dict]:
+    terms = [np.cumsum(unsqueeze(r["hashes"], 8), dtype=U) for r in rows]
+    counts = np.concatenate([np.frombuffer(zstandard.decompress(r["many"]), np.uint32) for r in rows])
     _, number = np.unique(np.concatenate(terms), return_inverse=True)
     total = np.bincount(number, counts)
     classes = np.minimum(np.ceil(np.log2(np.maximum(total, 1))), 31).astype(np.uint8)[number]
-    at = 0
-    for r, t in zip(rows, terms):
-        yield {"chunk": r["chunk"], "bucket": bucket, "classes": zstandard.compress(classes[at : at + len(t)].tobytes(), 1)}
-        at += len(t)
+    for r, own in zip(rows, np.split(classes, np.cumsum([len(t) for t in terms])[:-1])):
+        yield answered(r, 1, own)
 
 
 def needed(size: int, percent: int) -> int:
@@ -136,18 +138,22 @@ def needed(size: int, percent: int) -> int:
     return (percent * size + 99) // 100
 
 
-def ordered_sets(table: DataFrame, answers: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
+def ordered_sets(table: DataFrame, answers: DataFrame, n: int, percent: int) -> DataFrame:
     """A row ``SETS`` of each document. The first of equal sets of a chunk has its prefix
     shingles that other sets have too and, if there are any, all shingles in global order."""
-    kind = "chunk long, bucket int, doc_ids array<bigint>, ptr binary, text binary, classes binary"
-    names = [x.strip().split(" ")[0] for x in kind.split(",")]
-    both = table.withColumn("bucket", F.lit(-1)).unionByName(answers, allowMissingColumns=True).select(names)
 
-    def each(_, rows: list[dict]) -> Iterator[dict]:
-        rows.sort(key=lambda r: r["bucket"])
-        row = rows[0]
+    number, parts = group_parts(table)
+
+    def each(_, rows: Iterator[dict]) -> Iterator[dict]:
+        inbox = Inbox()
+        for row in rows:
+            if row["kind"] == TEXT:
+                yield from sets(row, inbox.take(1, row["chunk"]))
+            else:
+                inbox.add(row)
+
+    def sets(row: dict, classes: np.ndarray) -> Iterator[dict]:
         h, ptr, hi, lo, stands, terms, _ = _own_terms(row, n)
-        classes = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(zstandard.decompress(r["classes"]), np.uint8) for r in rows[1:])])
         for d, doc_id in enumerate(row["doc_ids"]):
             own = h[ptr[d] : ptr[d + 1]]
             out = {"doc_id": doc_id, "n": len(own), "hi": int(hi[d].view(np.int64)), "lo": int(lo[d].view(np.int64)), "prefix": None, "shingles": None}
@@ -164,7 +170,7 @@ def ordered_sets(table: DataFrame, answers: DataFrame, n: int, percent: int, par
                         out["shingles"] = own.tobytes() + np.bincount(of, minlength=32).astype(np.uint32).tobytes()
             yield out
 
-    return by_group(both, "chunk", each, SETS, parts)
+    return by_group(with_answers(table, answers), "group", each, SETS, parts, ("kind", "chunk"), number)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -247,126 +253,136 @@ class Trie:
                             yield i
 
 
-def join_task(task: str, rows: list[dict], percent: int) -> Iterator[dict]:
-    """Links among the sets of a task: of the row marked ``probe`` with the others or,
-    without one, of all rows whose components differ and stay unlinked and whose first
-    common shingle is the task's."""
-    rows = list({r["rep"]: r for r in rows}.values())
+def join_task(task: str, rows: Iterable[dict], percent: int, every: bool = False) -> Iterator[dict]:
+    """Links among the sets of a task ``leader:block``: of the row marked ``probe`` with the
+    others. Of a task ``token:block:block``: of rows of both blocks whose first common
+    shingle is the token and, but for ``every``, whose components differ and stay unlinked."""
+    rows = list({r["class"]: r for r in rows}.values())
     if len(rows) < 2:
         return
-    own = [unpacked(r["shingles"]) for r in rows]
-    h, of = np.concatenate([x for x, _ in own]), np.concatenate([c for _, c in own])
+    found = [unpacked(r["shingles"]) for r in rows]
+    h, of = np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found])
     order = np.lexsort((h, of))
     new = np.ones(len(h), bool)
     new[1:] = h[order][1:] != h[order][:-1]
     rank = np.empty(len(h), np.int64)
     rank[order] = np.cumsum(new) - 1
     universe = int(new.sum())
-    sets = np.split(rank, np.cumsum([len(x) for x, _ in own])[:-1])
+    sets = np.split(rank, np.cumsum([len(x) for x, _ in found])[:-1])
     probes = [i for i, r in enumerate(rows) if r["probe"]]
     if probes:
         others = [i for i in range(len(rows)) if i not in probes]
         trie = Trie([sets[i] for i in others])
         for p in probes:
             for i in trie.partners(sets[p], universe, percent, lambda _: False):
-                yield {"a": rows[p]["rep"], "b": rows[others[i]]["rep"]}
+                yield {"a": rows[p]["class"], "b": rows[others[i]]["class"]}
         return
-    root = {r["component"]: r["component"] for r in rows}
+    own = [r["component"] for r in rows]
+    root = {x: x for x in own}
 
     def find(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    token = U(int(task.split(":")[0]) % (1 << 64)) ^ U(1 << 63)
+    number, one, other = task.split(":")
+    token = U(int(number) % (1 << 64)) ^ U(1 << 63)
     first = int(rank[np.flatnonzero(h == token)[0]])
     trie = Trie(sets)
+
+    def skip(p: int, i: int) -> bool:
+        same_block = one != other and rows[p]["own"] == rows[i]["own"]  # that block's own task has the pair
+        return i <= p or same_block or (not every and find(own[i]) == find(own[p]))
+
     for p, r in enumerate(rows):
-        mine = r["component"]
-        for i in trie.partners(sets[p], universe, percent, lambda i: i <= p or find(rows[i]["component"]) == find(mine), first):
-            a, b = find(mine), find(rows[i]["component"])
+        for i in trie.partners(sets[p], universe, percent, lambda i: skip(p, i), first):
+            a, b = find(own[p]), find(own[i])
             root[max(a, b)] = min(a, b)
-            yield {"a": r["rep"], "b": rows[i]["rep"]}
+            yield {"a": r["class"], "b": rows[i]["class"]}
+
+
+def _tasks(members: DataFrame, percent: int, parts: int, every: bool = False) -> DataFrame:
+    """Links from rows ``(task, class, component, own, probe, shingles)``."""
+    return by_group(members, "task", lambda task, rows: join_task(task, rows, percent, every), "a long, b long", parts)
+
+
+def _parts(parts: int, shingles: int | None) -> int:
+    """Partitions for sets of so many shingles in all."""
+    return max(parts, -(-8 * (shingles or 0) // TASK_BYTES))
 
 
-def _tasks(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links from rows ``(task, rep, component, probe, shingles)``."""
-    return by_group(members, "task", lambda task, rows: join_task(task, rows, percent), "a long, b long", parts)
+def _blocks(sets: Column, shingles: Column, most: int) -> Column:
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(sets / most))
 
 
 def star_links(active: DataFrame, tokens: DataFrame, percent: int, parts: int) -> DataFrame:
     """Links of classes with the least class of each of their prefix shingles."""
-    least = tokens.groupBy("token").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    edges = materialise(tokens.join(least, "token").where("rep <> leader").select("rep", "leader", "n").distinct())
-    blocks = edges.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    least = tokens.groupBy("token").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    edges = materialise(join_spread(tokens, least, ["token"], "m").where("class <> leader").select("class", "leader", "n").distinct())
+    blocks = edges.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), _blocks(F.count(F.lit(1)), F.sum("n"), STAR_SETS).alias("blocks"))
     task = F.concat_ws(":", "leader", "block")
-    sets = active.select("rep", "shingles")
+    sets = active.select("class", "shingles")
     members = (
-        edges.join(blocks, "leader")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        .join(sets, "rep")
-        .select(task.alias("task"), "rep", F.lit(None).cast("long").alias("component"), F.lit(False).alias("probe"), "shingles")
+        join_spread(edges, blocks, ["leader"], "m")
+        .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+        .join(sets, "class")
+        .select(task.alias("task"), "class", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("own"), F.lit(False).alias("probe"), "shingles")
     )
     probes = (
         blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .join(sets.withColumnRenamed("rep", "leader"), "leader")
-        .select(task.alias("task"), F.col("leader").alias("rep"), F.lit(None).cast("long").alias("component"), F.lit(True).alias("probe"), "shingles")
+        .join(sets.withColumnRenamed("class", "leader"), "leader")
+        .select(task.alias("task"), F.col("leader").alias("class"), F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("own"), F.lit(True).alias("probe"), "shingles")
     )
-    return _tasks(members.unionByName(probes), percent, parts)
+    return _tasks(members.unionByName(probes), percent, _parts(parts, edges.agg(F.sum("n")).first()[0]))
 
 
-def rest_links(active: DataFrame, tokens: DataFrame, known: DataFrame, percent: int, parts: int) -> DataFrame | None:
+def rest_links(active: DataFrame, tokens: DataFrame, known: DataFrame, percent: int, parts: int, every: bool = False) -> DataFrame | None:
     """Links between components through shingles that still join several; None if no
-    shingle does. Of shingles with the same classes the first in order stands for all."""
-    placed = tokens.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    shingle does. Of shingles with the same classes the first in order stands for all.
+    With ``every``, all links of the classes."""
+    placed = tokens.join(known.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = (
         placed.groupBy("c", "token")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("rep")).alias("sig"))
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("class")).alias("sig"))
         .where("x <> y")
         .groupBy("sig", "m", "s")
         .agg(F.min(F.struct("c", "token")).alias("f"))
-        .select(F.col("f.token").alias("token"), F.ceil(F.col("s") / BLOCK_SHINGLES).alias("blocks"))
+        .select(F.col("f.token").alias("token"), "m", "s", _blocks(F.col("m"), F.col("s"), BLOCK_SETS).alias("blocks"))
     )
     open_ = materialise(open_)
-    if open_.isEmpty():
+    shingles = open_.agg(F.sum(F.col("s") * F.col("blocks"))).first()[0]
+    if shingles is None:
         return None
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
     # A pair of blocks is a task; a class goes to the tasks of its block.
     members = (
-        placed.join(open_, "token")
+        join_spread(placed, open_.drop("s"), ["token"], "m")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .join(active.select("rep", "shingles"), "rep")
+        .join(active.select("class", "shingles"), "class")
         .select(
-            F.concat_ws(":", "token", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "rep", "component", F.lit(False).alias("probe"), "shingles"
+            F.concat_ws(":", "token", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "class", "component", "own", F.lit(False).alias("probe"), "shingles"
         )
     )
-    return _tasks(members, percent, parts)
+    return _tasks(members, percent, _parts(parts, shingles), every)
 
 
 def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, class_id)`` of every document.
+    """``(doc_id, n_shingles, component_id, class_id, class_key)`` of every document.
 
     Words are parted by ASCII white space, A-Z lower-cased; a document's set has its
     distinct ``n``-word shingles (hashed to 64 bits). Two documents link if ``100 *
     intersection >= percent * union``. ``class_id`` is the least doc_id with an equal set,
-    ``component_id`` the least that links reach.
+    ``class_key`` tells classes apart, ``component_id`` is the least doc_id that links
+    reach. ``class_links`` gives all links themselves.
 
     Documents without words (null, empty) are linked with nothing. Rows without a doc_id
-    take no part and have no component. Repeated rows give a row each; an empty table gives
-    an empty result; other columns are ignored.
+    take no part and have no component. Every row is a document of its own: of rows with
+    one doc_id and different texts each has the component that its text links to. Repeated
+    rows give a row each; an empty table gives an empty result; other columns are ignored.
+    A text must fit in a worker some thirty times.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    table = materialise(chunks(docs))
-    answers = by_group(ask_frequencies(table, n, parts), "bucket", _answers, ANSWER, parts)
-    sets = materialise(ordered_sets(table, answers, n, percent, parts))
-
-    reps = sets.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    active = materialise(
-        sets.where("shingles is not null").join(reps, ["hi", "lo", "n"]).where("doc_id = rep").select("rep", "n", "prefix", "shingles").dropDuplicates(["rep"])
-    )
-    tokens = active.select("rep", "n", F.inline("prefix"))
+    sets, reps, active, tokens, parts = _prepared(docs, n, percent)
     links = materialise(star_links(active, tokens, percent, parts))
     known = materialise(components(links))
     more = rest_links(active, tokens, known, percent, parts)
@@ -374,16 +390,105 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         more = materialise(more)
         if not more.isEmpty():
             known = materialise(components(links.unionByName(more)))
-    classes = reps.join(known, F.col("rep") == F.col("id"), "left").select("hi", "lo", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    found = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo", "n"])
-    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("class_id"))
-    single = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+        release(more)
+    release(links)
+    # Components are named by their least doc_id.
+    members = known.join(active.select(F.col("class").alias("id"), "rep", *KEY), "id")
+    least = members.groupBy("component").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("m"))
+    named = join_spread(members, least, ["component"], "m").select(*KEY, "first")
+    classes = reps.join(named, KEY, "left").select(*KEY, "m", "rep", F.coalesce("first", "rep").alias("component"))
+    found = sets.where("n > 0 and doc_id is not null").select("doc_id", *KEY)
+    found = join_spread(found, classes, KEY, "m").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("class_id"), F.struct("rep", "hi", "lo").alias("class_key")
+    )
+    single = sets.where("n = 0 or doc_id is null").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(None).cast(CLASS).alias("class_key")
+    )
     return found.unionByName(single)
 
 
+def _prepared(docs: DataFrame, n: int, percent: int):
+    """Sets, classes, the sets that can have a partner and their prefix shingles."""
+    parts = partitions(docs.sparkSession)
+    table = materialise(chunks(docs, CHUNK_BYTES))
+    buckets = bucket_count(table)
+    answers = by_group(ask_frequencies(table, n, buckets), "bucket", lambda _, rows: _answers(list(rows)), ANSWER, buckets, dealt=F.col("bucket"))
+    sets = materialise(ordered_sets(table, answers, n, percent))
+    release(table)
+    reps = materialise(sets.where("n > 0 and doc_id is not null").groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")))
+    # One row of each class has the shingles: the least doc_id's, once. Classes get numbers,
+    # which stay, as the table is written.
+    own = sets.where("shingles is not null").select(F.col("doc_id").alias("rep"), *KEY, "prefix", "shingles").join(reps.drop("m"), [*KEY, "rep"])
+    active = materialise(own.dropDuplicates([*KEY, "rep"]).select(F.monotonically_increasing_id().alias("class"), "rep", *KEY, "prefix", "shingles"))
+    return sets, reps, active, active.select("class", "n", F.inline("prefix")), parts
+
+
+def class_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, and who has them.
+
+    The first table has ``(a, b)``, a < b, for every pair of classes of equal sets that
+    links, each named by its ``class_key``; the second ``(doc_id, class_key, n_links)`` for
+    every document with words: the number of other documents that link with it, by equal
+    or by linked sets. Nulls, empty texts and repeated rows are as in ``join_ngrams``.
+    """
+    sets, reps, active, tokens, parts = _prepared(docs, n, percent)
+    # Every class is a component of its own, so no pair is passed over as connected.
+    none = active.select(F.col("class").alias("id"), F.col("class").alias("component")).limit(0)
+    found = rest_links(active, tokens, none, percent, parts, every=True)
+    kind = f"a {CLASS}, b {CLASS}"
+    names = active.select("class", F.struct("rep", "hi", "lo").alias("name"))
+    pairs = docs.sparkSession.createDataFrame([], kind)
+    if found is not None:
+        found = found.join(names.select(F.col("class").alias("a"), F.col("name").alias("x")), "a").join(names.select(F.col("class").alias("b"), F.col("name").alias("y")), "b")
+        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = materialise(pairs)
+    sizes = reps.select(F.struct("rep", "hi", "lo").alias("name"), "m")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(sizes.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.sum("m").alias("far"))
+    linked = reps.withColumn("name", F.struct("rep", "hi", "lo")).join(far, "name", "left")
+    linked = linked.select(*KEY, "m", "name", (F.col("m") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    rows = join_spread(sets.where("n > 0 and doc_id is not null").select("doc_id", *KEY), linked, KEY, "m")
+    return pairs, rows.select("doc_id", F.col("name").alias("class_key"), "n_links")
+
+
+def with_keys(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with the key of each text's set, as struct ``__set``."""
+    arrow_rows(docs.sparkSession)
+    at = docs.columns.index("text")
+    kind = f"__set {SET}"
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(kind).fields])
+    of = arrow_schema(docs.sparkSession, kind).field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, ptr = shingle_sets(*bs.text_bytes(batch.column(at)), n)
+            found = [dict(zip(KEY, x)) for x in zip(*(k.view(np.int64).tolist() for k in set_keys(h, ptr)), np.diff(ptr).tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, of)], names=[*batch.schema.names, "__set"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def keep_firsts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of each component, one for each doc_id;
-    rows without a doc_id stay."""
-    firsts = join_ngrams(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(firsts, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` with the least doc_id of each component. Documents without words
+    and rows without a doc_id stay.
+
+    Of rows with one doc_id and different texts, each stays whose own component starts with
+    that doc_id; of those with equal sets the first text in order stays. So of repeated rows
+    there is one, but for rows without a doc_id, which all stay.
+    """
+    judged = join_ngrams(docs, n, percent).where("doc_id is not null")
+    first = F.col("doc_id") == F.col("component_id")
+    by_id = judged.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"), F.count_if(first).alias("__firsts"))
+    by_id = materialise(by_id.where("__firsts > 0"))
+    kept = docs.join(by_id.where("__rows = 1"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    repeated = by_id.where("__rows > 1").select("__id")
+    if repeated.isEmpty():
+        return kept
+    # The texts of repeated ids are told apart by their sets.
+    firsts = judged.where(first).select(F.col("doc_id").alias("__id"), F.col("class_key").alias("__class")).distinct()
+    rows = with_keys(docs.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi"), n)
+    same = (F.col("__set.hi") == F.col("__class.hi")) & (F.col("__set.lo") == F.col("__class.lo"))
+    own = F.when(F.col("__set.n") == 0, F.col("__class").isNull()).otherwise(same)
+    rows = rows.join(firsts, (F.col("doc_id") == F.col("__id")) & own, "left_semi")
+    w = Window.partitionBy("doc_id", "__set").orderBy(F.col("text").asc_nulls_first(), *(F.xxhash64(c) for c in docs.columns))
+    return kept.unionByName(rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").select(*docs.columns))

@@ -55,7 +55,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_ngrams(_table(spark, sf_dir, "documents"), n=4, percent=85).drop("class_id")
+    return ngram_join.join_ngrams(_table(spark, sf_dir, "documents"), n=4, percent=85).drop("class_id", "class_key")
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,16 @@ equal windows lie at the same place of phrases with equal anchors.
 
 1. Chunks of documents ask, for each of their distinct phrases (anchor hash, phrase hash,
    least doc_id), whether an earlier document has the phrase, and whether other phrases
-   with this anchor compete with it. Phrases without either are settled.
+   with this anchor compete with it. Phrases without either are settled. Phrases are equal
+   by 104 bits of hashes.
 2. Phrases with an earlier equal one go whole. The first ones of competing phrases are
    sent, once each, to the bucket of their anchor (those of anchors with very many phrases
-   window by window, to buckets of the windows). There the windows' suffixes are sorted,
-   neighbours compared, and the previous and next smaller document in suffix order, not
-   cut off by a common prefix under 50 bytes, give the longest previous factor.
-3. Chunks gather the answers, cover the removed bytes and digest the rest.
+   window by window, to buckets of the windows). There the windows' suffixes are sorted by
+   their bytes, with the lengths of common prefixes of neighbours. The previous and the
+   next position of a smaller document in this order give each suffix's longest previous
+   factor: the greater of the two least common prefixes on the way. Those of 50 go.
+3. Chunks gather the answers, cover the removed bytes and digest the rest. A document that
+   is longer than a chunk is cut with 49 bytes of overlap, and its pieces are put together.
 """
 
 from __future__ import annotations
@@ -25,23 +28,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .chunking import chunks, opened, squeeze, unsqueeze
-from .common import arrow_schema, by_group, materialise, packed, partitions
+from .chunking import ANSWER, TEXT, Inbox, Outbox, answered, bucket_count, by_groups, chunks, group_parts, opened, squeeze, unsqueeze, with_answers
+from .common import arrow_schema, by_group, materialise, packed, partitions, release
 
 #: Bytes of a removed string, of an anchor; phrases of an anchor that are sent as windows.
 LENGTH, ANCHOR, MANY = 50, 26, 512
 #: Bytes of text of a chunk; its phrases take some thirty times that.
-CHUNK_BYTES = 5 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes that are scanned at once, to stay in a core's cache.
 SCAN_BYTES = 1 << 18
 U = np.uint64
-ASKED = "bucket int, chunk long, anchors binary, phrases binary, docs binary"
-ANSWER = "chunk long, kind int, bucket int, flags binary"
-TOLD = "bucket int, chunk long, sizes binary, docs binary, text binary"
+ASKED = "bucket int, group long, chunks array<bigint>, counts array<int>, anchors binary, phrases binary, docs binary"
+TOLD = "bucket int, group long, chunks array<bigint>, counts array<int>, sizes binary, docs binary, text binary"
 EARLIER, COMPETES, CROWDED = 1, 2, 4
 
 
@@ -102,7 +104,7 @@ class Phrases:
         end[:-1] &= (at[1:] != at[:-1]) | ~valid[1:]
         end[ptr[long_ + 1] - length] = True
         start, last = np.flatnonzero(first), np.flatnonzero(end)
-        return start + base, last + base, bs.mix(grams[at[start]] + U(1)) >> U(24), bs.word_hashes(data, start, last + length) >> U(16)
+        return start + base, last + base, bs.mix(grams[at[start]] + U(1)) >> U(24), bs.word_hashes(data, start, last + length)
 
 
 def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -113,32 +115,25 @@ def ask_phrases(table: DataFrame, buckets: int, length: int, anchor: int) -> Dat
     """Messages with the distinct phrases of each chunk, by ranges of anchor hashes."""
     schema = arrow_schema(table.sparkSession, ASKED)
 
+    def fill(box: Outbox, row: dict) -> None:
+        p = Phrases(row, length, anchor)
+        cut = _buckets(p.a, buckets)
+        box.add(row["chunk"], cut, np.diff(cut), a=p.a, c=p.c, d=p.least)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                p = Phrases(row, length, anchor)
-                cut = _buckets(p.a, buckets)
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    own = slice(cut[b], cut[b + 1])
-                    yield {
-                        "bucket": b,
-                        "chunk": row["chunk"],
-                        "anchors": squeeze(np.diff(p.a[own], prepend=U(0)), 5),
-                        "phrases": np.ascontiguousarray(p.c[own].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(),
-                        "docs": squeeze(p.least[own].view(U), 8),
-                    }
-
-    return table.mapInArrow(lambda b: packed(rows(b), schema, 256), ASKED)
-
-
-def _judge_phrases(bucket: int, rows: list[dict], many: int) -> Iterator[dict]:
+        for head, x in by_groups((row for batch in batches for row in batch.to_pylist()), fill):
+            # Chunk by chunk in order of anchors: wrapping differences.
+            yield head | {"anchors": squeeze(np.diff(x["a"], prepend=U(0)), 8), "phrases": x["c"].tobytes(), "docs": squeeze(x["d"].view(U), 8)}
+
+    return table.select("group", "chunk", "doc_ids", "ptr", "text").mapInArrow(lambda b: packed(rows(b), schema, 256), ASKED)
+
+
+def _judge_phrases(rows: list[dict], many: int) -> Iterator[dict]:
     """For each phrase asked: does an earlier document have it; do others compete."""
-    a = [np.cumsum(unsqueeze(r["anchors"], 5), dtype=U) for r in rows]
+    a = [np.cumsum(unsqueeze(r["anchors"], 8), dtype=U) for r in rows]
     sizes = [len(x) for x in a]
     a = np.concatenate(a)
-    c = np.zeros((len(a), 8), np.uint8)
-    c[:, :6] = np.frombuffer(b"".join(r["phrases"] for r in rows), np.uint8).reshape(-1, 6)
-    c = c.reshape(-1).view(U)
+    c = np.frombuffer(b"".join(r["phrases"] for r in rows), U)
     doc = np.concatenate([unsqueeze(r["docs"], 8).view(np.int64) for r in rows])
     order = np.lexsort((doc, c, a))
     a, c, d = a[order], c[order], doc[order]
@@ -155,7 +150,7 @@ def _judge_phrases(bucket: int, rows: list[dict], many: int) -> Iterator[dict]:
     back = np.empty(len(order), np.uint8)
     back[order] = flags
     for r, own in zip(rows, np.split(back, np.cumsum(sizes)[:-1])):
-        yield {"chunk": r["chunk"], "kind": 1, "bucket": bucket, "flags": zstandard.compress(own.tobytes(), 1)}
+        yield answered(r, 1, own)
 
 
 class Told:
@@ -193,43 +188,38 @@ class Told:
         self.cut = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
 
 
-def _flags(rows: list[dict], kind: int) -> np.ndarray:
-    found = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
-    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(zstandard.decompress(r["flags"]), np.uint8) for r in found)])
+def tell_contexts(table: DataFrame, answers: DataFrame, buckets: int, length: int, anchor: int, groups: tuple[Column, int]) -> DataFrame:
+    """Bytes and documents of the competing contexts of each chunk, for the buckets."""
 
+    def each(_, rows: Iterator[dict]) -> Iterator[dict]:
+        inbox = Inbox()
 
-def _with_answers(table: DataFrame, *answers: DataFrame) -> DataFrame:
-    both = table.withColumn("kind", F.lit(0)).withColumn("bucket", F.lit(-1))
-    for x in answers:
-        both = both.unionByName(x, allowMissingColumns=True)
-    return both.select("chunk", "kind", "bucket", "doc_ids", "ptr", "text", "flags")
+        def fill(box: Outbox, row: dict) -> None:
+            p = Phrases(row, length, anchor)
+            told = Told(p, inbox.take(1, row["chunk"]), buckets)
+            size = told.size[told.order]
+            whole = size + (length - 1)
+            at = np.repeat(told.start[told.order] - (np.cumsum(whole) - whole), whole) + np.arange(whole.sum())
+            windows = np.concatenate([[0], np.cumsum(size)])[told.cut]
+            bytes_ = np.concatenate([[0], np.cumsum(whole)])[told.cut]
+            box.add(row["chunk"], told.cut, np.diff(windows), sizes=size.astype(U), docs=told.doc[told.order].view(U), text=(p.data[at], bytes_))
 
+        def texts() -> Iterator[dict]:
+            for row in rows:
+                if row["kind"] == TEXT:
+                    yield row
+                else:
+                    inbox.add(row)
 
-def tell_contexts(table: DataFrame, answers: DataFrame, buckets: int, length: int, anchor: int, parts: int) -> DataFrame:
-    """Bytes and documents of the competing contexts of each chunk, for the buckets."""
+        for head, x in by_groups(texts(), fill):
+            yield head | {"sizes": squeeze(x["sizes"], 3), "docs": squeeze(x["docs"], 8), "text": zstandard.compress(x["text"].tobytes(), 1)}
 
-    def each(chunk: int, rows: list[dict]) -> Iterator[dict]:
-        row = next(r for r in rows if r["kind"] == 0)
-        p = Phrases(row, length, anchor)
-        told = Told(p, _flags(rows, 1), buckets)
-        for b in np.flatnonzero(np.diff(told.cut)).tolist():
-            own = told.order[told.cut[b] : told.cut[b + 1]]
-            size = told.size[own] + (length - 1)
-            at = np.repeat(told.start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            yield {
-                "bucket": b,
-                "chunk": chunk,
-                "sizes": squeeze(told.size[own].astype(U), 3),
-                "docs": squeeze(told.doc[own].view(U), 8),
-                "text": zstandard.compress(p.data[at].tobytes(), 1),
-            }
-
-    return by_group(_with_answers(table, answers), "chunk", each, TOLD, parts)
+    return by_group(with_answers(table, answers), "group", each, TOLD, groups[1], ("kind", "chunk"), groups[0])
 
 
 def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes at ``at``, up to ``length`` bytes, in order, and whether each has a common
-    prefix of ``length`` bytes with the one before."""
+    """Suffixes at ``at``, up to ``length`` bytes, in order of their bytes, and how many
+    first bytes each has in common with the one before."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     keys = []
     for k in range(0, length, 8):
@@ -238,31 +228,50 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
             word = (word << U(8)) | (padded[at + k + i].astype(U) if k + i < length else U(0))
         keys.append(word)
     order = np.lexsort(keys[::-1])
-    joined = np.ones(len(at), bool)
-    joined[:1] = False
-    for word in keys:
-        joined[1:] &= word[order][1:] == word[order][:-1]
-    return order, joined
-
-
-def has_previous_factor(order: np.ndarray, joined: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a suffix's longest previous factor reaches the compared length: the previous
-    or the next smaller document in suffix order is not cut off by a shorter common prefix."""
-    if not len(order):
-        return np.zeros(0, bool)
-    _, rank = np.unique(doc, return_inverse=True)
-    rank = rank[order].astype(np.int64)
-    run, width = np.cumsum(~joined) - 1, int(rank.max()) + 1
-    # Runs are offset so that a running minimum starts anew with each of them.
-    down, up = rank + (run[-1] - run) * width, rank + run * width
-    before = np.minimum.accumulate(down) < down
-    after = np.minimum.accumulate(up[::-1])[::-1] < up
-    out = np.empty(len(order), bool)
-    out[order] = before | after
+    common = np.zeros(len(at), np.uint8)
+    # Neighbours that are equal so far, and where their next eight bytes first differ.
+    same = np.arange(1, len(at))
+    for k, word in zip(range(0, length, 8), keys):
+        differ = word[order[same]] ^ word[order[same - 1]]
+        equal = np.zeros(len(same), np.uint8)
+        for i in range(8):
+            equal += differ < U(1 << 8 * i) if i else differ == 0
+        # ``differ`` under 2**(8 i): the 8 - i leading bytes are equal.
+        common[same] = np.minimum(k + equal, length)
+        same = same[differ == 0]
+    return order, common
+
+
+def longest_previous_factors(order: np.ndarray, common: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each suffix the longest prefix that also starts a suffix of a smaller document.
+
+    In suffix order, the longest is shared with the nearest suffix of a smaller document
+    before or after. All pointers to these are found together: a pointer to a document that
+    is not smaller moves on to where that one points, and what is common on the way is the
+    least of both parts.
+    """
+    n = len(order)
+    found = np.zeros(n, np.uint8)
+    for ahead in (False, True):
+        d, shared = doc[order], common.copy()
+        if ahead:
+            d, shared = d[::-1], np.concatenate([np.zeros(min(n, 1), np.uint8), common[:0:-1]])
+        to = np.arange(n) - 1
+        live = np.flatnonzero((to >= 0) & (d[to] >= d))
+        while len(live):
+            j = to[live]
+            shared[live] = np.minimum(shared[live], shared[j])
+            to[live] = to[j]
+            k = to[live]
+            live = live[(k >= 0) & (d[k] >= d[live])]
+        shared[to < 0] = 0
+        found = np.maximum(found, shared[::-1] if ahead else shared)
+    out = np.empty(n, np.uint8)
+    out[order] = found
     return out
 
 
-def _judge_contexts(bucket: int, rows: list[dict], length: int) -> Iterator[dict]:
+def _judge_contexts(rows: list[dict], length: int) -> Iterator[dict]:
     sizes = [unsqueeze(r["sizes"], 3).astype(np.int64) for r in rows]
     data = np.frombuffer(b"".join(zstandard.decompress(r["text"]) for r in rows), np.uint8)
     size = np.concatenate(sizes)
@@ -270,9 +279,9 @@ def _judge_contexts(bucket: int, rows: list[dict], length: int) -> Iterator[dict
     begin = np.cumsum(whole) - whole
     at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
     doc = np.repeat(np.concatenate([unsqueeze(r["docs"], 8).view(np.int64) for r in rows]), size)
-    found = has_previous_factor(*suffix_order(data, at, length), doc).astype(np.uint8)
-    for r, own in zip(rows, np.split(found, np.cumsum([x.sum() for x in sizes])[:-1])):
-        yield {"chunk": r["chunk"], "kind": 2, "bucket": bucket, "flags": zstandard.compress(own.tobytes(), 1)}
+    found = longest_previous_factors(*suffix_order(data, at, length), doc) >= length
+    for r, own in zip(rows, np.split(found.astype(np.uint8), np.cumsum([x.sum() for x in sizes])[:-1])):
+        yield answered(r, 2, own)
 
 
 def _covered(p: Phrases, flags: np.ndarray, found: np.ndarray, buckets: int) -> np.ndarray:
@@ -326,22 +335,49 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _removed(docs: DataFrame, length: int, anchor: int, many: int, schema: str, out) -> DataFrame:
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    table = materialise(chunks(docs, CHUNK_BYTES))
-    first = materialise(by_group(ask_phrases(table, parts, length, anchor), "bucket", lambda b, rows: _judge_phrases(b, rows, many), ANSWER, parts))
-    told = tell_contexts(table, first, parts, length, anchor, parts)
-    second = by_group(told, "bucket", lambda b, rows: _judge_contexts(b, rows, length), ANSWER, parts)
-
-    def each(_, rows: list[dict]) -> Iterator[dict]:
-        row = next(r for r in rows if r["kind"] == 0)
-        p = Phrases(row, length, anchor)
-        gone = _covered(p, _flags(rows, 1), _flags(rows, 2), parts)
-        for d, doc_id in enumerate(row["doc_ids"]):
-            own = slice(p.ptr[d], p.ptr[d + 1])
-            yield out(doc_id, p.data[own], gone[own])
-
-    return by_group(_with_answers(table, first, second), "chunk", each, schema, parts)
+    table = materialise(chunks(docs, CHUNK_BYTES, length - 1))
+    buckets, groups = bucket_count(table), group_parts(table)
+    first = materialise(by_group(ask_phrases(table, buckets, length, anchor), "bucket", lambda _, rows: _judge_phrases(list(rows), many), ANSWER, buckets, dealt=F.col("bucket")))
+    told = tell_contexts(table, first, buckets, length, anchor, groups)
+    second = by_group(told, "bucket", lambda _, rows: _judge_contexts(list(rows), length), ANSWER, buckets, dealt=F.col("bucket"))
+
+    def each(_, rows: Iterator[dict]) -> Iterator[dict]:
+        inbox = Inbox()
+        for row in rows:
+            if row["kind"] != TEXT:
+                inbox.add(row)
+                continue
+            p = Phrases(row, length, anchor)
+            gone = _covered(p, inbox.take(1, row["chunk"]), inbox.take(2, row["chunk"]), buckets)
+            if row["whole"] is not None:
+                yield {"whole": row["whole"], "part": row["part"], "doc_id": row["doc_ids"][0], "data": row["text"], "gone": zstandard.compress(np.packbits(gone).tobytes(), 1)}
+                continue
+            for d, doc_id in enumerate(row["doc_ids"]):
+                own = slice(p.ptr[d], p.ptr[d + 1])
+                yield out(doc_id, p.data[own], gone[own])
+
+    if table.where("whole is not null").isEmpty():
+        return by_group(with_answers(table, first, second), "group", each, schema, groups[1], ("kind", "chunk"), groups[0])
+
+    def put_together(_, rows: Iterator[dict]) -> Iterator[dict]:
+        """The pieces of one document, in order."""
+        texts, masks, over = [], [], np.zeros(0, bool)
+        for row in rows:
+            data = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
+            gone = np.unpackbits(np.frombuffer(zstandard.decompress(row["gone"]), np.uint8), count=len(data)).astype(bool)
+            gone[: len(over)] |= over
+            if texts:  # the piece before has these bytes too
+                texts[-1], masks[-1] = (x[-1][: len(x[-1]) - len(over)] for x in (texts, masks))
+            texts.append(data)
+            masks.append(gone)
+            over = gone[len(gone) - (length - 1) :]
+        yield out(row["doc_id"], np.concatenate(texts), np.concatenate(masks))
+
+    pieces = f"{schema}, whole long, part int, data binary, gone binary"
+    found = materialise(by_group(with_answers(table, first, second), "group", each, pieces, groups[1], ("kind", "chunk"), groups[0]))
+    release(table, first)
+    together = by_group(found.where("whole is not null").select("whole", "part", "doc_id", "data", "gone"), "whole", put_together, schema, partitions(docs.sparkSession), ("part",))
+    return found.where("whole is null").select(*together.columns).unionByName(together)
 
 
 def _digest(doc_id: int | None, data: np.ndarray, gone: np.ndarray) -> dict:
@@ -364,7 +400,8 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> D
 
     Null text is empty. Rows without a doc_id are kept whole and remove nothing. Of rows
     with the same doc_id none removes from another. Repeated rows give a row each; an empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored. A text longer than a chunk goes
+    through in pieces; only putting it together takes a few times its size.
     """
     return _removed(docs, length, min(ANCHOR, length), many, RESULT, _digest)
 
