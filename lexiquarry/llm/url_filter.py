@@ -1,13 +1,16 @@
 """URL filter lists as a sort-merge range join.
 
-A host is reversed by labels (``www.example.com`` -> ``com.example.www``), so a rule's
-host and path make one key, and the urls that a rule fits are an interval of keys: those
-with the rule's key as prefix. Rules open at their key and close at key + 0xFF. Intervals
-of prefixes are nested or apart, so a sweep over the sorted events needs only the stack of
-rules that are open; a url takes the top of the stack where the sweep meets it.
-
-The sweep is a window function over buckets of urls: each bucket gets a copy of the
-events of one block of rules (bounded rows), and a hot host spreads over all buckets.
+A host is reversed by labels, each ended by a byte below all others (``www.example.com`` ->
+``com\\0example\\0www\\0``), so no label runs into a longer one; a path follows after a mark.
+A rule's host and path make one key, and the urls that a rule fits are an interval of keys:
+those with the rule's key as prefix. A rule without a path ends with its host and so holds
+all subdomains. Rules open at their key and close at key + 0xFF. Intervals of prefixes are
+nested or apart, so a sweep over the sorted events needs only the stack of rules that are
+open: a running sum of openings and closings is its height, and the last rule opened at a
+height is the entry of that height. A url takes the top of the stack where it is met.
+
+The sweep is made of two window functions over buckets of urls: each bucket gets a copy of
+the events of one block of rules (bounded rows), and a hot host spreads over all buckets.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import join_spread, materialise, partitions
 
 #: Rules that one sweep holds; longer lists are swept in blocks, and the longest match wins.
 RULES_PER_BLOCK = 20_000
@@ -41,41 +44,38 @@ def url_path(url: Column) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Rules (verdict, host, path) as a table."""
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    """Rules (verdict, host, path) as a table of literals."""
+    kind = "array<struct<verdict:string,host:string,path:string>>"
+    listed = F.array(*(F.struct(*map(F.lit, r)) for r in rules)).cast(kind) if rules else F.array().cast(kind)
+    return spark.range(1).select(F.inline(listed))
 
 
-def _reversed(host: Column) -> Column:
-    return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
+def _labels(host: Column) -> Column:
+    """Labels from the last to the first, without the bytes that end and mark them."""
+    plain = host
+    for i, mark in ((2, "c"), (1, "b"), (0, "a")):
+        plain = F.replace(plain, F.lit(chr(i)), F.lit("\2" + mark))
+    return F.reverse(F.split(plain, r"\.", -1))
 
 
-def rule_events(rules: DataFrame) -> DataFrame:
-    """Open and close events of each rule with the stack of open rules after the event.
+def _host_key(labels: Column) -> Column:
+    return F.concat(F.array_join(labels, "\0"), F.lit("\0"))
 
-    A rule's ancestors are the rules whose key is a proper prefix of its own, found by an
-    equi-join on all prefixes of the key.
-    """
+
+def rule_events(rules: DataFrame, blocks: int = 1) -> DataFrame:
+    """``(block, k, kind, step, item)``: opening (1) and closing (-1) of each rule."""
+    key = F.concat(_host_key(_labels(F.col("host"))), F.when(F.col("path") != "", F.concat(F.lit("\1"), "path")).otherwise(F.lit("")))
     keyed = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
         .withColumn("host", F.translate("host", UPPER, LOWER))
-        .withColumn("key", F.concat(_reversed(F.col("host")), F.col("path")))
-        .groupBy("key")
+        .groupBy(F.encode(key, "UTF-8").alias("k"))
         .agg(F.max(F.struct("verdict", F.concat("host", "path").alias("rule"))).alias("v"))
-        .select("key", F.struct(F.length("v.rule").alias("n"), F.col("v.rule").alias("rule"), F.col("v.verdict").alias("verdict")).alias("item"))
-    )
-    prefixes = keyed.select(
-        F.col("key").alias("of"), F.explode(F.expr("transform(sequence(1, length(key)), i -> substring(key, 1, i))")).alias("key")
-    )
-    stacks = (
-        prefixes.join(keyed, "key")
-        .groupBy("of")
-        .agg(F.expr("transform(sort_array(collect_list(struct(length(key) as depth, item))), x -> x.item)").alias("stack"))
+        .select("k", F.struct(F.length("v.rule").alias("n"), F.col("v.rule").alias("rule"), F.col("v.verdict").alias("verdict")).alias("item"))
+        .withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)))
     )
-    opens = stacks.select(F.encode("of", "UTF-8").alias("k"), F.lit(0).alias("kind"), "stack")
-    closes = stacks.select(
-        F.expr("concat(encode(of, 'UTF-8'), X'FF')").alias("k"), F.lit(1).alias("kind"), F.expr("slice(stack, 1, size(stack) - 1)").alias("stack")
-    )
-    return opens.unionByName(closes)
+    opens = keyed.select("block", "k", F.lit(0).alias("kind"), F.lit(1).alias("step"), "item")
+    closes = keyed.select("block", F.expr("concat(k, X'FF')").alias("k"), F.lit(1).alias("kind"), F.lit(-1).alias("step"))
+    return opens.unionByName(closes, allowMissingColumns=True)
 
 
 def judge_urls(
@@ -88,50 +88,43 @@ def judge_urls(
     """Verdict of every row: ``(id_col, host, path, rule, verdict)``.
 
     A rule (verdict, host, path) fits its host and all subdomains where the url's path
-    starts with the rule's path. The longest rule string wins; of two rules with the same
-    host and path the greater verdict (``block``) stands. Rules with a null host or path
-    fit nothing.
-
-    Null urls and urls without ``://`` have an empty host and path and get ``default``.
-    Repeated rows and ids are judged one by one; an empty table gives an empty result;
-    other columns of ``pages`` are ignored, whatever their names.
+    starts with the rule's path; one with an empty path fits whole hosts. The longest rule
+    string wins; of several of that length the greatest string, and of two rules with the
+    same host and path the greater verdict (``block``). Rules with a null host or path fit
+    nothing.
+
+    Null urls and urls without ``://`` have an empty host and path and get ``default``
+    unless a rule with an empty host fits them. Repeated rows and ids are judged one by
+    one; an empty table gives an empty result; other columns of ``pages`` are ignored,
+    whatever their names. Very long urls are keys like others.
     """
     spark = pages.sparkSession
-    events = rule_events(rules)
-    n_rules, depth = rules.agg(
-        F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split("host", r"\.", -1))), F.lit(1))
-    ).first()
+    n_rules, depth = rules.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split("host", r"\.", -1))), F.lit(1))).first()
     blocks = max(1, math.ceil(n_rules / RULES_PER_BLOCK))
     buckets = 4 * partitions(spark)
 
     parsed = pages.select(F.col(id_col).alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    keys = parsed.select("host", "path").distinct()
+    keys = materialise(parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")))
     levels = (
-        keys.withColumn("labels", F.reverse(F.split("host", r"\.", -1)))
+        keys.withColumn("labels", _labels(F.col("host")))
         .withColumn("level", F.explode(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(depth)))))
-        .withColumn("k", F.encode(F.concat(F.array_join(F.expr("slice(labels, 1, level)"), "."), "path"), "UTF-8"))
+        .withColumn("k", F.encode(F.concat(_host_key(F.expr("slice(labels, 1, level)")), F.lit("\1"), "path"), "UTF-8"))
     )
     bucket = F.pmod(F.xxhash64("host", "path"), F.lit(buckets)).cast("int")
-    urls = levels.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), bucket.alias("bucket"), "k", F.lit(2).alias("kind"), "host", "path"
-    )
-    if blocks > 1:
-        # A block holds a subset of the rules; its stacks keep the members of the block.
-        events = events.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
-            "stack", F.expr(f"filter(stack, x -> pmod(xxhash64(x.rule), {blocks}) = block)")
-        )
-    else:
-        events = events.withColumn("block", F.lit(0))
-    copies = events.select("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "k", "kind", "stack")
-
-    sweep = Window.partitionBy("block", "bucket").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    urls = levels.select(block.alias("block"), bucket.alias("bucket"), "k", F.lit(2).alias("kind"), F.lit(0).alias("step"), "host", "path")
+    copies = rule_events(rules, blocks).select("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "k", "kind", "step", "item")
+
+    upto = lambda *by: Window.partitionBy("block", "bucket", *by).orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     best = (
         urls.unionByName(copies, allowMissingColumns=True)
-        .withColumn("open", F.last("stack", ignorenulls=True).over(sweep))
-        .where((F.col("kind") == 2) & (F.size("open") > 0))
+        .withColumn("height", F.sum("step").over(upto()))
+        .withColumn("top", F.last("item", ignorenulls=True).over(upto("height")))
+        .where((F.col("kind") == 2) & (F.col("height") > 0))
         .groupBy("host", "path")
-        .agg(F.max(F.expr("open[size(open) - 1]")).alias("top"))
+        .agg(F.max("top").alias("top"))
     )
-    return parsed.join(best, ["host", "path"], "left").select(
+    judged = keys.join(best, ["host", "path"], "left")
+    return join_spread(parsed, judged, ["host", "path"], "n").select(
         id_col, "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict")
     )
