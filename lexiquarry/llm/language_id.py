@@ -283,3 +283,34 @@ def identify_languages(docs: DataFrame) -> DataFrame:
                 at = upto
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(lambda b: packed(rows(b), schema), RESULT)
+
+
+WORD_RESULT = "doc_id long, place long, word string, lang string, score double"
+
+
+def identify_words(docs: DataFrame) -> DataFrame:
+    """``(doc_id, place, word, lang, score)``: the language of every word of every text, with
+    its probability by forward-backward, for texts that switch languages.
+
+    Words are runs of letters, lower-cased, numbered from 0. Training is as in
+    ``identify_languages``; if no document can be trained on, words are ``und`` with 0.
+    Null texts and texts without letters have no rows; equal probabilities give the first
+    label; repeated rows give their words each; an empty table gives an empty result; other
+    columns are ignored. A very long text is held as a whole, some hundred bytes a word.
+    """
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    model = spark.sparkContext.broadcast(train(training_sample(docs)))
+    schema = arrow_schema(spark, WORD_RESULT)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        crf = model.value
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = [w for w in words_of(text) if any(map(str.isalpha, w))]
+                found = label_words(crf, words) if crf is not None else np.zeros((len(words), 1))
+                for i, (w, p) in enumerate(zip(words, found)):
+                    best = int(p.argmax())
+                    yield {"doc_id": doc_id, "place": i, "word": w, "lang": crf.labels[best] if crf is not None else "und", "score": min(1.0, float(p[best]))}
+
+    return docs.select("doc_id", "text").mapInArrow(lambda b: packed(rows(b), schema), WORD_RESULT)
