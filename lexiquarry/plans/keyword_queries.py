@@ -10,6 +10,7 @@ from ..functions import metrics as M
 from ..operators import chunks as C
 from ..operators import keywords as K
 from ..operators import qa as Q
+from .answer_queries import _CL, _KEYS, _VALUES, NEAR, _chosen
 from .fixtures import ANSWER, CLUSTER, table
 from .text_queries import CHUNKS_SQL, MAX_TOKENS, OVERLAP, RUSSIAN, SENTENCES, TOKENS, _exploded
 
@@ -258,7 +259,7 @@ def q_attention_pipeline(spark, sf):
 
 
 def q_experiment(spark, sf):
-    return Q.experiment(_docs(spark, sf), keywords(spark, sf), _references(spark, sf), QUESTION, MODES, CLUSTER, ANSWER, CONFIG)
+    return Q.experiment(_docs(spark, sf), keywords(spark, sf), _references(spark, sf), QUESTION, MODES, CLUSTER, ANSWER, CONFIG, aspect=ASPECT)
 
 
 def q_span_search(spark, sf):
@@ -455,6 +456,52 @@ _PIPELINE = f"""{_CHUNKS}, {_ANSWERS}, {_MEDOID}, rf AS (SELECT doc_id, l[1] AS
       SELECT rk.doc_id, coalesce(fi.answer, rk.answer) AS text, 0.9::DOUBLE AS confidence, fi.answer IS NOT NULL AS reranked, coalesce(m, rk.n) AS chunks_used
       FROM rk LEFT JOIN fi ON rk.doc_id = fi.doc_id AND fi.rn = 1 WHERE rk.rn = 1"""
 
+# The batch experiment: valid chunks, their words by the dynamic idf, keywords that the chunks
+# have and that are nearer to the question than to the reference; then the chunks scored by
+# them in three modes, answered, clustered and chosen from. A document in a mode is a group.
+def _experiment() -> str:
+    idf = _IDF.replace(_TEXTS, "texts AS (SELECT doc_id, chunk_idx AS text_id, text FROM chunks WHERE (doc_id, chunk_idx) IN (SELECT (doc_id, chunk_idx) FROM va))")
+    thresholds = ", ".join(f"({i}, {round(t, 9)}::DOUBLE)" for i, t in enumerate(K.thresholds()))
+    modes = " UNION ALL ".join(f"SELECT doc_id * 3 + {i} AS doc, chunk_idx, round(raw, 6) AS score FROM {_score(f'{r}::DOUBLE')}" for i, r in enumerate(MODES.values()))
+    clustered = _CL.replace(f"sim >= {NEAR}", "sim >= 0.5").replace(", mat AS", "mat AS", 1)
+    names = "[" + ", ".join(f"'{m}'" for m in MODES) + "]"
+    grid = " CROSS JOIN ".join(f"(SELECT unnest([{', '.join(repr(x) for x in values)}]) AS {name})" for name, values in (("mode", MODES), ("cluster_strategy", CLUSTER), ("answer_strategy", ANSWER)))
+    # The SQL engine counts bytes: letters of the tables that have two become one.
+    one = "translate({}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', " + " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)]) + ")"
+    lev = f"levenshtein({one.format('reference')}, {one})::DOUBLE"
+    cos = _COS.format(a=_VEC.format("reference"), b="{v}")
+    return f"""{_CHUNKS}, {_ANSWERS}, {_MEDOID}, rf AS (SELECT doc_id, l[1] AS reference FROM (SELECT doc_id, {SENTENCES} AS l FROM documents) WHERE len(l) > 0),
+      vs AS (SELECT av.*, {_COS.format(a='av.v', b='r')} AS similarity FROM av JOIN (SELECT doc_id, {_VEC.format('reference')} AS r FROM rf) USING (doc_id)),
+      vr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, answer_idx) AS place, max(similarity) OVER (PARTITION BY doc_id) AS best FROM vs),
+      va AS (SELECT doc_id, chunk_idx FROM vr WHERE (best >= 0.9 AND similarity >= 0.9) OR (best < 0.9 AND similarity >= 0.7 AND place <= 1)),
+      {idf}, th(i, t) AS (VALUES {thresholds}),
+      kc2 AS (SELECT doc_id, text_id, i, count(*) AS n FROM pw JOIN idf USING (doc_id, word), th WHERE round(idf, 9) >= t GROUP BY 1, 2, 3),
+      cv AS (SELECT x.doc_id, x.i, x.t, avg((coalesce(n, 0) >= 3)::INT) AS c FROM (SELECT doc_id, text_id, i, t FROM texts, th) x LEFT JOIN kc2 USING (doc_id, text_id, i) GROUP BY 1, 2, 3),
+      tr AS (SELECT doc_id, round(t, 6) AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY least(c, 0.8) DESC, i) AS rn FROM cv) WHERE rn = 1),
+      kt AS (SELECT doc_id, text_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM pw JOIN idf USING (doc_id, word) JOIN tr USING (doc_id) WHERE round(idf, 9) >= t GROUP BY 1, 2),
+      hs AS (SELECT DISTINCT doc_id FROM seen), ft AS (SELECT texts.doc_id, text_id, CASE WHEN hs.doc_id IS NULL THEN array_to_string({_WORDS.format('text')}, ' ') ELSE coalesce(kept, '') END AS text
+        FROM texts LEFT JOIN hs USING (doc_id) LEFT JOIN kt USING (doc_id, text_id)),
+      al AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+')) AS word FROM ft),
+      {_KW.replace('kw AS (', 'kf AS (')},
+      km AS (SELECT kf.doc_id, kf_idx, word, weight FROM (SELECT *, kw_idx AS kf_idx FROM kf) kf JOIN al USING (doc_id, word) WHERE word NOT IN ({_STOP}) AND length(word) > 1),
+      kd AS (SELECT km.doc_id, kf_idx AS kw_idx, word, weight, round({_COS.format(a=_VEC.format('word'), b=_VEC.format(f"'{ASPECT}'"))} - {_COS.format(a=_VEC.format('word'), b=_VEC.format('reference'))}, 9) AS score_diff
+        FROM km JOIN rf USING (doc_id)),
+      kw AS (SELECT *, word AS lemma, word AS stem FROM kd WHERE score_diff > 0), {_HIT_ONLY}, sm AS ({modes}),
+      ans AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY sm.chunk_idx) - 1 AS idx, answer AS text, 0.9::DOUBLE AS confidence, score AS chunk_score, {_VEC.format('answer')} AS v
+        FROM sm JOIN fa ON sm.doc // 3 = fa.doc_id AND sm.chunk_idx = fa.chunk_idx),
+      pr AS (SELECT a.doc, a.idx AS i, b.idx AS j, {_COS.format(a='a.v', b='b.v')} AS sim FROM ans a JOIN ans b ON a.doc = b.doc AND a.idx <> b.idx),
+      {clustered} {_chosen(_KEYS, _VALUES)},
+      aim AS (SELECT DISTINCT doc_id FROM kw), gr AS (SELECT * FROM aim CROSS JOIN {grid}),
+      gs AS (SELECT gr.*, sel.text AS chosen FROM gr LEFT JOIN (SELECT doc // 3 AS doc_id, {names}[doc % 3 + 1] AS mode, cluster_strategy, answer_strategy, text FROM sel) sel USING (doc_id, mode, cluster_strategy, answer_strategy)),
+      bs AS (SELECT documents.doc_id, nullif(rk.answer, '') AS f, reference FROM documents LEFT JOIN rk ON documents.doc_id = rk.doc_id AND rn = 1 LEFT JOIN rf ON documents.doc_id = rf.doc_id)
+      SELECT bs.doc_id, coalesce(mode, '{Q.NO_VALID}') AS score_chunk_strategy, coalesce(cluster_strategy, '{Q.NO_VALID}') AS choose_cluster_strategy, coalesce(answer_strategy, '{Q.NO_VALID}') AS choose_answer_strategy,
+        CASE WHEN mode IS NULL THEN '{Q.NO_VALID}' ELSE coalesce(chosen, '{Q.NONE}') END AS final_answer,
+        CASE WHEN chosen IS NOT NULL THEN round({cos.format(v=_VEC.format('chosen'))}, 6) END AS cosine_sim, CASE WHEN chosen IS NOT NULL THEN {lev.format('chosen')} END AS lev_dist,
+        coalesce(f, '{Q.NONE}') AS first_answer, CASE WHEN f IS NOT NULL AND reference IS NOT NULL THEN round({cos.format(v=_VEC.format('f'))}, 6) END AS base_cosine_sim,
+        CASE WHEN f IS NOT NULL AND reference IS NOT NULL THEN {lev.format('f')} END AS base_lev_dist
+      FROM bs LEFT JOIN gs USING (doc_id)"""
+
+
 SQL = {
     "ngrams": f"""WITH k AS (SELECT doc_id, list_filter({_TERMS.format('text')}, lambda w: w NOT IN ({_STOP})) AS k FROM documents)
       SELECT DISTINCT doc_id, k[i] || ' ' || k[i + 1] AS gram FROM k, unnest(range(1, len(k))) AS u(i)""",
@@ -497,8 +544,9 @@ SQL = {
     "dedup_keywords": f"WITH {_KW} SELECT doc_id, word[1:4] AS word, round(max(weight), 6) AS weight FROM kw GROUP BY 1, 2",
     "kw_join": rf"""WITH {_KW}, wd AS (SELECT word, word[1:6] AS stem, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}{{4,}}')) AS word FROM documents) GROUP BY 1)
       SELECT doc_id, word, round(weight, 6) AS weight, wd.stem, documents FROM kw JOIN wd USING (word)""",
-    "kw_by_cosine": f"""WITH {_KW}, v AS (SELECT doc_id, word, {_VEC.format('word')} AS u, {_VEC.format('text')} AS p FROM kw JOIN documents USING (doc_id) WHERE {_BLANK.format('text')} IS FALSE),
-      d AS (SELECT doc_id, word, {_COS.format(a='u', b='p')} AS similarity FROM v)
+    "kw_by_cosine": f"""WITH {_KW}, b AS (SELECT doc_id, ('0x' || substr(sha256(w), 1, 4))::INT % 16 AS b FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents)),
+      c AS (SELECT doc_id, b, count(*) AS n FROM b GROUP BY 1, 2), nm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1),
+      d AS (SELECT kw.doc_id, word, round(coalesce(n, 0) / norm, 9) AS similarity FROM kw JOIN nm USING (doc_id) LEFT JOIN c ON kw.doc_id = c.doc_id AND c.b = ('0x' || substr(sha256(word), 1, 4))::INT % 16)
       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, word))::INT AS place, word, round(similarity, 6) AS similarity FROM d""",
     "kw_in_text": rf"WITH {_KW} SELECT doc_id, word FROM kw JOIN documents USING (doc_id) WHERE list_contains(regexp_split_to_array(lower(text), '\s+'), word)",
     "kw_stop": f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents) WHERE word NOT IN ({_STOP}) AND length(word) > 1 GROUP BY 1, 2",
@@ -542,6 +590,7 @@ SQL = {
     "baseline_ru": f"WITH RECURSIVE {CHUNKS_SQL.replace(SENTENCES, RUSSIAN)}, {_ANSWERS}, {_MEDOID} SELECT doc_id, answer_idx AS idx, answer AS text, 0.9::DOUBLE AS confidence, support FROM rk WHERE rn = 1",
     "attention_keywords": f"{_CHUNKS}, {_SHARES}, {_best_words('true')} SELECT doc_id, kw_idx, word, round(weight, 6) AS weight FROM kb",
     "attention_pipeline": _PIPELINE,
+    "experiment": _experiment(),
     "rouge_l": f"WITH RECURSIVE {_lcs(_PAIRS)} SELECT conv_id, turn, round(rouge, 6) AS rouge_l FROM lv",
     "metrics_rowwise": _rowwise(),
     "span_search": """WITH l AS (SELECT doc_id, p, (p * (doc_id % 13 + 1)) % 17 / 4.0::DOUBLE AS s, (p * (doc_id % 13 + 4)) % 19 / 4.0::DOUBLE AS e FROM documents, unnest(range(0, 100)) AS u(p)),
