@@ -135,7 +135,8 @@ def metrics_rowwise(rows: DataFrame, pred: str = "pred", golds: str = "golds", e
     and for a blank ``pred``, all are 0."""
     p = F.col(pred)
     kept = F.filter(F.coalesce(F.col(golds), F.array().cast("array<string>")), lambda g: ~_blank(g))
-    bert = F.transform("_g", lambda g: greedy_match(F.col("_p"), embed(g)))
+    # Vectors are bound, so each text's are made once.
+    bert = V.bound(F.col("_p"), lambda own: F.transform("_g", lambda g: V.bound(embed(g), lambda other: greedy_match(own, other))))
     out = rows.withColumns({"_g": F.when(_blank(p), F.array().cast("array<string>")).otherwise(kept), "_p": embed(p)}).withColumn("_b", bert)
     of = lambda k: F.round(F.coalesce(F.array_max(F.transform("_b", lambda b: b[k])), F.lit(0.0)), 4)
     return out.withColumns(
