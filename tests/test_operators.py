@@ -395,3 +395,14 @@ def test_cli(spark, tmp_path):
     args = cli.parser().parse_args([str(tmp_path / "t.txt"), "--question", "q", "--mode", "attention"])
     with pytest.raises(SystemExit):
         cli.answer(spark, args)
+
+
+def test_entry_point_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert found.returncode == 0 and int(found.stdout.split()[-1]) > 100, found.stderr
