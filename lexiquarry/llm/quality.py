@@ -119,25 +119,28 @@ def known_labels(labels: DataFrame) -> DataFrame:
 
 
 def train_document_model(docs: DataFrame, labels: DataFrame) -> DocumentModel:
-    """Learn from the ``SAMPLE`` labelled ids that come first by a hash."""
+    """Learn from the ``SAMPLE`` labelled ids that come first by a hash. Repeated ids may
+    give more rows than the sample has ids; of twice as many, the first by a hash of id and
+    text count, so reruns agree."""
     arrow_rows(docs.sparkSession)
     chosen = known_labels(labels).orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE)
-    kind = "x array<double>, y double"
+    kind = "h long, g long, x array<double>, y double"
     schema = arrow_schema(docs.sparkSession, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = document_features(batch.column(0)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, schema.field(0).type), pa.array(batch.column(1).to_pylist(), pa.float64())], schema=schema)
+            x = pa.array(document_features(batch.column(2)).tolist(), schema.field(2).type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x, batch.column(3).cast(pa.float64())], schema=schema)
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    # Repeated ids may give more rows than the sample has ids.
-    rows = joined.select("text", "label").mapInArrow(run, kind).limit(2 * SAMPLE).collect()
+    found = joined.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"), "text", F.col("label").cast("double").alias("label")).mapInArrow(run, kind)
+    rows = found.orderBy("h", "g", "x", "y").limit(2 * SAMPLE).collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), FEATURES)
     return DocumentModel(x, np.array([float(r.y >= 0.5) for r in rows]))
 
 
-P = "__lexiquarry_p"
+#: Private names, which no column of documents clashes with.
+P, HOST, PATH, HOST_MEAN, PATH_MEAN = (f"__lexiquarry_{x}" for x in ("p", "host", "path", "host_mean", "path_mean"))
 
 
 def _with_probability(frame: DataFrame, model) -> DataFrame:
@@ -185,43 +188,43 @@ def _posterior(p: Column, path_mean: Column, base: float) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, host: str, path: str):
-    """Document model, its scores of all documents and the sites' posteriors."""
+def _scored(docs: DataFrame, frame: DataFrame, labels: DataFrame, host: str, path: str, keep: list[str]) -> tuple[DocumentModel, DataFrame]:
+    """Document model, and columns ``keep`` of ``frame`` with the model's probability and
+    the posteriors of the row's sites. Features are computed once for every row."""
     spark = docs.sparkSession
     model = train_document_model(docs, labels)
-    shared = spark.sparkContext.broadcast(model)
-    narrow = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
-    scores = materialise(_with_probability(narrow, shared).drop("text"))
-    evidence = scores.join(known_labels(labels), F.col("doc_id") == F.col("label_id"), "left")
-    sites, _ = site_posteriors(evidence.select("host", "path", F.coalesce("label", P).alias("e")))
-    return model, shared, scores, materialise(sites)
-
-
-def _joined(frame: DataFrame, sites: DataFrame) -> DataFrame:
-    sites = broadcast_if_small(sites.select(F.col("host").alias("__site_host"), F.col("path").alias("__site_path"), "host_mean", "path_mean"))
-    return frame.join(sites, F.col("__host").eqNullSafe(F.col("__site_host")) & F.col("__path").eqNullSafe(F.col("__site_path")))
+    sited = frame.withColumns({HOST: F.col(host).cast("string"), PATH: F.col(path).cast("string")})
+    scores = _with_probability(sited, spark.sparkContext.broadcast(model)).select(*keep, HOST, PATH, P)
+    scores = materialise(scores)
+    known = known_labels(labels)
+    evidence = scores.select("doc_id", HOST, PATH, P).join(known, F.col("doc_id") == F.col("label_id"), "left")
+    sites, _ = site_posteriors(evidence.select(F.col(HOST).alias("host"), F.col(PATH).alias("path"), F.coalesce("label", P).alias("e")))
+    sites = materialise(sites)
+    named = broadcast_if_small(sites.select(F.col("host").alias("__site_host"), F.col("path").alias("__site_path"), F.col("host_mean").alias(HOST_MEAN), F.col("path_mean").alias(PATH_MEAN)))
+    same = F.col(HOST).eqNullSafe(F.col("__site_host")) & F.col(PATH).eqNullSafe(F.col("__site_path"))
+    return model, scores.join(named, same)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
     """``(doc_id, p_doc, host_mean, path_mean, quality, keep)`` of every document.
 
     A site's path is the pair of columns ``host`` and ``path``. Null hosts and paths are
-    groups of their own. Null and empty texts have all-zero counts and are judged so.
-    Labels that are null or of no document do not count; of repeated labels the mean
-    does. Repeated rows give a row each; an empty table gives an empty result; without
-    labels all documents have the same evidence. Other columns are ignored.
+    groups of their own. Null and empty texts have all-zero counts and are judged so; very
+    long texts are judged whole. A quality equal to ``threshold`` is kept. Labels that are
+    null or of no document do not count; of repeated labels the mean does. Repeated rows
+    give a row each and count each time in their sites; an empty table gives an empty
+    result; without labels all documents have the same evidence. Other columns are ignored.
     """
-    model, _, scores, sites = _fitted(docs, labels, host, path)
-    frame = scores.withColumnRenamed("host", "__host").withColumnRenamed("path", "__path")
-    quality = _posterior(F.col(P), F.col("path_mean"), model.base)
-    return _joined(frame, sites).select(
-        "doc_id", F.col(P).alias("p_doc"), "host_mean", "path_mean", quality.alias("quality"), (quality >= threshold).alias("keep")
+    frame = docs.select(*dict.fromkeys(["doc_id", "text", host, path]))
+    model, scores = _scored(docs, frame, labels, host, path, ["doc_id"])
+    quality = _posterior(F.col(P), F.col(PATH_MEAN), model.base)
+    return scores.select(
+        "doc_id", F.col(P).alias("p_doc"), F.col(HOST_MEAN).alias("host_mean"), F.col(PATH_MEAN).alias("path_mean"), quality.alias("quality"), (quality >= threshold).alias("keep")
     )
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``classify_quality`` keeps, with their columns."""
-    model, shared, _, sites = _fitted(docs, labels, host, path)
-    scored = _with_probability(docs, shared).withColumn("__host", F.col(host).cast("string")).withColumn("__path", F.col(path).cast("string"))
-    kept = _joined(scored, sites).where(_posterior(F.col(P), F.col("path_mean"), model.base) >= threshold)
-    return kept.select(*docs.columns)
+    """The rows of ``docs`` that ``classify_quality`` keeps, with their columns, whatever
+    their names; nulls, empty and long texts, ties and repeated rows are as there."""
+    model, scores = _scored(docs, docs, labels, host, path, docs.columns)
+    return scores.where(_posterior(F.col(P), F.col(PATH_MEAN), model.base) >= threshold).select(*docs.columns)
