@@ -2,8 +2,13 @@
 
 Source sizes come from one grouped aggregate. The water level is found in closed form:
 in order of cap/weight, a source is capped while its share at the level of the rest
-exceeds its cap; the budget left is shared by weight among the others. A document is then
-taken as whole repetitions and a seeded fractional one.
+exceeds its cap; the budget left is shared by weight among the others.
+
+Every document is taken a whole number of times, and the words that are then left to the
+target come from one more repetition of a seeded sample: documents in order of a hash, as
+many as fit whole, and of the next one a fraction. Where the sample of a source ends is
+found from sums over ranges of the hash and then within one range, so no source is ever
+sorted or gathered as a whole, and texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, materialise
+
+#: Hexadecimal digits of the hash whose ranges are summed, step by step; each step looks into
+#: one range of the step before, so a source has at most 256 ranges at a time.
+RANGE_DIGITS = (2, 4, 6, 16)
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,6 +69,28 @@ def source_targets(sizes: DataFrame, budget: float = 1.5, max_epochs: float = 2.
     )
 
 
+def _draw(seed: str) -> Column:
+    """The hash that orders the documents of a source."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16)
+
+
+def sample_ends(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``(source, end, room, own)``: the hash at which a source's sample ends, the words
+    still to be taken there and the size of all documents with that hash.
+
+    ``sizes (source, draw, size)``; ``plan (source, extra)``: words of the sample. Sources
+    without a sample have no row.
+    """
+    at = plan.where("extra > 0").select(F.col("source").alias("p_source"), F.lit("").alias("prefix"), "extra")
+    for digits in RANGE_DIGITS:
+        inside = sizes.join(broadcast_if_small(at.select("p_source", "prefix", "extra")), F.col("source").eqNullSafe(F.col("p_source")) & F.col("draw").startswith(F.col("prefix")))
+        parts = inside.groupBy("source", "extra", F.substring("draw", 1, digits).alias("part")).agg(F.sum("size").alias("s"))
+        before = F.sum("s").over(Window.partitionBy("source").orderBy("part")) - F.col("s")
+        found = parts.withColumn("before", before).where((F.col("before") < F.col("extra")) & (F.col("before") + F.col("s") >= F.col("extra")))
+        at = materialise(found.select(F.col("source").alias("p_source"), F.col("part").alias("prefix"), (F.col("extra") - F.col("before")).alias("extra"), "s"))
+    return at.select(F.col("p_source").alias("source"), F.col("prefix").alias("end"), F.col("extra").alias("room"), F.col("s").alias("own"))
+
+
 def mix_sources(
     docs: DataFrame,
     budget: float = 1.5,
@@ -69,26 +101,41 @@ def mix_sources(
 ) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every document, and columns ``keep``.
 
-    A source is read ``target / source_size`` times. A document gives that many times its
-    words: the whole repetitions, and of one more repetition the fraction that is left,
-    rounded up or down by a hash of ``seed`` and doc_id, so sums stay within rounding of
-    the target and reruns agree. ``taken div size`` repetitions are whole.
+    A source is read ``target / source_size`` times. All its documents are taken the whole
+    part of that; of the words left, those documents that come first by a hash of ``seed``
+    and doc_id are taken once more, and the one at which the words run out as far as they
+    go. So a source's words are its target but for rounding, ``taken div size`` repetitions
+    of a document are whole, and reruns agree.
 
     Null text has size 0 and gives nothing; a source of size 0 has target 0; null is a
-    source of its own. Repeated rows count each time; rows with equal doc_id round alike.
-    An empty table gives an empty result; other columns do not matter.
+    source of its own. Repeated rows count each time; rows with equal doc_id have equal
+    hashes and, where the words run out, share what is left by size, rounded down. Very long
+    texts are counted whole. An empty table gives an empty result; other columns do not
+    matter. Sources are a row each in one task.
     """
-    sized = docs.select("doc_id", F.col("source").alias("source"), word_count(F.col("text")).alias("size"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    targets = source_targets(sized.select("source", "size"), budget, max_epochs, weights)
+    sizes = materialise(docs.select("doc_id", F.col("source").alias("source"), word_count(F.col("text")).alias("size"), _draw(seed).alias("draw")))
+    targets = source_targets(sizes.select("source", "size"), budget, max_epochs, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    exact = rate * F.col("size")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rounded = F.floor(exact) + F.when(draw < exact - F.floor(exact), 1).otherwise(0)
-    return sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
+    plan = targets.withColumn("whole", F.floor(rate)).withColumn("extra", F.floor(F.col("target") + 0.5) - F.col("whole") * F.col("source_size"))
+    plan = materialise(plan)
+    ends = sample_ends(sizes.select("source", "draw", "size"), plan).withColumnRenamed("source", "e_source")
+    plan = plan.join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source").withColumnRenamed("source", "t_source")
+    plan = broadcast_if_small(materialise(plan))
+
+    rows = sizes
+    if keep:
+        rows = docs.select("doc_id", F.col("source").alias("source"), word_count(F.col("text")).alias("size"), _draw(seed).alias("draw"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    once_more = (
+        F.when(F.col("end").isNull() | (F.col("draw") > F.col("end")), F.lit(0))
+        .when(F.col("draw") < F.col("end"), F.col("size"))
+        .otherwise(F.expr("size * room div own"))
+    )
+    most = F.floor(F.col("size") * F.lit(float(max_epochs)))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("t_source"))).select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        F.least(rounded, F.floor(F.col("size") * F.lit(float(max_epochs)))).cast("long").alias("taken"),
+        F.least(F.col("whole") * F.col("size") + once_more, most).cast("long").alias("taken"),
         *(F.col(f"keep_{c}").alias(c) for c in keep),
     )

@@ -126,14 +126,17 @@ targets AS (
     CASE WHEN v.place IS NULL OR (t.cap / t.weight < v.ratio OR (t.cap / t.weight = v.ratio AND t.place < v.place)) THEN t.cap
       ELSE v.l * t.weight / v.heavy END AS target
   FROM levels t LEFT JOIN level v ON true),
-exact AS (
-  SELECT doc_id, size, source_size, target,
-    (CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END) * size AS e,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+planned AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM targets),
+keyed AS (
+  SELECT d.doc_id, d.size, p.source, p.source_size, p.target, p.whole, floor(p.target + 0.5)::BIGINT - p.whole * p.source_size AS extra,
+    substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 16) AS draw
+  FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source),
+points AS (SELECT source, draw, sum(size)::BIGINT AS own FROM keyed GROUP BY source, draw),
+walked AS (SELECT *, (sum(own) OVER (PARTITION BY source ORDER BY draw) - own)::BIGINT AS before FROM points)
 SELECT doc_id, size, source_size, target,
-  least(floor(e) + CASE WHEN draw < e - floor(e) THEN 1 ELSE 0 END, size * 2)::BIGINT AS taken
-FROM exact"""
+  least(whole * size + CASE WHEN own = 0 THEN 0 ELSE size * greatest(0, least(own, extra - before)) // own END, size * 2)::BIGINT AS taken
+FROM keyed k JOIN walked w ON k.source IS NOT DISTINCT FROM w.source AND k.draw = w.draw"""
 
 OP8_SQL = r"""
 WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
