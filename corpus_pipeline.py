@@ -50,7 +50,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what each keeps is written and read again."""
+    """Apply the stages to ``documents``; what each keeps is written and read again.
+
+    The result has a row ``(doc_id, size, source_size, target, taken, source, lang, text)``
+    for every document kept. Null and empty texts are judged by the classifier, match
+    nothing else and give no words; rows without a doc_id pass the stages that tell
+    documents apart by it; of repeated rows one stays. Ties are settled as the operators
+    say. Long texts go through whole. Empty tables give an empty result; without labels all
+    documents have the same evidence, without a benchmark none is contaminated.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
