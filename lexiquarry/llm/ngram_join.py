@@ -29,16 +29,20 @@ from pyspark.sql import types as T
 
 from . import bytescan as bs
 from .chunking import ANSWER, CHUNK_BYTES, TEXT, Inbox, Outbox, answered, bucket_count, by_groups, chunks, group_parts, opened, squeeze, unsqueeze, with_answers
-from .common import arrow_rows, arrow_schema, by_group, join_spread, materialise, packed, partitions, release
+from .common import arrow_rows, arrow_schema, broadcast_if_small, by_group, join_spread, materialise, packed, partitions, release
 from .components import components
 
-#: Shingles and sets in a block of a star; of a join of all sets, whose blocks meet in pairs.
-BLOCK_SHINGLES, STAR_SETS, BLOCK_SETS = 500_000, 256, 256
+#: Shingles and sets in a block of a star, whose leader meets every block.
+STAR_SHINGLES, STAR_SETS = 500_000, 256
+#: The same of a join of all sets, where every set is copied for every other block.
+BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 1024
 U = np.uint64
 ASKED = "bucket int, group long, chunks array<bigint>, counts array<int>, hashes binary, many binary"
 SETS = "doc_id long, n long, hi long, lo long, prefix array<struct<c:int,token:bigint>>, shingles binary"
 #: What names a class of equal sets outside of the join: its least doc_id and the set's key.
 CLASS = "struct<rep:bigint,hi:bigint,lo:bigint>"
+#: Ids of documents to drop that are broadcast; more are joined by a shuffle of the documents.
+BROADCAST_IDS = 2_000_000
 #: Bytes of sets for a task of a join.
 TASK_BYTES = 4 << 20
 KEY, SET = ["hi", "lo", "n"], "struct<hi:bigint,lo:bigint,n:bigint>"
@@ -311,15 +315,15 @@ def _parts(parts: int, shingles: int | None) -> int:
     return max(parts, -(-8 * (shingles or 0) // TASK_BYTES))
 
 
-def _blocks(sets: Column, shingles: Column, most: int) -> Column:
-    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(sets / most))
+def _blocks(sets: Column, shingles: Column, most_sets: int, most_shingles: int) -> Column:
+    return F.greatest(F.ceil(shingles / most_shingles), F.ceil(sets / most_sets))
 
 
 def star_links(active: DataFrame, tokens: DataFrame, percent: int, parts: int) -> DataFrame:
     """Links of classes with the least class of each of their prefix shingles."""
     least = tokens.groupBy("token").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     edges = materialise(join_spread(tokens, least, ["token"], "m").where("class <> leader").select("class", "leader", "n").distinct())
-    blocks = edges.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), _blocks(F.count(F.lit(1)), F.sum("n"), STAR_SETS).alias("blocks"))
+    blocks = edges.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), _blocks(F.count(F.lit(1)), F.sum("n"), STAR_SETS, STAR_SHINGLES).alias("blocks"))
     task = F.concat_ws(":", "leader", "block")
     sets = active.select("class", "shingles")
     members = (
@@ -347,7 +351,7 @@ def rest_links(active: DataFrame, tokens: DataFrame, known: DataFrame, percent:
         .where("x <> y")
         .groupBy("sig", "m", "s")
         .agg(F.min(F.struct("c", "token")).alias("f"))
-        .select(F.col("f.token").alias("token"), "m", "s", _blocks(F.col("m"), F.col("s"), BLOCK_SETS).alias("blocks"))
+        .select(F.col("f.token").alias("token"), "m", "s", _blocks(F.col("m"), F.col("s"), BLOCK_SETS, BLOCK_SHINGLES).alias("blocks"))
     )
     open_ = materialise(open_)
     shingles = open_.agg(F.sum(F.col("s") * F.col("blocks"))).first()[0]
@@ -479,9 +483,10 @@ def keep_firsts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     judged = join_ngrams(docs, n, percent).where("doc_id is not null")
     first = F.col("doc_id") == F.col("component_id")
     by_id = judged.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"), F.count_if(first).alias("__firsts"))
-    by_id = materialise(by_id.where("__firsts > 0"))
-    kept = docs.join(by_id.where("__rows = 1"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where("doc_id is null"))
-    repeated = by_id.where("__rows > 1").select("__id")
+    # Few documents go, so their ids are sent to the documents, while counted to be few.
+    out = materialise(by_id.where("__firsts = 0 or __rows > 1"))
+    kept = docs.join(broadcast_if_small(out.select("__id"), BROADCAST_IDS), F.col("doc_id") == F.col("__id"), "left_anti")
+    repeated = out.where("__rows > 1 and __firsts > 0").select("__id")
     if repeated.isEmpty():
         return kept
     # The texts of repeated ids are told apart by their sets.
