@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, language_id, mixing, ngram_join, quality, secret_scan, suffix_dedup, url_filter
+from . import (
+    chat_format,
+    decontaminate,
+    fingerprints,
+    language_id,
+    line_dedup,
+    mixing,
+    ngram_join,
+    periodic_runs,
+    quality,
+    ranked_search,
+    secret_scan,
+    suffix_dedup,
+    url_filter,
+)
 
 #: Rules of op1: (verdict, host, path).
 URL_RULES = [
@@ -62,6 +76,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_runs(_table(spark, sf_dir, "documents"), exponent=4, least=6, edit=periodic_runs.loop_some)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), documents=3, chars=20)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_url_filters,
@@ -74,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decontaminate,
         op9_ngram_join,
         op10_secret_scans,
+        op11_periodic_runs,
+        op12_line_dedup,
+        op13_ranked_search,
     )
     return {f.__name__: f for f in listed}
 
@@ -168,6 +197,65 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id
 FROM s LEFT JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a"""
 
+# Runs: a run of period p holds four words p apart at multiples of p, so only lags with such
+# words are compared in full.
+OP11_SQL = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS o,
+    list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: list_concat([ascii(c)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+      lambda h, x: CASE WHEN x < 0 THEN xor(h >> 1, 3988292384 * (h & 1)) ELSE xor(h, x) END) AS raw FROM documents),
+crc AS (SELECT rid, doc_id, o, len(o)::BIGINT AS n, xor(raw, 4294967295) AS h FROM base),
+looped AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM crc),
+d AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE o END AS w FROM looped),
+lags AS (SELECT rid, n, w, p FROM d, unnest(range(1, n // 4 + 1)) AS u(p)),
+hits AS (SELECT rid, n, w, p, list_filter(range(0, n - 3 * p, p), lambda k: w[k + 1] = w[k + p + 1] AND w[k + 1] = w[k + 2 * p + 1] AND w[k + 1] = w[k + 3 * p + 1]) AS places FROM lags),
+odd AS (SELECT rid, n, p, list_concat([-1::BIGINT], list_filter(range(0, n - p), lambda i: w[i + 1] <> w[i + p + 1]), [n - p]) AS x FROM hits WHERE len(places) > 0),
+stretch AS (SELECT rid, p, x[i] + 1 AS s, x[i + 1] - x[i] - 1 + p AS l FROM odd, unnest(range(1, len(x))) AS u(i)),
+enough AS (SELECT * FROM stretch WHERE l >= greatest(6, 4 * p)),
+runs AS (SELECT * FROM enough e WHERE NOT EXISTS (SELECT 1 FROM enough q WHERE q.rid = e.rid AND q.p < e.p AND e.p % q.p = 0 AND q.s <= e.s AND q.s + q.l >= e.s + e.l)),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS t, list({'s': s, 'l': l, 'p': p}) AS r FROM runs GROUP BY rid),
+best AS (SELECT rid, s, l, p FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY l / p DESC, s, p) AS k FROM runs) WHERE k = 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, p::BIGINT AS period, (1000 * l // p)::BIGINT AS exponent_milli,
+  sha256(coalesce(t, '')) AS runs_sha256,
+  sha256(coalesce(array_to_string(CASE WHEN r IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda i: len(list_filter(r, lambda y: i >= y.s + y.p AND i < y.s + y.l)) = 0),
+    lambda i: w[i + 1]) END, ' '), '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (rid) LEFT JOIN best USING (rid)"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT rid, id, i, l[i] AS line, regexp_replace(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
+shared AS (SELECT k, max(id) AS top FROM x WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT id) >= 3)
+SELECT d.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (x.id < top)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (top IS NULL OR x.id = top), '')) AS kept_sha256
+FROM d JOIN x USING (rid) LEFT JOIN shared USING (k) GROUP BY rid, d.doc_id"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT rid, doc_id, len(w)::BIGINT AS n, w FROM d WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS l FROM docs),
+q AS (SELECT row_number() OVER () AS qid, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT qid, unnest(t) AS term FROM q),
+p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term),
+scored AS (SELECT qid, rid, any_value(doc_id) AS doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l))))::BIGINT AS score
+  FROM asked JOIN p USING (term) JOIN f USING (term) JOIN (SELECT rid, doc_id, n FROM docs) USING (rid), c GROUP BY qid, rid),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN (SELECT qid, item_id FROM q) USING (qid) WHERE rank <= 50"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op6_mix_sources": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_ngram_join": OP9_SQL}
+    return {
+        "op1_url_filters": OP1_SQL,
+        "op2_chat_formatting": OP2_SQL,
+        "op6_mix_sources": OP6_SQL,
+        "op8_decontaminate": OP8_SQL,
+        "op9_ngram_join": OP9_SQL,
+        "op11_periodic_runs": OP11_SQL,
+        "op12_line_dedup": OP12_SQL,
+        "op13_ranked_search": OP13_SQL,
+    }
