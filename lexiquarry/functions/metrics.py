@@ -14,26 +14,33 @@ from pyspark.sql.types import DoubleType
 from . import vectors as V
 
 
-def _numbered(words: Column) -> Column:
-    """The words with the number of their occurrence, so that repeats differ."""
-    start = F.struct(F.lit(None).cast("string").alias("before"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        k = F.when(acc["before"] == w, acc["k"] + 1).otherwise(F.lit(0))
-        return V.bound(k, lambda k: F.struct(w.alias("before"), k.alias("k"), F.concat(acc["out"], F.array(F.concat_ws("\0", w, k.cast("string")))).alias("out")))
-
-    return F.aggregate(F.array_sort(words), start, step, lambda acc: acc["out"])
-
-
 def _overlap(p: Column, g: Column) -> Column:
-    """Size of the common multiset of two arrays."""
-    return F.size(F.array_intersect(_numbered(p), _numbered(g)))
+    """Size of the common multiset of two arrays: the words of both are sorted together, and
+    a run of equal ones has the lesser of its two counts in common."""
+    tagged = lambda words, side: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("p"), F.lit(0).alias("g"), F.lit(0).alias("common"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same, first = acc["w"] == x["w"], x["side"] == 0
+        before = lambda side: F.when(same, acc[side]).otherwise(0)
+        return F.struct(
+            x["w"].alias("w"),
+            (before("p") + first.cast("int")).alias("p"),
+            (before("g") + (~first).cast("int")).alias("g"),
+            (acc["common"] + F.when(same, 0).otherwise(F.least(acc["p"], acc["g"]))).alias("common"),
+        )
+
+    return F.aggregate(F.array_sort(F.concat(tagged(p, 0), tagged(g, 1))), start, step, lambda acc: acc["common"] + F.least(acc["p"], acc["g"]))
 
 
 def _f1(common: Column, n: Column, m: Column) -> Column:
     """Harmonic mean of common / n and common / m; 0 without anything in common."""
-    precision, recall = common / n, common / m
-    return F.when(common > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+
+    def mean(k: Column) -> Column:
+        precision, recall = k / n, k / m
+        return F.when(k > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+
+    return V.bound(common, mean)
 
 
 def _blank(text: Column) -> Column:

@@ -367,37 +367,52 @@ def normalised(weights: DataFrame, keys: list[str]) -> DataFrame:
 # Chunks by keywords
 
 
+#: A letter, digit or underscore, and a border between one and what is none.
+_W = r"[\p{L}\p{N}_]"
+_EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+
+
+def term_pattern(terms: Column) -> Column:
+    """A pattern of one document's terms: the first of the array that stands between borders
+    of words. Terms may have several words, hyphens and other marks; there must be one."""
+    escaped = F.transform(terms, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
+    return F.concat(F.lit(f"{_EDGE}(?:"), F.array_join(escaped, "|"), F.lit(f"){_EDGE}"))
+
+
+def matches_of(text: Column, pattern: Column) -> Column:
+    """Array of (start, word): the matches from left to right, which do not overlap, with
+    their places: a match begins where the matches and gaps before it end."""
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("word"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string>>").alias("found"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"] + F.length(p["gap"])
+        return F.struct((at + F.length(p["word"])).alias("at"), F.concat(acc["found"], F.array(F.struct(at.alias("start"), p["word"].alias("word")))).alias("found"))
+
+    return F.aggregate(F.filter(pieces, lambda p: p["word"].isNotNull()), start, step, lambda acc: acc["found"])
+
+
 def grouped_keywords(keywords: DataFrame, case_sensitive: bool = False) -> DataFrame:
-    """``(doc_id, terms, kws)``: a document's keywords as an array and a map from terms
-    (lemmas and stems) to positions in it. Of a term with several keywords the last stands."""
+    """``(doc_id, terms, kws, pattern)``: a document's keywords as an array, a map from terms
+    (lemmas and stems) to positions in it, and the pattern of the terms in alphabetical order,
+    so a term goes before the longer ones that it begins. Of a term with several keywords the
+    last stands; empty terms are none."""
     fold = (lambda c: c) if case_sensitive else F.lower
     listed = F.sort_array(F.collect_list(F.struct("kw_idx", "word", "weight", "score_diff", fold(F.col("lemma")).alias("lemma"), fold(F.col("stem")).alias("stem"))))
-    terms = F.array_distinct(F.flatten(F.transform("kws", lambda k: F.array(k["lemma"], k["stem"]))))
+    terms = F.array_distinct(F.filter(F.flatten(F.transform("kws", lambda k: F.array(k["lemma"], k["stem"]))), lambda t: t != ""))
     last = lambda t: F.aggregate(F.sequence(F.lit(0), F.size("kws") - 1), F.lit(-1), lambda at, i: F.when((F.get("kws", i)["lemma"] == t) | (F.get("kws", i)["stem"] == t), i).otherwise(at))
-    grouped = keywords.where("lemma is not null and stem is not null").groupBy("doc_id").agg(listed.alias("kws")).withColumn("_t", terms)
-    return grouped.select("doc_id", F.map_from_arrays("_t", F.transform("_t", last)).alias("terms"), "kws")
+    grouped = keywords.where("lemma is not null and stem is not null").groupBy("doc_id").agg(listed.alias("kws")).withColumn("_t", terms).where(F.size("_t") > 0)
+    return grouped.select("doc_id", F.map_from_arrays("_t", F.transform("_t", last)).alias("terms"), "kws", term_pattern(F.array_sort("_t")).alias("pattern"))
 
 
 def matched_chunks(chunks: DataFrame, keywords: DataFrame, case_sensitive: bool = False) -> DataFrame:
-    """Chunks with ``hits``: array of (start, word, k) for every word of the text that is a
-    term, ``k`` being its keyword. Terms of one word each; a word is a run of letters,
-    digits and underscores.
-
-    Positions come from the lengths of the words and of what parts them.
-    """
+    """Chunks with ``hits``: array of (start, word, k) for every match of a term, ``k`` being
+    its keyword. A document's terms are one pattern (``term_pattern``), which is compiled once
+    for its chunks."""
     low = F.col("text") if case_sensitive else F.lower("text")
-    pieces = F.arrays_zip(F.split(low, WORD, -1).alias("gap"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("word"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string,k:int>>").alias("hits"))
-
-    def step(acc: Column, p: Column) -> Column:
-        at = acc["at"] + F.length(p["gap"])
-        hit = F.struct(at.alias("start"), p["word"].alias("word"), F.col("terms")[p["word"]].cast("int").alias("k"))
-        return F.struct(
-            (at + F.coalesce(F.length(p["word"]), F.lit(0))).alias("at"),
-            F.when(F.map_contains_key("terms", F.coalesce(p["word"], F.lit(""))), F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"]).alias("hits"),
-        )
-
-    return chunks.join(grouped_keywords(keywords, case_sensitive), "doc_id").withColumn("_p", pieces).withColumn("hits", F.aggregate("_p", start, step, lambda a: a["hits"])).drop("_p", "terms")
+    found = chunks.join(grouped_keywords(keywords, case_sensitive), "doc_id").withColumn("_m", matches_of(low, F.col("pattern")))
+    hits = F.transform("_m", lambda m: F.struct(m["start"].alias("start"), m["word"].alias("word"), F.col("terms")[m["word"]].cast("int").alias("k")))
+    return found.withColumn("hits", hits).drop("_m", "terms", "pattern")
 
 
 def filter_chunks(matched: DataFrame, minimum: int = 1) -> DataFrame:
@@ -411,10 +426,12 @@ def filter_chunks_by_word(matched: DataFrame, minimum: int = 1) -> DataFrame:
 
 
 def filter_chunks_raw(chunks: DataFrame, keywords: DataFrame, minimum: int = 3) -> DataFrame:
-    """Chunks with at least ``minimum`` distinct matches as written, found without case."""
-    terms_of = keywords.groupBy("doc_id").agg(F.collect_set(F.lower("word")).alias("terms"))
-    found = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.array_contains("terms", F.lower(w))))
-    return chunks.join(terms_of, "doc_id").withColumn("found", F.size(found)).where(F.col("found") >= minimum).drop("terms")
+    """Chunks with at least ``minimum`` distinct matches as written, found without case; a
+    keyword goes before later ones."""
+    words = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("kw_idx", "word"))), lambda k: k["word"]), lambda w: w != "")
+    patterns = keywords.groupBy("doc_id").agg(words.alias("_t")).where(F.size("_t") > 0).select("doc_id", F.concat(F.lit("(?iu)"), term_pattern(F.col("_t"))).alias("pattern"))
+    found = F.size(F.array_distinct(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
+    return chunks.join(patterns, "doc_id").withColumn("found", found).where(F.col("found") >= minimum).drop("pattern")
 
 
 def score_chunks(matched: DataFrame, ratio: Column | float = 0.5, minimum: int = 1, position: float = 0.3, frequency: float = 0.7, total: Column | None = None) -> DataFrame:

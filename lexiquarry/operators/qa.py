@@ -51,6 +51,29 @@ def find_answers(chunks: DataFrame, question: Column, answerer: Answerer = rule_
     )
 
 
+def find_answers_to(chunks: DataFrame, questions: DataFrame, answerer: Answerer = rule_answerer) -> DataFrame:
+    """``find_answers`` for several questions to each document, ``(doc_id, question_no,
+    question)``, with ``question_no``; answers are in order for each question.
+
+    A document's questions are one row that its chunks meet; a chunk is given to the answerer
+    once for each question where it is, and only answers are shuffled.
+    """
+    asked = questions.groupBy("doc_id").agg(F.collect_list(F.struct("question_no", "question")).alias("_q"))
+    rows = chunks.join(asked, "doc_id").select("doc_id", "chunk_idx", "text", F.explode("_q").alias("_q"))
+    found = rows.select("doc_id", "_q.question_no", "chunk_idx", answerer(F.col("_q.question"), F.col("text")).alias("_a"))
+    w = Window.partitionBy("doc_id", "question_no").orderBy(F.col("_a.score").desc(), "chunk_idx")
+    return found.select(
+        "doc_id",
+        "question_no",
+        (F.row_number().over(w) - 1).alias("answer_idx"),
+        "chunk_idx",
+        F.col("_a.answer").alias("text"),
+        F.col("_a.score").alias("confidence"),
+        F.col("_a.start").alias("start_pos"),
+        F.col("_a.end").alias("end_pos"),
+    )
+
+
 def find_scored_answers(scored: DataFrame, question: Column, answerer: Answerer = rule_answerer, by_combined: bool = False) -> DataFrame:
     """Answers of scored chunks with ``chunk_score`` and ``combined_score``, in order of
     either, then of chunks."""
@@ -227,6 +250,29 @@ def baseline(docs: DataFrame, question: str, config: PipelineConfig = PipelineCo
     return found.withColumnRenamed("doc", "doc_id")
 
 
+def baseline_questions(docs: DataFrame, questions: DataFrame, config: PipelineConfig = PipelineConfig(), models: Models = Models(), keywords: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, idx, question_no, text, confidence, support, n_answers, chunks_used)``: the
+    medoid of the answers to all questions ``(doc_id, question_no, question)`` of a document,
+    numbered by question and then in order of confidence.
+
+    With ``keywords`` (as in ``matched_chunks``) only chunks with one of them are asked.
+    Documents without such a chunk, or without a question, have one row without an answer.
+    """
+    chunks = models.chunks(docs, config)
+    if keywords is not None:
+        chunks = K.filter_chunks(K.matched_chunks(chunks, keywords)).select("doc_id", "chunk_idx", "text")
+    chunks = staged(chunks.select("doc_id", "chunk_idx", "text"))
+    found = find_answers_to(chunks, questions, models.answerer)
+    order = Window.partitionBy("doc_id").orderBy("question_no", "answer_idx")
+    found = staged(found.withColumn("answer_idx", F.row_number().over(order) - 1))
+    best = A.medoid(with_vectors(found, models.encode)).select(F.col("doc").alias("doc_id"), "idx", "text", "confidence", "support")
+    best = best.join(found.select("doc_id", F.col("answer_idx").alias("idx"), "question_no"), ["doc_id", "idx"])
+    counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_answers"))
+    used = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks_used"))
+    rows = docs.select("doc_id").join(best, "doc_id", "left").join(counts, "doc_id", "left").join(used, "doc_id", "left")
+    return rows.select("doc_id", "idx", "question_no", "text", "confidence", "support", "n_answers", F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"))
+
+
 def attention_keywords(chunks: DataFrame, question: str, models: Models = Models(), limit: int = 100) -> DataFrame:
     """``(doc_id, kw_idx, word, weight)``: the words of each chunk that the source of
     attention ranks first, up to ``limit``; of each word of a document the greatest weight,
