@@ -49,7 +49,7 @@ def _matched(spark, sf):
 
 def _off_ties(score: str):
     """Four places; scores of these keywords often lie halfway between two."""
-    return F.round(F.col(score) + 3e-6, 4)
+    return F.round(F.col(score) + 1.86e-5, 4)
 
 
 def q_filter_chunks_phrases(spark, sf):
@@ -178,8 +178,8 @@ SQL = {
       na AS (SELECT doc_id, chunk_idx, string_agg(word, '|' ORDER BY word) AS matched, string_agg(n, '|' ORDER BY word) AS numbers FROM nm GROUP BY 1, 2)
       SELECT doc_id, chunk_idx, round(raw, 6) AS score, matched, numbers FROM {_score('0.5::DOUBLE')} JOIN na USING (doc_id, chunk_idx)""",
     "score_advanced_phrases": f"{_HIT} SELECT doc_id, chunk_idx, round(raw, 6) AS score FROM {_score('0.7::DOUBLE')} WHERE m >= 2",
-    "score_density_phrases": f"{_HIT} SELECT doc_id, chunk_idx, round(score + 3e-6::DOUBLE, 4) AS score FROM {_density('0.5::DOUBLE')}",
-    "filter_and_score_phrases": f"{_HIT} SELECT doc_id, chunk_idx, round(score + 3e-6::DOUBLE, 4) AS score FROM {_density('0.5::DOUBLE')} WHERE m >= 2 AND score >= 2",
+    "score_density_phrases": f"{_HIT} SELECT doc_id, chunk_idx, round(score + 1.86e-5::DOUBLE, 4) AS score FROM {_density('0.5::DOUBLE')}",
+    "filter_and_score_phrases": f"{_HIT} SELECT doc_id, chunk_idx, round(score + 1.86e-5::DOUBLE, 4) AS score FROM {_density('0.5::DOUBLE')} WHERE m >= 2 AND score >= 2",
     "question_answers": f"WITH RECURSIVE {_DOCS}, {_PCHUNKS}, {_KW}, used AS (SELECT * FROM chunks), {_ASKED} SELECT doc_id, question_no::INT AS question_no, answer_idx, chunk_idx, text, confidence, start_pos, end_pos FROM qa2",
     "baseline_questions": f"WITH RECURSIVE {_DOCS}, {_PCHUNKS}, {_KW}, {_asked('SELECT * FROM chunks')}",
     "baseline_questions_filtered": f"""WITH RECURSIVE {_DOCS}, {_PCHUNKS}, {_KW}, {_hits('m', _TERMS.replace('FROM kw', 'FROM (SELECT * FROM kw WHERE kw_idx BETWEEN 3 AND 5)'), 'term')},
