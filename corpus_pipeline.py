@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiquarry.llm import decontaminate, mixing, ngram_join, quality, secret_scan
-from lexiquarry.llm.common import materialise
+from lexiquarry.llm.common import materialise, release
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialise(docs)
+            kept = materialise(kept)
+            if i:
+                release(docs)  # what the stage before wrote has been read for the last time
+        docs = kept
     return docs

@@ -95,8 +95,8 @@ def join_spread(rows: DataFrame, one: DataFrame, keys: list[str], count: str, ho
     """``rows`` joined with ``one`` (a row for each key, with the number ``count`` of the
     rows that have it) on null-safe equal ``keys``; ``count`` goes.
 
-    A key with more than ``HOT_ROWS`` rows is spread: its rows are dealt by a number, and
-    its row of ``one`` is copied for each. There are at most rows / ``HOT_ROWS`` such keys;
+    A key with more than ``HOT_ROWS`` rows is spread: its rows are dealt by a hash of the
+    row (so a lost task deals them alike again), and its row of ``one`` is copied for each. There are at most rows / ``HOT_ROWS`` such keys;
     they are broadcast if they are counted to be few. ``total``: number of ``rows``, if
     known; so few can't have such a key.
     """
@@ -110,7 +110,7 @@ def join_spread(rows: DataFrame, one: DataFrame, keys: list[str], count: str, ho
     same = lambda side: [side[k].eqNullSafe(many[f"__hot_{k}"]) for k in keys]
     drop = [f"__hot_{k}" for k in keys]
     deals = F.coalesce("__deals", F.lit(1))
-    left = rows.join(many, same(rows), "left").withColumn("__deal", F.pmod(F.monotonically_increasing_id(), deals)).drop("__deals", *drop)
+    left = rows.join(many, same(rows), "left").withColumn("__deal", F.pmod(F.xxhash64(*(rows[c] for c in rows.columns)), deals)).drop("__deals", *drop)
     right = one.join(many, same(one), "left").withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))).drop("__deals", count, *drop)
     return _null_safe(left, right, [*keys, "__deal"], how).drop("__deal")
 

@@ -4,7 +4,8 @@ A logistic model on counts of bytes, words and lines gives each document's own e
 Grouped sums of the evidence (labels where known, else the model's probability) give hosts
 and paths Beta posteriors: a path is shrunk towards its host, a host towards the whole,
 each by a strength estimated from the spread between groups (method of moments). The
-document's evidence is then combined with its path's posterior as log odds.
+document's evidence is then combined, as log odds, with its path's posterior by the evidence
+of the other documents there, so its own counts once.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import arrow_rows, arrow_schema, broadcast_if_small, materialise, packed
+from .common import BROADCAST_ROWS, _null_safe, arrow_rows, arrow_schema, broadcast_if_small, join_spread, materialise
 
 #: Labelled documents that the document model learns from at most.
 SAMPLE = 4000
@@ -140,7 +141,7 @@ def train_document_model(docs: DataFrame, labels: DataFrame) -> DocumentModel:
 
 
 #: Private names, which no column of documents clashes with.
-P, HOST, PATH, HOST_MEAN, PATH_MEAN = (f"__lexiquarry_{x}" for x in ("p", "host", "path", "host_mean", "path_mean"))
+P, HOST, PATH, HOST_MEAN, PATH_MEAN, OWN, LABEL_ID, LABEL = (f"__lexiquarry_{x}" for x in ("p", "host", "path", "host_mean", "path_mean", "own", "label_id", "label"))
 
 
 def _with_probability(frame: DataFrame, model) -> DataFrame:
@@ -158,13 +159,15 @@ def _with_probability(frame: DataFrame, model) -> DataFrame:
     return frame.mapInArrow(run, StructType([*frame.schema.fields]).add(P, DoubleType()))
 
 
-def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """``(host, path, host_mean, path_mean)`` from ``(host, path, e)`` rows, and the mean of all.
+def site_sums(evidence: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """``(host, path, n, s, hn, hs)`` from ``(host, path, e)`` rows: numbers and sums of the
+    evidence of each path and of its host; then the mean of all, and the strengths of the
+    priors of hosts and of paths.
 
     Strength of a prior: ``m (1 - m) / t - 1`` for the variance t between groups beyond
     what groups of their sizes have by chance; from 1 to 10,000.
     """
-    paths = evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"))
+    paths = materialise(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     n, s = hosts.agg(F.coalesce(F.sum("hn"), F.lit(0)), F.coalesce(F.sum("hs"), F.lit(0.0))).first()
     m = min(max(s / n, 0.01), 0.99) if n else 0.5
@@ -176,10 +179,16 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
         return float(min(max(m * (1 - m) / t - 1, 1.0), 1e4))
 
     k1 = strength(hosts, F.col("hn"), F.col("hs"), F.lit(m))
-    hosts = hosts.withColumn("host_mean", (F.col("hs") + k1 * m) / (F.col("hn") + k1))
-    both = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "path", "n", "s", "host_mean")
-    k2 = strength(both, F.col("n"), F.col("s"), F.col("host_mean"))
-    return both.select("host", "path", "host_mean", ((F.col("s") + k2 * F.col("host_mean")) / (F.col("n") + k2)).alias("path_mean")), m
+    both = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "path", "n", "s", "hn", "hs")
+    k2 = strength(both, F.col("n"), F.col("s"), (F.col("hs") + k1 * m) / (F.col("hn") + k1))
+    return both, m, k1, k2
+
+
+def posterior_means(n: Column, s: Column, hn: Column, hs: Column, own: Column, m: float, k1: float, k2: float) -> tuple[Column, Column]:
+    """Means of a document's host and path by the evidence of the others there: the global
+    mean is the host's prior, the host's mean the path's."""
+    host = (hs - own + k1 * m) / (hn - 1 + k1)
+    return host, (s - own + k2 * host) / (n - 1 + k2)
 
 
 def _posterior(p: Column, path_mean: Column, base: float) -> Column:
@@ -188,21 +197,31 @@ def _posterior(p: Column, path_mean: Column, base: float) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def _scored(docs: DataFrame, frame: DataFrame, labels: DataFrame, host: str, path: str, keep: list[str]) -> tuple[DocumentModel, DataFrame]:
-    """Document model, and columns ``keep`` of ``frame`` with the model's probability and
-    the posteriors of the row's sites. Features are computed once for every row."""
-    spark = docs.sparkSession
-    model = train_document_model(docs, labels)
-    sited = frame.withColumns({HOST: F.col(host).cast("string"), PATH: F.col(path).cast("string")})
-    scores = _with_probability(sited, spark.sparkContext.broadcast(model)).select(*keep, HOST, PATH, P)
-    scores = materialise(scores)
-    known = known_labels(labels)
-    evidence = scores.select("doc_id", HOST, PATH, P).join(known, F.col("doc_id") == F.col("label_id"), "left")
-    sites, _ = site_posteriors(evidence.select(F.col(HOST).alias("host"), F.col(PATH).alias("path"), F.coalesce("label", P).alias("e")))
-    sites = materialise(sites)
-    named = broadcast_if_small(sites.select(F.col("host").alias("__site_host"), F.col("path").alias("__site_path"), F.col("host_mean").alias(HOST_MEAN), F.col("path_mean").alias(PATH_MEAN)))
-    same = F.col(HOST).eqNullSafe(F.col("__site_host")) & F.col(PATH).eqNullSafe(F.col("__site_path"))
-    return model, scores.join(named, same)
+#: Labels up to which they are broadcast; counted first.
+LABEL_ROWS = 1_000_000
+
+
+def _evidence(frame: DataFrame, known: DataFrame) -> DataFrame:
+    """``frame`` with ``OWN``: the label of a document, else the model's probability."""
+    return frame.join(known, F.col("doc_id") == F.col(LABEL_ID), "left").withColumn(OWN, F.coalesce(LABEL, P)).drop(LABEL_ID, LABEL)
+
+
+def _with_sites(scores: DataFrame, sums: DataFrame, m: float, k1: float, k2: float) -> DataFrame:
+    """``scores`` (with ``HOST``, ``PATH`` and ``OWN``) with the means of their sites. Sites
+    are broadcast where they are counted to be few; else large sites are spread."""
+    one = sums.select(F.col("host").alias(HOST), F.col("path").alias(PATH), *(F.col(c).alias(f"__site_{c}") for c in ("n", "s", "hn", "hs")))
+    few = one.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = _null_safe(scores, F.broadcast(one), [HOST, PATH], "inner") if few else join_spread(scores, one.withColumn("__site_rows", F.col("__site_n")), [HOST, PATH], "__site_rows")
+    means = posterior_means(*(F.col(f"__site_{c}") for c in ("n", "s", "hn", "hs")), F.col(OWN), m, k1, k2)
+    return rows.withColumns({HOST_MEAN: means[0], PATH_MEAN: means[1]})
+
+
+def _sited(frame: DataFrame, host: str, path: str) -> DataFrame:
+    return frame.withColumns({HOST: F.col(host).cast("string"), PATH: F.col(path).cast("string")})
+
+
+def _named(sums: DataFrame) -> DataFrame:
+    return sums.select(F.col(HOST).alias("host"), F.col(PATH).alias("path"), F.col(OWN).alias("e"))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
@@ -215,8 +234,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: str = "source", p
     give a row each and count each time in their sites; an empty table gives an empty
     result; without labels all documents have the same evidence. Other columns are ignored.
     """
-    frame = docs.select(*dict.fromkeys(["doc_id", "text", host, path]))
-    model, scores = _scored(docs, frame, labels, host, path, ["doc_id"])
+    model = train_document_model(docs, labels)
+    known = _private_labels(labels)
+    frame = _sited(docs.select(*dict.fromkeys(["doc_id", "text", host, path])), host, path)
+    scored = _with_probability(frame, docs.sparkSession.sparkContext.broadcast(model)).select("doc_id", HOST, PATH, P)
+    scores = materialise(_evidence(scored, known))
+    scores = _with_sites(scores, *site_sums(_named(scores)))
     quality = _posterior(F.col(P), F.col(PATH_MEAN), model.base)
     return scores.select(
         "doc_id", F.col(P).alias("p_doc"), F.col(HOST_MEAN).alias("host_mean"), F.col(PATH_MEAN).alias("path_mean"), quality.alias("quality"), (quality >= threshold).alias("keep")
@@ -225,6 +248,19 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: str = "source", p
 
 def keep_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``classify_quality`` keeps, with their columns, whatever
-    their names; nulls, empty and long texts, ties and repeated rows are as there."""
-    model, scores = _scored(docs, docs, labels, host, path, docs.columns)
+    their names; nulls, empty and long texts, ties and repeated rows are as there.
+
+    The model goes over the texts twice, for the sums of sites and for the verdicts, so that
+    no second copy of them is written or shuffled."""
+    model = train_document_model(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = _private_labels(labels)
+    slim = _sited(docs.select(*dict.fromkeys(["doc_id", "text", host, path])), host, path)
+    sums = site_sums(_named(_evidence(_with_probability(slim, shared).select("doc_id", HOST, PATH, P), known)))
+    scores = _with_sites(_evidence(_with_probability(_sited(docs, host, path), shared), known), *sums)
     return scores.where(_posterior(F.col(P), F.col(PATH_MEAN), model.base) >= threshold).select(*docs.columns)
+
+
+def _private_labels(labels: DataFrame) -> DataFrame:
+    known = known_labels(labels).select(F.col("label_id").alias(LABEL_ID), F.col("label").alias(LABEL))
+    return broadcast_if_small(known, LABEL_ROWS)

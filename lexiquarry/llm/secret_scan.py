@@ -3,10 +3,14 @@
 Patterns of fixed form find the base secrets. Their values, as labelled credentials, make
 one prefix tree for each kind over character classes; states whose outgoing frequencies
 are statistically compatible (Hoeffding bound, checked down the subtrees) are merged, in
-breadth-first order, into a probabilistic automaton. Every other candidate token is scored
-by its likelihood under the automata against a chain over character classes, counted from
-the ordinary tokens of all documents; tokens that a credential automaton explains better by
-a margin are reported too.
+breadth-first order, into a probabilistic automaton, to which the lengths of the values
+belong. Every other candidate token is scored by its likelihood under the automata against a
+chain over character classes, counted (with lengths) from the ordinary tokens of all
+documents; tokens that a credential automaton explains better by a margin are reported too.
+
+A token is of a format only if its automaton has seen each of its steps and has ended where
+it ends; what neither has seen is no format. Both models give the same share, ``UNSEEN``, to
+what they have not counted, so rare tokens do not gain from being rare.
 
 The margin follows from a stated rate of false finds: of tokens that the ordinary model
 makes, at most ``exp(-margin)`` reach it under one automaton (Markov's inequality for the
@@ -48,6 +52,8 @@ FALSE_RATE = 1e-6
 #: What an automaton must gain for each character, in nats, as the model of ordinary tokens
 #: (one class of context) is a rough one and its errors add up over long tokens.
 MARGIN_EACH = 0.75
+#: Share of probability that either model spreads evenly over all steps, and over all lengths.
+UNSEEN = 0.01
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -80,15 +86,28 @@ CLASSES = str.maketrans({chr(i): symbol(chr(i)) for i in range(128)})
 
 
 def steps(tokens: dict[str, int]) -> Counter[str]:
-    """Steps ``class, next class`` of tokens with their numbers; a token starts at ``^``."""
+    """Steps ``class, next class`` of tokens with their numbers; a token starts at ``^`` and
+    ends at ``$``. Lengths stand under ``#`` and the number."""
     found: Counter[str] = Counter()
     for token, n in tokens.items():
+        found[f"#{min(len(token), VALUE_CHARS)}"] += n
         of = "^" + token.translate(CLASSES) + "$"
         for a, b in zip(of, of[1:]):
             found[a + b] += n
     return found
 
 
+#: Characters of a class, which share its likelihood; a step goes to a class or to the end.
+WIDTH = {"9": 10, "h": 6, "a": 20, "A": 26, "-": 2, "+": 3}
+LOG_WIDTH = {c: math.log(n) for c, n in WIDTH.items()}
+STEPS = len(WIDTH) + 1
+
+
+def log_share(n: int, total: int, even: float) -> float:
+    """Log of the share of a count, with ``UNSEEN`` (all, without counts) spread as ``even`` says."""
+    return math.log((1 - UNSEEN) * n / total + UNSEEN * even if total else even)
+
+
 class Automaton:
     """A probabilistic automaton merged from the prefix tree of ``samples``."""
 
@@ -107,6 +126,7 @@ class Automaton:
                     self.out.append(Counter())
                 state = self.next[state][c]
             self.out[state]["$"] += 1
+        self.n, self.lengths = len(samples), Counter(min(len(s), VALUE_CHARS) for s in samples)
         self._merge()
         self.total = [sum(x.values()) for x in self.out]
 
@@ -151,33 +171,34 @@ class Automaton:
                 self._fold(same, state)
                 frontier += [(same, d) for d in sorted(self.next[same]) if self.next[same][d] not in kept]
 
-    #: Characters of a class: a class's likelihood is shared by them.
-    WIDTH = {"9": 10, "h": 6, "a": 20, "A": 26, "-": 2, "+": 3}
-
     def score(self, token: str) -> float:
-        """Log-likelihood of the characters; unseen steps get a share of one more count."""
-        state, total = 0, 0.0
-        for c in map(symbol, token):
-            n = self.total[state] if state is not None else 0
-            seen = self.out[state][c] if state is not None else 0
-            total += math.log((seen + 0.1) / (n + 0.7) / self.WIDTH[c])
-            state = self.next[state].get(c) if state is not None else None
-        return total
+        """Log-likelihood of the characters, the end and the length; ``-inf`` for a token with
+        a step or an end that was never seen."""
+        state, total = 0, log_share(self.lengths[min(len(token), VALUE_CHARS)], self.n, 1 / VALUE_CHARS)
+        for c in token.translate(CLASSES):
+            if not self.out[state][c]:
+                return -math.inf
+            total += log_share(self.out[state][c], self.total[state], 1 / STEPS) - LOG_WIDTH[c]
+            state = self.next[state][c]
+        return total + log_share(self.out[state]["$"], self.total[state], 1 / STEPS) if self.out[state]["$"] else -math.inf
 
 
 class Chain:
     """Likelihood of ordinary tokens: prefix trees merged by the last class, so that counts
-    of steps add up over documents."""
+    of steps add up over documents. Of steps without counts, half stay in their class, as
+    words, numbers and rules do."""
 
     def __init__(self, counts: Counter[str]):
+        even = lambda a, b: 1 / STEPS if a == "^" else 0.5 if a == b else 0.5 / (STEPS - 1)
         total: Counter[str] = Counter()
         for step, n in counts.items():
             total[step[0]] += n
-        self.cost = {a + b: math.log((counts[a + b] + 0.1) / (total[a] + 0.7) / Automaton.WIDTH[b]) for a in "^9haA-+" for b in "9haA-+"}
+        self.cost = {a + b: log_share(counts[a + b], total[a], even(a, b)) - LOG_WIDTH.get(b, 0.0) for a in "^9haA-+" for b in "9haA-+$"}
+        self.lengths = [log_share(counts[f"#{n}"], total["#"], 1 / VALUE_CHARS) for n in range(VALUE_CHARS + 1)]
 
     def score(self, token: str) -> float:
-        of = "^" + token.translate(CLASSES)
-        return sum(self.cost[a + b] for a, b in zip(of, of[1:]))
+        of = "^" + token.translate(CLASSES) + "$"
+        return sum(self.cost[a + b] for a, b in zip(of, of[1:])) + self.lengths[min(len(token), VALUE_CHARS)]
 
 
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
@@ -305,8 +326,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` of every document.
 
     Positions are code points, ends exclusive. Null text is empty. Repeated rows give a row
-    each; an empty table gives an empty result; other columns are ignored. With fewer than
-    ten labelled credentials of a kind, that kind has no automaton.
+    each; an empty table gives an empty result; other columns are ignored. Texts are scanned
+    whole, whatever their length; spans that start together are in order of their kinds. With
+    fewer than ten labelled credentials of a kind, that kind has no automaton.
     """
     spark = docs.sparkSession
     grammar = spark.sparkContext.broadcast(Grammar(labelled_tokens(docs)))

@@ -363,7 +363,8 @@ def test_quality(spark):
 
 
 def posteriors(rows):
-    """Brute force of the sites' posteriors: ``rows`` of (host, path, evidence)."""
+    """Brute force of the sites' posteriors: ``rows`` of (host, path, evidence); for each row
+    the means of its host and path by the other rows."""
     paths, hosts = {}, {}
     for h, p, e in rows:
         paths.setdefault((h, p), []).append(e)
@@ -376,21 +377,30 @@ def posteriors(rows):
         return min(max(m * (1 - m) / max(t, 1e-9) - 1, 1.0), 1e4)
 
     k1 = strength([(es, m) for es in hosts.values()])
-    host = {h: (sum(es) + k1 * m) / (len(es) + k1) for h, es in hosts.items()}
-    k2 = strength([(es, host[h]) for (h, _), es in paths.items()])
-    return {(h, p): (host[h], (sum(es) + k2 * host[h]) / (len(es) + k2)) for (h, p), es in paths.items()}, m
-
-
-def test_quality_posteriors(spark):
+    k2 = strength([(es, (sum(hosts[h]) + k1 * m) / (len(hosts[h]) + k1)) for (h, _), es in paths.items()])
+    out = []
+    for i, (h, p, _) in enumerate(rows):
+        others = [e for j, (x, _, e) in enumerate(rows) if j != i and x == h]
+        near = [e for j, (x, y, e) in enumerate(rows) if j != i and (x, y) == (h, p)]
+        host = (sum(others) + k1 * m) / (len(others) + k1)
+        out.append((host, (sum(near) + k2 * host) / (len(near) + k2)))
+    return out, m
+
+
+@pytest.mark.parametrize("few", [20_000, 1])
+def test_quality_posteriors(spark, few, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
     rng = random.Random(2)
     rows = [(h, p, min(1.0, max(0.0, rng.gauss(0.2 + 0.15 * k + 0.05 * j, 0.1)))) for k, h in enumerate(["a", "b", None, "d"]) for j, p in enumerate(["x", None, "z"]) for _ in range(1 + 7 * k * j)]
     want, mean = posteriors(rows)
-    table, found = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, e double"))
+    sums, found, k1, k2 = quality.site_sums(spark.createDataFrame(rows, "host string, path string, e double"))
     assert abs(found - mean) < 1e-9
-    got = {(r.host, r.path): (r.host_mean, r.path_mean) for r in table.collect()}
-    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
-    # Sparse paths are drawn to their host, and hosts with few rows to the mean of all.
-    assert abs(want["b", "x"][1] - want["b", "x"][0]) < abs(min(e for h, p, e in rows if (h, p) == ("b", "x")) - want["b", "x"][0]) + 1e-9
+    own = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {quality.HOST} string, {quality.PATH} string, {quality.OWN} double")
+    got = {r.i: (r[quality.HOST_MEAN], r[quality.PATH_MEAN]) for r in quality._with_sites(own, sums, found, k1, k2).collect()}
+    assert len(got) == len(rows) and all(abs(a - b) < 1e-9 for i, w in enumerate(want) for a, b in zip(got[i], w))
+    # The only document of its path takes its host's mean: its own evidence is no one else's.
+    assert all(abs(got[i][0] - got[i][1]) < 1e-9 for i, r in enumerate(rows) if sum(x[:2] == r[:2] for x in rows) == 1)
 
 
 def test_quality_sites_decide_unclear_documents(spark):
@@ -639,26 +649,57 @@ def test_automaton_likelihood(monkeypatch):
     rng = random.Random(4)
     samples = ["".join(rng.choices("ab9Z-+", k=rng.randint(1, 5))) for _ in range(200)]
     spelled = ["".join(map(secret_scan.symbol, s)) for s in samples]
-    width = secret_scan.Automaton.WIDTH
     monkeypatch.setattr(secret_scan.Automaton, "_compatible", lambda *_: False)
     tree = secret_scan.Automaton(samples)
+    share = lambda n, of, kinds: 0.99 * n / of + 0.01 / kinds
 
     def likelihood(token):
-        total, at = 0.0, ""
-        for c in map(secret_scan.symbol, token):
-            n = sum(s.startswith(at) for s in spelled)
-            total += np.log((sum(s.startswith(at + c) for s in spelled) + 0.1) / (n + 0.7) / width[c])
-            at += c
+        of = "".join(map(secret_scan.symbol, token)) + "$"
+        total = np.log(share(sum(len(s) == len(token) for s in spelled), len(spelled), 256))
+        for i, c in enumerate(of):
+            n, seen = sum(s.startswith(of[:i]) for s in spelled), sum((s + "$").startswith(of[: i + 1]) for s in spelled)
+            if not seen:
+                return -np.inf
+            total += np.log(share(seen, n, 7) / secret_scan.WIDTH.get(c, 1))
         return total
 
     for token in [*samples[:50], "zz", "99999999", "aZ-+9b", "+" * 12]:
-        assert abs(tree.score(token) - likelihood(token)) < 1e-9
+        a, b = tree.score(token), likelihood(token)
+        assert a == b == -np.inf or abs(a - b) < 1e-9
     monkeypatch.undo()
     merged = secret_scan.Automaton(samples)
     reached = {0} | {t for step in merged.next for t in step.values()}
     assert len(reached) < len({s[:k] for s in spelled for k in range(len(s) + 1)})
     for state in reached:
-        assert abs(sum((merged.out[state][c] + 0.1) / (merged.total[state] + 0.7) for c in [*width, "$"]) - 1) < 1e-9
+        assert sum(merged.out[state].values()) == merged.total[state] > 0
+    chain = secret_scan.Chain(secret_scan.steps({"abc": 3, "Zz9": 1}))
+    for last in "^haA9":
+        assert abs(sum(np.exp(chain.cost[last + c]) * secret_scan.WIDTH.get(c, 1) for c in "9haA-+$") - 1) < 1e-9
+
+
+def ordinary_words(rng, n):
+    return ["".join(rng.choices(["tion", "er", "ing", "an", "th", "ed", "con", "es"], k=rng.randint(2, 6))) for _ in range(n)]
+
+
+def test_ordinary_formats_are_left_alone():
+    """Paths, identifiers, ids, rules of punctuation and dates, of which the corpus has shown
+    nothing, are no credentials; new credentials of the learned formats are."""
+    rng = random.Random(6)
+    take = lambda chars, n: "".join(rng.choices(chars, k=n))
+    upper, digits, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    formats = {"assign": lambda: take(hexes, 40), "access": lambda: "AKIA" + take(upper + digits, 16), "hex": lambda: take(hexes, 32)}
+    grammar = secret_scan.Grammar({k: [make() for _ in range(300)] for k, make in formats.items()} | {"word": ordinary_words(rng, 3000)})
+    ordinary = """getElementById src/main/java/org/App ========== -------- ________ ------------------------ 2024-01-31 20240131 1234567890 31/12/2023
+        550e8400-e29b-41d4-a716-446655440000 xoxb-123456789012 internationalization Donaudampfschifffahrt com.example.project.Main README_en.md
+        snake_case_identifier CamelCaseIdentifier __init__.py /usr/local/share/doc aGVsbG8gd29ybGQgZm9vYmFy+/= UPPERCASE_CONSTANT MAX_VALUE_2 v1.2.3-beta.4
+        deadbeef cafebabe effaced0 +49/30/1234567 INTERNATIONAL ABCDEFGHIJKLMNOP 192.168.100.200 1,000,000 user_name_2024 a=b=c=d=e=f=g ./././././. abababababab""".split()
+    text = " ".join(ordinary)
+    base, more = grammar.spans(text)
+    assert [text[s:e] for _, s, e in more] == [] and base == []
+    found = {k: sum(grammar.is_secret(make()) for _ in range(200)) for k, make in formats.items()}
+    assert all(n >= 198 for n in found.values())
+    assert sum(grammar.is_secret("ASIA" + take(upper + digits, 16)) for _ in range(200)) >= 198
+    assert not any(map(grammar.is_secret, ordinary_words(rng, 3000)))
 
 
 def test_redact_edges(spark):
@@ -701,7 +742,7 @@ def test_grammar_finds_short_dotted_and_digit_free_credentials(form):
 def test_ordinary_tokens_are_learned_from_all_documents(spark):
     rows = [(i, f"ordinary{i:05d} and token = abcdefgh{i:05d}", "en", "s") for i in range(3000)]
     found = secret_scan.labelled_tokens(frame(spark, rows))["word"]
-    assert isinstance(found, dict) and found["^a"] == 3000 and found["9$"] == 3000 and found["99"] == 12000
+    assert isinstance(found, dict) and found["^a"] == 3000 and found["9$"] == 3000 and found["99"] == 12000 and found["#13"] == 3000
 
 
 def pipeline_tables(spark, folder):
