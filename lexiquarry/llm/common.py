@@ -4,6 +4,7 @@ broadcasts and streaming over groups of packed rows."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -133,14 +134,33 @@ def by_group(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in batch.to_pylist())
         for value, group in itertools.groupby(rows, key=lambda r: r[key]):
-            yield from packed(each(value, group), arrow_schema)
+            yield from _packed(each(value, group), arrow_schema)
 
     dealt_out = df.repartitionById(parts, dealt.cast("int")) if dealt is not None else df.repartition(parts, key)
-    return dealt_out.sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return dealt_out.sortWithinPartitions(key, *order).mapInArrow(giving_back(run), schema)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which what the task has freed goes back to the system: workers are kept
+    for later tasks of any kind, and their memory with them."""
+
+    def wrapped(rows: Iterator) -> Iterator:
+        yield from run(rows)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
 
 
 def packed(rows: Iterator[dict], schema: pa.Schema, many: int = 4096, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most ``many`` rows or about ``most_bytes`` of binary."""
+    """Record batches of a task's rows, of at most ``many`` rows or about ``most_bytes`` of
+    binary."""
+    return giving_back(lambda rows: _packed(rows, schema, many, most_bytes))(rows)
+
+
+def _packed(rows: Iterator[dict], schema: pa.Schema, many: int = 4096, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     size = 0
     for row in rows:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import arrow_rows, arrow_schema, broadcast_if_small, materialise, packed
+from .common import arrow_rows, arrow_schema, broadcast_if_small, giving_back, materialise, packed
 
 WINDOW = 13
 #: Words of benchmark items that are asked at once; a longer benchmark goes in blocks.
@@ -133,7 +133,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed(rows(batches), schema, 4)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SEGMENT)
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), SEGMENT)
 
 
 def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"term": used.astype(np.int64), "n": total[used]})
 
     counts = np.zeros(n_terms, np.int64)
-    for row in index.select("counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in index.select("counts").mapInArrow(giving_back(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row.term] = row.n
     return counts
 
@@ -217,7 +217,7 @@ def _each_block(index: DataFrame, asked: Iterator[Questions], answer, schema: st
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from packed((x for batch in batches for row in batch.to_pylist() for x in answer(row, shared.value)), fields)
 
-        return index.mapInArrow(run, schema), shared
+        return index.mapInArrow(giving_back(run), schema), shared
 
     first = next(asked, None)
     if first is None:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, arrow_schema, packed, partitions
+from .common import arrow_rows, arrow_schema, giving_back, packed, partitions
 
 #: Lines of a block that are combined before the shuffle.
 BLOCK_LINES = 1 << 19
@@ -96,7 +96,7 @@ def hashed_lines(docs: DataFrame, documents: int, chars: int) -> DataFrame:
         if held[0]:
             yield block(*held)
 
-    return docs.select(*_identity(), "text").mapInArrow(run, LINES)
+    return docs.select(*_identity(), "text").mapInArrow(giving_back(run), LINES)
 
 
 class Hash:
@@ -164,7 +164,7 @@ def dropped_lines(docs: DataFrame, documents: int = 3, chars: int = 20) -> DataF
     # The top 16 bits of the hash, as a number from 0, in equal ranges.
     part = F.floor((F.shiftright("h1", 48) + 32768) * parts / 65536) if parts <= 65536 else F.floor((F.shiftright("h1", 32) + (1 << 31)) * parts / (1 << 32))
     lines = hashed_lines(docs, documents, chars)
-    return lines.repartitionById(parts, part.cast("int")).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "line").mapInArrow(run, DROPPED)
+    return lines.repartitionById(parts, part.cast("int")).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "line").mapInArrow(giving_back(run), DROPPED)
 
 
 def keep_bitmaps(docs: DataFrame, documents: int = 3, chars: int = 20) -> DataFrame:
@@ -224,7 +224,7 @@ def drop_lines(docs: DataFrame, documents: int = 3, chars: int = 20) -> DataFram
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
 
-    return _with_bitmaps(docs, documents, chars).select(*docs.columns, "__keep").mapInArrow(run, docs.schema)
+    return _with_bitmaps(docs, documents, chars).select(*docs.columns, "__keep").mapInArrow(giving_back(run), docs.schema)
 
 
 def dedup_lines(docs: DataFrame, documents: int = 3, chars: int = 20) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from . import bytescan as bs
 from .chunking import ANSWER, CHUNK_BYTES, TEXT, Inbox, Outbox, answered, bucket_count, by_groups, chunks, group_parts, opened, squeeze, unsqueeze, with_answers
-from .common import arrow_rows, arrow_schema, broadcast_if_small, by_group, join_spread, materialise, packed, partitions, release
+from .common import arrow_rows, arrow_schema, broadcast_if_small, by_group, giving_back, join_spread, materialise, packed, partitions, release
 from .components import components
 
 #: Shingles and sets in a block of a star, whose leader meets every block.
@@ -469,7 +469,7 @@ def with_keys(docs: DataFrame, n: int) -> DataFrame:
             found = [dict(zip(KEY, x)) for x in zip(*(k.view(np.int64).tolist() for k in set_keys(h, ptr)), np.diff(ptr).tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, of)], names=[*batch.schema.names, "__set"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def keep_firsts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import BROADCAST_ROWS, _null_safe, arrow_rows, arrow_schema, broadcast_if_small, join_spread, materialise
+from .common import BROADCAST_ROWS, _null_safe, arrow_rows, arrow_schema, broadcast_if_small, giving_back, join_spread, materialise
 
 #: Labelled documents that the document model learns from at most.
 SAMPLE = 4000
@@ -134,7 +134,7 @@ def train_document_model(docs: DataFrame, labels: DataFrame) -> DocumentModel:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x, batch.column(3).cast(pa.float64())], schema=schema)
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    found = joined.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"), "text", F.col("label").cast("double").alias("label")).mapInArrow(run, kind)
+    found = joined.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"), "text", F.col("label").cast("double").alias("label")).mapInArrow(giving_back(run), kind)
     rows = found.orderBy("h", "g", "x", "y").limit(2 * SAMPLE).collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), FEATURES)
     return DocumentModel(x, np.array([float(r.y >= 0.5) for r in rows]))
@@ -156,7 +156,7 @@ def _with_probability(frame: DataFrame, model) -> DataFrame:
             p = model.value.probability(document_features(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, P])
 
-    return frame.mapInArrow(run, StructType([*frame.schema.fields]).add(P, DoubleType()))
+    return frame.mapInArrow(giving_back(run), StructType([*frame.schema.fields]).add(P, DoubleType()))
 
 
 def site_sums(evidence: DataFrame) -> tuple[DataFrame, float, float, float]:

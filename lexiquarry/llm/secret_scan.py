@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, arrow_schema, materialise, packed
+from .common import arrow_rows, arrow_schema, giving_back, materialise, packed
 
 KINDS = ("assign", "access", "hex")
 #: Base patterns. Groups, lengths: a match counts if the group has that many characters.
@@ -297,7 +297,7 @@ class Grammar:
 
     def is_secret(self, token: str) -> bool:
         if token not in self.seen:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             gain = self.gain(token)
             self.seen[token] = gain > self.margin and gain > MARGIN_EACH * len(token)
@@ -375,7 +375,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             yield batch
 
     # Null texts have no length, whatever the column allowed before.
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name == "n_chars", f.metadata) for f in docs.schema]))
+    return docs.mapInArrow(giving_back(run), T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name == "n_chars", f.metadata) for f in docs.schema]))
 
 
 def _redacted(grammar: Grammar, text: str | None, mark: str) -> str | None:
