@@ -1,14 +1,14 @@
-"""Models as column functions. A model is loaded once in each Python worker, on first use,
+"""Models as column and table functions. A model is loaded once in each Python worker, on first use,
 and gets whole Arrow batches; the seams of the operators take what these functions return.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Models of this process by the name they were asked for.
@@ -71,3 +71,36 @@ def attention(name: str, load: Callable[[], Callable[[str, str], list[tuple[str,
         return pd.Series([[{"word": w, "weight": float(x)} for w, x in model(q, c)] for q, c in zip(questions, contexts)], dtype="object")
 
     return F.pandas_udf(run, "array<struct<word:string,weight:double>>")
+
+
+def answer_function(name: str, load: Callable[[], Callable[[str, str], dict]]) -> Any:
+    """A table function ``(question, context) -> (answer, score, start, end)`` of the same
+    models as ``answerer``, for lateral joins and SQL; rows go to it in Arrow batches. A
+    model's null is no row."""
+
+    class Answers:
+        def eval(self, question: str, context: str) -> Iterator[tuple]:
+            found = once(name, load)(question, context)
+            if found is not None:
+                yield tuple(found.get(k) for k in ("answer", "score", "start", "end"))
+
+    return F.udtf(Answers, returnType="answer string, score double, start int, end int", useArrow=True)
+
+
+def attention_function(name: str, load: Callable[[], Callable[[str, str], list[tuple[str, float]]]]) -> Any:
+    """A table function ``(question, context) -> (pos, word, weight)``: a row for each word
+    that the model of ``attention`` gives, in its order."""
+
+    class Words:
+        def eval(self, question: str, context: str) -> Iterator[tuple]:
+            for pos, (word, weight) in enumerate(once(name, load)(question, context)):
+                yield pos, word, float(weight)
+
+    return F.udtf(Words, returnType="pos int, word string, weight double", useArrow=True)
+
+
+def lateral(rows: DataFrame, function: Any, question: str | Column, context: str = "text") -> DataFrame:
+    """``rows`` joined with what a table function gives for each, ``question`` being a text or
+    a column; rows for which it gives nothing go."""
+    asked = F.lit(question) if isinstance(question, str) else question.outer()
+    return rows.lateralJoin(function(asked, F.col(context).outer()))

@@ -34,14 +34,19 @@ def _clean(spark: SparkSession, path: str) -> None:
 _USED: set[str] = set()
 
 
-def staged(frame: DataFrame) -> DataFrame:
-    """``frame`` written and read back; a lost executor costs a re-read. The files go when
-    the process ends."""
-    spark = frame.sparkSession
+def fresh_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, which goes when the process ends."""
     folder = f"{shared_folder(spark)}/lexiquarry/{spark.sparkContext.applicationId}"
     if folder not in _USED:
         _USED.add(folder)
         atexit.register(_clean, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def staged(frame: DataFrame) -> DataFrame:
+    """``frame`` written and read back; a lost executor costs a re-read. The files go when
+    the process ends."""
+    spark = frame.sparkSession
+    path = fresh_folder(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
