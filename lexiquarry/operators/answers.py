@@ -159,24 +159,47 @@ def greedy_clusters(answers: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def agglomerative_labels(sim: np.ndarray, threshold: float = 0.5) -> list[tuple[int, int]]:
-    """Average linkage on cosine distance until the nearest clusters are ``threshold`` apart."""
+    """Average linkage on cosine distance until the nearest clusters are ``threshold`` apart.
+
+    A chain of nearest neighbours ends in two clusters that are each other's nearest; these
+    are merged, whatever their distance. Average linkage never brings a merged cluster nearer
+    to a third, so the merges under the threshold are those of the plain order, at the cost of
+    one row a step. Of equal distances that to the chain's own end counts, then the first.
+    """
     n = len(sim)
-    groups = {i: [i] for i in range(n)}
     distance = 1.0 - sim
     np.fill_diagonal(distance, np.inf)
-    sizes = np.ones(n)
-    while len(groups) > 1:
-        a, b = np.unravel_index(np.argmin(distance), distance.shape)
-        if distance[a, b] >= threshold:
-            break
+    sizes, label = np.ones(n), list(range(n))
+    alive = np.ones(n, bool)
+    members = {i: [i] for i in range(n)}
+    chain: list[int] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            a = chain[-1]
+            b = int(np.argmin(distance[a]))
+            if len(chain) > 1 and distance[a, chain[-2]] <= distance[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        height = distance[a, b]
         a, b = min(a, b), max(a, b)
+        if height < threshold:
+            members[a] += members.pop(b)
+        else:  # above the threshold clusters are only carried along
+            members[n + b] = members.pop(b)
         merged = (distance[a] * sizes[a] + distance[b] * sizes[b]) / (sizes[a] + sizes[b])
         distance[a], distance[:, a] = merged, merged
         distance[b], distance[:, b] = np.inf, np.inf
         distance[a, a] = np.inf
         sizes[a] += sizes[b]
-        groups[a] += groups.pop(b)
-    return [(p, min(members)) for members in groups.values() for p in members]
+        alive[b] = False
+    for group in members.values():
+        for p in group:
+            label[p] = min(group)
+    return list(enumerate(label))
 
 
 def agglomerative(answers: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -5,6 +5,7 @@ All operators are DataFrame expressions; rows are (document, three strategies).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -232,6 +233,28 @@ def histogram(frame: DataFrame, column: str, low: float, high: float, bins: int)
     return inside.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def density(frame: DataFrame, column: str, points: int = 200, bins: int = 400) -> DataFrame:
+    """``(point, x, density)``: a Gaussian kernel density of a column at ``points`` places,
+    from three bandwidths below its least value to three above its greatest. The bandwidth is
+    the standard deviation times n to the power -1/5.
+
+    Values are counted in ``bins`` bins first, each of which counts at its mean value, so
+    what is smoothed does not grow with the rows. Nulls do not count; without two different
+    values there is no row.
+    """
+    values = frame.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    whole = values.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("s"), F.min("v").alias("low"), F.max("v").alias("high")).where("s > 0")
+    whole = whole.withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2)))
+    number = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+    binned = values.join(F.broadcast(whole.select("low", "high"))).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.avg("v").alias("at"))
+    # One row with all bins, and one with the whole; the grid is what is exploded.
+    listed = binned.agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("b")).join(F.broadcast(whole))
+    grid = listed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.col("low") - 3 * F.col("h") + (F.col("high") - F.col("low") + 6 * F.col("h")) * F.col("point") / (points - 1)
+    kernel = F.aggregate("b", F.lit(0.0), lambda s, b: s + b["m"] * F.exp(-0.5 * F.pow((F.col("x") - b["at"]) / F.col("h"), 2)))
+    return grid.withColumn("x", x).select("point", "x", (kernel / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
 def worsened_report(enriched: DataFrame) -> DataFrame:
     """Rows by which metrics worsened."""
     cos, lev = F.col("cosine_worsened"), F.col("lev_worsened")

@@ -124,10 +124,24 @@ def nemenyi(samples: DataFrame) -> DataFrame:
     return pairs.select("left", "right", range_survival(q, F.col("k")).alias("p"))
 
 
+#: Differences up to which the exact law of the signed-rank sum is used.
+EXACT = 50
+
+
+def signed_rank_two_sided(n: Column, w: Column) -> Column:
+    """Twice the share of the subsets of the ranks 1 to ``n`` whose sum is at most ``w``, one
+    at most. Numbers of subsets by their sum grow rank by rank: each sum is reached without
+    the rank, or with it from a sum less by the rank."""
+    one = F.transform(F.sequence(F.lit(0), F.floor(w).cast("int")), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), one, lambda ways, r: F.transform(ways, lambda x, s: x + F.coalesce(F.when(s >= r, F.get(ways, s - r)), F.lit(0.0))))
+    return F.least(F.lit(1.0), 2 * F.aggregate(ways, F.lit(0.0), lambda a, x: a + x) / F.pow(F.lit(2.0), n))
+
+
 def wilcoxon(differences: DataFrame) -> DataFrame:
     """Signed-rank sums of ``differences (combo, d)``, zeros dropped, ties averaged:
-    ``(combo, n, w_plus, w_minus, w, p)``. The p-value is two-sided, of the normal
-    approximation with the variance corrected for ties, without a continuity correction."""
+    ``(combo, n, w_plus, w_minus, w, p)``. The p-value is two-sided: of the exact law for up
+    to ``EXACT`` differences without ties, else of the normal approximation with the variance
+    corrected for ties, without a continuity correction."""
     counts = (
         differences.where("d <> 0")
         .groupBy("combo", F.abs("d").alias("size"))
@@ -141,7 +155,9 @@ def wilcoxon(differences: DataFrame) -> DataFrame:
     )
     n = F.col("n")
     z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48)
-    return out.withColumn("w", F.least("w_plus", "w_minus")).withColumn("p", normal_two_sided(z)).drop("_t")
+    out = out.withColumn("w", F.least("w_plus", "w_minus"))
+    exact = (F.col("_t") == 0) & (n <= EXACT)
+    return out.withColumn("p", F.when(exact, signed_rank_two_sided(n, F.col("w"))).otherwise(normal_two_sided(z))).drop("_t")
 
 
 def effect_r(sums: DataFrame) -> DataFrame:

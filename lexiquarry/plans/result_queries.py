@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import results as R
 from ..operators import stats as S
-from .fixtures import ANSWER, COMBOS, RESULTS_SQL, results
+from .fixtures import ANSWER, COMBOS, RESULTS_SQL, results, table
 
 BEST = "only_weight_weighted_score_combined_score"
 OTHERS = [c for c in COMBOS if c != BEST]
@@ -165,6 +165,18 @@ def q_wilcoxon_w(spark, sf):
     return S.wilcoxon(_against_best(spark, sf)).withColumn("p", F.round("p", 6))
 
 
+def q_wilcoxon_exact(spark, sf):
+    """Small groups of parts: prices against a value, by the exact law."""
+    d = table(spark, sf, "part").select(F.concat_ws("-", "p_brand", "p_size").alias("combo"), (F.col("p_retailprice") - 1400.003 - F.col("p_partkey") / 100000).alias("d"))
+    return S.wilcoxon(d).where(F.col("n") <= S.EXACT).select("combo", "n", "w", F.round("p", 9).alias("p"))
+
+
+def q_density(spark, sf):
+    """Kernel density of prices at 200 places."""
+    found = R.density(table(spark, sf, "part"), "p_retailprice")
+    return found.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
 def q_wilcoxon_zero(spark, sf):
     return S.wilcoxon(_samples(spark, sf).select("combo", F.col("x").alias("d"))).withColumn("p", F.round("p", 6))
 
@@ -269,6 +281,16 @@ SQL = {
     "ecdf": f"""{_WITH}, i AS (SELECT choose_cluster_strategy, lev_dist_diff AS value, row_number() OVER (PARTITION BY choose_cluster_strategy ORDER BY lev_dist_diff)
       / count(*) OVER (PARTITION BY choose_cluster_strategy) AS step FROM e)
       SELECT choose_cluster_strategy, value, count(*) AS n, round(min(step), 9) AS first_step, round(max(step), 9) AS last_step FROM i GROUP BY 1, 2""",
+    "density": """WITH v AS (SELECT p_retailprice::DOUBLE AS v FROM part), w AS (SELECT count(*) AS n, min(v) AS low, max(v) AS high, stddev_samp(v) * pow(count(*), -0.2) AS h FROM v),
+      b AS (SELECT least(floor((v - low) / (high - low) * 400), 399) AS bin, count(*) AS m, avg(v) AS c FROM v, w GROUP BY 1),
+      g AS (SELECT k::INT AS point, low - 3 * h + (high - low + 6 * h) * k / 199 AS x, n, h FROM w, unnest(range(0, 200)) AS u(k))
+      SELECT point, round(x, 6) AS x, round(sum(m * exp(-0.5 * pow((x - c) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 9) AS density FROM g, b GROUP BY point, x""",
+    "wilcoxon_exact": """WITH RECURSIVE d AS (SELECT p_brand || '-' || p_size AS combo, p_retailprice - 1400.003::DOUBLE - p_partkey / 100000::DOUBLE AS d FROM part),
+      r AS (SELECT combo, d, row_number() OVER (PARTITION BY combo ORDER BY abs(d)) AS r FROM d WHERE d <> 0),
+      t AS (SELECT combo, count(*) AS n, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS w0, coalesce(sum(r) FILTER (d > 0), 0) AS p, coalesce(sum(r) FILTER (d < 0), 0) AS m FROM r GROUP BY 1),
+      c AS (SELECT 0::BIGINT AS n, [1.0::DOUBLE] AS a UNION ALL
+        SELECT n + 1, list_transform(range(1, len(a) + n + 2), lambda i: coalesce(a[i], 0) + CASE WHEN i > n + 1 THEN a[i - n - 1] ELSE 0 END) FROM c WHERE n < 50)
+      SELECT combo, t.n, least(p, m)::DOUBLE AS w, round(least(1, 2 * list_sum(a[1:least(p, m)::BIGINT + 1]) / pow(2, t.n)), 9) AS p FROM t JOIN c ON t.n = c.n""",
     "histogram": f"""{_WITH} SELECT least(floor((lev_dist_diff + 40) / 80 * 20), 19)::BIGINT AS bin, count(*) AS n FROM e
       WHERE lev_dist_diff BETWEEN -40 AND 40 GROUP BY 1""",
     "worsened": f"""{_WITH} SELECT CASE WHEN cosine_worsened AND lev_worsened THEN 'both' WHEN cosine_worsened THEN 'cosine_only' WHEN lev_worsened THEN 'lev_only'
