@@ -42,6 +42,71 @@ def pairs(answers: DataFrame) -> DataFrame:
     )
 
 
+def in_tiles(answers: DataFrame, block: int = 1000) -> DataFrame:
+    """``answers`` with ``_row``, ``_column`` and ``_side``: a document's answers are dealt to
+    blocks by a hash, about ``block`` to each, and go to every tile of two blocks that has
+    theirs (0: to its rows, 1: to its columns; the tiles of one block have each answer once,
+    in its rows). A document of up to ``block`` answers is one tile. Tiles cost more than their
+    bytes show, so the number of partitions is given, and not left to their size."""
+    sized = answers.join(answers.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")), "doc")
+    own = F.pmod(F.xxhash64("doc", "idx"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = sized.withColumn("_own", own).withColumn("_other", other)
+    tiles = dealt.withColumns(
+        {"_row": F.least("_own", "_other"), "_column": F.greatest("_own", "_other"), "_side": (F.col("_own") > F.col("_other")).cast("int")}
+    ).drop("_own", "_other", "_blocks")
+    return tiles.repartition(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "_row", "_column")
+
+
+def _tile(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """Rows and columns of a tile, and their similarities; an answer and itself are never alike."""
+    rows = frame[frame["_side"] == 0].sort_values("idx")
+    columns = frame[frame["_side"] == 1].sort_values("idx") if frame["_row"].iloc[0] < frame["_column"].iloc[0] else rows
+    if not len(rows) or not len(columns):
+        return rows, columns, np.zeros((len(rows), len(columns)))
+    sim = np.round(np.array(rows["u"].tolist()) @ np.array(columns["u"].tolist()).T, 9)
+    if columns is rows:
+        np.fill_diagonal(sim, -np.inf)
+    return rows, columns, sim
+
+
+def near_pairs(answers: DataFrame, least: float, block: int = 1000) -> DataFrame:
+    """``(doc, i, j, sim)`` of the pairs i < j with a similarity of ``least`` or more: tiles of
+    a document's similarities, which different tasks make, so its answers may be many."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, columns, sim = _tile(frame)
+        a, b = np.nonzero(sim >= least)
+        i, j, sim = rows["idx"].to_numpy()[a], columns["idx"].to_numpy()[b], sim[a, b]
+        if columns is rows:
+            once = i < j
+            i, j, sim = i[once], j[once], sim[once]
+        return pd.DataFrame({"doc": frame["doc"].iloc[0], "i": np.minimum(i, j), "j": np.maximum(i, j), "sim": sim})
+
+    tiles = in_tiles(answers.select("doc", "idx", "u"), block)
+    return tiles.groupBy("doc", "_row", "_column").applyInPandas(run, "doc long, i long, j long, sim double")
+
+
+def near_support(answers: DataFrame, least: float, weight: Column | None = None, block: int = 1000) -> DataFrame:
+    """``(doc, i, s)``: of each answer with peers of a similarity of ``least`` or more their
+    mean similarity, each times the peer's ``weight`` (1 without one). Tiles give sums, so no
+    pairs leave them."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, columns, sim = _tile(frame)
+        near = sim >= least
+        kept = np.where(near, sim, 0.0)
+        sides = [(rows, near.sum(axis=1), kept @ columns["w"].to_numpy())]
+        if columns is not rows:
+            sides.append((columns, near.sum(axis=0), rows["w"].to_numpy() @ kept))
+        out = pd.concat([pd.DataFrame({"doc": side["doc"], "i": side["idx"], "n": n, "t": t}) for side, n, t in sides])
+        return out[out["n"] > 0]
+
+    weighed = answers.select("doc", "idx", "u", (F.lit(1.0) if weight is None else weight).alias("w"))
+    parts = in_tiles(weighed, block).groupBy("doc", "_row", "_column").applyInPandas(run, "doc long, i long, n long, t double")
+    return parts.groupBy("doc", "i").agg((F.sum("t") / F.sum("n")).alias("s"))
+
+
 def validate(answers: DataFrame, references: DataFrame, strict: float = 0.9, least: float = 0.7, top_k: int = 1) -> DataFrame:
     """All answers with similarity of ``strict`` or more to the document's reference; where
     there is none, the ``top_k`` best of ``least`` or more. Adds ``similarity`` and the
@@ -96,7 +161,7 @@ def _consensus(answers: DataFrame, support: DataFrame, score: Column) -> DataFra
 def consensus(answers: DataFrame, chunk_weight: float = 0.6, similarity_weight: float = 0.4, least: float = 0.7) -> DataFrame:
     """Weighted sum of an answer's own score and the mean similarity of its near peers; a
     single answer is chosen without a score."""
-    support = pairs(answers).where(F.col("sim") >= least).groupBy("doc", "i").agg(F.avg("sim").alias("s"))
+    support = near_support(answers, least)
     return _consensus(answers, support, _base() * chunk_weight + F.coalesce("s", F.lit(0.0)) * similarity_weight)
 
 
@@ -104,8 +169,7 @@ def consensus_weighted(answers: DataFrame, chunk_weight: float = 0.6, similarity
     """As ``consensus``, with weights made to add to one and a peer's similarity times the
     peer's own score."""
     whole = chunk_weight + similarity_weight
-    near = pairs(answers).where(F.col("sim") >= least)
-    support = near.groupBy("doc", "i").agg(F.avg(F.col("sim") * _base("j_chunk_score", "j_confidence")).alias("s"))
+    support = near_support(answers, least, _base())
     return _consensus(answers, support, _base() * (chunk_weight / whole) + F.coalesce("s", F.lit(0.0)) * (similarity_weight / whole))
 
 
@@ -128,34 +192,49 @@ def _similarities(u: pd.Series) -> np.ndarray:
     return np.round(m @ m.T, 9)
 
 
-def _clustered(answers: DataFrame, labels) -> DataFrame:
-    """``(doc, idx, cluster)`` by ``labels(similarities) -> [(position, cluster)]``."""
+def _clustered(answers: DataFrame, labels, of=_similarities) -> DataFrame:
+    """``(doc, idx, cluster)`` by ``labels(of(u)) -> [(position, cluster)]``."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("idx")
         idx = frame["idx"].to_numpy()
-        found = labels(_similarities(frame["u"]))
+        found = labels(of(frame["u"]))
         return pd.DataFrame({"doc": frame["doc"].iloc[0], "idx": [idx[p] for p, _ in found], "cluster": [idx[c] for _, c in found]})
 
     return answers.select("doc", "idx", "u").groupBy("doc").applyInPandas(run, "doc long, idx long, cluster long")
 
 
-def greedy_labels(sim: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+class Products:
+    """The similarities of unit vectors, of which only what is asked for by rows and columns
+    (``np.ix_``) is made."""
+
+    def __init__(self, u: pd.Series) -> None:
+        self.m = np.array(u.tolist())
+
+    def __len__(self) -> int:
+        return len(self.m)
+
+    def __getitem__(self, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        rows, columns = at
+        return np.round(self.m[rows.ravel()] @ self.m[columns.ravel()].T, 9)
+
+
+def greedy_labels(sim: np.ndarray | Products, threshold: float) -> list[tuple[int, int]]:
     """In order, an answer that is in no cluster starts one and takes all free ones at
-    ``threshold`` or more to itself. A cluster's number is its first member's."""
-    free = np.ones(len(sim), bool)
+    ``threshold`` or more to itself. A cluster's number is its first member's. A seed is
+    compared with the free ones only."""
+    free = np.arange(len(sim))
     out = []
-    for seed in range(len(sim)):
-        if free[seed]:
-            free[seed] = False
-            taken = np.flatnonzero(free & (sim[seed] >= threshold))
-            free[taken] = False
-            out += [(seed, seed), *((int(p), seed) for p in taken)]
+    while len(free):
+        seed, rest = int(free[0]), free[1:]
+        near = sim[np.ix_([seed], rest)][0] >= threshold
+        out += [(seed, seed), *((int(p), seed) for p in rest[near])]
+        free = rest[~near]
     return out
 
 
 def greedy_clusters(answers: DataFrame, threshold: float = 0.75) -> DataFrame:
-    return _clustered(answers, lambda sim: greedy_labels(sim, threshold))
+    return _clustered(answers, lambda sim: greedy_labels(sim, threshold), Products)
 
 
 def agglomerative_labels(sim: np.ndarray, threshold: float = 0.5) -> list[tuple[int, int]]:
@@ -206,29 +285,34 @@ def agglomerative(answers: DataFrame, threshold: float = 0.5) -> DataFrame:
     return _clustered(answers, lambda sim: agglomerative_labels(sim, threshold))
 
 
-def dbscan_labels(sim: np.ndarray, eps: float = 0.5, min_samples: int = 2) -> list[tuple[int, int]]:
-    """Density clusters on cosine distance; points in none are left out."""
-    near = 1.0 - sim <= eps
-    np.fill_diagonal(near, True)
-    core = near.sum(axis=1) >= min_samples
-    label: dict[int, int] = {}
-    for seed in range(len(sim)):
-        if not core[seed] or seed in label:
+def dbscan_labels(sim: np.ndarray | Products, eps: float = 0.5, min_samples: int = 2, block: int = 1024) -> list[tuple[int, int]]:
+    """Density clusters on cosine distance; points in none are left out.
+    Neighbours are counted by blocks of rows, and found again for the core points as a cluster
+    grows, so memory is a block's."""
+    n = len(sim)
+    core, everyone = np.zeros(n, bool), np.arange(n)
+    for at in range(0, n, block):
+        near = 1.0 - sim[np.ix_(everyone[at : at + block], everyone)] <= eps
+        near[np.arange(len(near)), np.arange(at, at + len(near))] = True
+        core[at : at + block] = near.sum(axis=1) >= min_samples
+    label = np.full(n, -1)
+    for seed in range(n):
+        if not core[seed] or label[seed] >= 0:
             continue
-        todo = [seed]
         label[seed] = seed
-        while todo:
-            p = todo.pop()
-            if core[p]:
-                for q in np.flatnonzero(near[p]).tolist():
-                    if q not in label:
-                        label[q] = seed
-                        todo.append(q)
-    return sorted(label.items())
+        front = np.array([seed])
+        while len(front):
+            free = np.flatnonzero(label < 0)
+            reached = np.zeros(len(free), bool)
+            for at in range(0, len(front), block):
+                reached |= (1.0 - sim[np.ix_(front[at : at + block], free)] <= eps).any(axis=0)
+            label[free[reached]] = seed
+            front = free[reached & core[free]]
+    return [(int(p), int(label[p])) for p in np.flatnonzero(label >= 0)]
 
 
 def dbscan(answers: DataFrame, eps: float = 0.5, min_samples: int = 2) -> DataFrame:
-    return _clustered(answers, lambda sim: dbscan_labels(sim, eps, min_samples))
+    return _clustered(answers, lambda sim: dbscan_labels(sim, eps, min_samples), Products)
 
 
 def percentile_labels(sim: np.ndarray, percentile: float = 75) -> list[tuple[int, int]]:
@@ -252,32 +336,115 @@ def percentile_groups(answers: DataFrame, percentile: float = 75) -> DataFrame:
     return _clustered(answers, lambda sim: percentile_labels(sim, percentile))
 
 
-def optics_labels(sim: np.ndarray, min_samples: int = 2, xi: float = 0.05) -> list[tuple[int, int]]:
-    """Clusters by reachability order, cut where reachability rises by the share ``xi``;
-    groups under ``min_samples`` are left out."""
+def reachability(sim: np.ndarray, min_samples: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order in which points are reached, and by place in it the distance at which a point
+    is reached (infinite for the first) and the point that it is reached from (-1). The nearest
+    point comes next, the first among equals; no point is nearer than the core of the other,
+    the distance to its ``min_samples``-th point, itself included."""
     n = len(sim)
-    distance = np.maximum(1.0 - sim, 0.0)
+    distance = np.round(np.maximum(1.0 - sim, 0.0), 9)
     np.fill_diagonal(distance, 0.0)
-    if n < min_samples:
-        return []
-    core = np.sort(distance, axis=1)[:, min_samples - 1]
-    reach, done, order = np.full(n, np.inf), np.zeros(n, bool), []
-    for _ in range(n):
-        p = int(np.argmin(np.where(done, np.inf, np.minimum(reach, 1e18))))
-        done[p] = True
-        order.append(p)
-        reach = np.where(done, reach, np.minimum(reach, np.maximum(core[p], distance[p])))
-    groups: list[list[int]] = [[]]
-    for before, p in zip([None, *order], order):
-        jump = before is not None and not reach[p] * (1 - xi) <= max(reach[before] if np.isfinite(reach[before]) else core[before], core[p])
-        if jump or not np.isfinite(reach[p]):
-            groups.append([])
-        groups[-1].append(p)
-    return [(p, min(g)) for g in groups if len(g) >= min_samples for p in g]
-
-
-def optics(answers: DataFrame, min_samples: int = 2) -> DataFrame:
-    return _clustered(answers, lambda sim: optics_labels(sim, min_samples))
+    core = np.sort(distance, axis=1)[:, min_samples - 1] if n >= min_samples else np.full(n, np.inf)
+    reach, source, done, order = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool), np.zeros(n, int)
+    for k in range(n):
+        free = np.flatnonzero(~done)
+        p = free[np.argmin(reach[free])]
+        done[p], order[k] = True, p
+        offer = np.maximum(core[p], distance[p])
+        better = ~done & (offer < reach)
+        reach[better], source[better] = offer[better], p
+    return order, reach[order], source[order]
+
+
+def steep_areas(plot: np.ndarray, xi: float, min_samples: int, down: bool) -> list[tuple[int, int]]:
+    """Maximal stretches ``(first, last)`` of a reachability plot that begin and end with a
+    step by the share ``xi`` or more, never go the other way, and have no more than
+    ``min_samples`` lesser steps in a row."""
+    high, low = (plot[:-1], plot[1:]) if down else (plot[1:], plot[:-1])
+    steep, along = (high > low) & (high * (1 - xi) >= low), high >= low
+    areas: list[tuple[int, int]] = []
+    first = last = None
+    for p in range(len(steep)):
+        if first is not None and (not along[p] or not steep[p] and p - last > min_samples):
+            areas.append((first, last))
+            first = None
+        if steep[p]:
+            first, last = (p if first is None else first), p
+    return areas if first is None else [*areas, (first, last)]
+
+
+def xi_clusters(reach: np.ndarray, order: np.ndarray, source: np.ndarray, xi: float = 0.05, min_samples: int = 2) -> list[tuple[int, int]]:
+    """Clusters as places ``(first, last)`` of the order: a steep way down and a later steep
+    way up, with all between them lower by the share ``xi`` than where they begin and end. The
+    higher side is cut to the level of the other. Places at the end that are not reached from
+    within are cut off, unless the cluster begins higher. Clusters nest; of those with one way
+    up the inner come first."""
+    plot = np.append(reach, np.inf)
+    downs, ups = steep_areas(plot, xi, min_samples, True), steep_areas(plot, xi, min_samples, False)
+    position = np.empty(len(order), int)
+    position[order] = np.arange(len(order))
+    came = np.where(source >= 0, position[source], -1)
+    found = []
+    open_ways: list[list] = []  # ways down with the greatest value since their end
+    waiting, seen = list(downs), 0
+    for up_first, up_last in ups:
+        top = plot[seen : up_first + 1].max(initial=0.0)
+        for way in open_ways:
+            way[2] = max(way[2], top)
+        while waiting and waiting[0][1] < up_first:
+            first, last = waiting.pop(0)
+            open_ways.append([first, last, plot[last + 1 : up_first + 1].max(initial=0.0)])
+        open_ways = [way for way in open_ways if way[2] <= plot[way[0]] * (1 - xi)]
+        seen, level = up_first + 1, plot[up_last + 1]
+        for down_first, down_last, between in reversed(open_ways):
+            if between > level * (1 - xi):
+                continue
+            start, end, begin = down_first, up_last, plot[down_first]
+            if begin > level and begin * (1 - xi) >= level:
+                start = down_first + int(np.flatnonzero(plot[down_first : down_last + 1] > level)[-1])
+            elif level > begin and level * (1 - xi) >= begin:
+                above = np.flatnonzero(plot[up_first : up_last + 1] > begin)
+                end = up_first + int(above[0]) if len(above) else up_last
+            while start < end and plot[start] <= plot[end] and not start <= came[end] < end:
+                end -= 1
+            if end - start + 1 >= max(min_samples, 2):
+                found.append((start, end))
+    return found
+
+
+def optics_nested(sim: np.ndarray, min_samples: int = 2, xi: float = 0.05) -> list[tuple[int, int, int]]:
+    """``(point, cluster, size)`` of all nested clusters, numbered from the inner ones."""
+    order, reach, source = reachability(sim, min_samples)
+    return [(int(p), k, end - start + 1) for k, (start, end) in enumerate(xi_clusters(reach, order, source, xi, min_samples)) for p in order[start : end + 1]]
+
+
+def optics_labels(sim: np.ndarray, min_samples: int = 2, xi: float = 0.05) -> list[tuple[int, int]]:
+    """The innermost clusters of the reachability plot; points in none are left out. A
+    cluster's number is its least member."""
+    order, reach, source = reachability(sim, min_samples)
+    taken, out = np.zeros(len(order), bool), []
+    for start, end in xi_clusters(reach, order, source, xi, min_samples):
+        if not taken[start : end + 1].any():
+            taken[start : end + 1] = True
+            group = order[start : end + 1]
+            out += [(int(p), int(group.min())) for p in group]
+    return out
+
+
+def optics(answers: DataFrame, min_samples: int = 2, xi: float = 0.05) -> DataFrame:
+    return _clustered(answers, lambda sim: optics_labels(sim, min_samples, xi))
+
+
+def optics_tree(answers: DataFrame, min_samples: int = 2, xi: float = 0.05) -> DataFrame:
+    """``(doc, node, idx, size)``: the members of all nested clusters of a document."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("idx")
+        idx = frame["idx"].to_numpy()
+        found = optics_nested(_similarities(frame["u"]), min_samples, xi)
+        return pd.DataFrame({"doc": frame["doc"].iloc[0], "node": [k for _, k, _ in found], "idx": [idx[p] for p, _, _ in found], "size": [m for _, _, m in found]})
+
+    return answers.select("doc", "idx", "u").groupBy("doc").applyInPandas(run, "doc long, node long, idx long, size long")
 
 
 def members(answers: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -108,6 +108,17 @@ def q_optics(spark, sf):
     return A.optics(answers(spark, sf))
 
 
+def q_optics_nested(spark, sf):
+    """Members of all nested clusters by steep areas of the reachability plot."""
+    return A.optics_tree(answers(spark, sf))
+
+
+def q_near_pairs(spark, sf):
+    """Pairs over a threshold, by tiles of four answers a block."""
+    found = A.near_pairs(answers(spark, sf), NEAR, 4)
+    return found.select("doc", "i", "j", F.round("sim", 6).alias("sim"))
+
+
 def q_representatives(spark, sf):
     return A.representatives(*_greedy(spark, sf))
 
@@ -213,6 +224,7 @@ _VALUES = {"highest_chunk_score": "chunk_score", "highest_similarity": "p", "com
 
 SQL = {
     "cosine_pairs": f"{_WITH} SELECT doc, i, j, round(sim, 6) AS sim FROM pr WHERE i < j",
+    "near_pairs": f"{_WITH} SELECT doc, i, j, round(sim, 6) AS sim FROM pr WHERE i < j AND sim >= {NEAR}",
     "validate_answers": f"{_WITH} {_REF} {_validated(0.95, 0.1, 3)}",
     "validate_lenient": f"{_WITH} {_REF} {_validated(0.9, 0.1, 3, 'idx > 0')}",
     "medoid_answer": f"""{_WITH}, s AS (SELECT doc, i, sum(sim) AS s FROM pr GROUP BY 1, 2), m AS (SELECT a.doc, idx, text,
