@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # Coefficients of two published rational approximations, of the complementary
 # error function (relative error under 1.2e-7) and of the logarithm of the gamma function.
@@ -236,3 +237,82 @@ def moments(samples: DataFrame) -> DataFrame:
         F.max("x").alias("greatest"),
         F.count("x").alias("n"),
     )
+
+
+# Fixed values (Royston 1995): corrections of the two outer weights by powers of n^-1/2, and
+# mean and log deviation of the transformed statistic by powers of n (up to 11) and ln n.
+OUTER = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
+NEXT = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+SMALL_MEAN, SMALL_SPREAD = [0.5440, -0.39978, 0.025054, -0.0006714], [1.3822, -0.77857, 0.062767, -0.0020322]
+LARGE_MEAN, LARGE_SPREAD = [-1.5861, -0.31082, -0.083751, 0.0038915], [-0.4803, -0.082676, 0.0030302]
+
+
+def _scores(ranks: np.ndarray, n: int) -> np.ndarray:
+    """Expected normal order statistics of some of ``n`` ranks, by Blom's places."""
+    normal = NormalDist()
+    return np.array([normal.inv_cdf((r - 0.375) / (n + 0.25)) for r in ranks])
+
+
+@F.pandas_udf(StructType([StructField("sum", DoubleType()), StructField("squares", DoubleType())]))
+def rank_scores(first: pd.Series, last: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Sum and sum of squares of the normal scores of the ranks ``first`` to ``last`` of ``n``."""
+    parts = [_scores(np.arange(a, b + 1), k) for a, b, k in zip(first, last, n)]
+    return pd.DataFrame({"sum": [p.sum() for p in parts], "squares": [(p * p).sum() for p in parts]}, columns=["sum", "squares"], dtype=float)
+
+
+def _power_sum(coefficients: list[float], x: Column) -> Column:
+    return reduce(lambda s, c: s * x + c, reversed(coefficients), F.lit(0.0))
+
+
+def shapiro_wilk(samples: DataFrame, block: int = 10_000) -> DataFrame:
+    """``(combo, n, w, p)`` of ``samples (combo, x)``: how near the values are to a normal
+    sample, and the p-value by Royston's approximation (exact for three values).
+
+    Values are counted first. A distinct value holds a stretch of ranks, of which only the sum
+    of scores counts; stretches are cut to ``block`` ranks, so one frequent value is several
+    rows. Nulls are left out; with fewer than three values or all equal, ``w`` and ``p`` are
+    null. The approximation was made for up to 5,000 values; beyond, p is an extrapolation.
+    """
+    w = Window.partitionBy("combo")
+    counts = samples.where("x is not null").groupBy("combo", "x").agg(F.count(F.lit(1)).alias("m"))
+    ranked = counts.withColumns({"n": F.sum("m").over(w), "last": F.sum("m").over(w.orderBy("x"))}).withColumn("first", F.col("last") - F.col("m") + 1)
+    starts = F.sequence("first", "last", F.lit(block).cast("long"))
+    cut = ranked.withColumn("from", F.explode(starts)).withColumn("to", F.least(F.col("from") + block - 1, "last"))
+    scored = cut.withColumn("score", rank_scores("from", "to", "n"))
+    x, n = F.col("x").cast("double"), F.col("n")
+    held = F.col("to") - F.col("from") + 1
+    sums = scored.groupBy("combo").agg(
+        F.max("n").alias("n"),
+        F.sum(F.col("score.squares")).alias("mm"),
+        F.sum(x * F.col("score.sum")).alias("mx"),
+        F.sum(held * x).alias("total"),
+        F.min(x).alias("x1"),
+        F.min(F.when(F.col("last") >= 2, x)).alias("x2"),
+        F.max(F.when(F.col("first") <= n - 1, x)).alias("y2"),
+        F.max(x).alias("y1"),
+    )
+    # Squares around the mean in a second pass over the counts: sums of squares lose digits.
+    around = counts.join(sums.select("combo", (F.col("total") / n).alias("mean")), "combo").groupBy("combo").agg(F.sum(F.col("m") * F.pow(x - F.col("mean"), 2)).alias("ss"))
+    u = 1 / F.sqrt(n)
+    rows = sums.join(around, "combo").withColumns({"s": rank_scores(n, n, n)["sum"], "t": rank_scores(n - 1, n - 1, n)["sum"]})
+    size = F.sqrt("mm")
+    rows = rows.withColumns({"a": F.when(n == 3, math.sqrt(0.5)).otherwise(F.col("s") / size + _power_sum(OUTER, u)), "b": F.col("t") / size + _power_sum(NEXT, u)})
+    outer, inner = F.col("y1") - F.col("x1"), F.col("y2") - F.col("x2")
+    a, b, s, t = (F.col(c) for c in "abst")
+    one = F.sqrt((F.col("mm") - 2 * s * s) / (1 - 2 * a * a))
+    two = F.sqrt((F.col("mm") - 2 * s * s - 2 * t * t) / (1 - 2 * a * a - 2 * b * b))
+    top = (
+        F.when(n == 3, a * outer)
+        .when(n <= 5, (F.col("mx") - s * outer) / one + a * outer)
+        .otherwise((F.col("mx") - s * outer - t * inner) / two + a * outer + b * inner)
+    )
+    value = F.when((n >= 3) & (F.col("ss") > 0), F.least(F.lit(1.0), top * top / F.col("ss")))
+    left = F.log(F.greatest(1 - F.col("w"), F.lit(1e-300)))
+    bound = 0.459 * n - 2.273
+    few = (-F.log(bound - left) - _power_sum(SMALL_MEAN, n)) / F.exp(_power_sum(SMALL_SPREAD, n))
+    many = (left - _power_sum(LARGE_MEAN, F.log(n))) / F.exp(_power_sum(LARGE_SPREAD, F.log(n)))
+    z = F.when(n <= 11, few).otherwise(many)
+    above = F.when(z >= 0, normal_two_sided(z) / 2).otherwise(1 - normal_two_sided(z) / 2)
+    three = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))))
+    p = F.when(n == 3, three).when((n <= 11) & (left >= bound), 0.0).otherwise(above)
+    return rows.withColumn("w", value).select("combo", "n", "w", F.when(F.col("w").isNotNull(), p).alias("p"))

@@ -177,6 +177,17 @@ def q_density(spark, sf):
     return found.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
+def q_shapiro_wilk(spark, sf):
+    """Normality of the balances of the customers of each nation."""
+    samples = table(spark, sf, "customer").select(F.col("c_nationkey").alias("combo"), F.col("c_acctbal").alias("x"))
+    return S.shapiro_wilk(samples).select("combo", "n", F.round("w", 6).alias("w"), F.round("p", 6).alias("p"))
+
+
+def q_shapiro_strategies(spark, sf):
+    """Normality of the changes of each combination of strategies."""
+    return S.shapiro_wilk(_samples(spark, sf)).select("combo", "n", F.round("w", 6).alias("w"), F.round("p", 6).alias("p"))
+
+
 def q_wilcoxon_zero(spark, sf):
     return S.wilcoxon(_samples(spark, sf).select("combo", F.col("x").alias("d"))).withColumn("p", F.round("p", 6))
 
@@ -246,6 +257,25 @@ w1 AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t
 w AS (SELECT combo, n, w_plus, w_minus, w, {_NORMAL} AS p FROM w1)"""
 _P = """, t AS (SELECT combo, round(p, 9) AS p FROM w)"""
 _STATS = f"{_WITH}, {_X}"
+#: Expected normal scores by a rational approximation (fixed values, Acklam), in place of the
+#: inverse of the distribution.
+_TAIL = """(((((-7.784894002430293e-03 * {q} - 3.223964580411365e-01) * {q} - 2.400758277161838) * {q} - 2.549732539343734) * {q} + 4.374664141464968) * {q} + 2.938163982698783)
+    / ((((7.784695709041462e-03 * {q} + 3.224671290700398e-01) * {q} + 2.445134137142996) * {q} + 3.754408661907416) * {q} + 1)"""
+_SHAPIRO = f"""sn AS (SELECT combo, x, row_number() OVER (PARTITION BY combo ORDER BY x) AS k, count(*) OVER (PARTITION BY combo) AS n FROM sw WHERE x IS NOT NULL),
+su AS (SELECT *, (k - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS u, u - 0.5::DOUBLE AS h, h * h AS r, sqrt(-2 * ln(least(u, 1 - u))) AS q FROM sn),
+sm AS (SELECT combo, x, k, n, CASE WHEN u < 0.02425 THEN {_TAIL.format(q="q")} WHEN u > 1 - 0.02425 THEN -({_TAIL.format(q="q")})
+  ELSE (((((-3.969683028665376e+01 * r + 2.209460984245205e+02) * r - 2.759285104469687e+02) * r + 1.383577518672690e+02) * r - 3.066479806614716e+01) * r + 2.506628277459239) * h
+    / (((((-5.447609879822406e+01 * r + 1.615858368580409e+02) * r - 1.556989798598866e+02) * r + 6.680131188771972e+01) * r - 1.328068155288572e+01) * r + 1) END AS m FROM su),
+sx AS (SELECT *, sum(m * m) OVER g AS mm, max(m) OVER g AS m1, max(m) FILTER (k < n) OVER g AS m2, 1 / sqrt(n) AS f, avg(x) OVER g AS mean FROM sm WINDOW g AS (PARTITION BY combo)),
+sy AS (SELECT *, m1 / sqrt(mm) + ((((-2.706056 * f + 4.434685) * f - 2.071190) * f - 0.147981) * f + 0.221157) * f AS a1,
+  m2 / sqrt(mm) + ((((-3.582633 * f + 5.682633) * f - 1.752461) * f - 0.293762) * f + 0.042981) * f AS a2 FROM sx),
+sz AS (SELECT *, CASE WHEN n = 3 THEN (k - 2) * sqrt(0.5) WHEN k = n THEN a1 WHEN k = 1 THEN -a1 WHEN n > 5 AND k = n - 1 THEN a2 WHEN n > 5 AND k = 2 THEN -a2
+  WHEN n > 5 THEN m / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) ELSE m / sqrt((mm - 2 * m1 * m1) / (1 - 2 * a1 * a1)) END AS a FROM sy),
+sv AS (SELECT combo, any_value(n) AS n, CASE WHEN any_value(n) >= 3 AND max(x) > min(x) THEN least(1, pow(sum(a * x), 2) / sum(pow(x - mean, 2))) END AS w FROM sz GROUP BY combo),
+st AS (SELECT *, ln(greatest(1 - w, 1e-300)) AS l, ln(n) AS g FROM sv),
+sp AS (SELECT *, CASE WHEN n <= 11 THEN (-ln(0.459 * n - 2.273 - l) - (0.5440 - 0.39978 * n + 0.025054 * n * n - 0.0006714 * n * n * n)) / exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * n * n * n)
+  ELSE (l - (-1.5861 - 0.31082 * g - 0.083751 * g * g + 0.0038915 * g * g * g)) / exp(-0.4803 - 0.082676 * g + 0.0030302 * g * g) END AS z FROM st)"""
+_SHAPIRO_OUT = f"SELECT combo, n::BIGINT AS n, round(w, 6) AS w, round(CASE WHEN z >= 0 THEN ({_NORMAL}) / 2 ELSE 1 - ({_NORMAL}) / 2 END, 6) AS p FROM sp"
 
 SQL = {
     "parse_metrics": f"{_WITH} SELECT {KEYS}, cosine_sim_base AS cos_base, lev_dist_base AS lev_base, cosine_sim_corrected AS cos_corr, lev_dist_corrected AS lev_corr FROM parsed",
@@ -319,6 +349,8 @@ SQL = {
       nd AS (SELECT z, w, exp(-z * z / 2) / sqrt(2 * pi()) AS d FROM st)
       SELECT "left", "right", round(greatest(0, least(1, 1 - any_value(k) * sum(nd.w * d * pow({_PHI.format(x='z + q')} - {_PHI.format(x='z')}, k - 1)))), 6) AS p FROM pr, nd GROUP BY 1, 2""",
     "wilcoxon_w": f"{_STATS} {_DIFF} {_W} SELECT * REPLACE (round(p, 6) AS p) FROM w",
+    "shapiro_wilk": f"WITH RECURSIVE sw AS (SELECT c_nationkey AS combo, c_acctbal::DOUBLE AS x FROM customer), {_SHAPIRO} {_SHAPIRO_OUT}",
+    "shapiro_strategies": f"{_STATS}, sw AS (SELECT combo, x::DOUBLE AS x FROM x), {_SHAPIRO} {_SHAPIRO_OUT}",
     "wilcoxon_zero": f"{_STATS}, diff AS (SELECT combo, x AS d FROM x) {_W} SELECT * REPLACE (round(p, 6) AS p) FROM w",
     "effect_r": f"""{_STATS} {_DIFF} {_W}, v AS (SELECT combo, n, w, abs(w / sqrt(n * (n + 1) * (2 * n + 1) / 6)) / sqrt(n) AS r FROM w)
       SELECT combo, n, w, round(r, 6) AS r, CASE WHEN r < 0.1 THEN 'negligible' WHEN r < 0.3 THEN 'small' WHEN r < 0.5 THEN 'medium' ELSE 'large' END AS effect FROM v""",

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import time
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -68,3 +69,46 @@ def test_density(spark):
         assert abs(r.density - want) < 1e-3 * max(want, 0.01)
     assert abs(sum(r.density for r in found) * (found[1].x - found[0].x) - 1) < 0.01
     assert R.density(rows.where("v is null"), "v").count() == 0 and R.density(rows.limit(1), "v").count() == 0
+
+
+def shapiro(values):
+    """Weights and statistic by rank, from the definition."""
+    x, n = np.sort(np.array(values, float)), len(values)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    u, size = n**-0.5, math.sqrt(m @ m)
+    a = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m[-1] / size], u)
+    b = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / size], u)
+    if n == 3:
+        weights = np.array([-1, 0, 1]) * math.sqrt(0.5)
+    elif n <= 5:
+        weights = m / math.sqrt((m @ m - 2 * m[-1] ** 2) / (1 - 2 * a * a))
+        weights[[0, -1]] = -a, a
+    else:
+        weights = m / math.sqrt((m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a * a - 2 * b * b))
+        weights[[0, 1, -2, -1]] = -a, -b, b, a
+    return (weights @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+
+
+def test_shapiro_wilk(spark):
+    # Published examples with their statistics and p-values.
+    known = {
+        "weights": ([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], 0.788815, 0.006704),
+        "skewed": ([0.11, 7.87, 4.61, 10.14, 7.95, 3.14, 0.46, 4.43, 0.21, 4.75, 0.71, 1.52, 3.24, 0.93, 0.42, 4.97, 9.53, 4.55, 0.47, 6.66], 0.900473, 0.042090),
+        "normal": ([1.36, 1.14, 2.92, 2.55, 1.46, 1.06, 5.27, -1.11, 3.48, 1.10, 0.88, -0.51, 1.46, 0.52, 6.20, 1.69, 0.08, 3.67, 2.81, 3.49], 0.959027, 0.524600),
+    }
+    rng = random.Random(6)
+    others = {f"{n}": [rng.expovariate(1) + 1e6 for _ in range(n)] for n in (3, 4, 5, 6, 7, 12, 200)}
+    others |= {"tied": [float(rng.randint(0, 5)) for _ in range(300)], "ends": [1.0, 1.0, 1.0, 2.0, 3.0, 3.0]}
+    none = {"two": [1.0, 2.0], "equal": [4.0] * 9, "null": [None, 1.0, 1.5]}
+    rows = [(k, v) for k, vs in ({k: vs for k, (vs, _, _) in known.items()} | others | none).items() for v in vs]
+    frame = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "combo string, x double")
+    for block in (10_000, 7):
+        found = {r.combo: r for r in S.shapiro_wilk(frame, block).collect()}
+        for k, (_, w, p) in known.items():
+            assert abs(found[k].w - w) < 1e-5 and abs(found[k].p - p) < 1e-4, k
+        for k, values in others.items():
+            assert abs(found[k].w - shapiro(values)) < 1e-7 and 0 <= found[k].p <= 1, k
+        assert all(found[k].w is None and found[k].p is None for k in none)
+    assert abs(found["3"].p - 6 / math.pi * (math.asin(math.sqrt(found["3"].w)) - math.asin(math.sqrt(0.75)))) < 1e-9
+    assert found["200"].p < 1e-6 and found["null"].n == 2
+    assert S.shapiro_wilk(frame.where("x > 1e9")).count() == 0
