@@ -73,6 +73,32 @@ def attention(name: str, load: Callable[[], Callable[[str, str], list[tuple[str,
     return F.pandas_udf(run, "array<struct<word:string,weight:double>>")
 
 
+def generator(name: str, load: Callable[[], Callable[[list[str]], list[str]]], batch: int = 8) -> Callable[[Column], Column]:
+    """Replies of a model that takes a list of prompts, ``batch`` at a time. The model is loaded
+    once for all batches of a task. Prompts of a batch that fails are asked one by one, and one
+    that still fails has ``[ERROR]`` and the message as its reply; null prompts have null."""
+
+    def ask(model: Callable[[list[str]], list[str]], prompts: list[str]) -> list[str]:
+        try:
+            replies = list(model(prompts))
+            if len(replies) != len(prompts):
+                raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+            return replies
+        except Exception as error:  # the model's own, whatever it is
+            if len(prompts) == 1:
+                return [f"[ERROR] {error}"]
+            return [ask(model, [prompt])[0] for prompt in prompts]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = once(name, load)
+        for prompts in batches:
+            asked = prompts.dropna()
+            replies = [r for at in range(0, len(asked), batch) for r in ask(model, asked.iloc[at : at + batch].tolist())]
+            yield pd.Series(replies, index=asked.index, dtype="object").reindex(prompts.index).where(prompts.notna(), None)
+
+    return F.pandas_udf(run, "string")
+
+
 def answer_function(name: str, load: Callable[[], Callable[[str, str], dict]]) -> Any:
     """A table function ``(question, context) -> (answer, score, start, end)`` of the same
     models as ``answerer``, for lateral joins and SQL; rows go to it in Arrow batches. A

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import answer_queries, keyword_queries, model_queries, phrase_queries, result_queries, text_queries
+    from . import answer_queries, generation_queries, keyword_queries, model_queries, phrase_queries, result_queries, text_queries
 
-    return [answer_queries, keyword_queries, model_queries, phrase_queries, result_queries, text_queries]
+    return [answer_queries, generation_queries, keyword_queries, model_queries, phrase_queries, result_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
