@@ -31,6 +31,8 @@ WINDOW = 13
 BLOCK_WORDS = 2_000_000
 #: Distinct words of a benchmark at most.
 MOST_TERMS = 50_000_000
+#: Windows of one rarest term that a segment is asked at once.
+LIKELY = 65_536
 #: Text of a segment.
 SEGMENT_BYTES = 4 << 20
 SEGMENT = "segment long, doc_ids array<bigint>, n_words binary, counts binary, postings binary"
@@ -61,6 +63,12 @@ class Questions:
         by_width = {n: (np.flatnonzero([len(w) == n for w in self.windows])) for n in {len(w) for w in self.windows}}
         self.by_width = by_width
         self.matrix = {n: np.stack([self.windows[i] for i in at]) for n, at in by_width.items()}
+        # Rows of the matrix in order of their rarest term, and these terms.
+        self.rarest = {}
+        for n, at in by_width.items():
+            rare = np.array([self.windows[i][self.orders[i][0]] for i in at])
+            rows = np.argsort(rare, kind="stable")
+            self.rarest[n] = rare[rows], rows
 
 
 def _hashes(terms: set[bytes]) -> dict[bytes, np.uint64]:
@@ -72,8 +80,8 @@ def _hashes(terms: set[bytes]) -> dict[bytes, np.uint64]:
 
 
 def benchmark_terms(benchmark: DataFrame) -> np.ndarray:
-    """Sorted hashes of the distinct words of all items. A benchmark's vocabulary grows slowly with it; the hashes are eight bytes a
-    word, up to ``MOST_TERMS``."""
+    """Sorted hashes of the distinct words of all items. A benchmark's vocabulary grows slowly
+    with it; the hashes are eight bytes a word, up to ``MOST_TERMS``."""
     arrow_rows(benchmark.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +129,12 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
                 position = (hit + doc * gap).astype(np.uint32)
                 by_term = np.argsort(term, kind="stable")
                 listed = np.diff(position[by_term], prepend=np.uint32(0)).astype(np.uint32)
+                present, n = np.unique(term, return_counts=True)
                 yield {
                     "segment": segment,
                     "doc_ids": ids[i:j],
                     "n_words": np.diff(range_).astype(np.int32).tobytes(),
-                    "counts": zstandard.compress(np.bincount(term, minlength=len(terms)).astype(np.uint32).tobytes(), 1),
+                    "counts": zstandard.compress(np.stack([present, n]).astype(np.uint32).tobytes(), 1),
                     "postings": zstandard.compress(listed.view(np.uint8).reshape(-1, 4).T.tobytes(), 1),
                 }
                 segment += 1
@@ -137,13 +146,14 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
 
 
 def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Postings of each term over all segments; ``n_terms`` is bounded by the block."""
+    """Postings of each term over all segments; of ``n_terms`` terms, up to ``MOST_TERMS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_terms, np.int64)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                total += np.frombuffer(zstandard.decompress(blob), np.uint32)
+                present, n = _present(blob)
+                total[present] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": used.astype(np.int64), "n": total[used]})
 
@@ -153,34 +163,54 @@ def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
     return counts
 
 
-def segment_matches(ask: Questions, counts: np.ndarray, postings: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """``(window, start positions)`` of the windows that occur in a segment."""
-    ptr = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+def _present(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that a segment has, ascending, and how often."""
+    both = np.frombuffer(zstandard.decompress(blob), np.uint32).reshape(2, -1).astype(np.int64)
+    return both[0], both[1]
+
+
+def segment_matches(ask: Questions, present: np.ndarray, counts: np.ndarray, postings: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """``(window, start positions)`` of the windows that occur in a segment.
+
+    Windows are found by their rarest term among the segment's terms, so the work follows
+    the segment and what it may have, not the benchmark.
+    """
+    if not len(present):
+        return
+    ptr = np.concatenate([[0], np.cumsum(counts)])
     for width, at in ask.by_width.items():
-        present = (counts[ask.matrix[width]] > 0).all(axis=1)
-        for w in at[present]:
-            window, order = ask.windows[w], ask.orders[w]
-            offset = int(order[0])
-            t = window[offset]
-            start = postings[ptr[t] : ptr[t + 1]] - offset
-            for offset in order[1:]:
-                t = window[offset]
-                listed = postings[ptr[t] : ptr[t + 1]]
-                i = np.searchsorted(listed, start + (offset - slop))
-                start = start[(i < len(listed)) & (listed[np.minimum(i, len(listed) - 1)] <= start + (offset + slop))]
-                if not len(start):
-                    break
-            if len(start):
-                yield int(w), start
-
-
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words by document, counts by term and positions of a stored segment."""
+        rare, rows = ask.rarest[width]
+        low, high = np.searchsorted(rare, present, "left"), np.searchsorted(rare, present, "right")
+        n = high - low
+        likely = rows[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        # A few windows at a time: those with a common rarest term may be many.
+        for first in range(0, len(likely), LIKELY):
+            some = likely[first : first + LIKELY]
+            place = np.minimum(np.searchsorted(present, ask.matrix[width][some]), len(present) - 1)
+            whole = (present[place] == ask.matrix[width][some]).all(axis=1)
+            for w, terms in zip(at[some[whole]].tolist(), place[whole]):
+                order = ask.orders[w]
+                offset = int(order[0])
+                t = terms[offset]
+                start = postings[ptr[t] : ptr[t + 1]] - offset
+                for offset in order[1:]:
+                    t = terms[offset]
+                    listed = postings[ptr[t] : ptr[t + 1]]
+                    i = np.searchsorted(listed, start + (offset - slop))
+                    start = start[(i < len(listed)) & (listed[np.minimum(i, len(listed) - 1)] <= start + (offset + slop))]
+                    if not len(start):
+                        break
+                if len(start):
+                    yield w, start
+
+
+def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words by document, terms, their counts and positions of a stored segment."""
     n_words = np.frombuffer(row["n_words"], np.int32)
-    counts = np.frombuffer(zstandard.decompress(row["counts"]), np.uint32)
+    present, counts = _present(row["counts"])
     planes = np.frombuffer(zstandard.decompress(row["postings"]), np.uint8).reshape(4, -1)
     deltas = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32)
-    return n_words, counts, np.cumsum(deltas, dtype=np.uint32).astype(np.int64)
+    return n_words, present, counts, np.cumsum(deltas, dtype=np.uint32).astype(np.int64)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
@@ -243,16 +273,17 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
     starts if the rarest word is in place; it can lie before the document.
     ``item_id`` is a string, ``null`` for none.
 
-    Null and empty texts match nothing; items without words ask nothing. Repeated rows give
-    their matches each, items with equal id and windows one. Empty tables give an empty
+    Null and empty texts match nothing; items without words ask nothing. Long texts go whole:
+    a document is in one segment, which may be larger than ``SEGMENT_BYTES``. Repeated rows
+    give their matches each, items with equal id and windows one. Empty tables give an empty
     result; other columns are ignored.
     """
     index, asked, gap = _asked(docs, benchmark, window, slop)
 
     def answer(row: dict, ask: Questions) -> Iterator[dict]:
-        n_words, counts, postings = _open(row)
+        n_words, present, counts, postings = _open(row)
         base = np.concatenate([[0], np.cumsum(n_words.astype(np.int64) + gap)])
-        for w, starts in segment_matches(ask, counts, postings, slop):
+        for w, starts in segment_matches(ask, present, counts, postings, slop):
             # The rarest word is inside the document, whatever the start.
             of = np.searchsorted(base, starts + int(ask.orders[w][0]), "right") - 1
             for s, d in zip(starts.tolist(), of.tolist()):
@@ -273,7 +304,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     ids of the items with occurring windows, sorted as strings and comma-joined;
     contaminated documents have a hit and ``parts * n_hit >= n_words``.
 
-    Null and empty texts have no words; items without words ask nothing; a null item_id
+    Null and empty texts have no words; long texts go whole, a document is in one segment;
+    items without words ask nothing; a null item_id
     reads ``null`` and rows with equal item_id are one item. Every row of ``docs`` gives a
     row, repeated ids too; empty tables give empty results or no hits; other columns are
     ignored.
@@ -289,11 +321,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
 def _hits(row: dict, ask: Questions, gap: int) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
     """Of a segment: words by document, coverage by position, item ids by document."""
-    n_words, counts, postings = _open(row)
+    n_words, present, counts, postings = _open(row)
     base = np.concatenate([[0], np.cumsum(n_words.astype(np.int64) + gap)])
     edge = np.zeros(base[-1] + 1, np.int32)
     items: dict[int, set[str]] = defaultdict(set)
-    for w, starts in segment_matches(ask, counts, postings):
+    for w, starts in segment_matches(ask, present, counts, postings):
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + len(ask.windows[w]), -1)
         for d in np.unique(np.searchsorted(base, starts, "right") - 1).tolist():

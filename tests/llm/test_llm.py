@@ -459,6 +459,24 @@ def test_decontaminate(spark, corpus):
     assert exact and exact <= near
 
 
+def test_decontaminate_long_texts_and_common_terms(spark):
+    """A text of several segments' size in one segment; many windows of one rarest term, asked
+    a few at a time; most of the vocabulary in no document."""
+    passage = " ".join(f"p{k}" for k in range(13))
+    long_text = " ".join(f"w{k % 5000}" for k in range(900_000)) + " " + passage + " end"
+    items = [(f"i{k}", f"{passage} x{k}") for k in range(40)] + [(f"n{k}", " ".join(f"absent{k}_{j}" for j in range(20))) for k in range(200)]
+    docs = spark.createDataFrame([(1, long_text), (2, passage), (3, "w1 w2"), (4, None), (5, "")], "doc_id long, text string")
+    held, decontaminate.LIKELY = decontaminate.LIKELY, 3
+    try:
+        got = {r.doc_id: r for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    finally:
+        decontaminate.LIKELY = held
+    assert len(long_text) > decontaminate.SEGMENT_BYTES
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated) == (900_014, 13, 40, False)
+    assert (got[2].n_words, got[2].n_hit, got[2].n_items, got[2].contaminated) == (13, 13, 40, True)
+    assert all((got[d].n_hit, got[d].n_items) == (0, 0) for d in (3, 4, 5))
+
+
 def near_matches(rows, items, window, slop):
     """Brute force of proximity matches: every word within ``slop`` of its place from the
     rarest word (by all documents)."""
