@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, arrow_schema, materialise, packed, partitions
 
 
+#: Level of compression of what is shuffled.
+LEVEL = 3
 #: Digests of several texts that are handled as literals; more are joined.
 FEW_CLASHES = 1000
 
@@ -53,7 +55,7 @@ def exact_groups(docs: DataFrame, digest: Digest = digest) -> DataFrame:
     schema = arrow_schema(docs.sparkSession, kind)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        squeeze = zstandard.ZstdCompressor(1)
+        squeeze = zstandard.ZstdCompressor(LEVEL)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 form = canonical(text)
@@ -68,6 +70,29 @@ def collisions(groups: DataFrame) -> DataFrame:
     return groups.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` in partitions by ranges of doc_id, sorted by it and the text, nulls
+    first. Texts are compressed while they are shuffled."""
+    spark = docs.sparkSession
+    squeezed, plain = "doc_id long, text binary", "doc_id long, text string"
+    small, whole = arrow_schema(spark, squeezed), arrow_schema(spark, plain)
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        compressor = zstandard.ZstdCompressor(LEVEL)
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield {"doc_id": doc_id, "text": compressor.compress(text.encode())}
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield {"doc_id": doc_id, "text": zstandard.decompress(text).decode()}
+
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sent = texts.mapInArrow(lambda b: packed(squeeze(b), small), squeezed).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
+    return sent.mapInArrow(lambda b: packed(restore(b), whole), plain).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _INNER = RESULT + ", form_sha string, edited_form_sha string, edge int, text string"
 
@@ -99,7 +124,8 @@ def fingerprint_edits(docs: DataFrame, digest: Digest = digest) -> DataFrame:
     Repeated rows stand next to each other and give a row each; an empty table gives an
     empty result; other columns are ignored.
 
-    Texts are shuffled once, by ranges of doc_id. The last document of a range meets the
+    Texts are shuffled by ranges of doc_id, and their canonical forms by digests, both
+    compressed; long texts go whole. The last document of a range meets the
     first one of the next range in a join by the ranges' numbers (two rows a partition).
     Where different canonical texts have one digest, all fingerprints of that digest are
     lengthened by the text's SHA-256.
@@ -121,9 +147,7 @@ def fingerprint_edits(docs: DataFrame, digest: Digest = digest) -> DataFrame:
         if held is not None:
             yield {"doc_id": held[0], "edge": 2, "text": held[1]}
 
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    part = ordered.mapInArrow(lambda b: packed(rows(b), schema), _INNER)
+    part = in_order(docs).mapInArrow(lambda b: packed(rows(b), schema), _INNER)
     stored = materialise(part.withColumn("part", F.spark_partition_id()))
     # Ids are not split between ranges, so partition numbers order the edges.
     ranges = Window.orderBy("part")
