@@ -9,21 +9,22 @@ nested or apart, so a sweep over the sorted events needs only the stack of rules
 open: a running sum of openings and closings is its height, and the last rule opened at a
 height is the entry of that height. A url takes the top of the stack where it is met.
 
-The sweep is made of two window functions over buckets of urls: each bucket gets a copy of
-the events of one block of rules (bounded rows), and a hot host spreads over all buckets.
+Keys of urls and rules are dealt together by ranges of the key, each key once, so neither a
+hot host nor a hot path makes a task larger. What is open where a range begins are the rules
+whose keys are prefixes of its first key: no more than that key has bytes. They are carried
+into the range, and nothing else is copied. The sweep of a range is two window functions.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_spread, materialise, partitions
+from .common import join_spread, materialise, partitions, release
+
+#: Hosts of rules up to which their set is broadcast to leave out suffixes without rules.
+BROADCAST_HOSTS = 100_000
 
-#: Rules that one sweep holds; longer lists are swept in blocks, and the longest match wins.
-RULES_PER_BLOCK = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,8 +63,8 @@ def _host_key(labels: Column) -> Column:
     return F.concat(F.array_join(labels, "\0"), F.lit("\0"))
 
 
-def rule_events(rules: DataFrame, blocks: int = 1) -> DataFrame:
-    """``(block, k, kind, step, item)``: opening (1) and closing (-1) of each rule."""
+def rule_events(rules: DataFrame) -> DataFrame:
+    """``(k, kind, step, item)``: opening (1) and closing (-1) of each rule."""
     key = F.concat(_host_key(_labels(F.col("host"))), F.when(F.col("path") != "", F.concat(F.lit("\1"), "path")).otherwise(F.lit("")))
     keyed = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
@@ -71,13 +72,59 @@ def rule_events(rules: DataFrame, blocks: int = 1) -> DataFrame:
         .groupBy(F.encode(key, "UTF-8").alias("k"))
         .agg(F.max(F.struct("verdict", F.concat("host", "path").alias("rule"))).alias("v"))
         .select("k", F.struct(F.length("v.rule").alias("n"), F.col("v.rule").alias("rule"), F.col("v.verdict").alias("verdict")).alias("item"))
-        .withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)))
     )
-    opens = keyed.select("block", "k", F.lit(0).alias("kind"), F.lit(1).alias("step"), "item")
-    closes = keyed.select("block", F.expr("concat(k, X'FF')").alias("k"), F.lit(1).alias("kind"), F.lit(-1).alias("step"))
+    opens = keyed.select("k", F.lit(0).alias("kind"), F.lit(1).alias("step"), "item")
+    closes = keyed.select(F.expr("concat(k, X'FF')").alias("k"), F.lit(1).alias("kind"), F.lit(-1).alias("step"))
     return opens.unionByName(closes, allowMissingColumns=True)
 
 
+def url_levels(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(host, path, k)``: the key of each url under each of its host's suffixes that has no
+    more labels than a rule's host and, where the rules' hosts are counted to be few, is one."""
+    hosts = rules.where("host is not null").select(F.encode(_host_key(_labels(F.translate("host", UPPER, LOWER))), "UTF-8").alias("suffix")).distinct()
+    depth = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\.", -1))), F.lit(1))).first()[0]
+    levels = (
+        keys.withColumn("labels", _labels(F.col("host")))
+        .withColumn("level", F.explode(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(depth)))))
+        .withColumn("suffix", F.encode(_host_key(F.expr("slice(labels, 1, level)")), "UTF-8"))
+    )
+    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        levels = levels.join(F.broadcast(hosts), "suffix", "left_semi")
+    return levels.select("host", "path", F.concat("suffix", F.encode(F.concat(F.lit("\1"), "path"), "UTF-8")).alias("k"))
+
+
+def sweep(points: DataFrame, events: DataFrame, parts: int) -> DataFrame:
+    """``(k, m, top)``: the rule with the longest key among those that hold the point ``k``,
+    for the points ``(k, m)`` that any rule holds.
+
+    ``events`` are those of ``rule_events``; keys of points are distinct. Work is dealt by
+    ``parts`` ranges of keys.
+    """
+    both = points.select("k", "m", F.lit(2).alias("kind"), F.lit(0).alias("step")).unionByName(events, allowMissingColumns=True)
+    # Written once, so that ranges stay what they are.
+    dealt = materialise(both.repartitionByRange(parts, "k").withColumn("part", F.spark_partition_id()))
+    opens = dealt.where("kind = 0").select("k", "step", "kind", "item")
+    longest = opens.agg(F.coalesce(F.max(F.length("k")), F.lit(0))).first()[0]
+    heads = (
+        dealt.groupBy("part")
+        .agg(F.min("k").alias("first"))
+        .where((F.length("first") > 1) & F.lit(longest > 0))
+        .select("part", F.explode(F.expr(f"transform(sequence(1, least(length(first) - 1, {max(longest, 1)})), i -> substring(first, 1, i))")).alias("k"))
+    )
+    carried = heads.join(opens, "k")
+    upto = lambda *by: Window.partitionBy("part", *by).orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (
+        dealt.unionByName(carried, allowMissingColumns=True)
+        .withColumn("height", F.sum("step").over(upto()))
+        .withColumn("top", F.last("item", ignorenulls=True).over(upto("height")))
+        .where((F.col("kind") == 2) & (F.col("height") > 0))
+        .select("k", "m", "top")
+    )
+    found = materialise(found)
+    release(dealt)
+    return found
+
+
 def judge_urls(
     pages: DataFrame,
     rules: DataFrame,
@@ -98,32 +145,11 @@ def judge_urls(
     one; an empty table gives an empty result; other columns of ``pages`` are ignored,
     whatever their names. Very long urls are keys like others.
     """
-    spark = pages.sparkSession
-    n_rules, depth = rules.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split("host", r"\.", -1))), F.lit(1))).first()
-    blocks = max(1, math.ceil(n_rules / RULES_PER_BLOCK))
-    buckets = 4 * partitions(spark)
-
     parsed = pages.select(F.col(id_col).alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     keys = materialise(parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")))
-    levels = (
-        keys.withColumn("labels", _labels(F.col("host")))
-        .withColumn("level", F.explode(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(depth)))))
-        .withColumn("k", F.encode(F.concat(_host_key(F.expr("slice(labels, 1, level)")), F.lit("\1"), "path"), "UTF-8"))
-    )
-    bucket = F.pmod(F.xxhash64("host", "path"), F.lit(buckets)).cast("int")
-    block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    urls = levels.select(block.alias("block"), bucket.alias("bucket"), "k", F.lit(2).alias("kind"), F.lit(0).alias("step"), "host", "path")
-    copies = rule_events(rules, blocks).select("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "k", "kind", "step", "item")
-
-    upto = lambda *by: Window.partitionBy("block", "bucket", *by).orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = (
-        urls.unionByName(copies, allowMissingColumns=True)
-        .withColumn("height", F.sum("step").over(upto()))
-        .withColumn("top", F.last("item", ignorenulls=True).over(upto("height")))
-        .where((F.col("kind") == 2) & (F.col("height") > 0))
-        .groupBy("host", "path")
-        .agg(F.max("top").alias("top"))
-    )
+    levels = url_levels(keys, rules)
+    held = sweep(levels.groupBy("k").agg(F.count(F.lit(1)).alias("m")), rule_events(rules), partitions(pages.sparkSession))
+    best = join_spread(levels, held, ["k"], "m").groupBy("host", "path").agg(F.max("top").alias("top"))
     judged = keys.join(best, ["host", "path"], "left")
     return join_spread(parsed, judged, ["host", "path"], "n").select(
         id_col, "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict")

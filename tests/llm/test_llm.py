@@ -76,12 +76,28 @@ def test_url_filter(spark, name, monkeypatch):
     table = url_filter.rules_frame(spark, rules)
     found = lambda: sorted(str(tuple(r)) for r in url_filter.judge_urls(pages, table).collect())
     assert found() == want
-    monkeypatch.setattr(url_filter, "RULES_PER_BLOCK", 2)
     monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", 1)
+    monkeypatch.setattr(url_filter, "partitions", lambda _: 17)
     assert found() == want
     assert url_filter.judge_urls(pages.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 13, 40])
+def test_nested_rules_over_ranges(spark, monkeypatch, parts):
+    """Rules in rules, open over many ranges of keys, and many hosts with one path."""
+    rng = random.Random(parts)
+    hosts = ["a", "b.a", "c.b.a", "ab", "a.ab", "b"]
+    path = lambda n: "".join(rng.choice(["/", "x", "xy", "é"]) for _ in range(n))
+    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h, p in ((rng.choice(hosts), path(rng.randrange(7))) for _ in range(80))}.values())
+    urls = [f"http://{rng.choice(['', 'w.', 'v.w.'])}{rng.choice(hosts)}/{path(rng.randrange(9))}" for _ in range(300)] + [f"http://h{i}.b.a/x" for i in range(100)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    monkeypatch.setattr(url_filter, "partitions", lambda _: parts)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    found = [tuple(r) for r in url_filter.judge_urls(pages, url_filter.rules_frame(spark, rules)).collect()]
+    assert sorted(found) == sorted((i, *judged_url(u, rules)) for i, u in enumerate(urls))
+
+
 def test_join_spread(spark):
     """A hot key is dealt to several rows of the other side, and no row is lost or doubled."""
     rows = spark.createDataFrame([(None if i % 3 == 0 else i % 5, i) for i in range(200)], "k int, v int")
