@@ -51,7 +51,7 @@ def sentences(text: Column) -> Column:
     looked at, so its first dot does end one.
     """
     padded = F.concat(F.lit(" "), strip(F.replace(text, F.lit("\n"), F.lit(" "))), F.lit(" "))
-    protected = _common(F.regexp_replace(padded, rf"{_BEFORE}({TITLES})\.", f"$1{_DOT}"))
+    protected = _common(F.regexp_replace(padded, rf"(?=[A-Z]){_BEFORE}({TITLES})\.", f"$1{_DOT}"))  # the first test is the quick one
     return F.coalesce(_split(protected, ".?!"), F.array().cast("array<string>"))
 
 

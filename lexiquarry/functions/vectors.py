@@ -22,6 +22,13 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def evaluated(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """``frame`` with a column that is made once a row: filters and projections over it are
+    merged with a plain column, and pushed into joins, so they would make it again in each
+    place that reads it. A generator of one row keeps it where it is."""
+    return frame.select("*", F.explode(F.array(value)).alias(name))
+
+
 def unit(v: Column) -> Column:
     """The vector at length one; a zero vector stays zero. Similarities of unit vectors are
     dot products, so norms are computed once a row and not once a pair."""

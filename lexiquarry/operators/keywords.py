@@ -374,15 +374,23 @@ _EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 def term_pattern(terms: Column) -> Column:
     """A pattern of one document's terms: the first of the array that stands between borders
-    of words. Terms may have several words, hyphens and other marks; there must be one."""
-    escaped = F.transform(terms, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
-    return F.concat(F.lit(f"{_EDGE}(?:"), F.array_join(escaped, "|"), F.lit(f"){_EDGE}"))
+    of words. Terms may have several words, hyphens and other marks; there must be one. Where
+    no term begins with the next character, nothing else is tried."""
+    escaped = lambda texts: F.transform(texts, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
+    first = F.array_join(escaped(F.array_distinct(F.transform(terms, lambda t: F.substring(t, 1, 1)))), "")
+    return F.concat(F.lit("(?=["), first, F.lit(f"]){_EDGE}(?:"), F.array_join(escaped(terms), "|"), F.lit(f"){_EDGE}"))
 
 
 def matches_of(text: Column, pattern: Column) -> Column:
     """Array of (start, word): the matches from left to right, which do not overlap, with
-    their places: a match begins where the matches and gaps before it end."""
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("word"))
+    their places: a match begins where the matches and gaps before it end. The pattern goes
+    over the text once and puts marks around its matches; a text that has the mark itself is
+    gone over twice."""
+    mark = "\x00"
+    zipped = lambda gaps, found: F.zip_with(gaps, found, lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
+    marked = F.split(F.regexp_replace(text, pattern, F.lit(f"{mark}$0{mark}")), mark, -1)
+    once = V.bound(marked, lambda p: zipped(F.filter(p, lambda _, i: i % 2 == 0), F.filter(p, lambda _, i: i % 2 == 1)))
+    pieces = F.when(F.contains(text, F.lit(mark)), zipped(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)))).otherwise(once)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string>>").alias("found"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -408,11 +416,11 @@ def grouped_keywords(keywords: DataFrame, case_sensitive: bool = False) -> DataF
 def matched_chunks(chunks: DataFrame, keywords: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """Chunks with ``hits``: array of (start, word, k) for every match of a term, ``k`` being
     its keyword. A document's terms are one pattern (``term_pattern``), which is compiled once
-    for its chunks."""
+    for its chunks. Matches are made once a chunk, and chunks are not broadcast."""
     low = F.col("text") if case_sensitive else F.lower("text")
-    found = chunks.join(grouped_keywords(keywords, case_sensitive), "doc_id").withColumn("_m", matches_of(low, F.col("pattern")))
+    found = V.evaluated(chunks.join(grouped_keywords(keywords, case_sensitive).hint("merge"), "doc_id"), "_m", matches_of(low, F.col("pattern")))
     hits = F.transform("_m", lambda m: F.struct(m["start"].alias("start"), m["word"].alias("word"), F.col("terms")[m["word"]].cast("int").alias("k")))
-    return found.withColumn("hits", hits).drop("_m", "terms", "pattern")
+    return V.evaluated(found, "hits", hits).drop("_m", "terms", "pattern")
 
 
 def filter_chunks(matched: DataFrame, minimum: int = 1) -> DataFrame:
@@ -431,7 +439,7 @@ def filter_chunks_raw(chunks: DataFrame, keywords: DataFrame, minimum: int = 3)
     words = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("kw_idx", "word"))), lambda k: k["word"]), lambda w: w != "")
     patterns = keywords.groupBy("doc_id").agg(words.alias("_t")).where(F.size("_t") > 0).select("doc_id", F.concat(F.lit("(?iu)"), term_pattern(F.col("_t"))).alias("pattern"))
     found = F.size(F.array_distinct(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
-    return chunks.join(patterns, "doc_id").withColumn("found", found).where(F.col("found") >= minimum).drop("pattern")
+    return V.evaluated(chunks.join(patterns.hint("merge"), "doc_id"), "found", found).where(F.col("found") >= minimum).drop("pattern")
 
 
 def score_chunks(matched: DataFrame, ratio: Column | float = 0.5, minimum: int = 1, position: float = 0.3, frequency: float = 0.7, total: Column | None = None) -> DataFrame:

@@ -3,9 +3,11 @@ deterministic formulas. ``*_SQL`` holds the same as common table expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+
 SCORING = ["only_score_diff", "only_weight", "equal_weight_score_diff"]
 CLUSTER = ["highest_avg_score", "weighted_score", "highest_cohesion"]
 ANSWER = ["highest_chunk_score", "highest_similarity", "combined_score"]
@@ -16,6 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)`` dealt by document, once for all branches of a plan: what is made of
+    documents (sentences, chunks, keywords) meets again without a shuffle. The number of
+    partitions is given, as this work costs more than its bytes show."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition(partitions, "doc_id")
+
+
+def most_frequent(words: Column, n: int) -> Column:
+    """Array of (m, word) of the ``n`` most frequent words of an array, then in alphabetical
+    order; m is minus their number. Equal words are neighbours once sorted."""
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return V.bound(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s) + 1)), lambda a, b: F.struct((a - b).alias("m"), F.get(s, a - 1).alias("word"))))
+
+    none = F.array().cast("array<struct<m:int,word:string>>")
+    return V.bound(F.sort_array(words), lambda s: F.when(F.size(s) > 0, F.slice(F.sort_array(counted(s)), 1, n)).otherwise(none))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result row for each document and each of the 27 strategy combinations."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -11,7 +11,7 @@ from ..operators import chunks as C
 from ..operators import keywords as K
 from ..operators import qa as Q
 from .answer_queries import _CL, _KEYS, _VALUES, NEAR, _chosen
-from .fixtures import ANSWER, CLUSTER, table
+from .fixtures import ANSWER, CLUSTER, documents, most_frequent, table
 from .text_queries import CHUNKS_SQL, MAX_TOKENS, OVERLAP, RUSSIAN, SENTENCES, TOKENS, _exploded
 
 QUESTION = "Which task does the text describe?"
@@ -31,15 +31,10 @@ def texts(spark, sf):
 
 def keywords(spark, sf, n: int = 8):
     """The ``n`` most frequent words of four or more letters of a document."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))
-    counts = _docs(spark, sf).select("doc_id", F.explode(w).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("m"))
-    order = F.row_number().over(K.Window.partitionBy("doc_id").orderBy(F.col("m").desc(), "word"))
-    return (
-        counts.withColumn("kw_idx", order - 1)
-        .where(F.col("kw_idx") < n)
-        .select(
-            "doc_id", "kw_idx", "word", (1 / (1 + F.col("kw_idx"))).alias("weight"), F.col("word").alias("lemma"), F.substring("word", 1, 6).alias("stem"), ((F.length("word") % 5) / 4.0).alias("score_diff")
-        )
+    w = F.flatten(F.transform("texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}{4,}"), F.lit(0))))
+    found = documents(spark, sf).groupBy("doc_id").agg(F.collect_list("text").alias("texts")).select("doc_id", F.posexplode(most_frequent(w, n)).alias("kw_idx", "k"))
+    return found.select("doc_id", "kw_idx", F.col("k.word").alias("word")).select(
+        "doc_id", "kw_idx", "word", (1 / (1 + F.col("kw_idx"))).alias("weight"), F.col("word").alias("lemma"), F.substring("word", 1, 6).alias("stem"), ((F.length("word") % 5) / 4.0).alias("score_diff")
     )
 
 
@@ -47,8 +42,13 @@ def chunks(spark, sf):
     return C.build_chunks(_docs(spark, sf), MAX_TOKENS, OVERLAP)
 
 
+def dealt_chunks(spark, sf):
+    """Chunks where their documents' keywords are made."""
+    return C.build_chunks(documents(spark, sf), MAX_TOKENS, OVERLAP)
+
+
 def _matched(spark, sf):
-    return K.matched_chunks(chunks(spark, sf), keywords(spark, sf))
+    return K.matched_chunks(dealt_chunks(spark, sf), keywords(spark, sf))
 
 
 def pieces(spark, sf, mark: str = "▁", inner: str = ""):
@@ -187,7 +187,7 @@ def q_filter_chunks_lemstem(spark, sf):
 
 
 def q_filter_chunks_raw(spark, sf):
-    return K.filter_chunks_raw(chunks(spark, sf), keywords(spark, sf), 3).select("doc_id", "chunk_idx", "found")
+    return K.filter_chunks_raw(dealt_chunks(spark, sf), keywords(spark, sf), 3).select("doc_id", "chunk_idx", "found")
 
 
 def _scored(frame):
@@ -201,7 +201,7 @@ def q_score_chunks(spark, sf):
 def q_score_advanced(spark, sf):
     """Keywords under the first three letters of their words, which several may share."""
     k = keywords(spark, sf).withColumn("word", F.substring("word", 1, 3))
-    return _scored(K.score_advanced(chunks(spark, sf), k, 0.7, minimum=2, case_sensitive=True))
+    return _scored(K.score_advanced(dealt_chunks(spark, sf), k, 0.7, minimum=2, case_sensitive=True))
 
 
 def q_score_density(spark, sf):

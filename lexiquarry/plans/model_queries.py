@@ -14,7 +14,7 @@ from ..operators import keywords as K
 from ..sources.resumable import answer_all
 from ..sources.staging import fresh_folder
 from .fixtures import table
-from .keyword_queries import _ANSWERS, _CHUNKS, _SHARES, QUESTION, chunks, keywords
+from .keyword_queries import _ANSWERS, _CHUNKS, _SHARES, QUESTION, chunks, dealt_chunks, keywords
 
 PHRASE = "semantic segmentation"
 
@@ -79,7 +79,7 @@ def q_stem_words(spark, sf):
 def q_score_chunks_stems(spark, sf):
     """Chunks scored by keywords of which the stems count besides the words."""
     k = K.add_lemma_and_stem(keywords(spark, sf), F.lower, stems.stemmer("en"))
-    return K.score_chunks(K.matched_chunks(chunks(spark, sf), k)).select("doc_id", "chunk_idx", "score")
+    return K.score_chunks(K.matched_chunks(dealt_chunks(spark, sf), k)).select("doc_id", "chunk_idx", "score")
 
 
 SQL = {

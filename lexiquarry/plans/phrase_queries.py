@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunks as C
 from ..operators import keywords as K
 from ..operators import qa as Q
-from .fixtures import table
+from .fixtures import documents, most_frequent
 from .keyword_queries import _COS, _VEC, _density, _score
 from .text_queries import CHUNKS_SQL, MAX_TOKENS, OVERLAP
 
@@ -19,7 +19,7 @@ KINDS = [(4, r"\p{L}{4,}"), (3, r"\p{L}+(?:-\p{L}+)+"), (3, r"\p{L}{2,} \p{L}{2,
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", HYPHENS, "$1-$2"))
+    return documents(spark, sf).withColumn("text", F.regexp_replace("text", HYPHENS, "$1-$2"))
 
 
 def chunks(spark, sf):
@@ -29,15 +29,12 @@ def chunks(spark, sf):
 def keywords(spark, sf):
     """Words, hyphenated words and phrases of two or three words; the stem is what stands
     before the first blank or hyphen, so it begins the term."""
-    def of_kind(i: int, pattern: str):
-        return F.transform(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)), lambda w: F.struct(F.lit(i).alias("kind"), w.alias("word")))
-
-    found = F.flatten(F.array(*(of_kind(i, p) for i, (_, p) in enumerate(KINDS))))
-    counts = docs(spark, sf).select("doc_id", F.explode(found).alias("k")).groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("m")).select("doc_id", "k.kind", "k.word", "m")
-    place = F.row_number().over(K.Window.partitionBy("doc_id", "kind").orderBy(F.col("m").desc(), "word"))
-    most = F.element_at(F.array(*(F.lit(n) for n, _ in KINDS)), F.col("kind") + 1)
-    kept = counts.withColumn("place", place).where(F.col("place") <= most)
-    kept = kept.withColumn("kw_idx", F.row_number().over(K.Window.partitionBy("doc_id").orderBy("place", "kind")) - 1)
+    def of_kind(i: int, n: int, pattern: str):
+        found = F.flatten(F.transform("texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit(pattern), F.lit(0))))
+        return F.transform(most_frequent(found, n), lambda k, at: F.struct(at.alias("place"), F.lit(i).alias("kind"), k["word"].alias("word")))
+
+    found = F.array_sort(F.concat(*(of_kind(i, n, p) for i, (n, p) in enumerate(KINDS))))
+    kept = docs(spark, sf).groupBy("doc_id").agg(F.collect_list("text").alias("texts")).select("doc_id", F.posexplode(found).alias("kw_idx", "k")).select("doc_id", "kw_idx", "k.word")
     return kept.select(
         "doc_id", "kw_idx", "word", (1 / (1 + F.col("kw_idx"))).alias("weight"), F.col("word").alias("lemma"), F.regexp_extract("word", r"^\p{L}+", 0).alias("stem"), ((F.length("word") % 5) / 4.0).alias("score_diff")
     )
