@@ -138,13 +138,20 @@ def medoid(answers: DataFrame) -> DataFrame:
     document's, itself included; the mean confidence of all; how many have its text.
 
     The sum of similarities to all is the similarity to the sum of all unit vectors, so no
-    pairs are made.
+    pairs are made. Similarities have nine places, and so have their means: where the sum
+    leaves several vectors that differ by less, these are compared with each of the answers.
     """
-    sums = answers.groupBy("doc").agg(V.total(F.collect_list("u")).alias("s"), F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
-    rows = answers.join(sums, "doc").withColumns(
-        {"closeness": F.round(V.dot(F.col("u"), F.col("s")) / F.col("n"), 9), "support": F.count(F.lit(1)).over(Window.partitionBy("doc", "text"))}
+    groups = answers.groupBy("doc").agg(F.collect_list("u").alias("us"), F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
+    near = V.bound(
+        V.total(F.col("us")),
+        lambda s: V.bound(F.transform("us", lambda u: V.dot(u, s) / F.col("n")), lambda x: V.bound(F.array_max(x), lambda top: F.array_distinct(F.filter("us", lambda _, i: F.get(x, i) >= top - 2e-9)))),
     )
-    best = first_by(rows, ["doc"], F.col("closeness"), F.col("idx"))
+    whole = lambda c: F.aggregate("us", F.lit(0).cast("long"), lambda t, u: t + F.round(V.dot(c, u) * 1e9).cast("long"))
+    means = F.transform("near", lambda c: F.round(whole(c) / F.col("n")))
+    chosen = F.when(F.size("near") == 1, F.col("near")).otherwise(V.bound(means, lambda m: V.bound(F.array_max(m), lambda top: F.filter("near", lambda _, i: F.get(m, i) == top))))
+    groups = V.evaluated(groups, "near", near).select("doc", "mean_confidence", chosen.alias("chosen"))
+    rows = answers.join(groups, "doc").withColumn("support", F.count(F.lit(1)).over(Window.partitionBy("doc", "text")))
+    best = first_by(rows, ["doc"], F.coalesce(F.array_contains("chosen", F.col("u")), F.lit(False)), F.col("idx"))
     return best.select("doc", "idx", "text", F.round("mean_confidence", 6).alias("confidence"), "support")
 
 

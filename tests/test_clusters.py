@@ -140,3 +140,12 @@ def test_a_document_with_many_answers(spark):
 
 def _lazy(x):
     return A.Products(pd.Series([v.tolist() for v in x]))
+
+
+def test_medoid_by_rounded_similarities(spark):
+    """Sums of similarities of nine places tell apart what the sum of vectors does not."""
+    vectors = [[0, 2, 0, 1], [2, 1, 0, 0], [1, 0, 0, 2], [0, 0, 0, 2], [0, 2, 2, 1]]
+    units = [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in vectors]
+    rows = [(7, i, str(i), 0.9, 0.0, u) for i, u in enumerate(units)] + [(8, 0, "a", 0.5, 0.0, [0.0, 0.0]), (9, 3, "x", 0.9, 0.0, None), (9, 4, "x", 0.7, 0.0, None)]
+    found = A.medoid(spark.createDataFrame(rows, "doc long, idx int, text string, confidence double, chunk_score double, u array<double>")).collect()
+    assert sorted((r.doc, r.idx, r.confidence, r.support) for r in found) == [(7, 2, 0.9, 1), (8, 0, 0.5, 1), (9, 3, 0.8, 2)]
