@@ -29,6 +29,15 @@ def evaluated(frame: DataFrame, name: str, value: Column) -> DataFrame:
     return frame.select("*", F.explode(F.array(value)).alias(name))
 
 
+def runs(ordered: Column, key=lambda x: x) -> Column:
+    """Array of (at, n): places, from 1, and lengths of the stretches of equal keys in a sorted
+    array."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (key(F.get(ordered, i - 1)) != key(F.get(ordered, i - 2))))
+    ends = lambda at: F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(ordered) + 1))
+    found = bound(starts, lambda at: F.zip_with(at, ends(at), lambda a, b: F.struct(a.alias("at"), (b - a).alias("n"))))
+    return F.when(F.size(ordered) > 0, found).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+
+
 def unit(v: Column) -> Column:
     """The vector at length one; a zero vector stays zero. Similarities of unit vectors are
     dot products, so norms are computed once a row and not once a pair."""

@@ -127,13 +127,35 @@ def _weighed(texts: DataFrame) -> DataFrame:
     return placed.join(_idf(texts).select("doc_id", "word", "idf"), ["doc_id", "word"])
 
 
+def _documents(texts: DataFrame) -> DataFrame:
+    """``(doc_id, n, ts)``: a document's texts ``(text_id, text)`` in one row, so its words are
+    counted in place and only texts are shuffled. Without texts of no document."""
+    rows = texts.where("doc_id is not null").groupBy("doc_id")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("text_id", F.coalesce("text", F.lit("")).alias("text"))).alias("ts"))
+
+
+def _is_term(word: Column) -> Column:
+    """A word parted by white space that is a term as a whole."""
+    return word.rlike(rf"\A{TERM}\z")
+
+
+def _all_terms(texts: Column) -> Column:
+    """The terms of several texts, each once a text, sorted."""
+    return F.sort_array(F.flatten(F.transform(texts, lambda x: F.array_distinct(terms(x["text"])))))
+
+
 def idf_filter(texts: DataFrame, threshold: float = 1.5) -> DataFrame:
-    """``(doc_id, text_id, kept)``: the words with an idf of at least ``threshold``."""
-    texts = staged(texts)
-    kept = _weighed(texts).where(F.round("idf", 9) >= threshold).groupBy("doc_id", "text_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("kept")
-    )
-    return texts.select("doc_id", "text_id").join(kept, ["doc_id", "text_id"], "left").withColumn("kept", F.coalesce("kept", F.lit("")))
+    """``(doc_id, text_id, kept)``: the words with an idf of at least ``threshold``.
+
+    A word goes with ``m`` texts or more, ``m`` being the least number whose idf is under the
+    threshold: in the sorted terms its neighbour ``m - 1`` places on is equal. Such words are
+    few, as each takes ``m`` of the document's terms."""
+    enough = F.size(F.filter(F.sequence(F.lit(1), F.col("n").cast("int")), lambda d: F.round(F.log(F.col("n") / d) + 1, 9) >= threshold))
+    docs = V.evaluated(_documents(texts).withColumn("_m", enough), "_s", _all_terms(F.col("ts")))
+    docs = V.evaluated(docs, "_out", F.array_distinct(F.filter("_s", lambda w, i: F.get("_s", i + F.col("_m")) == w))).drop("_s", "_m")
+    kept = F.array_join(F.filter(words(F.col("t.text")), lambda w: _is_term(w) & ~F.array_contains("_out", w)), " ")
+    rows = docs.select("doc_id", "_out", F.explode("ts").alias("t")).select("doc_id", "t.text_id", kept.alias("kept"))
+    return rows.unionAll(texts.where("doc_id is null").select("doc_id", "text_id", F.lit("").alias("kept")))
 
 
 def thresholds(initial: float = 1.5, least: float = 0.5, step: float = 0.2) -> list[float]:
@@ -180,16 +202,33 @@ def dynamic_idf_filter(texts: DataFrame, initial: float = 1.5) -> DataFrame:
 def characteristic(texts: DataFrame, share: float = 0.8, least_df: int = 2, weight: float = 0.1, lemma=lambda term: term) -> DataFrame:
     """``(doc_id, text_id, word, tfidf)``: terms and pairs of terms in at least ``least_df``
     and at most ``share`` of a document's texts whose normalised weight in a text reaches
-    ``weight``. ``lemma`` is a column function of a term."""
-    texts = staged(texts.select("doc_id", "text_id", F.transform(terms(F.col("text")), lemma).alias("t")))
-    n = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    couples = F.when(F.size("t") > 1, F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    grams = F.concat("t", F.coalesce(couples, F.array().cast("array<string>")))
-    tf = texts.select("doc_id", "text_id", F.explode(grams).alias("word")).groupBy("doc_id", "text_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("df")).join(n, "doc_id").where((F.col("df") >= least_df) & (F.col("df") <= share * F.col("n")))
-    w = tf.join(df, ["doc_id", "word"]).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id", "text_id")))
-    return w.select("doc_id", "text_id", "word", F.round(F.col("x") / norm, 6).alias("tfidf")).where(F.col("tfidf") >= weight)
+    ``weight``. ``lemma`` is a column function of a term. A document is one row until the
+    words that count are known, so only texts are shuffled."""
+
+    def grams(text: Column) -> Column:
+        t = F.transform(terms(text), lemma)
+        couples = lambda t: F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))
+        return V.bound(t, lambda t: F.when(F.size(t) > 1, F.concat(t, couples(t))).otherwise(t))
+
+    placed = F.flatten(F.transform("ts", lambda x: F.transform(grams(x["text"]), lambda g: F.struct(g.alias("word"), x["text_id"].alias("text_id")))))
+    docs = V.evaluated(_documents(texts), "_s", F.sort_array(placed)).drop("ts")
+    tf = F.transform(V.runs(F.col("_s")), lambda r: V.bound(F.get("_s", r["at"] - 1), lambda x: F.struct(x["word"].alias("word"), x["text_id"].alias("text_id"), r["n"].alias("tf"))))
+    docs = V.evaluated(docs, "_tf", tf).drop("_s")
+    # Texts with a word are neighbours; then words of a text.
+    fit = F.filter(V.runs(F.col("_tf"), lambda x: x["word"]), lambda r: (r["n"] >= least_df) & (r["n"] <= share * F.col("n")))
+    weighed = lambda r: F.transform(
+        F.slice("_tf", r["at"], r["n"]), lambda x: F.struct(x["text_id"].alias("text_id"), x["word"].alias("word"), (x["tf"] * (F.log((1 + F.col("n")) / (1 + r["n"])) + 1)).alias("x"))
+    )
+    docs = V.evaluated(docs, "_w", F.sort_array(F.flatten(F.transform(fit, weighed)))).drop("_tf")
+
+    def normalised_text(r: Column) -> Column:
+        own = F.slice("_w", r["at"], r["n"])
+        norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, y: s + y["x"] * y["x"]))
+        heavy = lambda norm: F.filter(F.transform(own, lambda y: F.struct(y["text_id"].alias("text_id"), y["word"].alias("word"), F.round(y["x"] / norm, 6).alias("tfidf"))), lambda y: y["tfidf"] >= weight)
+        return V.bound(norm, heavy)
+
+    found = F.flatten(F.transform(V.runs(F.col("_w"), lambda x: x["text_id"]), normalised_text))
+    return docs.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.text_id", "f.word", "f.tfidf")
 
 
 def characteristic_contrast(texts: DataFrame, targets: int = 1) -> DataFrame:
@@ -216,12 +255,23 @@ def characteristic_filter(texts: DataFrame, targets: int = 1, each: int = 3, eno
     least; the first one of greatest coverage counts. A text has enough words at every
     threshold up to its ``each``-th greatest score, so the walk needs one number a text.
     """
-    texts = staged(texts)
-    scores = _contrasted(texts, targets)
-    aims = texts.where(F.col("text_id") < targets)
-    placed = staged(aims.select("doc_id", "text_id", F.posexplode(words(F.col("text"))).alias("pos", "word")).join(scores, ["doc_id", "word"]))
-    reach = placed.groupBy("doc_id", "text_id").agg(F.get(F.reverse(F.sort_array(F.collect_list(F.round("score", 9)))), F.lit(each - 1)).alias("reach"))
-    reach = aims.select("doc_id", "text_id").join(reach, ["doc_id", "text_id"], "left").groupBy("doc_id").agg(F.collect_list("reach").alias("reach"), F.count(F.lit(1)).alias("n"))
+    aimed = lambda side: F.filter("ts", lambda x: (x["text_id"] < targets) == side)
+    listed = F.transform(aimed(True), lambda x: F.struct(x["text_id"].alias("text_id"), F.filter(words(x["text"]), _is_term).alias("words")))
+    docs = V.evaluated(_documents(texts), "_a", listed).where(F.size("_a") > 0)
+    # Of all terms only those of the targets count; (word, side) are neighbours once sorted.
+    docs = V.evaluated(docs, "_own", F.array_distinct(F.flatten(F.transform("_a", lambda x: x["words"]))))
+    sided = lambda side: F.flatten(F.transform(aimed(side), lambda x: F.transform(F.array_intersect(terms(x["text"]), "_own"), lambda w: F.struct(w.alias("word"), F.lit(int(not side)).alias("b")))))
+    docs = V.evaluated(docs, "_s", F.sort_array(F.concat(sided(True), sided(False)))).drop("ts", "_own")
+
+    def scored(r: Column) -> Column:
+        background = F.aggregate(F.slice("_s", r["at"], r["n"]), F.lit(0), lambda n, x: n + x["b"])
+        return V.bound(background, lambda b: F.struct(F.get("_s", r["at"] - 1)["word"].alias("word"), ((F.log(F.col("n") / r["n"]) + 1) * (r["n"] - b + 1) / (b + 1)).alias("score")))
+
+    docs = V.evaluated(docs, "_scores", F.map_from_entries(F.transform(V.runs(F.col("_s"), lambda x: x["word"]), scored))).drop("_s", "n")
+    placed = F.transform("_a", lambda x: F.struct(x["text_id"].alias("text_id"), F.transform(x["words"], lambda w: F.struct(w.alias("word"), F.round(F.col("_scores")[w], 9).alias("score"))).alias("words")))
+    docs = V.evaluated(docs, "_p", placed).drop("_a", "_scores")
+    best = F.transform("_p", lambda x: F.get(F.reverse(F.sort_array(F.transform(x["words"], lambda w: w["score"]))), F.lit(each - 1)))
+    reach = V.evaluated(docs, "reach", F.filter(best, lambda x: x.isNotNull())).withColumn("n", F.size("_p"))
 
     def step(acc: Column, _: Column) -> Column:
         cover = F.size(F.filter(F.col("reach"), lambda x: x >= F.round(acc["t"], 9))) / F.col("n")
@@ -239,12 +289,9 @@ def characteristic_filter(texts: DataFrame, targets: int = 1, each: int = 3, eno
 
     begin = F.struct(F.lit(initial).alias("t"), F.lit(-1.0).alias("best"), F.lit(initial).alias("at"), F.lit(False).alias("done"))
     most = F.sequence(F.lit(0), F.lit(round((initial - least) / 0.05) + 1))
-    walked = reach.select("doc_id", F.aggregate(most, begin, step).alias("w")).select("doc_id", F.col("w.at").alias("threshold"), F.col("w.best").alias("coverage"))
-    kept = placed.join(walked, "doc_id").where(F.round("score", 9) >= F.round("threshold", 9)).groupBy("doc_id", "text_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("kept")
-    )
-    rows = aims.select("doc_id", "text_id").join(walked, "doc_id").join(kept, ["doc_id", "text_id"], "left")
-    return rows.select("doc_id", "text_id", F.coalesce("kept", F.lit("")).alias("kept"), F.round("threshold", 6).alias("threshold"), F.round("coverage", 6).alias("coverage"))
+    walked = V.evaluated(reach, "w", F.aggregate(most, begin, step)).select("doc_id", F.col("w.at").alias("threshold"), F.col("w.best").alias("coverage"), F.explode("_p").alias("p"))
+    kept = F.array_join(F.transform(F.filter("p.words", lambda w: w["score"] >= F.round("threshold", 9)), lambda w: w["word"]), " ")
+    return walked.select("doc_id", "p.text_id", kept.alias("kept"), F.round("threshold", 6).alias("threshold"), F.round("coverage", 6).alias("coverage"))
 
 
 def add_lemma_and_stem(keywords: DataFrame, lemma=F.lower, stem=F.lower) -> DataFrame:

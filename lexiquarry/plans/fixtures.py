@@ -29,13 +29,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def most_frequent(words: Column, n: int) -> Column:
     """Array of (m, word) of the ``n`` most frequent words of an array, then in alphabetical
     order; m is minus their number. Equal words are neighbours once sorted."""
-
-    def counted(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
-        return V.bound(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s) + 1)), lambda a, b: F.struct((a - b).alias("m"), F.get(s, a - 1).alias("word"))))
-
-    none = F.array().cast("array<struct<m:int,word:string>>")
-    return V.bound(F.sort_array(words), lambda s: F.when(F.size(s) > 0, F.slice(F.sort_array(counted(s)), 1, n)).otherwise(none))
+    counted = lambda s: F.transform(V.runs(s), lambda r: F.struct((-r["n"]).alias("m"), F.get(s, r["at"] - 1).alias("word")))
+    return V.bound(F.sort_array(words), lambda s: F.slice(F.sort_array(counted(s)), 1, n))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

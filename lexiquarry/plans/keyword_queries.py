@@ -29,6 +29,10 @@ def texts(spark, sf):
     return C.split_sentences(_docs(spark, sf)).withColumnRenamed("sent_pos", "text_id")
 
 
+def dealt_texts(spark, sf):
+    return C.split_sentences(documents(spark, sf)).withColumnRenamed("sent_pos", "text_id")
+
+
 def keywords(spark, sf, n: int = 8):
     """The ``n`` most frequent words of four or more letters of a document."""
     w = F.flatten(F.transform("texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}{4,}"), F.lit(0))))
@@ -82,7 +86,7 @@ def q_idf(spark, sf):
 
 
 def q_idf_filter(spark, sf):
-    return K.idf_filter(texts(spark, sf))
+    return K.idf_filter(dealt_texts(spark, sf))
 
 
 def q_dynamic_idf(spark, sf):
@@ -90,7 +94,7 @@ def q_dynamic_idf(spark, sf):
 
 
 def q_characteristic(spark, sf):
-    return K.characteristic(texts(spark, sf))
+    return K.characteristic(dealt_texts(spark, sf))
 
 
 def q_characteristic_contrast(spark, sf):
@@ -98,7 +102,7 @@ def q_characteristic_contrast(spark, sf):
 
 
 def q_characteristic_filter(spark, sf):
-    return K.characteristic_filter(texts(spark, sf), targets=5)
+    return K.characteristic_filter(dealt_texts(spark, sf), targets=5)
 
 
 def q_lemma_stem(spark, sf):

@@ -111,3 +111,13 @@ def test_marks_in_a_text_change_no_match(spark):
 def test_most_frequent_words(spark):
     rows = spark.createDataFrame([(["b", "a", "b", "c", "a", "b"],), ([],), (["x"],), (None,)], "w array<string>").select(most_frequent(F.col("w"), 2).alias("m")).collect()
     assert [[tuple(x) for x in r.m] for r in rows] == [[(-3, "b"), (-2, "a")], [], [(-1, "x")], []]
+
+
+def test_words_of_documents_are_counted_in_place(spark):
+    texts = spark.createDataFrame([(d, i, f"the cat {i} sat on mat {i % 2} end.") for d in range(3) for i in range(6)] + [(3, 0, None), (None, 0, "a cat")], "doc_id long, text_id int, text string")
+    found = {f.__name__: f(texts) for f in (K.idf_filter, K.characteristic, K.characteristic_filter)}
+    for name, rows in found.items():
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1, name
+    kept = {(r.doc_id, r.text_id): r.kept for r in found["idf_filter"].collect()}
+    assert len(kept) == 20 and kept[3, 0] == "" and kept[None, 0] == "" and kept[0, 2] == ""
+    assert {(r.doc_id, r.text_id) for r in found["characteristic_filter"].collect()} == {(d, 0) for d in range(4)}
