@@ -18,11 +18,13 @@ RU_SHORT = r"т\.?\s?е|т\.?\s?к|и\.?\s?т\.?\s?[дп]|см|рис|табл|
 _BEFORE = r"(?<![\p{L}\p{N}_])"
 _AFTER = r"(?![\p{L}\p{N}_])"
 _DOT, _STOP = "<prd>", "<stop>"
+#: Unicode white space, as ``\s`` has it with the flag ``U``.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def squeeze_space(text: Column) -> Column:
@@ -33,7 +35,11 @@ def squeeze_space(text: Column) -> Column:
 def _split(protected: Column, stops: str) -> Column:
     for mark in stops:
         protected = F.replace(protected, F.lit(mark), F.lit(mark + _STOP))
-    parts = F.transform(F.split(F.replace(protected, F.lit(_DOT), F.lit(".")), _STOP, -1), strip)
+    return _stripped(F.replace(protected, F.lit(_DOT), F.lit(".")), stops)
+
+
+def _stripped(stopped: Column, stops: str) -> Column:
+    parts = F.transform(F.split(stopped, _STOP, -1), strip)
     return F.filter(parts, lambda s: (s != "") & ~s.isin(*stops))
 
 
@@ -43,16 +49,28 @@ def _common(text: Column) -> Column:
     return F.regexp_replace(text, r"(\p{Nd})\.(\p{Nd})", f"$1{_DOT}$2")
 
 
+#: What ends an English sentence: a dot that is not protected, or another stop.
+_ENDS = (
+    rf"[.?!](?:(?<!\.)|(?!(?iu:{SITES}){_AFTER})(?<!{_BEFORE}[A-Za-zА-Яа-я]\.)"
+    rf"(?<!{_BEFORE}(?:{TITLES})\.)(?!(?<=\p{{Nd}}\.)\p{{Nd}}))"
+)
+
+
 def sentences(text: Column) -> Column:
     """English sentences of a text; null and blank texts have none.
 
     Dots of titles, sites, single-letter initials and decimals are protected; every other
     ``.``, ``?`` and ``!`` ends a sentence. Initials are protected before ``Ph.D.`` is
     looked at, so its first dot does end one.
+
+    Stops are looked for in one pass. Texts with marks of their own, or with digits between
+    dots, of which every other dot is protected, go through the rules one by one.
     """
     padded = F.concat(F.lit(" "), strip(F.replace(text, F.lit("\n"), F.lit(" "))), F.lit(" "))
+    odd = F.contains(padded, F.lit(_DOT)) | F.contains(padded, F.lit(_STOP)) | padded.rlike(r"\.\p{Nd}\.(?=\p{Nd})")
     protected = _common(F.regexp_replace(padded, rf"(?=[A-Z]){_BEFORE}({TITLES})\.", f"$1{_DOT}"))  # the first test is the quick one
-    return F.coalesce(_split(protected, ".?!"), F.array().cast("array<string>"))
+    found = F.when(odd, _split(protected, ".?!")).otherwise(_stripped(F.regexp_replace(padded, _ENDS, f"$0{_STOP}"), ".?!"))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def russian_sentences(text: Column) -> Column:

@@ -6,8 +6,11 @@ vector; ``idx`` breaks ties. Similarities are a self-join of a document's answer
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,28 +197,54 @@ def consensus_simple(answers: DataFrame) -> DataFrame:
 # matrix product in Arrow batches is the fast form for vectors of many dimensions.
 
 
-def _similarities(u: pd.Series) -> np.ndarray:
+def _similarities(u: pd.Series | np.ndarray) -> np.ndarray:
     m = np.array(u.tolist())
     return np.round(m @ m.T, 9)
 
 
 def _clustered(answers: DataFrame, labels, of=_similarities) -> DataFrame:
-    """``(doc, idx, cluster)`` by ``labels(of(u)) -> [(position, cluster)]``."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        idx = frame["idx"].to_numpy()
-        found = labels(of(frame["u"]))
-        return pd.DataFrame({"doc": frame["doc"].iloc[0], "idx": [idx[p] for p, _ in found], "cluster": [idx[c] for _, c in found]})
-
-    return answers.select("doc", "idx", "u").groupBy("doc").applyInPandas(run, "doc long, idx long, cluster long")
+    """``(doc, idx, cluster)`` by ``labels(of(u)) -> [(position, cluster)]``. A task goes over
+    its documents one after the other in sorted rows, as a frame of its own for each document
+    costs more than most clusterings; the number of tasks is given, and not left to bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held = None, []  # the last document, which may go on in the next batch
+        found: list[tuple[int | None, int, int]] = []
+
+        def ended() -> None:
+            idx = np.concatenate([i for i, _ in held])
+            found.extend((doc, idx[p], idx[c]) for p, c in labels(of(np.concatenate([u for _, u in held]))))
+
+        def taken() -> pa.RecordBatch:
+            arrays = [pa.array([row[k] for row in found], pa.int64()) for k in range(3)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["doc", "idx", "cluster"])
+
+        for batch in batches:
+            docs, idx, u = batch["doc"].to_pylist(), batch["idx"].to_numpy(), batch["u"]
+            flat, at = u.flatten().to_numpy(), u.offsets.to_numpy() - u.offsets[0].as_py()
+            borders = [i for i in range(len(docs)) if i == 0 or docs[i] != docs[i - 1]] + [len(docs)]
+            for first, end in zip(borders, borders[1:]):
+                if held and docs[first] != doc:
+                    ended()
+                    held = []
+                doc = docs[first]
+                held.append((idx[first:end], flat[at[first] : at[end]].reshape(end - first, -1)))
+            yield taken()
+        if held:
+            ended()
+            yield taken()
+
+    rows = answers.select(F.col("doc").cast("long"), F.col("idx").cast("long"), F.col("u").cast("array<double>"))
+    dealt = rows.repartition(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc").sortWithinPartitions("doc", "idx")
+    return dealt.mapInArrow(run, "doc long, idx long, cluster long")
 
 
 class Products:
     """The similarities of unit vectors, of which only what is asked for by rows and columns
     (``np.ix_``) is made."""
 
-    def __init__(self, u: pd.Series) -> None:
+    def __init__(self, u: pd.Series | np.ndarray) -> None:
         self.m = np.array(u.tolist())
 
     def __len__(self) -> int:
@@ -241,7 +270,8 @@ def greedy_labels(sim: np.ndarray | Products, threshold: float) -> list[tuple[in
 
 
 def greedy_clusters(answers: DataFrame, threshold: float = 0.75) -> DataFrame:
-    return _clustered(answers, lambda sim: greedy_labels(sim, threshold), Products)
+    small = 256  # up to as many answers one product is quicker than a row for each seed
+    return _clustered(answers, lambda sim: greedy_labels(sim, threshold), lambda u: Products(u) if len(u) > small else _similarities(u))
 
 
 def agglomerative_labels(sim: np.ndarray, threshold: float = 0.5) -> list[tuple[int, int]]:

@@ -353,12 +353,13 @@ def experiment(
     ``modes`` maps names to the share of the attention weight in a keyword's score.
     """
     chunks = staged(models.chunks(docs, config))
+    known = staged(references.select("doc_id", "reference", models.unit(F.col("reference")).alias("r")))
+    references, vectors = known.select("doc_id", "reference"), known.select("doc_id", "r")
     first = staged(with_vectors(find_answers(chunks, F.lit(question), models.answerer), models.encode))
     base = A.medoid(first).select(F.col("doc").alias("doc_id"), F.nullif(F.col("text"), F.lit("")).alias("first"))
     base = docs.select("doc_id").distinct().join(base, "doc_id", "left").join(references, "doc_id", "left")
     base = staged(base.withColumn("b", F.when(F.col("first").isNotNull() & F.col("reference").isNotNull(), M.text_metrics(F.col("reference"), F.col("first"), models.encode))))
 
-    vectors = references.select("doc_id", models.unit(F.col("reference")).alias("r"))
     valid = A.validate(first, vectors.withColumnRenamed("doc_id", "doc"), config.strict_answer_threshold, config.min_answer_threshold)
     valid = chunks.join(valid.select(F.col("doc").alias("doc_id"), "chunk_idx"), ["doc_id", "chunk_idx"], "left_semi")
     valid = staged(valid.select("doc_id", F.col("chunk_idx").alias("text_id"), "text"))
@@ -390,13 +391,17 @@ def experiment(
         "answer_strategy",
         F.col("text").alias("chosen"),
     )
+    chosen = staged(chosen)
     each = lambda values, name: F.explode(F.array(*map(F.lit, values))).alias(name)
     aimed = wanted.select("doc_id").distinct()
     grid = aimed.select("doc_id", each(names, "mode")).select("*", each(cluster_strategies, "cluster_strategy")).select("*", each(answer_strategies, "answer_strategy"))
     grid = grid.join(chosen, ["doc_id", "mode", "cluster_strategy", "answer_strategy"], "left").withColumn("known", F.lit(True))
     out = base.join(grid, "doc_id", "left")
+    # Strategies choose few different answers, so each is compared with the reference once.
+    compared = chosen.select("doc_id", "chosen").distinct().join(references.distinct(), "doc_id").withColumn("m", M.text_metrics(F.col("reference"), F.col("chosen"), models.encode))
+    out = out.join(compared, ["doc_id", "chosen", "reference"], "left")
     filled = lambda c: F.when(F.col("known"), F.col(c)).otherwise(NO_VALID)
-    return out.withColumn("m", F.when(F.col("chosen").isNotNull(), M.text_metrics(F.col("reference"), F.col("chosen"), models.encode))).select(
+    return out.select(
         "doc_id",
         filled("mode").alias("score_chunk_strategy"),
         filled("cluster_strategy").alias("choose_cluster_strategy"),

@@ -1,6 +1,7 @@
 """Clusters by steep areas against the definition, and tiles against all pairs."""
 
 import itertools
+import random
 import time
 
 import numpy as np
@@ -149,3 +150,16 @@ def test_medoid_by_rounded_similarities(spark):
     rows = [(7, i, str(i), 0.9, 0.0, u) for i, u in enumerate(units)] + [(8, 0, "a", 0.5, 0.0, [0.0, 0.0]), (9, 3, "x", 0.9, 0.0, None), (9, 4, "x", 0.7, 0.0, None)]
     found = A.medoid(spark.createDataFrame(rows, "doc long, idx int, text string, confidence double, chunk_score double, u array<double>")).collect()
     assert sorted((r.doc, r.idx, r.confidence, r.support) for r in found) == [(7, 2, 0.9, 1), (8, 0, 0.5, 1), (9, 3, 0.8, 2)]
+
+
+def test_clusters_of_many_small_documents(spark):
+    rng = random.Random(5)
+    rows = [(None if d == 0 else d, 10 * i, [rng.choice([1.0, 0.6]), rng.choice([0.0, 0.8])]) for d in range(400) for i in range(rng.randint(1, 4))]
+    rows += [(7000, i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(25_000)]  # more rows than an Arrow batch has
+    found = A.greedy_clusters(spark.createDataFrame(rows, "doc long, idx int, u array<double>"), 0.75)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {(7000, i, i % 2) for i in range(25_000)}
+    for doc in {d for d, _, _ in rows} - {7000}:
+        own = [(i, u) for d, i, u in rows if d == doc]
+        want |= {(doc, own[p][0], own[c][0]) for p, c in A.greedy_labels(np.round(np.array([u for _, u in own]) @ np.array([u for _, u in own]).T, 9), 0.75)}
+    assert {tuple(r) for r in found.collect()} == want

@@ -87,3 +87,18 @@ def test_streaming_chunks(spark, tmp_path):
     query = write_chunks(stream_chunks(stream, 6, 2), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_stops_are_found_in_one_pass(spark):
+    rows = ["Mr. X met Dr. Y. at a.com today. v1.2.3 is out!", "1.2.3.4 and 3.14. <prd> <stop> End", "xMr. A.B. Ph.D. yes?! No.COM. \x85", None, " . "]
+    frame = spark.createDataFrame([(t,) for t in rows], "text string")
+    found = frame.select(X.sentences(F.col("text")).alias("s"))
+    assert [r.s for r in found.collect()] == [
+        ["Mr. X met Dr. Y. at a.com today.", "v1.2.", "3 is out!"],
+        ["1.2.", "3.4 and 3.14.", ".", "End"][:2] + ["End"],
+        ["xMr.", "A.B. Ph.", "D. yes?", "No.COM."],
+        [],
+        [],
+    ]
+    plain = frame.select(X.strip(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plain
