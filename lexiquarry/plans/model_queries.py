@@ -46,7 +46,7 @@ def q_answer_udtf(spark, sf):
 
 
 def q_attention_udtf(spark, sf):
-    found = M.lateral(chunks(spark, sf), M.attention_function("shares", share_model), QUESTION)
+    found = M.lateral(dealt_chunks(spark, sf), M.attention_function("shares", share_model), QUESTION)
     return found.groupBy("doc_id", "word").agg(F.round(F.max("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n_chunks"))
 
 

@@ -104,3 +104,12 @@ def test_stems(spark, language, golden):
     rows = spark.createDataFrame([(w.upper(), s) for w, s in pairs] + [(None, None), ("", "")], "word string, stem string")
     found = rows.select("stem", stems.stemmer(language)(F.col("word")).alias("found")).collect()
     assert [r.found for r in found] == [r.stem for r in found]
+
+
+def test_chunks_of_the_table_function_are_dealt_to_tasks(spark, tmp_path):
+    from lexiquarry.plans import model_queries
+
+    spark.createDataFrame([(d, f"Words of text {d}. More words.") for d in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = model_queries.q_attention_udtf(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.word, r.n_chunks) for r in rows.collect()} == {(d, w, 1) for d in range(5) for w in ("words", "of", "text", "more")}
