@@ -422,10 +422,13 @@ _EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 def term_pattern(terms: Column) -> Column:
     """A pattern of one document's terms: the first of the array that stands between borders
     of words. Terms may have several words, hyphens and other marks; there must be one. Where
-    no term begins with the next character, nothing else is tried."""
+    no term begins with the next character, nothing else is tried; where all terms begin (end)
+    with a character of words, only the character before (after) is looked at."""
     escaped = lambda texts: F.transform(texts, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
     first = F.array_join(escaped(F.array_distinct(F.transform(terms, lambda t: F.substring(t, 1, 1)))), "")
-    return F.concat(F.lit("(?=["), first, F.lit(f"]){_EDGE}(?:"), F.array_join(escaped(terms), "|"), F.lit(f"){_EDGE}"))
+    before = F.when(F.forall(terms, lambda t: t.rlike(rf"\A{_W}")), rf"(?<!{_W})").otherwise(_EDGE)
+    after = F.when(F.forall(terms, lambda t: t.rlike(rf"{_W}\z")), rf"(?!{_W})").otherwise(_EDGE)
+    return F.concat(F.lit("(?=["), first, F.lit("])"), before, F.lit("(?:"), F.array_join(escaped(terms), "|"), F.lit(")"), after)
 
 
 def matches_of(text: Column, pattern: Column) -> Column:
@@ -498,11 +501,11 @@ def score_chunks(matched: DataFrame, ratio: Column | float = 0.5, minimum: int =
             raise ValueError("ratio must be between 0 and 1")
         ratio = F.lit(float(ratio))
     n = F.size("hits")
-    own = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["k"])))
+    own = F.sort_array(F.array_distinct(F.transform("hits", lambda h: h["k"])))
     base = F.aggregate("own", F.lit(0.0), lambda s, k: s + F.col("kws")[k]["weight"] * ratio + F.col("kws")[k]["score_diff"] * (1 - ratio))
-    early = F.aggregate("hits", F.lit(0.0), lambda s, h: s + 1 - h["start"] / F.greatest(F.lit(1), F.length("text"))) / n
+    early = V.bound(F.greatest(F.lit(1), F.length("text")), lambda whole: F.aggregate("hits", F.lit(0.0), lambda s, h: s + 1 - h["start"] / whole)) / n
     score = base * (1 + position * early) * (1 + frequency * F.log1p(n)) * (1 + F.size("own") / (F.size("kws") if total is None else total) * 0.5)
-    rows = matched.withColumn("own", own).where((n > 0) & (F.size("own") >= minimum))
+    rows = V.evaluated(matched.where(n > 0), "own", own).where(F.size("own") >= minimum)
     named = F.array_sort(F.transform("own", lambda k: F.struct(F.col("kws")[k]["word"].alias("word"), F.size(F.filter("hits", lambda h: h["k"] == k)).alias("n"))))
     return rows.withColumn("score", F.round(score, 6)).withColumn("keyword_scores", named).withColumn("matched", F.transform("keyword_scores", lambda x: x["word"])).drop("own", "hits", "kws")
 
@@ -522,10 +525,10 @@ def score_advanced(chunks: DataFrame, keywords: DataFrame, ratio: float = 0.5, m
 def score_density(matched: DataFrame, ratio: float = 0.5, minimum: int = 1) -> DataFrame:
     """``score`` of chunks: weights of distinct keywords, raised by their number against
     tokens and words."""
-    own = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["k"])))
+    own = F.sort_array(F.array_distinct(F.transform("hits", lambda h: h["k"])))
     k = F.size("own")
     base = F.aggregate("own", F.lit(0.0), lambda s, i: s + F.col("kws")[i]["weight"] * ratio + F.col("kws")[i]["score_diff"] * (1 - ratio))
     dense = 1 + k / F.greatest(F.lit(1.0), F.col("token_count") / 10)
     bonus = F.least(F.lit(2.0), 1 + k / F.greatest(F.lit(1.0), F.size(words(F.col("text"))) / 20))
-    rows = matched.withColumn("own", own).where((k > 0) & (k >= minimum))
+    rows = V.evaluated(matched, "own", own).where((k > 0) & (k >= minimum))
     return rows.withColumn("score", F.round(base * dense * bonus, 6)).drop("own", "hits", "kws")

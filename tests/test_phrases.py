@@ -121,3 +121,17 @@ def test_words_of_documents_are_counted_in_place(spark):
     kept = {(r.doc_id, r.text_id): r.kept for r in found["idf_filter"].collect()}
     assert len(kept) == 20 and kept[3, 0] == "" and kept[None, 0] == "" and kept[0, 2] == ""
     assert {(r.doc_id, r.text_id) for r in found["characteristic_filter"].collect()} == {(d, 0) for d in range(4)}
+
+
+def test_distinct_keywords_of_a_chunk_are_made_once(spark):
+    chunks = spark.createDataFrame([(1, 0, "the cat sat. a cat", 5), (1, 1, "none", 1)], CHUNKS)
+    kws = spark.createDataFrame([(1, 0, "cat", 1.0, "cat", "ca", 0.5)], KEYWORDS)
+    matched = K.matched_chunks(chunks, kws)
+    for rows in (K.score_chunks(matched), K.score_density(matched)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(transform(hits") == 1
+        assert [r.chunk_idx for r in rows.collect()] == [0]
+
+
+def test_borders_of_plain_terms_look_at_one_character(spark):
+    patterns = [r.p for r in spark.createDataFrame([(["cat", "a b"],), (["c++", "d"],), (["-x"],)], "t array<string>").select(K.term_pattern(F.col("t")).alias("p")).collect()]
+    assert [(K._EDGE + "(?:" in p, p.endswith(K._EDGE)) for p in patterns] == [(False, False), (False, True), (True, False)]
