@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunks as C
 from ..operators import keywords as K
 from ..operators import qa as Q
+from ..sources.staging import staged
 from .fixtures import documents, most_frequent
 from .keyword_queries import _COS, _VEC, _density, _score
 from .text_queries import CHUNKS_SQL, MAX_TOKENS, OVERLAP
@@ -84,9 +85,9 @@ def q_filter_and_score_phrases(spark, sf):
     return K.score_density(K.filter_chunks_by_word(_matched(spark, sf), 2)).where("score >= 2").select("doc_id", "chunk_idx", _off_ties("score").alias("score"))
 
 
-def questions(spark, sf):
-    """Three questions to a document: its first three keywords."""
-    k = keywords(spark, sf).where("kw_idx < 3")
+def questions(spark, sf, found=None):
+    """Three questions to a document: its first three keywords, of those ``found``."""
+    k = (keywords(spark, sf) if found is None else found).where("kw_idx < 3")
     return k.select("doc_id", F.col("kw_idx").alias("question_no"), F.concat(F.lit("What is said of "), "word", F.lit("?")).alias("question"))
 
 
@@ -115,7 +116,8 @@ def q_baseline_questions(spark, sf):
 
 
 def q_baseline_questions_filtered(spark, sf):
-    found = Q.baseline_questions(docs(spark, sf), questions(spark, sf), CONFIG, MODELS, keywords(spark, sf).where("kw_idx between 3 and 5"))
+    k = staged(keywords(spark, sf))
+    found = Q.baseline_questions(docs(spark, sf), questions(spark, sf, k), CONFIG, MODELS, k.where("kw_idx between 3 and 5"))
     return found.select("doc_id", "idx", "question_no", "text", "confidence", "support", "n_answers", "chunks_used")
 
 

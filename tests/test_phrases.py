@@ -135,3 +135,13 @@ def test_distinct_keywords_of_a_chunk_are_made_once(spark):
 def test_borders_of_plain_terms_look_at_one_character(spark):
     patterns = [r.p for r in spark.createDataFrame([(["cat", "a b"],), (["c++", "d"],), (["-x"],)], "t array<string>").select(K.term_pattern(F.col("t")).alias("p")).collect()]
     assert [(K._EDGE + "(?:" in p, p.endswith(K._EDGE)) for p in patterns] == [(False, False), (False, True), (True, False)]
+
+
+def test_keywords_of_filtered_questions_are_made_once(spark, tmp_path, monkeypatch):
+    from lexiquarry.plans import phrase_queries as P
+
+    spark.createDataFrame([(1, "One text of words. Words of text again. Text is last."), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, keywords = [], P.keywords
+    monkeypatch.setattr(P, "keywords", lambda *a: made.append(1) or keywords(*a))
+    rows = {r.doc_id: r for r in P.q_baseline_questions_filtered(spark, str(tmp_path)).collect()}
+    assert len(made) == 1 and set(rows) == {1, 2} and rows[1].n_answers == 3 and rows[2].text is None
