@@ -301,7 +301,7 @@ def attention(
     first = staged(with_vectors(find_answers(chunks, F.lit(question), models.answerer), models.encode))
     used = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     base = A.medoid(first).select(F.col("doc").alias("doc_id"), F.col("text").alias("base_text"), F.col("confidence").alias("base_confidence")).join(used, "doc_id")
-    vectors = references.select("doc_id", models.unit(F.col("reference")).alias("r"))
+    vectors = staged(references.select("doc_id", models.unit(F.col("reference")).alias("r")))
     valid = A.validate(first, vectors.withColumnRenamed("doc_id", "doc"), config.strict_answer_threshold, config.min_answer_threshold)
     valid = staged(valid.select(F.col("doc").alias("doc_id"), "chunk_idx"))
     if keywords is None:
