@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import bound
+
 # Titles, site suffixes and Russian abbreviations whose dots end no sentence.
 TITLES = "Mr|St|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|Mt"
 SITES = "com|net|org|io|gov|me|edu|ru|рф|su"
@@ -35,12 +37,18 @@ def squeeze_space(text: Column) -> Column:
 def _split(protected: Column, stops: str) -> Column:
     for mark in stops:
         protected = F.replace(protected, F.lit(mark), F.lit(mark + _STOP))
-    return _stripped(F.replace(protected, F.lit(_DOT), F.lit(".")), stops)
+    parts = F.transform(F.split(F.replace(protected, F.lit(_DOT), F.lit(".")), _STOP, -1), strip)
+    return F.filter(parts, lambda s: (s != "") & ~s.isin(*stops))
 
 
-def _stripped(stopped: Column, stops: str) -> Column:
-    parts = F.transform(F.split(stopped, _STOP, -1), strip)
-    return F.filter(parts, lambda s: (s != "") & ~s.isin(*stops))
+def _cut(stopped: Column, stops: str) -> Column:
+    """Pieces of a padded text after its marked stops, without white space at their ends and
+    lone stops: a piece ends with its stop, so only blanks after a mark, and the padding, go.
+    Nothing is done piece by piece."""
+    parts = F.split(F.trim(stopped), f"{_STOP}[{_SPACE}]*", -1)
+    for lone in ("", *stops):
+        parts = F.array_remove(parts, lone)
+    return parts
 
 
 def _common(text: Column) -> Column:
@@ -67,10 +75,13 @@ def sentences(text: Column) -> Column:
     dots, of which every other dot is protected, go through the rules one by one.
     """
     padded = F.concat(F.lit(" "), strip(F.replace(text, F.lit("\n"), F.lit(" "))), F.lit(" "))
-    odd = F.contains(padded, F.lit(_DOT)) | F.contains(padded, F.lit(_STOP)) | padded.rlike(r"\.\p{Nd}\.(?=\p{Nd})")
-    protected = _common(F.regexp_replace(padded, rf"(?=[A-Z]){_BEFORE}({TITLES})\.", f"$1{_DOT}"))  # the first test is the quick one
-    found = F.when(odd, _split(protected, ".?!")).otherwise(_stripped(F.regexp_replace(padded, _ENDS, f"$0{_STOP}"), ".?!"))
-    return F.coalesce(found, F.array().cast("array<string>"))
+
+    def found(padded: Column) -> Column:
+        odd = F.contains(padded, F.lit(_DOT)) | F.contains(padded, F.lit(_STOP)) | padded.rlike(r"\.\p{Nd}\.(?=\p{Nd})")
+        protected = _common(F.regexp_replace(padded, rf"(?=[A-Z]){_BEFORE}({TITLES})\.", f"$1{_DOT}"))  # the first test is the quick one
+        return F.when(odd, _split(protected, ".?!")).otherwise(_cut(F.regexp_replace(padded, _ENDS, f"$0{_STOP}"), ".?!"))
+
+    return F.coalesce(bound(padded, found), F.array().cast("array<string>"))
 
 
 def russian_sentences(text: Column) -> Column:
@@ -88,6 +99,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.replace(text, F.lit("."), F.lit("")), r"\s+", -1), lambda w: w != "")
 
 
+def _count_tokens(text: Column) -> Column:
+    """The number of ``tokens``: what white space parts and is more than dots. Where single
+    blanks part words, these are counted, as a pattern would make every word."""
+    odd = (text == "") | text.startswith(" ") | text.endswith(" ") | text.startswith(".")
+    for mark in ("  ", " .", "\t", "\n", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(text, F.lit(mark))
+    blanks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(odd, F.regexp_count(text, F.lit(r"[^\s.]\S*"))).otherwise(blanks + 1)
+
+
+tokens.count = _count_tokens
+
+
 #: A text's sentences, and its tokens, as column functions or pandas UDFs.
 Splitter = Callable[[Column], Column]
 Tokenizer = Callable[[Column], Column]
@@ -99,26 +123,32 @@ def sentence_parts(sents: Column, max_tokens: int, tokenize: Tokenizer = tokens)
     in parts of ``max_tokens - 2`` tokens, which keep its number.
 
     ``tokenize`` is a column function; one made of a model has an attribute ``sentences``,
-    which takes the whole array (a UDF can't be applied inside one).
+    which takes the whole array (a UDF can't be applied inside one). One with an attribute
+    ``count`` makes the tokens only of sentences that are cut.
     """
     usable = max(1, max_tokens - 2)
     if hasattr(tokenize, "sentences"):
         both = F.zip_with(sents, tokenize.sentences(sents), lambda s, t: F.struct(s.alias("text"), t.alias("t")))
-        tokened = F.transform(both, lambda x, i: F.struct(i.alias("number"), x["text"].alias("text"), x["t"].alias("t")))
+        tokened = F.transform(both, lambda x, i: F.struct(i.alias("number"), x["text"].alias("text"), F.size(x["t"]).alias("n"), x["t"].alias("t")))
+    elif hasattr(tokenize, "count"):
+        tokened = F.transform(sents, lambda s, i: F.struct(i.alias("number"), s.alias("text"), tokenize.count(s).alias("n")))
     else:
         tokened = F.transform(sents, lambda s, i: F.struct(i.alias("number"), s.alias("text"), tokenize(s).alias("t")))
+        tokened = F.transform(tokened, lambda x: F.struct(x["number"].alias("number"), x["text"].alias("text"), F.size(x["t"]).alias("n"), x["t"].alias("t")))
 
-    def parts(s: Column) -> Column:
-        n = F.size(s["t"])
-        cut = F.transform(
-            F.sequence(F.lit(0), F.ceil(n / usable).cast("int") - 1),
+    def cut(s: Column, t: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.ceil(s["n"] / usable).cast("int") - 1),
             lambda k: F.struct(
                 s["number"].alias("number"),
-                F.array_join(F.slice(s["t"], k * usable + 1, F.lit(usable)), " ").alias("text"),
-                F.least(F.lit(usable), n - k * usable).alias("n"),
+                F.array_join(F.slice(t, k * usable + 1, F.lit(usable)), " ").alias("text"),
+                F.least(F.lit(usable), s["n"] - k * usable).alias("n"),
             ),
         )
-        return F.when(n > max_tokens, cut).otherwise(F.array(F.struct(s["number"].alias("number"), s["text"].alias("text"), n.alias("n"))))
+
+    def parts(s: Column) -> Column:
+        pieces = F.flatten(F.transform(F.array(tokenize(s["text"])), lambda t: cut(s, t))) if hasattr(tokenize, "count") else cut(s, s["t"])
+        return F.when(s["n"] > max_tokens, pieces).otherwise(F.array(F.struct(s["number"].alias("number"), s["text"].alias("text"), s["n"].alias("n"))))
 
     return F.flatten(F.transform(tokened, parts))
 

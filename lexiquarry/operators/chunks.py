@@ -29,18 +29,20 @@ def build_chunks(docs: DataFrame, max_tokens: int = 384, overlap: int = 50, spli
     if not 0 <= overlap < max_tokens / 2:
         raise ValueError("overlap must be at least 0 and less than half of max_tokens")
     parts = docs.select("doc_id", X.sentence_parts(splitter(F.col("text")), max_tokens, tokenize).alias("parts"))
-    rows = parts.withColumn("counts", F.transform("parts", lambda p: p["n"])).select(
-        "doc_id", "parts", F.posexplode(X.chunk_ranges(F.col("counts"), max_tokens, overlap)).alias("chunk_idx", "r")
-    )
-    own = F.slice("parts", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1)
-    return rows.select("doc_id", "chunk_idx", own.alias("own")).select(
-        "doc_id",
-        "chunk_idx",
-        F.array_join(F.transform("own", lambda p: p["text"]), " ").alias("text"),
-        F.aggregate("own", F.lit(0), lambda n, p: n + p["n"]).alias("token_count"),
-        F.col("own")[0]["number"].alias("start_sentence"),
-        F.element_at("own", -1)["number"].alias("end_sentence"),
-    )
+    rows = parts.select("doc_id", "parts", F.col("parts.n").alias("counts"), F.col("parts.text").alias("texts"))
+
+    def chunk(r, i):
+        at, n = r["first"] + 1, r["last"] - r["first"] + 1
+        return F.struct(
+            i.alias("chunk_idx"),
+            F.array_join(F.slice("texts", at, n), " ").alias("text"),
+            F.aggregate(F.slice("counts", at, n), F.lit(0), lambda s, m: s + m).alias("token_count"),
+            F.get("parts", r["first"])["number"].alias("start_sentence"),
+            F.get("parts", r["last"])["number"].alias("end_sentence"),
+        )
+
+    # Chunks are made in their document's row: with its parts in each chunk's row, long documents would be copied for each chunk.
+    return rows.select("doc_id", F.explode(F.transform(X.chunk_ranges(F.col("counts"), max_tokens, overlap), chunk)).alias("c")).select("doc_id", "c.*")
 
 
 def legacy_chunks(counts: list[int], max_tokens: int, overlap: int) -> list[tuple[list[int], int]]:

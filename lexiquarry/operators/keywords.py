@@ -431,46 +431,54 @@ def term_pattern(terms: Column) -> Column:
     return F.concat(F.lit("(?=["), first, F.lit("])"), before, F.lit("(?:"), F.array_join(escaped(terms), "|"), F.lit(")"), after)
 
 
-def matches_of(text: Column, pattern: Column) -> Column:
-    """Array of (start, word): the matches from left to right, which do not overlap, with
-    their places: a match begins where the matches and gaps before it end. The pattern goes
-    over the text once and puts marks around its matches; a text that has the mark itself is
-    gone over twice."""
+def matches_of(text: Column, pattern: Column, terms: Column) -> Column:
+    """Array of (start, word, k): the matches from left to right, which do not overlap, with
+    their places and what ``terms`` has for them: a match begins where the matches and gaps
+    before it end. The pattern goes over the text once and puts marks around its matches; a
+    text that has the mark itself is gone over twice."""
     mark = "\x00"
-    zipped = lambda gaps, found: F.zip_with(gaps, found, lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
     marked = F.split(F.regexp_replace(text, pattern, F.lit(f"{mark}$0{mark}")), mark, -1)
-    once = V.bound(marked, lambda p: zipped(F.filter(p, lambda _, i: i % 2 == 0), F.filter(p, lambda _, i: i % 2 == 1)))
-    pieces = F.when(F.contains(text, F.lit(mark)), zipped(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)))).otherwise(once)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string>>").alias("found"))
+    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, word: F.array(gap, word))
+    pieces = F.when(F.contains(text, F.lit(mark)), F.array_compact(F.flatten(both))).otherwise(marked)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string,k:int>>").alias("found"))
 
-    def step(acc: Column, p: Column) -> Column:
-        at = acc["at"] + F.length(p["gap"])
-        return F.struct((at + F.length(p["word"])).alias("at"), F.concat(acc["found"], F.array(F.struct(at.alias("start"), p["word"].alias("word")))).alias("found"))
+    def folded(p: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            at, word = acc["at"] + F.length(F.get(p, i - 1)), F.get(p, i)
+            hit = F.struct(at.alias("start"), word.alias("word"), terms[word].cast("int").alias("k"))
+            return F.struct((at + F.length(word)).alias("at"), F.concat(acc["found"], F.array(hit)).alias("found"))
 
-    return F.aggregate(F.filter(pieces, lambda p: p["word"].isNotNull()), start, step, lambda acc: acc["found"])
+        return F.when(F.size(p) > 1, F.aggregate(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), start, step, lambda acc: acc["found"])).otherwise(start["found"])
 
+    return V.bound(pieces, folded)
 
-def grouped_keywords(keywords: DataFrame, case_sensitive: bool = False) -> DataFrame:
+
+def grouped_keywords(keywords: DataFrame, case_sensitive: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, terms, kws, pattern)``: a document's keywords as an array, a map from terms
     (lemmas and stems) to positions in it, and the pattern of the terms in alphabetical order,
     so a term goes before the longer ones that it begins. Of a term with several keywords the
-    last stands; empty terms are none."""
+    last stands; empty terms are none. Columns ``kept`` are a document's, the same in its rows."""
     fold = (lambda c: c) if case_sensitive else F.lower
     listed = F.sort_array(F.collect_list(F.struct("kw_idx", "word", "weight", "score_diff", fold(F.col("lemma")).alias("lemma"), fold(F.col("stem")).alias("stem"))))
     terms = F.array_distinct(F.filter(F.flatten(F.transform("kws", lambda k: F.array(k["lemma"], k["stem"]))), lambda t: t != ""))
     last = lambda t: F.aggregate(F.sequence(F.lit(0), F.size("kws") - 1), F.lit(-1), lambda at, i: F.when((F.get("kws", i)["lemma"] == t) | (F.get("kws", i)["stem"] == t), i).otherwise(at))
-    grouped = keywords.where("lemma is not null and stem is not null").groupBy("doc_id").agg(listed.alias("kws")).withColumn("_t", terms).where(F.size("_t") > 0)
-    return grouped.select("doc_id", F.map_from_arrays("_t", F.transform("_t", last)).alias("terms"), "kws", term_pattern(F.array_sort("_t")).alias("pattern"))
+    grouped = keywords.where("lemma is not null and stem is not null").groupBy("doc_id").agg(listed.alias("kws"), *(F.max(c).alias(c) for c in kept)).withColumn("_t", terms).where(F.size("_t") > 0)
+    return grouped.select("doc_id", *kept, F.map_from_arrays("_t", F.transform("_t", last)).alias("terms"), "kws", term_pattern(F.array_sort("_t")).alias("pattern"))
 
 
-def matched_chunks(chunks: DataFrame, keywords: DataFrame, case_sensitive: bool = False) -> DataFrame:
+def matched_chunks(chunks: DataFrame, keywords: DataFrame, case_sensitive: bool = False, kept: tuple[str, ...] = (), places: bool = True) -> DataFrame:
     """Chunks with ``hits``: array of (start, word, k) for every match of a term, ``k`` being
-    its keyword. A document's terms are one pattern (``term_pattern``), which is compiled once
-    for its chunks. Matches are made once a chunk, and chunks are not broadcast."""
-    low = F.col("text") if case_sensitive else F.lower("text")
-    found = V.evaluated(chunks.join(grouped_keywords(keywords, case_sensitive).hint("merge"), "doc_id"), "_m", matches_of(low, F.col("pattern")))
-    hits = F.transform("_m", lambda m: F.struct(m["start"].alias("start"), m["word"].alias("word"), F.col("terms")[m["word"]].cast("int").alias("k")))
-    return V.evaluated(found, "hits", hits).drop("_m", "terms", "pattern")
+    its keyword; without ``places``, of (word, k) for every distinct match, which is all that
+    filters look at. A document's terms are one pattern (``term_pattern``), which is compiled
+    once for its chunks. Matches are made once a chunk, and chunks are not broadcast."""
+    low, terms = F.col("text") if case_sensitive else F.lower("text"), F.col("terms")
+    if places:
+        hits = matches_of(low, F.col("pattern"), terms)
+    else:
+        distinct = F.array_distinct(F.regexp_extract_all(low, F.col("pattern"), F.lit(0)))
+        hits = F.transform(distinct, lambda word: F.struct(word.alias("word"), terms[word].cast("int").alias("k")))
+    joined = chunks.join(grouped_keywords(keywords, case_sensitive, kept).hint("merge"), "doc_id")
+    return V.evaluated(joined, "hits", hits).drop("terms", "pattern")
 
 
 def filter_chunks(matched: DataFrame, minimum: int = 1) -> DataFrame:
@@ -516,9 +524,7 @@ def score_advanced(chunks: DataFrame, keywords: DataFrame, ratio: float = 0.5, m
     are compared as written with ``case_sensitive``."""
     w = Window.partitionBy("doc_id", "word")
     last = keywords.withColumns({"_n": F.row_number().over(w.orderBy(F.col("kw_idx").desc())), "_all": F.count(F.lit(1)).over(Window.partitionBy("doc_id"))})
-    own = last.where("_n = 1")
-    counts = own.groupBy("doc_id").agg(F.max("_all").alias("_all"))
-    matched = matched_chunks(chunks, own.drop("_n", "_all"), case_sensitive).join(counts, "doc_id")
+    matched = matched_chunks(chunks, last.where("_n = 1").drop("_n"), case_sensitive, ("_all",))
     return score_chunks(matched, ratio, minimum, total=F.col("_all")).drop("_all")
 
 

@@ -3,6 +3,12 @@ deterministic formulas. ``*_SQL`` holds the same as common table expressions."""
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +39,30 @@ def most_frequent(words: Column, n: int) -> Column:
     return V.bound(F.sort_array(words), lambda s: F.slice(F.sort_array(counted(s)), 1, n))
 
 
+def frequent_words(docs: DataFrame, kinds: list[tuple[int, str]]) -> DataFrame:
+    """``(doc_id, kw_idx, word)``: of each kind, a number and a pattern of letters, a document's
+    most frequent matches in its lower-cased texts, then in alphabetical order; the first of all
+    kinds go before the second ones. Words are counted in their document's row, in Arrow batches."""
+    # Line ends are in no pattern, so nothing is matched across the texts of a document.
+    texts = docs.groupBy("doc_id").agg(F.lower(F.array_join(F.collect_list("text"), "\n")).alias("text"))
+    # Runs of letters are possessive; behind ASCII the class takes all, as ``words`` leaves only letters there.
+    found = [(n, re.compile(p.replace(r"\p{L}+(", r"\p{L}++(").replace(r"\p{L}", r"[A-Za-z\x80-\U0010ffff]"))) for n, p in kinds]
+
+    def words(text: str) -> list[str]:
+        if not text.isascii():
+            for c in set(text):
+                if c > "\x7f" and not c.isalpha():
+                    text = text.replace(c, "_")
+        own = [heapq.nsmallest(n, ((-m, w) for w, m in Counter(p.findall(text)).items())) for n, p in found]
+        return [best[i][1] for i in range(max(map(len, own))) for best in own if i < len(best)]
+
+    def frequent(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(list(map(words, batch)))
+
+    return texts.select("doc_id", F.posexplode(F.pandas_udf(frequent, "array<string>")("text")).alias("kw_idx", "word"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result row for each document and each of the 27 strategy combinations."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -11,7 +11,7 @@ from ..operators import chunks as C
 from ..operators import keywords as K
 from ..operators import qa as Q
 from .answer_queries import _CL, _KEYS, _VALUES, NEAR, _chosen
-from .fixtures import ANSWER, CLUSTER, documents, most_frequent, table
+from .fixtures import ANSWER, CLUSTER, documents, frequent_words, table
 from .text_queries import CHUNKS_SQL, MAX_TOKENS, OVERLAP, RUSSIAN, SENTENCES, TOKENS, _exploded
 
 QUESTION = "Which task does the text describe?"
@@ -35,9 +35,7 @@ def dealt_texts(spark, sf):
 
 def keywords(spark, sf, n: int = 8):
     """The ``n`` most frequent words of four or more letters of a document."""
-    w = F.flatten(F.transform("texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}{4,}"), F.lit(0))))
-    found = documents(spark, sf).groupBy("doc_id").agg(F.collect_list("text").alias("texts")).select("doc_id", F.posexplode(most_frequent(w, n)).alias("kw_idx", "k"))
-    return found.select("doc_id", "kw_idx", F.col("k.word").alias("word")).select(
+    return frequent_words(documents(spark, sf), [(n, r"\p{L}{4,}")]).select(
         "doc_id", "kw_idx", "word", (1 / (1 + F.col("kw_idx"))).alias("weight"), F.col("word").alias("lemma"), F.substring("word", 1, 6).alias("stem"), ((F.length("word") % 5) / 4.0).alias("score_diff")
     )
 
@@ -55,6 +53,10 @@ def _matched(spark, sf):
     return K.matched_chunks(dealt_chunks(spark, sf), keywords(spark, sf))
 
 
+def _found(spark, sf):
+    return K.matched_chunks(dealt_chunks(spark, sf), keywords(spark, sf), places=False)
+
+
 def pieces(spark, sf, mark: str = "▁", inner: str = ""):
     """Turns cut in pieces of four characters; ``mark`` starts a word, ``inner`` the rest."""
     words = F.filter(F.split("text", r"\s+", -1), lambda w: w != "")
@@ -183,11 +185,11 @@ def q_attn_norm(spark, sf):
 
 
 def q_filter_chunks(spark, sf):
-    return K.filter_chunks(_matched(spark, sf), 3).select("doc_id", "chunk_idx")
+    return K.filter_chunks(_found(spark, sf), 3).select("doc_id", "chunk_idx")
 
 
 def q_filter_chunks_lemstem(spark, sf):
-    return K.filter_chunks_by_word(_matched(spark, sf), 3).select("doc_id", "chunk_idx")
+    return K.filter_chunks_by_word(_found(spark, sf), 3).select("doc_id", "chunk_idx")
 
 
 def q_filter_chunks_raw(spark, sf):

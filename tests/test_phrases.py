@@ -1,6 +1,7 @@
 """Keywords of several words, with hyphens and marks, and several questions, against the
 definition."""
 
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiquarry.functions import metrics as M
 from lexiquarry.operators import keywords as K
 from lexiquarry.operators import qa as Q
-from lexiquarry.plans.fixtures import most_frequent
+from lexiquarry.plans.fixtures import frequent_words, most_frequent
 
 KEYWORDS = "doc_id long, kw_idx long, word string, weight double, lemma string, stem string, score_diff double"
 CHUNKS = "doc_id long, chunk_idx int, text string, token_count int"
@@ -145,3 +146,47 @@ def test_keywords_of_filtered_questions_are_made_once(spark, tmp_path, monkeypat
     monkeypatch.setattr(P, "keywords", lambda *a: made.append(1) or keywords(*a))
     rows = {r.doc_id: r for r in P.q_baseline_questions_filtered(spark, str(tmp_path)).collect()}
     assert len(made) == 1 and set(rows) == {1, 2} and rows[1].n_answers == 3 and rows[2].text is None
+
+
+def test_advanced_score_makes_keywords_once(spark):
+    chunks = spark.createDataFrame([(1, 0, "Alpha beta gamma alpha.", 4), (2, 0, "none", 1)], CHUNKS)
+    rows = [(1, 0, "a", 1.0, "alpha", "alp", 0.5), (1, 1, "a", 0.5, "beta", "bet", 0.25), (1, 2, "g", 0.25, "gamma", "gam", 0.0), (2, 0, "x", 1.0, "x", "x", 0.0)]
+    keywords = spark.createDataFrame(rows, KEYWORDS)
+    scored = K.score_advanced(chunks, keywords)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    # Of the keywords with the word "a" the last counts, and all three count in the share.
+    row = scored.collect()
+    assert [(r.doc_id, r.matched) for r in row] == [(1, ["a", "g"])]
+    base, early = 0.75 * 0.5 + 0.25 * 0.5, (1 - 6 / 23 + 1 - 11 / 23) / 2
+    assert abs(row[0].score - base * (1 + 0.3 * early) * (1 + 0.7 * math.log(3)) * (1 + 2 / 3 * 0.5)) < 2e-6
+
+
+def test_filters_make_no_places(spark):
+    chunks = spark.createDataFrame([(1, 0, "Beta alpha, beta and alpha-beta.", 6), (1, 1, "Alpha \x00 alpha", 3), (1, 2, "", 0)], CHUNKS)
+    keywords = spark.createDataFrame([(1, 0, "alpha", 1.0, "alpha", "alp", 0.5), (1, 1, "beta", 0.5, "beta", "beta", 0.5)], KEYWORDS)
+    found = K.matched_chunks(chunks, keywords, places=False)
+    assert {r.chunk_idx: [(h.word, h.k) for h in r.hits] for r in found.collect()} == {0: [("beta", 1), ("alpha", 0)], 1: [("alpha", 0)], 2: []}
+    placed = K.matched_chunks(chunks, keywords)
+    assert {r.chunk_idx: [(h.start, h.word, h.k) for h in r.hits] for r in placed.where("chunk_idx > 0").collect()} == {1: [(0, "alpha", 0), (8, "alpha", 0)], 2: []}
+    for kept in (K.filter_chunks, K.filter_chunks_by_word):
+        for n in (1, 2, 3):
+            assert {r.chunk_idx for r in kept(found, n).collect()} == {r.chunk_idx for r in kept(placed, n).collect()}
+
+
+def test_frequent_words_by_definition(spark):
+    rng = random.Random(3)
+    pool = ["alpha", "Beta", "größe", "x²y", "ⅳiv", "well-known", "a-b-c", "-", "--", "to", "i", "slovo_1", "слово", "e\u0301te", "\U00010400\U00010401", "ab", "\n", "3d", "٣x"]
+    docs = [(d, "".join(rng.choice(pool) + rng.choice([" ", " ", "-", ", "]) for _ in range(40))) for d in list(range(20)) * 2] + [(99, None), (98, "")]
+    kinds = [(4, r"\p{L}{4,}"), (3, r"\p{L}+(?:-\p{L}+)+"), (3, r"\p{L}{2,} \p{L}{2,}(?: \p{L}{2,})?")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {}
+    for kind, (n, pattern) in enumerate(kinds):
+        words = frame.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("w")).groupBy("doc_id", "w").count().collect()
+        for doc in {r.doc_id for r in words}:
+            best = sorted((-r["count"], r.w) for r in words if r.doc_id == doc)[:n]
+            want.setdefault(doc, []).extend((place, kind, w) for place, (_, w) in enumerate(best))
+    found = {}
+    for r in frequent_words(frame, kinds).orderBy("doc_id", "kw_idx").collect():
+        assert r.kw_idx == len(found.setdefault(r.doc_id, []))
+        found[r.doc_id].append(r.word)
+    assert found == {doc: [w for *_, w in sorted(own)] for doc, own in want.items()}

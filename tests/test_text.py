@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +104,21 @@ def test_stops_are_found_in_one_pass(spark):
     ]
     plain = frame.select(X.strip(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plain
+
+
+def test_token_counts(spark):
+    rng = random.Random(5)
+    texts = ["", ".", "...", " ", "a", " a", "a ", "a b.", ". a", "a . b", "a\tb", "a  b", "a\x0bb\x0cc\rd\ne", "a\xa0b", "A.B. c"]
+    texts += ["".join(rng.choice("ab.. \t\n é") for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.text for r in frame.where(X.tokens.count(F.col("text")) != F.size(X.tokens(F.col("text")))).collect()] == []
+    parts = frame.select(F.sort_array(X.sentence_parts(F.array("text"), 3)).alias("made"), F.sort_array(X.sentence_parts(F.array("text"), 3, lambda t: X.tokens(t))).alias("counted"))
+    assert parts.where("made <> counted").count() == 0
+
+
+def test_chunks_hold_no_parts_of_their_document(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"Word {i} ends." for i in range(40)))], "doc_id long, text string")
+    plan = C.build_chunks(docs, 6, 2)._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.splitlines() if "Generate explode" in line]
+    # Of doc_id, parts, counts and texts only the first goes on.
+    assert len(generated) == 1 and "posexplode" not in plan and ", [1, 2, 3], false, [" in generated[0]
