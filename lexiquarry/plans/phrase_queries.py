@@ -9,7 +9,7 @@ from ..operators import chunks as C
 from ..operators import keywords as K
 from ..operators import qa as Q
 from ..sources.staging import staged
-from .fixtures import documents, most_frequent
+from .fixtures import documents, frequent_words
 from .keyword_queries import _COS, _VEC, _density, _score
 from .text_queries import CHUNKS_SQL, MAX_TOKENS, OVERLAP
 
@@ -30,13 +30,7 @@ def chunks(spark, sf):
 def keywords(spark, sf):
     """Words, hyphenated words and phrases of two or three words; the stem is what stands
     before the first blank or hyphen, so it begins the term."""
-    def of_kind(i: int, n: int, pattern: str):
-        found = F.flatten(F.transform("texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit(pattern), F.lit(0))))
-        return F.transform(most_frequent(found, n), lambda k, at: F.struct(at.alias("place"), F.lit(i).alias("kind"), k["word"].alias("word")))
-
-    found = F.array_sort(F.concat(*(of_kind(i, n, p) for i, (n, p) in enumerate(KINDS))))
-    kept = docs(spark, sf).groupBy("doc_id").agg(F.collect_list("text").alias("texts")).select("doc_id", F.posexplode(found).alias("kw_idx", "k")).select("doc_id", "kw_idx", "k.word")
-    return kept.select(
+    return frequent_words(docs(spark, sf), KINDS).select(
         "doc_id", "kw_idx", "word", (1 / (1 + F.col("kw_idx"))).alias("weight"), F.col("word").alias("lemma"), F.regexp_extract("word", r"^\p{L}+", 0).alias("stem"), ((F.length("word") % 5) / 4.0).alias("score_diff")
     )
 
