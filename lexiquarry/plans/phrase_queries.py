@@ -39,17 +39,21 @@ def _matched(spark, sf):
     return K.matched_chunks(chunks(spark, sf), keywords(spark, sf))
 
 
+def _found(spark, sf):
+    return K.matched_chunks(chunks(spark, sf), keywords(spark, sf), places=False)
+
+
 def _off_ties(score: str):
     """Four places; scores of these keywords often lie halfway between two."""
     return F.round(F.col(score) + 1.86e-5, 4)
 
 
 def q_filter_chunks_phrases(spark, sf):
-    return K.filter_chunks(_matched(spark, sf), 3).select("doc_id", "chunk_idx")
+    return K.filter_chunks(_found(spark, sf), 3).select("doc_id", "chunk_idx")
 
 
 def q_filter_chunks_lemstem_phrases(spark, sf):
-    return K.filter_chunks_by_word(_matched(spark, sf), 3).select("doc_id", "chunk_idx")
+    return K.filter_chunks_by_word(_found(spark, sf), 3).select("doc_id", "chunk_idx")
 
 
 def q_filter_chunks_raw_phrases(spark, sf):
