@@ -6,9 +6,12 @@ model can take the place of the built-in rules.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,10 +206,15 @@ class PipelineConfig:
             raise ValueError("; ".join(wrong))
 
 
+def _letters(context: Column) -> Column:
+    """Lower-cased words of letters, digits and underscores, with white space between them."""
+    return F.lower(F.regexp_replace(context, r"[^\p{L}\p{N}_\s]+", " "))
+
+
 def word_shares(question: Column, context: Column) -> Column:
     """The built-in source of attention: each word of two or more characters with its share
     of the context's words, in order of the text."""
-    found = K.words(F.regexp_replace(context, r"[^\p{L}\p{N}_\s]+", " "))
+    found = K.words(_letters(context))
     weigh = lambda ws: F.transform(
         F.filter(F.array_distinct(ws), lambda w: F.length(w) > 1),
         lambda w: F.struct(w.alias("word"), F.round(F.size(F.filter(ws, lambda x: x == w)) / F.size(ws), 9).alias("weight")),
@@ -214,6 +222,46 @@ def word_shares(question: Column, context: Column) -> Column:
     return V.bound(found, weigh)
 
 
+def _best_shares(chunks: DataFrame, limit: int) -> DataFrame:
+    """``attention_keywords`` by ``word_shares``: a document's words are counted in its row, in
+    Arrow batches, so its chunks are shuffled at most once and words never."""
+    docs = chunks.select("doc_id", F.struct("chunk_idx", _letters(F.col("text")).alias("text")).alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("c"))
+    shape = docs.select("doc_id", F.lit(0).cast("long").alias("kw_idx"), F.lit("").alias("word"), F.lit(0.0).alias("weight")).schema
+
+    def best(chunk_idx: list[int], texts: list[str | None]) -> dict[str, tuple[int, int]]:
+        kept: dict[str, tuple[int, int]] = {}
+        ranked: dict[int, list[tuple[int, str]]] = {}
+        for idx, text in zip(chunk_idx, texts):
+            ws = (text or "").split()
+            # Shares to nine places, half of the last one up, as whole numbers.
+            own = [((2 * 10**9 * n + len(ws)) // (2 * len(ws)), w) for w, n in Counter(ws).items() if len(w) > 1]
+            ranked.setdefault(idx, []).extend(own)
+        for idx in sorted(ranked):
+            # The order is stable, so of equal shares the first in the text stands.
+            for place, (share, w) in enumerate(sorted(ranked[idx], key=lambda x: -x[0])[:limit], 1):
+                if w not in kept or share > kept[w][0]:
+                    kept[w] = share, idx * limit + place
+        return kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch["c"]
+            flat, at = c.flatten(), c.offsets.to_numpy() - c.offsets[0].as_py()
+            idx, texts = flat.field("chunk_idx").to_pylist(), flat.field("text")
+            for first in range(0, batch.num_rows, 256):
+                rows, shares, places, words = [], [], [], []
+                for i in range(first, min(first + 256, batch.num_rows)):
+                    kept = best(idx[at[i] : at[i + 1]], texts[at[i] : at[i + 1]].to_pylist())
+                    rows += [i] * len(kept)
+                    words += kept
+                    shares += [share for share, _ in kept.values()]
+                    places += [place for _, place in kept.values()]
+                arrays = [batch["doc_id"].take(pa.array(rows, pa.int64())), pa.array(places, pa.int64()), pa.array(words, pa.string()), pa.array(np.array(shares, float) / 1e9)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "kw_idx", "word", "weight"])
+
+    return docs.mapInArrow(run, shape)
+
+
 @dataclass(frozen=True)
 class Models:
     """What models can take the place of: column functions or pandas UDFs (see
@@ -277,6 +325,8 @@ def attention_keywords(chunks: DataFrame, question: str, models: Models = Models
     """``(doc_id, kw_idx, word, weight)``: the words of each chunk that the source of
     attention ranks first, up to ``limit``; of each word of a document the greatest weight,
     the first among equals."""
+    if models.attention is word_shares:
+        return _best_shares(chunks, limit)
     asked = chunks.select("doc_id", "chunk_idx", F.posexplode(models.attention(F.lit(question), F.col("text"))).alias("pos", "k"))
     w = Window.partitionBy("doc_id", "chunk_idx").orderBy(F.col("k.weight").desc(), "pos")
     ranked = asked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)

@@ -255,7 +255,7 @@ def q_baseline_ru(spark, sf):
 
 
 def q_attention_keywords(spark, sf):
-    found = Q.attention_keywords(chunks(spark, sf), QUESTION)
+    found = Q.attention_keywords(dealt_chunks(spark, sf), QUESTION)
     return found.select("doc_id", "kw_idx", "word", F.round("weight", 6).alias("weight"))
 
 

@@ -103,6 +103,22 @@ def test_attention_keywords(spark):
     assert {r.word for r in Q.attention_keywords(chunks, "q", limit=1).collect()} == {"bb", "cc"}
 
 
+def test_attention_keywords_in_place(spark, tmp_path):
+    """Words are counted in their document's row, so only documents are dealt and nothing is
+    ordered; the words are those of the source of attention given as any other."""
+    docs = [(1, "One two two. " * 90), (2, "x y z"), (3, None), (4, "Straße\u00a0İstanbul a_b don't 1½ ΣΑΣ. " * 40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = keyword_queries.q_attention_keywords(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    tied = " ".join(f"w{i}" for i in range(1024))  # 1 / 1024 has ten places, of which half a one goes up
+    odd = [(1, 0, tied), (1, 1, "W1 w1\tb\u2003c.d"), (2, 0, None), (None, 0, "aa aa"), (None, 3, "bb")]
+    chunks = spark.createDataFrame(odd, "doc_id long, chunk_idx int, text string").unionByName(keyword_queries.chunks(spark, str(tmp_path)).select("doc_id", "chunk_idx", "text").where("doc_id > 2"))
+    given = Q.Models(attention=lambda question, context: Q.word_shares(question, context))
+    rows = [set(map(tuple, Q.attention_keywords(chunks, "q", m, limit).collect())) for limit in (3, 100) for m in (Q.Models(), given)]
+    assert rows[0] == rows[1] and rows[2] == rows[3] and (1, 1, "w0", 0.000976563) in rows[0] and (None, 1, "aa", 1.0) in rows[0]
+
+
 def test_russian_path(spark):
     text = "Мы решаем задачу, т.е. ищем слова. Это г. Москва… Конец."
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
