@@ -6,7 +6,8 @@ vector; ``idx`` breaks ties. Similarities are a self-join of a document's answer
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -61,33 +62,87 @@ def in_tiles(answers: DataFrame, block: int = 1000) -> DataFrame:
     return tiles.repartition(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "_row", "_column")
 
 
-def _tile(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """Rows and columns of a tile, and their similarities; an answer and itself are never alike."""
-    rows = frame[frame["_side"] == 0].sort_values("idx")
-    columns = frame[frame["_side"] == 1].sort_values("idx") if frame["_row"].iloc[0] < frame["_column"].iloc[0] else rows
-    if not len(rows) or not len(columns):
-        return rows, columns, np.zeros((len(rows), len(columns)))
-    sim = np.round(np.array(rows["u"].tolist()) @ np.array(columns["u"].tolist()).T, 9)
+class _Side(NamedTuple):
+    """Answers in order of ``idx``: one side of a tile."""
+
+    idx: np.ndarray
+    u: np.ndarray
+    w: np.ndarray
+
+
+def _tile(rows: _Side, columns: _Side) -> np.ndarray:
+    """The similarities of a tile; an answer and itself are never alike."""
+    if not len(rows.idx) or not len(columns.idx):
+        return np.zeros((len(rows.idx), len(columns.idx)))
+    sim = np.round(rows.u @ columns.u.T, 9)
     if columns is rows:
         np.fill_diagonal(sim, -np.inf)
-    return rows, columns, sim
+    return sim
+
+
+def _over_tiles(answers: DataFrame, block: int, made: Callable[[_Side, _Side], Sequence[np.ndarray]], schema: str) -> DataFrame:
+    """``doc`` and the columns that ``made`` gives for the rows and columns of each tile of
+    answers ``(doc, idx, u, w)``; a tile of one block has the same object as both. A task goes
+    over its tiles one after the other in sorted rows, as a frame of its own for each tile
+    costs more than most of them."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, _Side]] = []  # keys and rows of the last tile, which may go on in the next batch
+        found: list[list[np.ndarray]] = []
+
+        def ended() -> None:
+            keys = held[0][0][0]
+            side = np.concatenate([k[:, 3] for k, _ in held])
+            whole = _Side(*(np.concatenate(x) for x in zip(*(part for _, part in held))))
+            rows = whole if keys[1] == keys[2] else _Side(*(x[side == 0] for x in whole))
+            made_of = made(rows, rows if keys[1] == keys[2] else _Side(*(x[side == 1] for x in whole)))
+            found.append([np.full(len(made_of[0]), keys[0]), *made_of])
+            held.clear()
+
+        def taken() -> pa.RecordBatch:
+            arrays = [pa.array(np.concatenate(x)) for x in zip(*found)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch[c].to_numpy() for c in ("doc", "_row", "_column", "_side")], axis=1)
+            idx, w, u = batch["idx"].to_numpy(), batch["w"].to_numpy(), batch["u"]
+            flat, at = u.flatten().to_numpy(), u.offsets.to_numpy() - u.offsets[0].as_py()
+            borders = [0, *(np.flatnonzero((keys[1:, :3] != keys[:-1, :3]).any(axis=1)) + 1), len(keys)]
+            for first, end in zip(borders, borders[1:]):
+                if held and (held[0][0][0, :3] != keys[first, :3]).any():
+                    ended()
+                n = end - first
+                part = flat[at[first] : at[end]]
+                held.append((keys[first:end], _Side(idx[first:end], part.reshape(n, len(part) // n), w[first:end])))
+            if found:
+                yield taken()
+        if held:
+            ended()
+            yield taken()
+
+    tiles = in_tiles(answers.select(F.col("doc").cast("long"), F.col("idx").cast("long"), F.col("u").cast("array<double>"), F.col("w").cast("double")), block)
+    ordered = tiles.select("doc", F.col("_row").cast("long"), F.col("_column").cast("long"), F.col("_side").cast("long"), "idx", "u", "w")
+    return ordered.sortWithinPartitions("doc", "_row", "_column", "_side", "idx").mapInArrow(run, schema)
 
 
 def near_pairs(answers: DataFrame, least: float, block: int = 1000) -> DataFrame:
     """``(doc, i, j, sim)`` of the pairs i < j with a similarity of ``least`` or more: tiles of
     a document's similarities, which different tasks make, so its answers may be many."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, columns, sim = _tile(frame)
+    def made(rows: _Side, columns: _Side) -> Sequence[np.ndarray]:
+        sim = _tile(rows, columns)
         a, b = np.nonzero(sim >= least)
-        i, j, sim = rows["idx"].to_numpy()[a], columns["idx"].to_numpy()[b], sim[a, b]
+        i, j, sim = rows.idx[a], columns.idx[b], sim[a, b]
         if columns is rows:
             once = i < j
             i, j, sim = i[once], j[once], sim[once]
-        return pd.DataFrame({"doc": frame["doc"].iloc[0], "i": np.minimum(i, j), "j": np.maximum(i, j), "sim": sim})
+        return np.minimum(i, j), np.maximum(i, j), sim
 
-    tiles = in_tiles(answers.select("doc", "idx", "u"), block)
-    return tiles.groupBy("doc", "_row", "_column").applyInPandas(run, "doc long, i long, j long, sim double")
+    return _over_tiles(answers.withColumn("w", F.lit(1.0)), block, made, "doc long, i long, j long, sim double")
 
 
 def near_support(answers: DataFrame, least: float, weight: Column | None = None, block: int = 1000) -> DataFrame:
@@ -95,19 +150,17 @@ def near_support(answers: DataFrame, least: float, weight: Column | None = None,
     mean similarity, each times the peer's ``weight`` (1 without one). Tiles give sums, so no
     pairs leave them."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, columns, sim = _tile(frame)
+    def made(rows: _Side, columns: _Side) -> Sequence[np.ndarray]:
+        sim = _tile(rows, columns)
         near = sim >= least
         kept = np.where(near, sim, 0.0)
-        sides = [(rows, near.sum(axis=1), kept @ columns["w"].to_numpy())]
+        i, n, t = rows.idx, near.sum(axis=1), kept @ columns.w
         if columns is not rows:
-            sides.append((columns, near.sum(axis=0), rows["w"].to_numpy() @ kept))
-        out = pd.concat([pd.DataFrame({"doc": side["doc"], "i": side["idx"], "n": n, "t": t}) for side, n, t in sides])
-        return out[out["n"] > 0]
+            i, n, t = (np.concatenate(x) for x in ((i, columns.idx), (n, near.sum(axis=0)), (t, rows.w @ kept)))
+        return i[n > 0], n[n > 0], t[n > 0]
 
-    weighed = answers.select("doc", "idx", "u", (F.lit(1.0) if weight is None else weight).alias("w"))
-    parts = in_tiles(weighed, block).groupBy("doc", "_row", "_column").applyInPandas(run, "doc long, i long, n long, t double")
-    return parts.groupBy("doc", "i").agg((F.sum("t") / F.sum("n")).alias("s"))
+    weighed = answers.withColumn("w", F.lit(1.0) if weight is None else weight)
+    return _over_tiles(weighed, block, made, "doc long, i long, n long, t double").groupBy("doc", "i").agg((F.sum("t") / F.sum("n")).alias("s"))
 
 
 def validate(answers: DataFrame, references: DataFrame, strict: float = 0.9, least: float = 0.7, top_k: int = 1) -> DataFrame:

@@ -300,10 +300,17 @@ def add_lemma_and_stem(keywords: DataFrame, lemma=F.lower, stem=F.lower) -> Data
 
 
 def contrast(keywords: DataFrame, positive: Column, negative: Column, encode: V.Encoder = V.encode_text) -> DataFrame:
-    """Keywords nearer to ``positive`` than to ``negative`` (unit vectors), with the difference."""
+    """Keywords nearer to ``positive`` than to ``negative`` (unit vectors), with the difference.
+    With the built-in encoder a single word's vector has one bucket, so its similarity is what
+    the other vector has there."""
     u = V.unit(encode(F.col("word")))
-    near, far = V.similarity(u, positive), V.similarity(u, negative)
-    return keywords.withColumn("score_diff", F.round(near - far, 9)).where("score_diff > 0")
+
+    def near(v: Column) -> Column:
+        if encode is not V.encode_text:
+            return V.similarity(u, v)
+        return F.when(F.col("word").rlike(r"\A\S+\z"), F.round(F.get(v, V.bucket_of(F.lower("word"))), 9)).otherwise(V.similarity(u, v))
+
+    return keywords.withColumn("score_diff", F.round(near(positive) - near(negative), 9)).where("score_diff > 0")
 
 
 def in_text(keywords: DataFrame, texts: DataFrame) -> DataFrame:
@@ -460,10 +467,12 @@ def grouped_keywords(keywords: DataFrame, case_sensitive: bool = False, kept: tu
     last stands; empty terms are none. Columns ``kept`` are a document's, the same in its rows."""
     fold = (lambda c: c) if case_sensitive else F.lower
     listed = F.sort_array(F.collect_list(F.struct("kw_idx", "word", "weight", "score_diff", fold(F.col("lemma")).alias("lemma"), fold(F.col("stem")).alias("stem"))))
-    terms = F.array_distinct(F.filter(F.flatten(F.transform("kws", lambda k: F.array(k["lemma"], k["stem"]))), lambda t: t != ""))
-    last = lambda t: F.aggregate(F.sequence(F.lit(0), F.size("kws") - 1), F.lit(-1), lambda at, i: F.when((F.get("kws", i)["lemma"] == t) | (F.get("kws", i)["stem"] == t), i).otherwise(at))
-    grouped = keywords.where("lemma is not null and stem is not null").groupBy("doc_id").agg(listed.alias("kws"), *(F.max(c).alias(c) for c in kept)).withColumn("_t", terms).where(F.size("_t") > 0)
-    return grouped.select("doc_id", *kept, F.map_from_arrays("_t", F.transform("_t", last)).alias("terms"), "kws", term_pattern(F.array_sort("_t")).alias("pattern"))
+    placed = F.flatten(F.transform("kws", lambda k, i: F.array(F.struct(k["lemma"].alias("t"), i.alias("i")), F.struct(k["stem"].alias("t"), i.alias("i")))))
+    # Equal terms are neighbours once sorted; the last of them has the last keyword.
+    last = F.filter("_s", lambda x, i: (x["t"] != "") & F.coalesce(F.get("_s", i + 1)["t"] != x["t"], F.lit(True)))
+    grouped = keywords.where("lemma is not null and stem is not null").groupBy("doc_id").agg(listed.alias("kws"), *(F.max(c).alias(c) for c in kept))
+    grouped = V.evaluated(V.evaluated(grouped, "_s", F.sort_array(placed)), "_t", last).where(F.size("_t") > 0)
+    return grouped.select("doc_id", *kept, F.map_from_entries("_t").alias("terms"), "kws", term_pattern(F.transform("_t", lambda x: x["t"])).alias("pattern"))
 
 
 def matched_chunks(chunks: DataFrame, keywords: DataFrame, case_sensitive: bool = False, kept: tuple[str, ...] = (), places: bool = True) -> DataFrame:

@@ -351,14 +351,15 @@ def attention(
     first = staged(with_vectors(find_answers(chunks, F.lit(question), models.answerer), models.encode))
     used = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     base = A.medoid(first).select(F.col("doc").alias("doc_id"), F.col("text").alias("base_text"), F.col("confidence").alias("base_confidence")).join(used, "doc_id")
-    vectors = staged(references.select("doc_id", models.unit(F.col("reference")).alias("r")))
-    valid = A.validate(first, vectors.withColumnRenamed("doc_id", "doc"), config.strict_answer_threshold, config.min_answer_threshold)
+    # The aspect's vector is made once a reference, and not once a keyword.
+    vectors = staged(references.select("doc_id", models.unit(F.col("reference")).alias("r"), models.unit(F.lit(aspect or question)).alias("p")))
+    valid = A.validate(first, vectors.select(F.col("doc_id").alias("doc"), "r"), config.strict_answer_threshold, config.min_answer_threshold)
     valid = staged(valid.select(F.col("doc").alias("doc_id"), "chunk_idx"))
     if keywords is None:
         found = attention_keywords(chunks.join(valid, ["doc_id", "chunk_idx"], "left_semi"), question, models)
     else:
         found = K.deduplicate(keywords.join(valid.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"])
-    aimed = K.contrast(found.join(vectors, "doc_id"), models.unit(F.lit(aspect or question)), F.col("r"), models.encode)
+    aimed = K.contrast(found.join(vectors, "doc_id"), F.col("p"), F.col("r"), models.encode)
     wanted = staged(K.add_lemma_and_stem(aimed, models.lemma, models.stem).select("doc_id", "kw_idx", "word", "weight", "lemma", "stem", "score_diff"))
     scored = K.score_chunks(K.matched_chunks(chunks, wanted))
     again = staged(with_vectors(find_scored_answers(scored, F.lit(question), models.answerer), models.encode))

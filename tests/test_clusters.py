@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry.operators import answers as A
@@ -163,3 +164,26 @@ def test_clusters_of_many_small_documents(spark):
         own = [(i, u) for d, i, u in rows if d == doc]
         want |= {(doc, own[p][0], own[c][0]) for p, c in A.greedy_labels(np.round(np.array([u for _, u in own]) @ np.array([u for _, u in own]).T, 9), 0.75)}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_tiles_in_one_pass(spark):
+    """A task goes over all of its tiles: no frame is made for each document, and tiles may go
+    on in the next batch."""
+    rng = np.random.default_rng(3)
+    rows = [(d, i, [float(x) for x in v / np.linalg.norm(v)], 0.1 * (i % 7)) for d, n in ((1, 9), (2, 1), (-3, 30), (4, 2)) for i, v in enumerate(rng.random((n, 3)))]
+    answers = spark.createDataFrame(rows, "doc long, idx int, u array<double>, b double")
+    expected = {}
+    for d in (1, 2, -3, 4):
+        own = [r for r in rows if r[0] == d]
+        for _, i, u, _ in own:
+            near = [(round(float(np.dot(u, v)), 9), b) for _, j, v, b in own if j != i and round(float(np.dot(u, v)), 9) >= 0.9]
+            if near:
+                expected[d, i] = sum(s * b for s, b in near) / len(near)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        for block in (4, 1000):
+            found = A.near_support(answers, 0.9, F.col("b"), block)
+            assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+            assert {(r.doc, r.i): r.s for r in found.collect()} == pytest.approx(expected)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
