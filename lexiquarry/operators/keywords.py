@@ -3,6 +3,12 @@ scoring of chunks by keywords."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,20 +177,39 @@ def thresholds(initial: float = 1.5, least: float = 0.5, step: float = 0.2) -> l
 def dynamic_idf(texts: DataFrame, each: int = 3, enough: float = 0.8, initial: float = 1.5) -> DataFrame:
     """``(doc_id, threshold, coverage)``: the first threshold whose share of texts with at
     least ``each`` kept words is greatest, going no further than the first share of
-    ``enough``. The thresholds do not depend on the data, so all are tried in one pass."""
-    texts = staged(texts)
-    return _dynamic_idf(texts, _weighed(texts), each, enough, initial)
-
-
-def _dynamic_idf(texts: DataFrame, weighed: DataFrame, each: int = 3, enough: float = 0.8, initial: float = 1.5) -> DataFrame:
-    steps = thresholds(initial)
-    counts = weighed.groupBy("doc_id", "text_id").agg(*(F.count_if(F.round("idf", 9) >= round(t, 9)).alias(f"t{i}") for i, t in enumerate(steps)))
-    counts = texts.select("doc_id", "text_id").join(counts, ["doc_id", "text_id"], "left")
-    shares = counts.groupBy("doc_id").agg(
-        *((F.count_if(F.coalesce(f"t{i}", F.lit(0)) >= each) / F.count(F.lit(1))).alias(f"t{i}") for i in range(len(steps)))
-    )
-    tried = F.array(*(F.struct(F.least(F.col(f"t{i}"), F.lit(enough)).alias("score"), F.lit(-i).alias("order"), F.lit(t).alias("threshold"), F.col(f"t{i}").alias("coverage")) for i, t in enumerate(steps)))
-    return shares.select("doc_id", F.array_max(tried).alias("b")).select("doc_id", F.round("b.threshold", 6).alias("threshold"), F.round("b.coverage", 6).alias("coverage"))
+    ``enough``. The thresholds do not depend on the data, so all are tried in one pass.
+
+    A text has enough words at every threshold up to its ``each``-th greatest idf, so it gives
+    one number. Words are counted in their document's row, in Arrow batches; texts of no
+    document have none."""
+    # Other marks become one that no word has; a line is a text.
+    lines = F.transform("ts", lambda x: F.translate(F.coalesce(x["text"], F.lit("")), "\n", " "))
+    marked = F.regexp_replace(F.lower(F.array_join(lines, "\n")), r"[^\p{L}\p{N}_\s]", ".")
+    docs = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("text_id", F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text"))).alias("ts"))
+
+    def reached(ids: np.ndarray, text: str) -> list[int]:
+        listed = text.split("\n")
+        df = Counter(chain.from_iterable(set(t.replace(".", " ").split()) for t in listed))
+        placed = list(map(str.split, listed))
+        unknown = pd.isna(ids)
+        if unknown.any() or len(set(ids)) < len(ids):  # rows of one text count together, those of none not at all
+            whole: dict = {}
+            for i, ws in zip(ids, placed):
+                whole[i] = whole.get(i, []) + ws
+            placed = [whole[i] for i in ids[~unknown]]
+        rare = (sorted([df[w] for w in ws if len(w) > 1 and w in df]) for ws in placed)
+        return [own[each - 1] for own in rare if len(own) >= each]
+
+    def reach(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, marked in batches:
+            yield pd.Series(list(map(reached, ids, marked)))
+
+    docs = docs.select("doc_id", "n", F.pandas_udf(reach, "array<long>")(F.col("ts.text_id"), marked).alias("dfs"))
+    docs = V.evaluated(docs, "reach", F.transform("dfs", lambda df: F.round(F.log(F.col("n") / df) + 1, 9)))
+    shares = [F.size(F.filter("reach", lambda x: x >= round(t, 9))) / F.col("n") for t in thresholds(initial)]
+    tried = [F.struct(F.least(c, F.lit(enough)).alias("score"), F.lit(-i).alias("order"), F.lit(t).alias("threshold"), c.alias("coverage")) for i, (t, c) in enumerate(zip(thresholds(initial), shares))]
+    best = V.evaluated(docs, "b", F.array_max(F.array(*tried)))
+    return best.select("doc_id", F.round("b.threshold", 6).alias("threshold"), F.round("b.coverage", 6).alias("coverage"))
 
 
 def dynamic_idf_filter(texts: DataFrame, initial: float = 1.5) -> DataFrame:
@@ -192,7 +217,7 @@ def dynamic_idf_filter(texts: DataFrame, initial: float = 1.5) -> DataFrame:
     Texts of a document without any term stay whole, in lower case."""
     texts = staged(texts)
     weighed = staged(_weighed(texts))
-    kept = weighed.join(_dynamic_idf(texts, weighed, initial=initial).select("doc_id", "threshold"), "doc_id").where(F.round("idf", 9) >= F.col("threshold"))
+    kept = weighed.join(dynamic_idf(texts, initial=initial).select("doc_id", "threshold"), "doc_id").where(F.round("idf", 9) >= F.col("threshold"))
     kept = kept.groupBy("doc_id", "text_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("kept"))
     has_terms = F.max(F.size(terms(F.col("text"))) > 0).over(Window.partitionBy("doc_id"))
     rows = texts.select("doc_id", "text_id", "text", has_terms.alias("_t")).join(kept, ["doc_id", "text_id"], "left")

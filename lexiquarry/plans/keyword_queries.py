@@ -92,7 +92,7 @@ def q_idf_filter(spark, sf):
 
 
 def q_dynamic_idf(spark, sf):
-    return K.dynamic_idf(texts(spark, sf))
+    return K.dynamic_idf(dealt_texts(spark, sf))
 
 
 def q_characteristic(spark, sf):

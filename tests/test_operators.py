@@ -1,4 +1,7 @@
 import json
+import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,6 +106,32 @@ def test_attention_keywords(spark):
     assert {r.word for r in Q.attention_keywords(chunks, "q", limit=1).collect()} == {"bb", "cc"}
 
 
+def test_dynamic_idf_in_place(spark, tmp_path):
+    """Words are counted in their document's row: only documents are dealt, and nothing is
+    joined or ordered. Repeated, null and odd rows against a plain count."""
+    spark.createDataFrame([(1, "One two three. Two three four! Three four five? Don't a_b c.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = keyword_queries.q_dynamic_idf(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Sort" not in plan
+    rng = np.random.default_rng(5)
+    words = ["aa", "Bb", "cc", "d", "e-f", "gg.", "İx", "ΣΑΣ", "1½", "hh\nii", "jj\u2003kk", "ll\x1fmm", ".", ""]
+    made = [(d, i, " ".join(rng.choice(words, rng.integers(0, 9)))) for d in range(40) for i in range(rng.integers(1, 9))]
+    rows = [*made, *((d, i, t) for d, i, t in made if d < 5), (50, 0, None), (51, 0, "x y"), (52, None, "aa bb cc"), (52, 0, "aa bb dd"), (None, 0, "aa bb cc"), (None, 1, "dd ee ff")]
+    expected = {}
+    terms = lambda t: re.findall(r"\w{2,}", t.lower())
+    for doc in {d for d, _, _ in rows}:
+        own = [(i, (t or "") if doc is not None else "") for d, i, t in rows if d == doc]
+        df = Counter(w for _, t in own for w in set(terms(t)))
+        idf = {w: round(math.log(len(own) / m) + 1, 9) for w, m in df.items()}
+        best = (-1.0, 0.0, 0.0)
+        for at in K.thresholds():
+            kept = Counter(i for i, t in own for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if re.fullmatch(r"\w{2,}", w) and idf[w] >= round(at, 9))
+            cover = sum(i is not None and kept[i] >= 3 for i, _ in own) / len(own)
+            best = max(best, (min(cover, 0.8), cover, at), key=lambda x: x[0])
+        expected[doc] = (round(best[2], 6), round(best[1], 6))
+    found = K.dynamic_idf(spark.createDataFrame(rows, "doc_id long, text_id int, text string")).collect()
+    assert len(found) == len(expected) and {r.doc_id: (r.threshold, r.coverage) for r in found} == expected
+
+
 def test_attention_keywords_in_place(spark, tmp_path):
     """Words are counted in their document's row, so only documents are dealt and nothing is
     ordered; the words are those of the source of attention given as any other."""
